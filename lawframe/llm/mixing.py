@@ -26,7 +26,7 @@ from lawframe.llm.common import checkpointed, small
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
