@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawframe.llm import decontamination, mixing, sharding, simhash, urls
+from lawframe.llm import decontamination, media, mixing, sharding, simhash, toxicity, urls
 from lawframe.llm.common import table
 
 
@@ -102,10 +102,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.from_media(media.to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_media": op2_media,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_urls": op10_urls,
 }
