@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawframe.llm import decontamination, media, mixing, sharding, simhash, toxicity, urls
+from lawframe.llm import decontamination, lm_score, media, mixing, sharding, simhash, toxicity, urls
 from lawframe.llm.common import table
 
 
@@ -111,9 +111,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
+    "op3_lm_score": op3_lm_score,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
