@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawframe.llm import decontamination, lm_score, media, mixing, sharding, simhash, toxicity, urls
-from lawframe.llm.common import table
+from lawframe.llm import decontamination, langid, lm_score, media, mixing, sharding, simhash, token_counts, toxicity, urls
+from lawframe.llm.common import checkpointed, shared_dir, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +117,43 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"), table(spark, sf_dir, "documents", "text", "lang"))
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """All documents come in with estimated counts, then are revised to counted ones; those without tokens are withdrawn, twice."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    versions = [
+        token_counts.Tokenizer("words-1"),
+        token_counts.Tokenizer.from_file("byte_bpe_50k-1", f"{tokenizers}/byte_bpe_50k.tiktoken"),
+    ]
+    estimate = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long")
+    counts = checkpointed(token_counts.counted(docs, versions))
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    for tokenizer in versions:
+        first = docs.select("source", "lang", F.lit(tokenizer.version).alias("version"), estimate.alias("n_tokens"))
+        rollup.commit(f"ingest-{tokenizer.version}", token_counts.inserts(first))
+        own = counts.where(F.col("version") == tokenizer.version)
+        # the sum of the differences is the difference of the sums, so that no row has to meet its former count
+        rollup.commit(
+            f"count-{tokenizer.version}",
+            token_counts.revisions(own.withColumn("old_tokens", F.lit(0).cast("long")).unionByName(first.select(F.lit(None).cast("long").alias("doc_id"), "source", "lang", "version", F.lit(0).cast("long").alias("n_tokens"), F.col("n_tokens").alias("old_tokens")))),
+        )
+    for _ in range(2):
+        rollup.commit("withdraw", token_counts.deletes(counts.where("n_tokens = 0")))
+    return rollup.totals()
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
     "op3_lm_score": op3_lm_score,
+    "op4_token_counts": op4_token_counts,
+    "op5_langid": op5_langid,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
