@@ -33,6 +33,11 @@ _INFIX = r"[()=∘◇*]|\p{L}[\p{L}\p{N}]*"
 _PREFIX = r"[(),=]|\p{L}[\p{L}\p{N}_]*"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def infix_tokens(text: Column) -> Column:
     """Tokens of infix text with `∘` for every operation symbol; null if there is any other character."""
     found = F.regexp_extract_all(text, F.lit(_INFIX), F.lit(0))
@@ -94,14 +99,12 @@ def _normalised(tokens: Column) -> Column:
 
 
 def parse_infix(text: Column) -> Column:
-    tokens = infix_tokens(text)
-    return F.when(valid_infix(tokens), _normalised(tokens))
+    return let(infix_tokens(text), lambda t: F.when(valid_infix(t), _normalised(t)))
 
 
 def parse_prefix(text: Column) -> Column:
-    tokens = prefix_tokens(text)
-    infix = F.transform(F.filter(tokens, lambda t: t != "op"), lambda t: F.when(t == ",", OP).otherwise(t))
-    return F.when(valid_prefix(tokens), infix)
+    infix = lambda tokens: F.transform(F.filter(tokens, lambda t: t != "op"), lambda t: F.when(t == ",", OP).otherwise(t))
+    return let(prefix_tokens(text), lambda t: F.when(valid_prefix(t), infix(t)))
 
 
 def parse_canonical(text: Column) -> Column:
@@ -116,8 +119,10 @@ def variables(tokens: Column) -> Column:
 
 def renamed(tokens: Column) -> Column:
     """Names become v1, v2, ... by first appearance."""
-    names = variables(tokens)
-    return F.transform(tokens, lambda t: F.when(_is_name(t), F.concat(F.lit("v"), F.array_position(names, t).cast("string"))).otherwise(t))
+    def number(all_tokens: Column, names: Column) -> Column:
+        return F.transform(all_tokens, lambda t: F.when(_is_name(t), F.concat(F.lit("v"), F.array_position(names, t).cast("string"))).otherwise(t))
+
+    return let(tokens, lambda all_tokens: let(variables(all_tokens), lambda names: number(all_tokens, names)))
 
 
 def rendered(tokens: Column) -> Column:
@@ -138,13 +143,17 @@ def right_side(tokens: Column) -> Column:
 
 
 def swapped(tokens: Column) -> Column:
-    return F.concat(right_side(tokens), F.array(F.lit("=")), left_side(tokens))
+    return let(tokens, lambda t: F.concat(right_side(t), F.array(F.lit("=")), left_side(t)))
+
+
+def _backwards(tokens: Column) -> Column:
+    """The dual with its sides swapped."""
+    return F.transform(F.reverse(tokens), lambda t: F.when(t == "(", ")").when(t == ")", "(").otherwise(t))
 
 
 def dual(tokens: Column) -> Column:
     """Every operation with its arguments exchanged: each side read backwards."""
-    back = F.transform(F.reverse(tokens), lambda t: F.when(t == "(", ")").when(t == ")", "(").otherwise(t))
-    return swapped(back)
+    return swapped(_backwards(tokens))
 
 
 def operations(tokens: Column) -> Column:
@@ -163,7 +172,7 @@ def depth(tokens: Column) -> Column:
 
 
 def law_key(tokens: Column) -> Column:
-    return F.least(canonical(tokens), canonical(swapped(tokens)))
+    return let(tokens, lambda t: F.least(canonical(t), canonical(swapped(t))))
 
 
 def serialized(tokens: Column) -> Column:
@@ -171,7 +180,7 @@ def serialized(tokens: Column) -> Column:
     def side(t: Column) -> Column:
         return F.regexp_replace(F.translate(rendered(t), OP, "◇"), r"^\((.*)\)$", "$1")
 
-    return F.concat(side(left_side(tokens)), F.lit(" = "), side(right_side(tokens)))
+    return let(tokens, lambda t: F.concat(side(left_side(t)), F.lit(" = "), side(right_side(t))))
 
 
 def to_prefix(canonical_text: Column) -> Column:
@@ -184,17 +193,27 @@ def is_vacuous(text: Column) -> Column:
 
 def orbit(e: Column, f: Column) -> Column:
     """The eight accepted forms of a pair of equations, as (swap_e, swap_f, dual, e, f) with canonical strings."""
-    forms = {}
-    for name, tokens in (("e", e), ("f", f)):
-        for d, base in ((False, tokens), (True, dual(tokens))):
-            forms[name, False, d] = canonical(base)
-            forms[name, True, d] = canonical(swapped(base))
-    return F.array(
-        *[
-            F.struct(F.lit(a).alias("swap_e"), F.lit(b).alias("swap_f"), F.lit(d).alias("dual"), forms["e", a, d].alias("e"), forms["f", b, d].alias("f"))
-            for a, b, d in TRANSFORMS
-        ]
-    )
+    def forms(tokens: Column) -> Column:
+        """Canonical strings as they are, swapped, dual, dual and swapped."""
+        return let(
+            tokens,
+            lambda t: let(
+                _backwards(t), lambda back: F.array(canonical(t), canonical(swapped(t)), canonical(swapped(back)), canonical(back))
+            ),
+        )
+
+    def eight(both: Column) -> Column:
+        place = lambda swap, mirror: swap + 2 * mirror
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(a).alias("swap_e"), F.lit(b).alias("swap_f"), F.lit(d).alias("dual"), F.get(both["e"], place(a, d)).alias("e"), F.get(both["f"], place(b, d)).alias("f")
+                )
+                for a, b, d in TRANSFORMS
+            ]
+        )
+
+    return let(F.struct(forms(e).alias("e"), forms(f).alias("f")), eight)
 
 
 def answer_class_key(e: Column, f: Column) -> Column:

@@ -89,8 +89,10 @@ def linearized(tokens: Column, noun: Column | str) -> Column:
 
 def _named(tokens: Column, names: Column) -> Column:
     """Tokens with variables replaced by names, in order of first appearance."""
-    order = A.variables(tokens)
-    return F.transform(tokens, lambda t: F.when(F.array_contains(order, t), F.get(names, (F.array_position(order, t) - 1).cast("int"))).otherwise(t))
+    def named(order: Column) -> Column:
+        return F.transform(tokens, lambda t: F.when(F.array_contains(order, t), F.get(names, (F.array_position(order, t) - 1).cast("int"))).otherwise(t))
+
+    return A.let(A.variables(tokens), named)
 
 
 def _listing(parts: Column) -> Column:
@@ -107,36 +109,43 @@ def _capital(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
 
-def _literal_law(tokens: Column) -> tuple[Column, Column, Column, Column]:
-    """(quantifier, procedure, number of steps, equality) of a law in literal words."""
+def _literal_law(tokens: Column) -> Column:
+    """(quantifier, procedure, steps, equality) of a law in literal words; steps is their number."""
     letters = F.array(*[F.lit(x) for x in LETTERS])
-    n = F.size(A.variables(tokens))
-    used = F.slice(letters, F.lit(1), n)
-    law = linearized(_named(tokens, letters), RESULT)
-    quantifier = F.when(n == 1, F.concat(F.lit("for every choice of an object "), F.get(used, 0))).otherwise(F.concat(F.lit("for every choice of objects "), _listing(used)))
-    texts = F.transform(
-        law["steps"],
-        lambda s, i: F.concat(
-            F.lit("apply the operation to "), s["a"], F.lit(" as its first input and "), s["b"], F.lit(f" as its second input, and call the result {RESULT} "), (i + 1).cast("string")
-        ),
-    )
-    equality = F.concat(F.get(law["stack"], 0), F.lit(" is always equal to "), F.get(law["stack"], 1))
-    return quantifier, F.array_join(texts, "; then "), F.size(law["steps"]), equality
+
+    def words(used: Column, law: Column) -> Column:
+        quantifier = F.when(F.size(used) == 1, F.concat(F.lit("for every choice of an object "), F.get(used, 0))).otherwise(
+            F.concat(F.lit("for every choice of objects "), _listing(used))
+        )
+        texts = F.transform(
+            law["steps"],
+            lambda s, i: F.concat(
+                F.lit("apply the operation to "), s["a"], F.lit(" as its first input and "), s["b"], F.lit(f" as its second input, and call the result {RESULT} "), (i + 1).cast("string")
+            ),
+        )
+        equality = F.concat(F.get(law["stack"], 0), F.lit(" is always equal to "), F.get(law["stack"], 1))
+        return F.struct(quantifier.alias("quantifier"), F.array_join(texts, "; then ").alias("procedure"), F.size(law["steps"]).alias("steps"), equality.alias("equality"))
+
+    used = F.slice(letters, F.lit(1), F.size(A.variables(tokens)))
+    return A.let(linearized(_named(tokens, letters), RESULT), lambda law: A.let(used, lambda u: words(u, law)))
 
 
 def render_literal(pairs: DataFrame) -> DataFrame:
     """Pairs (e, f) of tokens with `description`, canonical_e and canonical_f; null where a law has too many variables."""
-    q, procedure, steps, equality = _literal_law(F.col("e"))
-    lead = F.concat(F.lit(f"{ASSUME} "), _capital(q), F.lit(", "))
-    assume = F.when(steps > 0, F.concat(lead, procedure, F.lit(". Then "), equality, F.lit("."))).otherwise(F.concat(lead, equality, F.lit(".")))
-    q, procedure, steps, equality = _literal_law(F.col("f"))
-    ask = F.when(
-        steps > 0, F.concat(F.lit(f"{QUESTION} "), _capital(q), F.lit(", "), procedure, F.lit(". Does it follow that "), equality, F.lit("?"))
-    ).otherwise(F.concat(F.lit(f"{QUESTION} Does it follow that, "), q, F.lit(", "), equality, F.lit("?")))
+    def assume(law: Column) -> Column:
+        lead = F.concat(F.lit(f"{ASSUME} "), _capital(law["quantifier"]), F.lit(", "))
+        return F.when(law["steps"] > 0, F.concat(lead, law["procedure"], F.lit(". Then "), law["equality"], F.lit("."))).otherwise(F.concat(lead, law["equality"], F.lit(".")))
+
+    def ask(law: Column) -> Column:
+        stepped = F.concat(F.lit(f"{QUESTION} "), _capital(law["quantifier"]), F.lit(", "), law["procedure"], F.lit(". Does it follow that "), law["equality"], F.lit("?"))
+        return F.when(law["steps"] > 0, stepped).otherwise(
+            F.concat(F.lit(f"{QUESTION} Does it follow that, "), law["quantifier"], F.lit(", "), law["equality"], F.lit("?"))
+        )
+
     fits = (F.size(A.variables(F.col("e"))) <= MOST_VARIABLES) & (F.size(A.variables(F.col("f"))) <= MOST_VARIABLES)
     return pairs.withColumns(
         {
-            "description": F.when(fits, F.concat_ws("\n\n", F.lit(OPENING), assume, ask)),
+            "description": F.when(fits, F.concat_ws("\n\n", F.lit(OPENING), A.let(_literal_law(F.col("e")), assume), A.let(_literal_law(F.col("f")), ask))),
             "canonical_e": A.canonical(F.col("e")),
             "canonical_f": A.canonical(F.col("f")),
         }
@@ -165,10 +174,14 @@ def _read_law(procedure: Column, equality: Column) -> Column:
         good = number == (F.size(values) + 1).cast("string")
         return F.when(good, F.array_append(values, F.concat(F.lit("("), a, F.lit(f" {A.OP} "), b, F.lit(")"))))
 
-    values = F.aggregate(parts, F.array().cast("array<string>"), step)
     pattern = rf"^({_REF}) is always equal to ({_REF})$"
-    sides = [_resolved(F.regexp_extract(equality, pattern, i), values) for i in (1, 2)]
-    return F.when(equality.rlike(pattern), A.parse_infix(F.concat(sides[0], F.lit(" = "), sides[1])))
+
+    def law(values: Column) -> Column:
+        sides = [_resolved(F.regexp_extract(equality, pattern, i), values) for i in (1, 2)]
+        return F.concat(sides[0], F.lit(" = "), sides[1])
+
+    text = A.let(F.aggregate(parts, F.array().cast("array<string>"), step), law)
+    return F.when(equality.rlike(pattern), A.parse_infix(text))
 
 
 def _after(text: Column, start: str) -> Column:
@@ -177,19 +190,28 @@ def _after(text: Column, start: str) -> Column:
 
 def backparse_literal(records: DataFrame) -> DataFrame:
     """Records (description) with canonical_e and canonical_f, read from the text alone; null where it is malformed."""
-    parts = F.split("description", "\n\n")
-    whole = (F.size(parts) == 3) & (F.get(parts, 0) == OPENING)
-    assume = F.when(whole & F.get(parts, 1).endswith("."), F.regexp_extract(_after(F.get(parts, 1), f"{ASSUME} "), r"(?s)^(.*)\.$", 1))
-    rest = F.when(assume.rlike(_QUANTIFIER), F.regexp_replace(assume, _QUANTIFIER, ""))
-    two = F.split(rest, r"\. Then ", 2)
-    e = F.when(F.size(two) == 2, _read_law(F.get(two, 0), F.get(two, 1))).otherwise(_read_law(F.lit(None).cast("string"), rest))
-    ask = F.when(whole & F.get(parts, 2).endswith("?"), F.regexp_extract(_after(F.get(parts, 2), f"{QUESTION} "), r"(?s)^(.*)\?$", 1))
-    plain = _after(ask, "Does it follow that, ")
-    bare = F.when(plain.rlike(_QUANTIFIER), F.regexp_replace(plain, _QUANTIFIER, ""))
-    stepped = F.split(F.when(ask.rlike(_QUANTIFIER), F.regexp_replace(ask, _QUANTIFIER, "")), r"\. Does it follow that ", 2)
-    f = F.when(plain.isNotNull(), _read_law(F.lit(None).cast("string"), bare)).when(F.size(stepped) == 2, _read_law(F.get(stepped, 0), F.get(stepped, 1)))
-    read = records.withColumns({"read e": e, "read f": f})
-    return read.withColumns({"canonical_e": A.canonical(F.col("read e")), "canonical_f": A.canonical(F.col("read f"))}).drop("read e", "read f")
+    nothing = F.lit(None).cast("string")
+
+    def first(text: Column) -> Column:
+        body = F.when(text.endswith("."), F.regexp_extract(_after(text, f"{ASSUME} "), r"(?s)^(.*)\.$", 1))
+        rest = F.when(body.rlike(_QUANTIFIER), F.regexp_replace(body, _QUANTIFIER, ""))
+        return A.let(F.split(rest, r"\. Then ", 2), lambda two: A.let(F.struct(F.when(F.size(two) == 2, F.get(two, 0)).alias("p"), F.element_at(two, -1).alias("q")), lambda x: _read_law(x["p"], x["q"])))
+
+    def second(text: Column) -> Column:
+        def parts(ask: Column) -> Column:
+            plain = _after(ask, "Does it follow that, ")
+            bare = F.when(plain.rlike(_QUANTIFIER), F.regexp_replace(plain, _QUANTIFIER, ""))
+            two = F.split(F.when(ask.rlike(_QUANTIFIER), F.regexp_replace(ask, _QUANTIFIER, "")), r"\. Does it follow that ", 2)
+            stepped = F.struct(F.get(two, 0).alias("p"), F.get(two, 1).alias("q"))
+            return F.when(plain.isNotNull(), F.struct(nothing.alias("p"), bare.alias("q"))).otherwise(stepped)
+
+        ask = F.when(text.endswith("?"), F.regexp_extract(_after(text, f"{QUESTION} "), r"(?s)^(.*)\?$", 1))
+        return A.let(A.let(ask, parts), lambda x: _read_law(x["p"], x["q"]))
+
+    whole = lambda parts: F.when((F.size(parts) == 3) & (F.get(parts, 0) == OPENING), parts)
+    parts = A.let(F.split("description", "\n\n"), whole)
+    e, f = A.let(F.get(parts, 1), first), A.let(F.get(parts, 2), second)
+    return records.withColumns({"canonical_e": A.canonical(e), "canonical_f": A.canonical(f)})
 
 
 def roundtrip_gate(records: DataFrame) -> DataFrame:
