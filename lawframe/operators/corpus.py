@@ -364,11 +364,13 @@ def leakage_filter(texts: DataFrame, column: str) -> DataFrame:
     """Texts with flags for formal words, notation, lone letters and letters next to digits; null texts leak nothing."""
     text = F.coalesce(F.col(column), F.lit(""))
     chars = "".join("\\" + c for c in BANNED_CHARS)
+    # word ends by letters of any script, as a bare \\b differs between regex engines
+    before, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     return texts.withColumns(
         {
-            "banned_word": F.lower(text).rlike(rf"\b(?:{'|'.join(BANNED_WORDS)})\b"),
+            "banned_word": F.lower(text).rlike(rf"{before}(?:{'|'.join(BANNED_WORDS)}){after}"),
             "banned_char": text.rlike(f"[{chars}]"),
-            "lone_letter": text.rlike(r"(?i)\b[b-hj-z]\b"),
+            "lone_letter": text.rlike(f"{before}[b-hj-zB-HJ-Z]{after}"),
             "letter_digit": text.rlike(r"[A-Za-z][0-9]|[0-9][A-Za-z]"),
         }
     )

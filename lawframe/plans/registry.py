@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from lawframe.plans import attempt_queries, law_queries, response_queries  # noqa: E402, F401
+from lawframe.plans import attempt_queries, corpus_queries, io_queries, law_queries, response_queries  # noqa: E402, F401
