@@ -108,7 +108,7 @@ def write_corpus(records: DataFrame, key: Column, path: str) -> None:
     merged = old.join(touched, "part", "left_semi").join(fresh.select("record_key"), "record_key", "left_anti").select(*[f.name for f in fresh.schema]).unionByName(fresh)
     shared_folder(spark)
     # Spark does not write to what it reads, so the merged partitions go through a file set of their own
-    merged.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    merged.checkpoint().repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def write_run_dir(path: str, meta: DataFrame, samples: DataFrame, rows: DataFrame, summary: DataFrame) -> None:
