@@ -14,8 +14,9 @@ The aggregations are counts by (host, suffix, declared, text language): partly
 summed before the shuffle, so a host with a third of all rows is a few rows per
 task, and the same counts rolled up serve all three priors.
 
-The text model is fitted on the `train_rows` labelled rows of least hash per
-language, texts of no other row go to the driver; all counts cover all rows.
+The text model is fitted on at most `train_rows` labelled rows per language, those
+of least hash among twice as many drawn by hash; texts of no other row go to the
+driver. All counts cover all rows.
 
 Defined results: a null or empty text has no text evidence; a row without a
 declared language, suffix or host has no such evidence; a null label is not
@@ -81,10 +82,16 @@ def train_text(labelled: DataFrame, train_rows: int = TRAIN_ROWS, least_share: f
     """
     found = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", text_key(F.col("text")).alias("key"), "text")
     by_lang = labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    by_lang = checkpointed(by_lang)
     total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    names = sorted(r["lang"] for r in by_lang.where(F.col("n") >= least_share * total).collect())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key", F.lit("lang")), "key"))
-    chosen = found.where(F.col("lang").isin(names)).select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= train_rows).drop("rank")
+    sizes = {r["lang"]: r["n"] for r in by_lang.where(F.col("n") >= least_share * total).collect()}
+    names = sorted(sizes)
+    draw = F.xxhash64("key", F.lit("lang"))
+    # twice the share that is needed goes on, so that a language with most rows is few before it meets in one task
+    share = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(1.0, 2 * train_rows / sizes[n]))) for n in names], F.lit(0.0))
+    few = found.where(F.pmod(draw, F.lit(1 << 40)).cast("double") / float(1 << 40) < share).select("lang", "key").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "key"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= train_rows).drop("rank")
     # at most train_rows / least_share rows of a name and a number
     texts = found.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
     counts = np.full((SLOTS, len(names)), 0.05)

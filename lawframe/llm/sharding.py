@@ -27,7 +27,7 @@ from lawframe.llm.mixing import word_count
 
 ROW_OVERHEAD = 16
 CELLS_PER_SHARD = 128
-HOT_SHARE = 1 / 64
+HOT_SHARE = 1 / 4
 DIMENSIONS = ("bytes", "tokens", "n_rows")
 
 

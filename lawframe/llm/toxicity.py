@@ -194,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | float:
             found = [figures(t, *pair) for _, part in chunks(batch, "text") for t in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    measured = sample.select(F.col("toxic").cast("double").alias("toxic"), "text").repartition(12).mapInArrow(run, "toxic double, x array<double>").orderBy("toxic", "x").collect()
+    measured = sample.select(F.col("toxic").cast("double").alias("toxic"), "text").repartition(12).mapInArrow(run, "toxic double, x array<double>").collect()
+    measured.sort(key=lambda r: (r["toxic"], r["x"]))
     model.mean, model.scale, model.weights = fit_logistic(np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured]))
     return model
 
