@@ -6,10 +6,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from helpers import SF, TABLES  # noqa: E402
+
 from lawframe.session import local_session  # noqa: E402
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -24,21 +24,3 @@ def duck():
     for name in TABLES:
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
-
-
-def plain(value):
-    """A value as text, floats to nine places, so that both engines' rows compare."""
-    if isinstance(value, float):
-        return repr(round(value, 9) + 0.0)
-    if isinstance(value, (list, tuple)):
-        return str([plain(v) for v in value])
-    return str(value)
-
-
-def same_rows(df, connection, sql):
-    cursor = connection.execute(sql)
-    names = [d[0] for d in cursor.description]
-    assert sorted(names) == sorted(df.columns)
-    columns = sorted(names)
-    expected = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
-    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == expected
