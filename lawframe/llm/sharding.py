@@ -7,9 +7,9 @@ with the shard's residual capacity is highest. The number of cells depends
 on the number of shards alone, so the placement step has a fixed size; all
 work on rows is two small shuffles.
 
-A group with more than `hot_share` of a shard in any dimension would unbalance
-the cells: it is dealt by row hash into as many cells of its own as that share
-calls for. At most 3 * shards / hot_share groups can be so large.
+A group that fits into a shard stays whole. One with more than a shard's equal
+share in any dimension is dealt by row hash into pieces of about `piece_share`
+of a shard, each in a cell of its own. At most 3 * shards groups can be so large.
 
 Defined results: a null text has no bytes and no tokens and groups with other
 nulls; repeated rows get slots of their own; an empty table gives an empty
@@ -22,12 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, crc_of, small
+from lawframe.llm.common import checkpointed, small
 from lawframe.llm.mixing import word_count
 
 ROW_OVERHEAD = 16
 CELLS_PER_SHARD = 128
-HOT_SHARE = 1 / 4
+PIECE_SHARE = 1 / 4
 DIMENSIONS = ("bytes", "tokens", "n_rows")
 
 
@@ -66,7 +66,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def with_cell(rows: DataFrame, plan: DataFrame, total: dict, shards: int, cells_per_shard: int, hot_share: float) -> DataFrame:
+def with_cell(rows: DataFrame, plan: DataFrame, shards: int, cells_per_shard: int) -> DataFrame:
     """Rows with their cell; `plan` has the hot groups, (hot, pieces)."""
     cells = shards * cells_per_shard
     common = F.pmod(F.xxhash64("group"), F.lit(cells))
@@ -80,16 +80,16 @@ def assign(
     shards: int = 40,
     keep: tuple[str, ...] = (),
     cells_per_shard: int = CELLS_PER_SHARD,
-    hot_share: float = HOT_SHARE,
+    piece_share: float = PIECE_SHARE,
 ) -> DataFrame:
     """Per row of (doc_id, text): bytes, tokens, text_crc32, shard, slot, and the columns in `keep`."""
     rows = checkpointed(measured(docs))
     total = rows.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS]).first().asDict()
     shares = [F.col(d) / F.lit(max(total[d], 1) / shards) for d in DIMENSIONS]
     groups = rows.groupBy(F.col("group").alias("hot")).agg(*[F.sum(d).alias(d) for d in DIMENSIONS])
-    hot = groups.select("hot", F.ceil(F.greatest(*shares) / hot_share).cast("long").alias("pieces")).where("pieces > 1")
+    hot = groups.withColumn("share", F.greatest(*shares)).where("share > 1").select("hot", F.ceil(F.col("share") / piece_share).cast("long").alias("pieces"))
     plan = small(hot)
-    placed_rows = with_cell(rows, plan, total, shards, cells_per_shard, hot_share)
+    placed_rows = with_cell(rows, plan, shards, cells_per_shard)
     # one row per cell: 2 * shards * cells_per_shard at most, whatever the input
     cells = placed_rows.groupBy("cell").agg(*[F.sum(d).alias(d) for d in DIMENSIONS]).orderBy("cell").collect()
     place = pack(np.array([[c[d] for d in DIMENSIONS] for c in cells], dtype=float).reshape(len(cells), len(DIMENSIONS)), shards)
@@ -99,7 +99,7 @@ def assign(
         start[shard] += cell["n_rows"]
     spark = docs.sparkSession
     where = F.broadcast(spark.createDataFrame(table, "at long, shard int, start long"))
-    full = with_cell(measured(docs, *keep), plan, total, shards, cells_per_shard, hot_share) if keep else placed_rows
+    full = with_cell(measured(docs, *keep), plan, shards, cells_per_shard) if keep else placed_rows
     order = Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "group")
     return (
         full.withColumn("slot_in_cell", F.row_number().over(order) - 1)
@@ -115,6 +115,3 @@ def sharded_documents(docs: DataFrame, shards: int = 40, **options) -> DataFrame
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
     found = assign(docs, shards, keep=tuple(columns), **options)
     return found.select(*[F.col(f"`keep {c}`").alias(c) for c in columns], "shard", "slot")
-
-
-__all__ = ["assign", "crc_of", "pack", "sharded_documents"]
