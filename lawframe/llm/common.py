@@ -32,6 +32,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of rows that a Python worker gets at a time, where the session has Spark's default of 64 MB.
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """Before mapInArrow: texts are large rows, so bound a batch by bytes. A longer row is a batch of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def text_key(text: Column) -> Column:
     """With doc_id, tells rows of different texts apart; rows that agree in both are repeats of one row."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, small, text_key
+from lawframe.llm.common import checkpointed, chunks, in_batches, small, text_key
 
 WINDOW = 10
 SHINGLE = 3
@@ -85,7 +85,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int =
             if out:
                 yield pa.RecordBatch.from_arrays(_columns(out), names=names)
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    return in_batches(items).mapInArrow(run, schema)
 
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
@@ -133,7 +134,7 @@ def shingle_counts(docs: DataFrame, table: bytes, sizes: list[int]) -> DataFrame
                     if len(hashes):
                         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def candidates(docs: DataFrame, table: bytes, sizes: list[int], window: int) -> DataFrame:
@@ -166,7 +167,8 @@ def candidates(docs: DataFrame, table: bytes, sizes: list[int], window: int) ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    return in_batches(rows).mapInArrow(run, schema)
 
 
 def prefixes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:

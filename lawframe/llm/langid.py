@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, small, text_key
+from lawframe.llm.common import checkpointed, chunks, in_batches, small, text_key
 
 TRAIN_ROWS = 1_000
 LEAST_SHARE = 0.005
@@ -134,7 +134,7 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*columns, *made], names=[*keep, "likelihood", "letters", "said"])
 
     prepared = rows.withColumn(text, F.col(text).cast("binary"))
-    return prepared.mapInArrow(run, f"{kinds}, likelihood array<double>, letters long, said string")
+    return in_batches(prepared).mapInArrow(run, f"{kinds}, likelihood array<double>, letters long, said string")
 
 
 def _shares(counts: DataFrame, by: list[str], names: list[str]) -> DataFrame:

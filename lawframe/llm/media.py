@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lawframe.llm.common import in_batches
+
 UNIT = 192
 PAD = b"\x20"
 RATE = 48_000
@@ -194,7 +196,7 @@ def to_media(docs: DataFrame, streams: int = STREAMS, packet: int = PACKET) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, type=pa.int64()), pa.array(media, type=pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_batches(rows).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -234,4 +236,4 @@ def from_media(files: DataFrame) -> DataFrame:
             made = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return in_batches(files.select("doc_id", "n_bytes", "media")).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, small, text_key
+from lawframe.llm.common import checkpointed, chunks, in_batches, small, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.int64())], names=["doc_id", "key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+    return in_batches(rows).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -167,7 +167,7 @@ def _links(rows: DataFrame) -> DataFrame:
             yield out(list(_forest(np.concatenate(held), CHAINS[key[0]])))
 
     dealt = rows.select("kind", "bits", "fp").repartition("kind", "bits").sortWithinPartitions("kind", "bits", "fp")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return in_batches(dealt).mapInArrow(run, "a long, b long").distinct()
 
 
 def links(distinct: DataFrame, limit: int = KEY_LIMIT) -> DataFrame:

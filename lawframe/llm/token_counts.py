@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawframe.llm.common import CHUNK_BYTES
+from lawframe.llm.common import CHUNK_BYTES, in_batches
 
 KEYS = ("source", "lang", "version")
 #: Split pattern that the public byte-level vocabularies were made with (fixed value).
@@ -86,7 +86,7 @@ def counted(docs: DataFrame, tokenizers: list[Tokenizer]) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long")
+    return in_batches(rows).mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long")
 
 
 def inserts(counts: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, crc_of
+from lawframe.llm.common import checkpointed, chunks, crc_of, in_batches
 
 WINDOW = 40
 GRAM = 5
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | float:
             found = [figures(t, *pair) for _, part in chunks(batch, "text") for t in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    measured = sample.select(F.col("toxic").cast("double").alias("toxic"), "text").repartition(12).mapInArrow(run, "toxic double, x array<double>").collect()
+    measured = in_batches(sample.select(F.col("toxic").cast("double").alias("toxic"), "text").repartition(12)).mapInArrow(run, "toxic double, x array<double>").collect()
     measured.sort(key=lambda r: (r["toxic"], r["x"]))
     model.mean, model.scale, model.weights = fit_logistic(np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured]))
     return model
@@ -215,5 +215,5 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
                 p = model.probability(np.array(found)) if found else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], names=["doc_id", "held_out", "score"])
 
-        scored = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, held_out boolean, score double")
+        scored = in_batches(rows.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
