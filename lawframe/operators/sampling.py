@@ -152,7 +152,6 @@ def _shape(seed: str, draw: Column, side: str, ops: Column) -> Column:
     (the one after its first lowest partial sum), and each tree has as many.
     """
     places = F.transform(F.sequence(F.lit(0), ops * 2), lambda p: F.struct(_hash(seed, side, draw, p).alias("h"), F.when(p < ops, "O").otherwise("L").alias("t")))
-    mixed = F.transform(F.array_sort(places), lambda x: x["t"])
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("low"), F.lit(0).alias("at"), F.lit(0).alias("i"))
 
     def step(s: Column, t: Column) -> Column:
@@ -162,8 +161,11 @@ def _shape(seed: str, draw: Column, side: str, ops: Column) -> Column:
             total.alias("sum"), F.when(lower, total).otherwise(s["low"]).alias("low"), F.when(lower, s["i"] + 1).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i")
         )
 
-    cut = F.aggregate(mixed, start, step, lambda s: s["at"])
-    return F.concat(F.slice(mixed, cut + 1, F.size(mixed) - cut), F.slice(mixed, F.lit(1), cut))
+    def rotated(mixed: Column) -> Column:
+        cut = F.aggregate(mixed, start, step, lambda s: s["at"])
+        return A.let(cut, lambda c: F.concat(F.slice(mixed, c + 1, F.size(mixed) - c), F.slice(mixed, F.lit(1), c)))
+
+    return A.let(F.transform(F.array_sort(places), lambda x: x["t"]), rotated)
 
 
 def _term(polish: Column) -> Column:
@@ -190,9 +192,7 @@ def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, least: int
     cut = (_number(_hash(seed, "cut", F.col("bin"), F.col("draw"))) % (F.col("bin") + 1)).cast("int")
     split = each.withColumn("cut", cut).withColumn("few", F.least("cut", F.col("bin") - F.col("cut")))
     key = F.concat_ws("|", F.col("bin").cast("string"), F.col("draw").cast("string"))
-    shaped = split.select(
-        "bin", "draw", _shape(seed, key, "l", F.col("few")).alias("lhs"), _shape(seed, key, "r", F.col("bin") - F.col("few")).alias("rhs")
-    )
+    shapes = F.struct(_shape(seed, key, "l", F.col("few")).alias("lhs"), _shape(seed, key, "r", F.col("bin") - F.col("few")).alias("rhs"))
     names = F.array(*[F.lit(x) for x in "xyzwuv"])
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"))
 
@@ -203,12 +203,15 @@ def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, least: int
             F.when(t == "L", F.greatest(s["used"], choice + 1)).otherwise(s["used"]).alias("used"),
         )
 
-    filled = shaped.withColumn("all", F.aggregate(F.concat("lhs", "rhs"), start, leaf, lambda s: s["out"]))
-    n = F.size("lhs")
-    sides = filled.select("bin", "draw", _term(F.slice("all", F.lit(1), n)).alias("left"), _term(F.slice("all", n + 1, F.size("all") - n)).alias("right"))
-    text = F.concat("left", F.lit(" = "), "right")
-    laws = sides.where("left <> right").select("bin", "draw", A.parse_canonical(text).alias("tokens"))
-    keyed = laws.select("bin", "draw", A.law_key(F.col("tokens")).alias("law_key"), A.serialized(F.col("tokens")).alias("line"))
+    def sides(s: Column) -> Column:
+        n = F.size(s["lhs"])
+        filled = F.aggregate(F.concat(s["lhs"], s["rhs"]), start, leaf, lambda x: x["out"])
+        return A.let(filled, lambda t: F.struct(_term(F.slice(t, F.lit(1), n)).alias("left"), _term(F.slice(t, n + 1, F.size(t) - n)).alias("right")))
+
+    # exploding an array of one keeps Spark from repeating the expression wherever its result is used
+    made = split.select("bin", "draw", F.explode(F.array(A.let(shapes, sides))).alias("s")).where("s.left <> s.right")
+    tokens = A.parse_canonical(F.concat("s.left", F.lit(" = "), "s.right"))
+    keyed = made.select("bin", "draw", F.explode(F.array(tokens)).alias("t")).select("bin", "draw", A.law_key(F.col("t")).alias("law_key"), A.serialized(F.col("t")).alias("line"))
     found = keyed.groupBy("bin", "law_key").agg(F.min_by("line", "draw").alias("line"), F.min("draw").alias("draw"))
     if least > 1:
         got = {r["bin"]: r["n"] for r in found.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per bin
