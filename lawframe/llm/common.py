@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawframe.session import shared_folder
+
 #: Text bytes that one numpy step handles at most; a longer text is a step of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -18,17 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return frame.select(*cols) if cols else frame
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or tempfile.mkdtemp(prefix="lawframe-")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder, which outlive any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
