@@ -3,20 +3,30 @@
 States are word histories: the empty one, one word, two words. A state's arcs
 carry smoothed log-probabilities of the words seen after it; a word without an
 arc takes the failure arc, which costs the state's backoff weight and leads to
-the history without its first word. Reading a text from left to right carries
-the state from token to token and adds up the weights passed.
+the history without its first word.
 
-Every word of the training texts has an arc from the empty state: its count is
-summed over the whole corpus and joined to the scored words by shuffle, however
-large the vocabulary grows. Longer histories are kept where their share of all
-training tokens reaches `least_share` (words: `core_share`); by counting, there
-are at most 1 / least_share arcs and 1 / core_share core words, a proven bound
-for what is broadcast. Shares, unlike fixed counts, prune alike at every size.
+Every word of the training texts has an arc from the empty state, and every pair
+and triple of words that occurs at least `LEAST_COUNT` times has one from its
+history, whatever the size of the corpus. With absolute discounting and
+interpolation, for a history h of count c(h) whose kept arcs have counts c(hw),
 
-Smoothing is by absolute discounting. From the empty state, a word with count c
-has (c - D) / N, and the mass D * V / N left over is the probability of an unknown
-word, one more type. Arcs of longer histories interpolate with the shorter
-history; backoff weights are what makes each state's probabilities sum to one.
+    r(h) = c(h) - sum of (c(hw) - D),   failure weight = r(h) / c(h),
+    p(w | h) = (c(hw) - D) / c(h) + r(h) / c(h) * p(w | shorter h),
+
+so that a token's log-probability is a sum over the word, the pair and the triple
+that end in it: the word's own log-probability and each history's failure weight,
+and per arc log10(1 + (c(hw) - D) / (r(h) * p(w | shorter h))). A text's score is
+then the sum of one weight per word, pair and triple in it. The weights are a
+table made on the executors and joined to each text's distinct n-grams by
+shuffle, both packed in blocks by ranges of keys, more ranges for more tokens. Weights of the most common n-grams (by share, so of bounded number) are
+broadcast beside it, which keeps hot keys out of the shuffle and changes no score.
+Bit tables of fixed size leave out n-grams that can't be kept; where they fill up,
+more rows are shuffled, with the same result.
+
+N-grams are told apart by 64-bit hashes.
+
+From the empty state, a word with count c has (c - D) / N, and the mass D * V / N
+left over is the probability of an unknown word, one more type.
 
 Defined results: a null or empty text is one end token; end counts as a token in
 training and scoring; without training rows every probability is that of one
@@ -26,28 +36,37 @@ get the same result. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, crc_of, in_batches, text_key
+from lawframe.llm.common import chunks, crc_of, in_batches
+from lawframe.session import shared_folder
 
 #: Not a word, as it holds a space.
 END = b" "
 DISCOUNT = 0.75
-CORE_SHARE = 4e-6
-LEAST_SHARE = 2e-6
+#: Pairs and triples seen this often have arcs.
+LEAST_COUNT = 2
+#: Least shares of all tokens for words in arcs and for arcs: none.
+CORE_SHARE = 0.0
+LEAST_SHARE = 0.0
+#: Shares of all tokens from which weights are broadcast, of at most 1 / share words, pairs and triples.
+HOT_WORD_SHARE = 4e-6
+HOT_SHARE = 2e-6
 HELD_OUT = (7, 2)
-#: Pairs that are summed up in memory at a time.
-STEP_NGRAMS = 2_000_000
+#: N-grams that are summed up in memory at a time.
+STEP_NGRAMS = 1_000_000
+#: Bits of a bit table over keys, as a power of two; it is made in blocks of 2 ** 16 bits.
+FILTER_BITS = 28
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Core words have numbers 1 to 2 ** 20 - 1 (1 / CORE_SHARE is less); 0 is any other word.
-_BITS = 20
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -78,198 +97,287 @@ def word_counts(train: DataFrame) -> DataFrame:
     return in_batches(train.select("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Automaton:
-    """Core words, and the arcs and failure weights of one- and two-word states as sorted arrays."""
-
-    def __init__(self, core: list[tuple[str, int]], total: int, types: int):
-        self.number = {w.encode(): i + 1 for i, (w, _) in enumerate(core)}
-        self.counts = np.array([0] + [c for _, c in core], dtype=np.int64)
-        self.total, self.types = total, types
-        unknown = DISCOUNT * types / total if total else 1.0
-        self.word = np.log10(np.maximum(self.counts - DISCOUNT, 1e-9) / max(total, 1))
-        self.word[0] = 0.0  # added later, from the joined count
-        self.unknown = float(np.log10(unknown))
-        empty = np.zeros(0, dtype=np.int64)
-        self.arcs = {2: (empty, np.zeros(0)), 3: (empty, np.zeros(0))}
-        self.fail = {2: np.zeros(len(self.counts)), 3: (empty, np.zeros(0))}
-
-    def find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys have an arc, and its weight."""
-        return _lookup(*self.arcs[order], keys)
-
-    def add_order(self, order: int, keys: np.ndarray, counts: np.ndarray, history_counts: np.ndarray) -> None:
-        """Arcs from their counts; keys are sorted, and each history's kept arcs get D less, interpolated with what is left."""
-        history = keys >> _BITS
-        last = keys & ((1 << _BITS) - 1)
-        states, group, kept = np.unique(history, return_inverse=True, return_counts=True)
-        left = 1.0 - (np.bincount(group, weights=counts) - DISCOUNT * kept) / history_counts[np.searchsorted(history, states)]
-        lower = 10.0 ** self._lower(order, keys, last)
-        p = (counts - DISCOUNT) / history_counts + left[group] * lower
-        spent, below = np.bincount(group, weights=p), np.bincount(group, weights=lower)
-        weight = np.log10(np.maximum(1.0 - spent, 1e-9) / np.maximum(1.0 - below, 1e-9))
-        self.arcs[order] = (keys, np.log10(p))
-        if order == 2:
-            self.fail[2] = np.zeros(len(self.counts))
-            self.fail[2][states] = weight
-        else:
-            self.fail[order] = (states, weight)
-
-    def _lower(self, order: int, keys: np.ndarray, last: np.ndarray) -> np.ndarray:
-        if order == 2:
-            return self.word[last]
-        short = keys & ((1 << 2 * _BITS) - 1)
-        has, weight = self.find(2, short)
-        return np.where(has, weight, self.fail[2][short >> _BITS] + self.word[last])
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-
-    def weights(self, numbers: np.ndarray) -> np.ndarray:
-        """What each token of one text adds, where words outside the core lack their own log-probability.
-
-        The state before a token is the longest kept history; it follows from the
-        two words before, so that all steps of the walk are taken at once.
-        """
-        before = np.concatenate([[0], numbers[:-1]])
-        before2 = np.concatenate([[0, 0], numbers[:-2]])[: len(numbers)]
-        pair = before << _BITS | numbers
-        has2, weight2 = self.find(2, pair)
-        has2 &= (before > 0) & (numbers > 0)
-        total = np.where(has2, weight2, self.fail[2][before] + self.word[numbers])
-        history = before2 << _BITS | before
-        known, weight = _lookup(*self.fail[3], history)
-        known &= (before2 > 0) & (before > 0)
-        has3, weight3 = self.find(3, before2 << 2 * _BITS | pair)
-        has3 &= known & (numbers > 0)
-        return np.where(has3, weight3, np.where(known, weight, 0.0) + total)
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, values[at]
-
-
-def ngram_counts(train: DataFrame, model: Automaton, order: int, least: float) -> DataFrame:
-    """(key, c): core pairs or triples with a count of at least `least`, summed per step before the shuffle.
-
-    No triple is more common than the pairs in it, so triples count only where both
-    pairs have arcs.
-    """
-    shared = train.sparkSession.sparkContext.broadcast(model)
+class _Ids(dict):
+    """Words' hashes, as Spark's xxhash64 of the word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word, seed=42)
+        self[word] = value
+        return value
+
+
+def word_ids(words: list[bytes], ids: _Ids) -> np.ndarray:
+    return np.fromiter(map(ids.__getitem__, words), dtype=np.uint64, count=len(words))
 
-    def summed(found: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "c"])
 
-    def keys_of(own: Automaton, text: bytes) -> np.ndarray:
-        w = own.numbers(tokens(text))
-        pair = w[:-1] << _BITS | w[1:]
-        core = (w[:-1] > 0) & (w[1:] > 0)
-        if order == 2:
-            return pair[core]
-        known = own.find(2, pair)[0] & core
-        return (pair[:-1] << _BITS | w[2:])[known[:-1] & known[1:]]
+_END_ID = np.uint64(xxhash.xxh64_intdigest(END, seed=42))
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a history's key and a word's."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """2 ** FILTER_BITS bits, set at the slots of (key); blocks are made on the executors."""
+    low = FILTER_BITS - 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found, size = shared.value, [], 0
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = np.sort((batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+            for part in np.split(slot, np.flatnonzero(np.diff(slot >> 16)) + 1):
+                if len(part):
+                    held.setdefault(int(part[0] >> 16), np.zeros(1 << 16, dtype=bool))[part & 0xFFFF] = True
+        for block, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["block", "bits"])
+
+    table = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    made = keys.select("key").repartition(64, F.shiftrightunsigned("key", 64 - low)).mapInArrow(run, "block long, bits binary")
+    for row in made.toLocalIterator():  # 2 ** (FILTER_BITS - 16) rows at most
+        table[row["block"] << 13 : row["block"] + 1 << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return table
+
+
+def ngrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and triples in a run of texts, each of which closes with the end token: where their last words are, and their keys."""
+    inner = ids != _END_ID
+    pairs = mixed(ids[:-1], ids[1:])
+    at2 = np.flatnonzero(inner[:-1]) + 1
+    at3 = np.flatnonzero(inner[:-2] & inner[1:-1]) + 2 if len(ids) > 2 else np.zeros(0, dtype=np.int64)
+    return at2, pairs[at2 - 1], at3, mixed(pairs[at3 - 2], ids[at3])
+
+
+def ngram_counts(train: DataFrame, order: int, shorter: np.ndarray) -> DataFrame:
+    """(key, hist, low, c): pairs or triples with their history and the n-gram without their first word, summed per step before the shuffle.
+
+    No n-gram is more common than the shorter ones in it, so those count only whose shorter ones are in the bit table.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(shorter)
+
+    def summed(found: list[tuple]) -> pa.RecordBatch:
+        key, hist, low = (np.concatenate(c) for c in zip(*found, strict=True))
+        key, first, counts = np.unique(key, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (key, hist[first], low[first], counts.astype(np.int64))], names=["key", "hist", "low", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, found, size = shared.value, _Ids(), [], 0
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                for text in texts:
-                    found.append(keys_of(own, text))
-                    size += len(found[-1])
+                ids = word_ids([w for text in texts for w in tokens(text)], held)
+                at2, pair, at3, triple = ngrams(ids)
+                if order == 2:
+                    key, hist, low = pair, ids[at2 - 1], ids[at2]
+                else:
+                    all_pairs = np.zeros(len(ids), dtype=np.uint64)
+                    all_pairs[at2] = pair
+                    key, hist, low = triple, all_pairs[at3 - 1], all_pairs[at3]
+                may = _may_hold(bits, hist) & _may_hold(bits, low)
+                found.append((key[may], hist[may], low[may]))
+                size += int(may.sum())
                 if size > STEP_NGRAMS:
                     yield summed(found)
                     found, size = [], 0
         if size:
             yield summed(found)
 
-    counted = in_batches(train.select("text")).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    return counted.where((F.col("c") >= F.lit(least)) & (F.col("c") >= 2))
-
-
-def train_automaton(train: DataFrame, counts: DataFrame, total: int, types: int, core_share: float = CORE_SHARE, least_share: float = LEAST_SHARE) -> Automaton:
-    """The automaton of the training rows (text), given the counts of all words."""
-    if not core_share * ((1 << _BITS) - 1) > 1:
-        raise ValueError("core_share allows more core words than have numbers")
-    # at most 1 / core_share words, then at most 2 / least_share arcs
-    core = counts.where((F.col("c") >= F.lit(core_share * total)) & (F.col("c") >= 2)).orderBy(F.desc("c"), "word").collect()
-    model = Automaton([(r["word"], r["c"]) for r in core], total, types)
-    for order in (2, 3):
-        if not core or (order == 3 and not len(model.arcs[2][0])):
-            break
-        rows = ngram_counts(train, model, order, least_share * total).toArrow()
-        key, c = (rows.column(i).to_numpy() for i in range(2))
-        by = np.argsort(key, kind="stable")
-        key, c = key[by], c[by].astype(float)
-        if order == 2:
-            pairs, pair_counts = key, c
-            history = model.counts[key >> _BITS].astype(float)
-        else:
-            history = _lookup(pairs, pair_counts, key >> _BITS)[1]
-        if len(key):
-            model.add_order(order, key, c, history)
-    return model
-
-
-def partial_scores(docs: DataFrame, model: Automaton) -> DataFrame:
-    """Per row one line with what the automaton knows by itself, and one for each distinct word outside its core."""
-    schema = "doc_id long, key long, held_out boolean, is_row int, n_tokens long, n_core long, logs double, score double, word string, tf long"
-    names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counted = in_batches(train.select("text")).mapInArrow(run, "key long, hist long, low long, c long")
+    return counted.groupBy("key").agg(F.first("hist").alias("hist"), F.first("low").alias("low"), F.sum("c").alias("c")).where(F.col("c") >= LEAST_COUNT)
+
+
+def _rest(arcs: DataFrame) -> DataFrame:
+    """(of, taken): per history, what its arcs take of its count."""
+    return arcs.groupBy(F.col("hist").alias("of")).agg(F.sum(F.col("c") - DISCOUNT).alias("taken"))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Like a checkpoint, as compressed Parquet: the tables of n-grams are large."""
+    path = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def weights(train: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(key, weight, c, is_word): every word, and every pair and triple with an arc."""
+    words = counts.select(F.xxhash64("word").alias("key"), "c")
+    pairs = _stored(ngram_counts(train, 2, bit_table(words.where(F.col("c") >= LEAST_COUNT))))
+    triples = _stored(ngram_counts(train, 3, bit_table(pairs)))
+    d, n = F.lit(DISCOUNT), F.lit(float(max(total, 1)))
+    rest = F.col("c") - F.coalesce("taken", F.lit(0.0))
+    word = words.join(_rest(pairs), F.col("key") == F.col("of"), "left").select("key", "c", rest.alias("rest"), ((F.col("c") - d) / n).alias("p"))
+    word = _stored(word)
+    fail = F.log10(F.col("rest") / F.col("c"))
+    history = word.select(F.col("key").alias("hist"), F.col("c").alias("c_hist"), F.col("rest").alias("r"))
+    lower = word.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
+    p = ((F.col("c") - d) + F.col("r") * F.col("p_low")) / F.col("c_hist")
+    delta = F.log10((F.col("c") - d) / (F.col("r") * F.col("p_low")) + 1)
+    pair = pairs.join(history, "hist").join(lower, "low").select("key", "c", p.alias("p"), delta.alias("delta"))
+    pair = _stored(pair.join(_rest(triples), F.col("key") == F.col("of"), "left").select("key", "c", "p", "delta", rest.alias("rest")))
+    history = pair.select(F.col("key").alias("hist"), F.col("rest").alias("r"))
+    lower = pair.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
+    triple = triples.join(history, "hist").join(lower, "low").select("key", delta.alias("weight"), "c", F.lit(False).alias("is_word"))
+    found = word.select("key", (F.log10("p") + fail).alias("weight"), "c", F.lit(True).alias("is_word"))
+    return _stored(found.unionByName(pair.select("key", (F.col("delta") + fail).alias("weight"), "c", F.lit(False).alias("is_word"))).unionByName(triple))
+
+
+class Hot:
+    """Weights of the most common n-grams as sorted arrays, and the bit table of all n-grams with an arc."""
+
+    def __init__(self, table: DataFrame, total: int):
+        least = F.when(F.col("is_word"), HOT_WORD_SHARE * total).otherwise(HOT_SHARE * total)
+        # at most 1 / HOT_WORD_SHARE + 2 / HOT_SHARE rows
+        rows = table.where(F.col("c") >= least).select("key", "weight", F.when(F.col("is_word"), F.col("c")).otherwise(0).alias("c")).toArrow()
+        key, weight, c = (rows.column(i).to_numpy() for i in range(3))
+        by = np.argsort(key.view(np.uint64), kind="stable")
+        self.keys, self.weights, self.logs = key.view(np.uint64)[by], weight[by], np.log10(c[by] + 1.0)
+        self.bits = bit_table(table.where("not is_word"))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys are, and whether they are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
+#: What goes to one step of the join: the n-grams of about this many tokens, and the weights they may meet.
+BUCKET_TOKENS = 1_000_000
+
+
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def packed_weights(table: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, weights, counts): the table in blocks; counts are those of words, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        logs = np.log10(own.counts + 1.0)
         for batch in batches:
-            ids, keys, held = (batch.column(i).to_pylist() for i in range(3))
+            key, weight, c = (batch.column(i).to_numpy() for i in range(3))
+            bucket = buckets_of(key.view(np.uint64), buckets)
+            out = []
+            for at in np.split(by := np.argsort(bucket, kind="stable"), np.flatnonzero(np.diff(bucket[by])) + 1):
+                if len(at):
+                    out.append((int(bucket[at[0]]), key[at].tobytes(), weight[at].tobytes(), c[at].tobytes()))
+            if out:
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "keys", "weights", "counts"])
+
+    rows = table.select("key", "weight", F.when(F.col("is_word"), F.col("c")).otherwise(0).alias("c"))
+    return rows.mapInArrow(run, "bucket long, keys binary, weights binary, counts binary")
+
+
+_PACKED = [("bucket", pa.int64()), ("ref", pa.int64()), ("n_words", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary()), ("tfs", pa.binary())]
+_HEAD = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())]
+
+
+def partial_scores(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
+    """Per row one line with what its hot n-grams add; the other n-grams that may have a weight in blocks by bucket, words first.
+
+    Rows are numbered; `ref` is a row's number, or that of a block's first text.
+    """
+    schema = "bucket long, ref long, n_words long, keys binary, texts binary, tfs binary, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def batch_of(packed: list, heads: list, n: int) -> pa.RecordBatch:
+        columns = [pa.array(c, type=t) if c is not None else pa.nulls(n, t) for c, (_, t) in zip([*packed, *heads], [*_PACKED, *_HEAD], strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in [*_PACKED, *_HEAD]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = shared.value, _Ids()
+        for batch in batches:
+            ids, refs, held_out = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
             for first, texts in chunks(batch, "text"):
-                out: list[tuple] = []
-                for i, text in enumerate(texts, first):
-                    words = tokens(text)
-                    numbers = own.numbers(words)
-                    core = numbers > 0
-                    # a space keeps the row's own word apart from all others, and spread
-                    out.append((ids[i], keys[i], held[i], 1, len(words), int(core.sum()), float(logs[numbers].sum()), float(own.weights(numbers).sum()), f" {keys[i]}", 0))
-                    for word, tf in Counter([words[j] for j in np.flatnonzero(~core).tolist()]).items():
-                        out.append((ids[i], keys[i], held[i], 0, 0, 0, 0.0, 0.0, word.decode("utf-8", "replace"), tf))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "held_out", F.col("text").cast("binary").alias("text"))
+                n = len(texts)
+                split = [tokens(text) for text in texts]
+                sizes = np.array([len(words) for words in split])
+                of = np.repeat(np.arange(n), sizes)
+                word = word_ids([w for words in split for w in words], held)
+                at2, pair, at3, triple = ngrams(word)
+                may2, may3 = _may_hold(own.bits, pair), _may_hold(own.bits, triple)
+                key = np.concatenate([word, pair[may2], triple[may3]])
+                text = np.concatenate([of, of[at2[may2]], of[at3[may3]]])
+                longer = np.arange(len(key)) >= len(word)
+                at, has = own.find(key)
+                sums = [np.bincount(text[has], weights=w[at[has]], minlength=n) for w in (own.logs, own.weights)]
+                n_hot = np.bincount(text[has & ~longer], minlength=n)
+                ref = refs[first : first + n]
+                yield batch_of([ref % buckets, ref, None, None, None, None], [ids.slice(first, n), held_out.slice(first, n), sizes, n_hot, *sums], n)
+                key, text, longer = key[~has], text[~has], longer[~has]
+                if not len(key):
+                    continue
+                bucket = buckets_of(key, buckets)
+                by = np.lexsort((text, key, longer, bucket))
+                key, text, longer, bucket = key[by], text[by], longer[by], bucket[by]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])]))
+                tf = np.diff(np.append(new, len(key))).astype(np.int32)
+                key, text, longer, bucket = key[new], text[new].astype(np.int32), longer[new], bucket[new]
+                blocks = np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1)
+                found = [[int(bucket[b[0]]), int(ref[0]), int((~longer[b]).sum()), key[b].tobytes(), text[b].tobytes(), tf[b].tobytes()] for b in blocks]
+                yield batch_of(list(zip(*found, strict=True)), [None] * 6, len(found))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("ref"), "held_out", F.col("text").cast("binary").alias("text"))
     return in_batches(rows).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, core_share: float = CORE_SHARE, least_share: float = LEAST_SHARE) -> DataFrame:
+def _meet(unknown: float):
+    """What one bucket's n-grams add to their texts, and the lines of texts as they are."""
+
+    def run(parts: pa.Table, table: pa.Table) -> pa.Table:
+        names = ["ref", *[name for name, _ in _HEAD]]
+        kinds = [pa.int64(), *[t for _, t in _HEAD]]
+        read = lambda column, kind: np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+        known, weight, count = read(table["keys"], np.uint64), read(table["weights"], np.float64), read(table["counts"], np.int64)
+        by = np.argsort(known)
+        known, weight, count = known[by], weight[by], count[by]
+        is_head = parts["keys"].is_null()
+        out = [parts.filter(is_head).select(names)]
+        for row in parts.filter(parts["keys"].is_valid()).select([name for name, _ in _PACKED]).to_batches():
+            for ref, n_words, keys, texts, tfs in zip(*(row.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                key, text, tf = np.frombuffer(keys, dtype=np.uint64), np.frombuffer(texts, dtype=np.int32), np.frombuffer(tfs, dtype=np.int32)
+                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                has = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
+                is_word = np.arange(len(key)) < n_words
+                w, c = np.where(is_word, unknown, 0.0), np.zeros(len(key), dtype=np.int64)
+                w[has], c[has] = weight[at[has]], count[at[has]]
+                met, text = np.unique(text, return_inverse=True)
+                n_known, logs, score = (np.bincount(text, weights=x * tf, minlength=len(met)) for x in (has & is_word, np.log10(c + 1.0), w))
+                columns = [ref + met.astype(np.int64), None, None, np.zeros(len(met), dtype=np.int64), n_known.astype(np.int64), logs, score]
+                out.append(pa.table([pa.nulls(len(met), t) if x is None else pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True)], names=names))
+        return pa.concat_tables([t.cast(pa.schema(list(zip(names, kinds, strict=True)))) for t in out])
+
+    return run
+
+
+def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of (doc_id, text)."""
     modulus, held = HELD_OUT
     rows = docs.select("doc_id", (crc_of(F.col("doc_id")) % modulus == held).alias("held_out"), "text")
     train = rows.where("not held_out").select(F.col("text").cast("binary").alias("text"))
-    counts = checkpointed(word_counts(train))
+    counts = _stored(word_counts(train))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("types")).first()
     total, types = size["total"], size["types"]
-    model = train_automaton(train, counts, total, types, core_share, least_share)
-    tf, c = F.col("tf"), F.coalesce(F.col("c"), F.lit(0))
-    own = F.when(c > 0, F.log10((c - DISCOUNT) / F.lit(float(max(total, 1))))).otherwise(F.lit(model.unknown))
-    joined = partial_scores(rows, model).join(counts, "word", "left")
-    by_row = joined.groupBy("doc_id", "key").agg(
-        F.first("held_out").alias("held_out"),
-        F.sum("is_row").cast("int").alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_core") + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + tf * F.log10(c + 1.0)).alias("logs"),
-        F.sum(F.when(F.col("is_row") == 1, F.col("score")).otherwise(tf * own)).alias("score"),
-    )
-    share = F.col("copies")
-    n = (F.col("n_tokens") / share).cast("long")
-    return by_row.withColumn("copy", F.explode(F.sequence(F.lit(1), share))).select(
+    table = weights(train, counts, total)
+    buckets = 16 + total // BUCKET_TOKENS
+    unknown = float(np.log10(DISCOUNT * types / total)) if total else 0.0
+    parts = partial_scores(rows, Hot(table, total), buckets).groupBy("bucket").cogroup(packed_weights(table, buckets).groupBy("bucket"))
+    met = parts.applyInArrow(_meet(unknown), "ref long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    by_row = met.groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
+    return by_row.select(
         "doc_id",
         "held_out",
-        n.alias("n_tokens"),
-        (F.col("n_known") / share).cast("long").alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") / share - n * F.lit(float(np.log10(total + types + 1)))).alias("base_score"),
-        (F.col("score") / share).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1)))).alias("base_score"),
+        "score",
     )

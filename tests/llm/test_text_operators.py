@@ -236,3 +236,15 @@ def test_priors_decide_where_texts_do_not(spark):
     df = spark.createDataFrame(rows, "host string, suffix string, declared string, likelihood array<double>, letters long, said string")
     found = langid.fuse(df, model).where("said is null").first()
     assert found["lang"] == "fr" and found["posterior"] > 0.75
+
+
+def test_lm_keeps_rare_pairs_of_a_large_corpus(spark):
+    """A pair and a triple seen three times have arcs, though they are a tiny share of all tokens."""
+    rows = [(i, " ".join(f"w{(i * 31 + j * 17) % 500}" for j in range(4000))) for i in range(500)]
+    rare = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    held = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows += [(i, "zeta omega kappa") for i in rare] + [(held, "zeta omega kappa")]
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[held]
+    # alone, each of three words of three occurrences has some 1.3e-6, and the end 2.5e-4
+    assert got["train_tokens"] * 2e-6 > 3
+    assert got["score"] > -9
