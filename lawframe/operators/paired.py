@@ -82,10 +82,13 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def average_ranks(rows: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
-    """Ranks from 1 within a group of few rows, ties averaged."""
-    rank = F.rank().over(Window.partitionBy(*group).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return rows.withColumn(name, (rank + (ties - 1) / 2.0).cast("double"))
+    """Ranks from 1 within a group, ties averaged; rows are counted per value first, and only distinct values of a group meet."""
+    columns = [*group, value]
+    ties = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("ties of value"))
+    upto = F.sum("ties of value").over(Window.partitionBy(*group).orderBy(value))
+    ranks = ties.select(*[F.col(c).alias(f"of {c}") for c in columns], (upto - (F.col("ties of value") - 1) / 2.0).cast("double").alias(name))
+    same = [F.col(c).eqNullSafe(F.col(f"of {c}")) for c in columns]
+    return rows.join(ranks, same).drop(*[f"of {c}" for c in columns])
 
 
 def model_correlations(by_model: DataFrame, group: list[str]) -> DataFrame:

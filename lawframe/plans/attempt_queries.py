@@ -127,6 +127,17 @@ def group_runs_by_pairset(spark, sf_dir):
     return summary.group_runs_by_pairset(attempts(spark, sf_dir).where("ops_total < 3"), RUN)
 
 
+@query(
+    "group_runs_by_pairset_all",
+    attempts_sql(
+        """, s AS (SELECT form || '/' || regime AS run, count(DISTINCT pair_id) AS pairs, string_agg(DISTINCT pair_id, ',' ORDER BY pair_id) AS ids FROM attempts GROUP BY 1)
+SELECT run, pairs, min(run) OVER (PARTITION BY ids) AS experiment FROM s"""
+    ),
+)
+def group_runs_by_pairset_all(spark, sf_dir):
+    return summary.group_runs_by_pairset(attempts(spark, sf_dir), RUN)
+
+
 @query("usage_rollup", attempts_sql("SELECT form, regime, model, round(sum(coalesce(latency_s, 0)), 4) AS cost, sum(coalesce(reasoning_tokens, 0))::BIGINT AS tokens, count(*) FILTER (bucket = 'api-error') AS error_rows, count(*) AS n_rows FROM attempts GROUP BY ALL"))
 def usage_rollup(spark, sf_dir):
     return summary.usage_rollup(attempts(spark, sf_dir), [*RUN, "model"], "latency_s").withColumn("cost", F.round("cost", 4))
@@ -365,7 +376,19 @@ def spearman(spark, sf_dir):
     attempts_sql(f", g AS (SELECT regime, pair_id, count(*) FILTER ({_OK}) AS good FROM attempts WHERE ops_total = 3 GROUP BY ALL) SELECT regime, pair_id, (rank() OVER (PARTITION BY regime ORDER BY good) + (count(*) OVER (PARTITION BY regime, good) - 1) / 2.0)::DOUBLE AS place FROM g"),
 )
 def average_ranks(spark, sf_dir):
-    good = attempts(spark, sf_dir).where("ops_total = 3").groupBy("regime", "pair_id").agg(F.count_if(T.is_correct(F.col("bucket"))).alias("good"))
+    return _average_ranks(attempts(spark, sf_dir).where("ops_total = 3"))
+
+
+@query(
+    "average_ranks_all",
+    attempts_sql(f", g AS (SELECT regime, pair_id, count(*) FILTER ({_OK}) AS good FROM attempts GROUP BY ALL) SELECT regime, pair_id, (rank() OVER (PARTITION BY regime ORDER BY good) + (count(*) OVER (PARTITION BY regime, good) - 1) / 2.0)::DOUBLE AS place FROM g"),
+)
+def average_ranks_all(spark, sf_dir):
+    return _average_ranks(attempts(spark, sf_dir))
+
+
+def _average_ranks(rows: DataFrame) -> DataFrame:
+    good = rows.groupBy("regime", "pair_id").agg(F.count_if(T.is_correct(F.col("bucket"))).alias("good"))
     return paired.average_ranks(good, "good", ["regime"], "place").drop("good")
 
 
@@ -494,7 +517,15 @@ def baseline_subset(spark, sf_dir):
 
 @query("sample_model_order", attempts_sql("SELECT pair_id, model, row_number() OVER (ORDER BY first_seq, model)::INT AS place FROM (SELECT pair_id, model, min(min(seq)) OVER (PARTITION BY pair_id) AS first_seq FROM attempts WHERE ops_total = 2 GROUP BY pair_id, model)"))
 def sample_model_order(spark, sf_dir):
-    rows = attempts(spark, sf_dir).where("ops_total = 2")
+    return _model_order(spark, attempts(spark, sf_dir).where("ops_total = 2"))
+
+
+@query("sample_model_order_all", attempts_sql("SELECT pair_id, model, row_number() OVER (ORDER BY first_seq, model)::INT AS place FROM (SELECT pair_id, model, min(min(seq)) OVER (PARTITION BY pair_id) AS first_seq FROM attempts GROUP BY pair_id, model)"))
+def sample_model_order_all(spark, sf_dir):
+    return _model_order(spark, attempts(spark, sf_dir))
+
+
+def _model_order(spark: SparkSession, rows: DataFrame) -> DataFrame:
     first = rows.groupBy("pair_id").agg(F.min("seq").alias("first_seq"))
     cells = rows.select("pair_id", "model").distinct().join(first, "pair_id")
     # sorted by ranges; zipWithIndex numbers the sorted rows without gathering them

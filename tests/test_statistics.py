@@ -59,3 +59,30 @@ def test_ranks_and_correlation(spark):
 def test_sign_test(spark, gained, lost, p):
     df = spark.createDataFrame([(gained, lost)], "g long, l long")
     assert df.select(paired.sign_test_p(F.col("g"), F.col("l"))).first()[0] == pytest.approx(p, abs=6e-4)
+
+
+def test_average_ranks_of_a_large_group(spark):
+    """Rows meet by value before they are ordered, nulls first and by themselves."""
+    rows = [(None if i % 7 == 0 else "g", None if i % 11 == 0 else float(i % 5)) for i in range(300)]
+    got = paired.average_ranks(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], "r").collect()
+    assert len(got) == len(rows)
+    order = lambda v: (v is not None, v or 0.0)
+    for r in got:
+        peers = [order(v) for g, v in rows if g == r["g"]]
+        below, ties = sum(p < order(r["v"]) for p in peers), peers.count(order(r["v"]))
+        assert r["r"] == below + (ties + 1) / 2
+    plan = paired.average_ranks(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate")  # the window is over counts
+
+
+def test_attempt_queries_cover_all_attempts(spark):
+    from helpers import SF
+
+    from lawframe.plans import registry
+    from lawframe.plans.views import attempts
+
+    rows = attempts(spark, SF)
+    assert registry.QUERIES["average_ranks_all"](spark, SF).count() == rows.select("regime", "pair_id").distinct().count()
+    assert registry.QUERIES["sample_model_order_all"](spark, SF).count() == rows.select("pair_id", "model").distinct().count()
+    wide = registry.QUERIES["group_runs_by_pairset_all"](spark, SF).agg(F.sum("pairs")).first()[0]
+    assert wide == rows.select("form", "regime", "pair_id").distinct().count()
