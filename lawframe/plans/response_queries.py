@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawframe.functions import algebra as A
@@ -149,7 +150,18 @@ def wrap_prompt(spark, sf_dir):
     """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'g ' || role END AS grammar, CASE WHEN turn % 3 < 2 THEN trim(text) END AS encoding FROM conversations WHERE text = trim(text) AND length(text) > 0 AND text NOT LIKE '%GRAMMAR%' AND text NOT LIKE '%ENCODING%'""",
 )
 def split_sections(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text = trim(text) AND length(text) > 0 AND text NOT LIKE '%GRAMMAR%' AND text NOT LIKE '%ENCODING%'")
+    return _sections(spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text = trim(text) AND length(text) > 0 AND text NOT LIKE '%GRAMMAR%' AND text NOT LIKE '%ENCODING%'"))
+
+
+@query(
+    "split_sections_all",
+    r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'g ' || role END AS grammar, CASE WHEN turn % 3 < 2 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') END AS encoding FROM conversations""",
+)
+def split_sections_all(spark, sf_dir):
+    return _sections(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _sections(rows: DataFrame) -> DataFrame:
     body = F.concat(F.lit("ENCODING\nnot this\n## GRAMMAR:\ng "), F.col("role"), F.lit("\n**ENCODING**\n"), F.col("text"))
     text = F.when(F.col("turn") % 3 == 0, body).when(F.col("turn") % 3 == 1, F.concat(F.lit("ENCODING:\n"), F.col("text"))).otherwise(F.col("text"))
     return rows.withColumn("s", L.split_sections(text)).select(*ID, "s.grammar", "s.encoding")
@@ -206,8 +218,16 @@ def short_names(spark, sf_dir):
 
 @query("fmt_pct", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.0f', 100 * l_linenumber / 4.0) END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 4.0) END AS number FROM lineitem WHERE l_linenumber % 4 <> 2 AND l_linenumber <> 5")
 def fmt_pct(spark, sf_dir):
+    return _formatted(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber % 4 <> 2 AND l_linenumber <> 5"))
+
+
+@query("fmt_pct_all", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE (25 * l_linenumber)::VARCHAR END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 4.0) END AS number FROM lineitem")
+def fmt_pct_all(spark, sf_dir):
+    return _formatted(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def _formatted(rows: DataFrame) -> DataFrame:
     from lawframe.operators.summary import fmt_number, fmt_pct as pct
 
     value = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") / 4.0).cast("double")
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber % 4 <> 2 AND l_linenumber <> 5")
     return rows.select("l_orderkey", "l_linenumber", pct(value, 0).alias("pct"), fmt_number(value).alias("number"))

@@ -59,3 +59,34 @@ def test_split_sections(spark):
     df = spark.createDataFrame([(text,), ("no markers",), ("ENCODING:\nx",), (None,)], "t string")
     got = [tuple(r["s"]) for r in df.select(L.split_sections(F.col("t")).alias("s")).collect()]
     assert got == [("real g", "the rest"), (None, None), (None, "x"), (None, None)]
+
+
+def test_all_rows_are_formatted_and_split(spark):
+    from helpers import SF
+
+    from lawframe.plans import registry
+
+    lines = registry.QUERIES["fmt_pct_all"](spark, SF)
+    assert lines.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    found = {r["l_linenumber"]: (r["pct"], r["number"]) for r in lines.select("l_linenumber", "pct", "number").distinct().collect()}
+    assert {n: found[n] for n in (2, 5, 6)} == {2: ("50", "0.500"), 5: ("125", "1.250"), 6: ("150", "1.500")}
+    assert registry.QUERIES["split_sections_all"](spark, SF).count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
+
+
+def test_split_sections_of_texts_that_hold_markers_or_are_blank(spark):
+    import re
+
+    marker = r"(?m)^[ \t]*(?:#{{1,6}}[ \t]*)?\**[ \t]*{0}\b\**[ \t]*:?\**[ \t]*$"
+    inner = ["", "  ", " untrimmed \n", "GRAMMAR\nx", "a\nENCODING\nb", "not a GRAMMAR line", "**ENCODING:**\n"]
+    texts = [f"## GRAMMAR:\ng\n**ENCODING**\n{t}" for t in inner] + [f"ENCODING:\n{t}" for t in inner] + inner
+
+    def want(text):
+        ends = list(re.finditer(marker.format("ENCODING"), text))
+        if not ends:
+            return None, None
+        before = text[: ends[-1].start()]
+        starts = list(re.finditer(marker.format("GRAMMAR"), before))
+        return (before[starts[-1].end() :].strip() if starts else None), text[ends[-1].end() :].strip()
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [tuple(r["s"]) for r in rows.select("i", L.split_sections(F.col("t")).alias("s")).orderBy("i").collect()] == [want(t) for t in texts]
