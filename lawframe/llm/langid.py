@@ -14,9 +14,10 @@ The aggregations are counts by (host, suffix, declared, text language): partly
 summed before the shuffle, so a host with a third of all rows is a few rows per
 task, and the same counts rolled up serve all three priors.
 
-The text model is fitted on at most `train_rows` labelled rows per language, those
-of least hash among twice as many drawn by hash; texts of no other row go to the
-driver. All counts cover all rows.
+Every label that has a text is a language. The text model is fitted on at most
+`train_rows` distinct texts per language, those of least hash among twice as many
+drawn by hash. All counts cover all rows. The model is a dense array, half a megabyte
+per language.
 
 Defined results: a null or empty text has no text evidence; a row without a
 declared language, suffix or host has no such evidence; a null label is not
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 from lawframe.llm.common import checkpointed, chunks, in_batches, small, text_key
 
 TRAIN_ROWS = 1_000
-LEAST_SHARE = 0.005
 SLOTS = 1 << 16
 TEMPER = 0.2
 #: Prior counts with which a host leans on its suffix, a suffix on all rows, and declarations on uniform ones.
@@ -75,29 +75,45 @@ class TextModel:
         return total / len(at), letters
 
 
-def train_text(labelled: DataFrame, train_rows: int = TRAIN_ROWS, least_share: float = LEAST_SHARE) -> TextModel:
-    """A model of (text, lang) rows; the driver gets `train_rows` texts per language at most.
-
-    Languages are the labels with at least `least_share` of all labelled rows, so at most 1 / least_share.
-    """
+def training_texts(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], DataFrame]:
+    """Every label of a text, and at most `train_rows` distinct texts (lang, key, text) of each."""
     found = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", text_key(F.col("text")).alias("key"), "text")
-    by_lang = labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = checkpointed(by_lang)
-    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sizes = {r["lang"]: r["n"] for r in by_lang.where(F.col("n") >= least_share * total).collect()}
+    # near enough, as twice the share is drawn
+    sizes = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     names = sorted(sizes)
     draw = F.xxhash64("key", F.lit("lang"))
     # twice the share that is needed goes on, so that a language with most rows is few before it meets in one task
-    share = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(1.0, 2 * train_rows / sizes[n]))) for n in names], F.lit(0.0))
+    share = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(1.0, 2 * train_rows / max(sizes[n], 1)))) for n in names], F.lit(0.0))
     few = found.where(F.pmod(draw, F.lit(1 << 40)).cast("double") / float(1 << 40) < share).select("lang", "key").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "key"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= train_rows).drop("rank")
-    # at most train_rows / least_share rows of a name and a number
-    texts = found.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    # train_rows rows per language of a name and a number
+    return names, found.join(small(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+
+
+def train_text(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
+    """A model of (text, lang) rows, every label of which is a language; trigrams are counted on the executors."""
+    names, texts = training_texts(labelled, train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            sums: dict[str, np.ndarray] = {}
+            for first, part in chunks(batch, "text"):
+                for lang, raw in zip(langs[first : first + len(part)], part, strict=True):
+                    sums[lang] = sums.get(lang, 0) + np.bincount(slots(raw)[0], minlength=SLOTS)
+            for lang, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), type=pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "slot", "n"])
+
+    rows = texts.select("lang", F.col("text").cast("binary").alias("text"))
+    found = in_batches(rows).mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     counts = np.full((SLOTS, len(names)), 0.05)
     place = {name: i for i, name in enumerate(names)}
-    for row in texts.toLocalIterator():
-        counts[:, place[row["lang"]]] += np.bincount(slots(row["text"].encode())[0], minlength=SLOTS)
+    table = found.toArrow()  # SLOTS rows per language at most
+    if len(table):
+        at = np.array([place[lang] for lang in table["lang"].to_pylist()])
+        counts[table["slot"].to_numpy(), at] += table["n"].to_numpy()
     return TextModel(names, np.log(counts / counts.sum(axis=0)))
 
 

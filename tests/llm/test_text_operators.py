@@ -248,3 +248,16 @@ def test_lm_keeps_rare_pairs_of_a_large_corpus(spark):
     # alone, each of three words of three occurrences has some 1.3e-6, and the end 2.5e-4
     assert got["train_tokens"] * 2e-6 > 3
     assert got["score"] > -9
+
+
+def test_rare_languages_and_copies_train(spark):
+    """A label of a tiny share is a language; copies leave no language short of texts."""
+    english = [(f"the cat number {i} sat on the mat and looked at the dog", "en") for i in range(1500)]
+    rare = [(f"ulkona sataa vettä ja tuuli puhaltaa kovaa, sanoi mies {'xyz'[i]}", "fi") for i in range(3)]
+    copies = [("le chat est sur la table", "fr")] * 3000 + [(f"le chien de la rue {chr(97 + i // 26)}{chr(97 + i % 26)} mange une pomme", "fr") for i in range(60)]
+    labelled = spark.createDataFrame(english + rare + copies, "text string, lang string")
+    names, texts = langid.training_texts(labelled, 20)
+    assert names == ["en", "fi", "fr"]
+    assert {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()} == {"en": 20, "fi": 3, "fr": 20}
+    pages = spark.createDataFrame([(1, None, "<p>tuuli puhaltaa ja sataa vettä</p>"), (2, None, "<p>the dog sat on the mat</p>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text_lang"] for r in langid.identify_pages(pages, labelled, 20).collect()} == {1: "fi", 2: "en"}
