@@ -45,6 +45,8 @@ TEMPER = 0.2
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 5.0
 LEAST_POSTERIOR = 0.5
 LEAST_LETTERS = 1
+#: Log-likelihood per trigram in no language, where all slots are as likely; a text that fits no language better is in none.
+OTHER = -float(np.log(SLOTS)) - 1e-6
 
 _FOLDED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -208,7 +210,8 @@ def fuse(rows: DataFrame, model: TextModel, temper: float = TEMPER, least_poster
         "lang_found", F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("logs", F.col("best")).cast("int"))
     )
     kept = [F.col(f"`{c}`") for c in rows.columns]
-    accepted = (F.col("letters") >= LEAST_LETTERS) & (F.col("posterior") >= least_posterior)
+    fits = F.array_max("likelihood") >= OTHER
+    accepted = (F.col("letters") >= LEAST_LETTERS) & (F.col("posterior") >= least_posterior) & fits
     return scored.select(*kept, F.col("lang_found").alias("lang"), "posterior", accepted.alias("accepted"))
 
 
@@ -226,7 +229,8 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, train_rows: int = TRAI
 def accepted_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of `docs` whose language can be told; their source serves as host, and their lang as declared.
 
-    Only rows without a letter, or whose posterior stays under one half, go.
+    Rows go that have no letter, whose posterior stays under one half, or whose text
+    alone is less likely in every language than evenly drawn trigrams.
     """
     model = train_text(docs.select("text", "lang"), train_rows)
     rows = docs.select(

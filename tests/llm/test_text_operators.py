@@ -261,3 +261,17 @@ def test_rare_languages_and_copies_train(spark):
     assert {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()} == {"en": 20, "fi": 3, "fr": 20}
     pages = spark.createDataFrame([(1, None, "<p>tuuli puhaltaa ja sataa vettä</p>"), (2, None, "<p>the dog sat on the mat</p>")], "page_id long, url string, html string")
     assert {r["page_id"]: r["text_lang"] for r in langid.identify_pages(pages, labelled, 20).collect()} == {1: "fi", 2: "en"}
+
+
+def test_texts_in_no_language_go(spark):
+    """Another script and gibberish are rejected, whatever they declare; other texts stay."""
+    rng = random.Random(3)
+    words = "the cat dog house river stone under over walked looked small green morning evening water bread".split()
+    rows = [(i, " ".join(rng.choices(words, k=30)), "en", "a") for i in range(400)]
+    planted = [(1000, "сегодня утром мы пошли на рынок и купили хлеб", "en", "a"), (1001, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(30)), "en", "a")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.train_text(labelled)
+    docs = [(d, t, "en", "com", "h") for d, t, *_ in rows + planted]
+    measured = langid.text_evidence(spark.createDataFrame(docs, "doc_id long, text string, declared string, suffix string, host string"), model)
+    gone = {r["doc_id"] for r in langid.fuse(measured, model).where("not accepted").collect()}
+    assert gone == {1000, 1001}
