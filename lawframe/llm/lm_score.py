@@ -2,51 +2,62 @@
 
 States are word histories: the empty one, one word, two words. A state's arcs
 carry smoothed log-probabilities of the words seen after it; a word without an
-arc takes the failure arc, which costs the state's backoff weight and leads to
+arc takes the failure arc, which costs the state's failure weight and leads to
 the history without its first word.
 
 Every word of the training texts has an arc from the empty state, and every pair
 and triple of words that occurs at least `LEAST_COUNT` times has one from its
 history, whatever the size of the corpus. With absolute discounting and
-interpolation, for a history h of count c(h) whose kept arcs have counts c(hw),
+interpolation, for a history h of count c(h) whose arcs have counts c(hw),
 
-    r(h) = c(h) - sum of (c(hw) - D),   failure weight = r(h) / c(h),
-    p(w | h) = (c(hw) - D) / c(h) + r(h) / c(h) * p(w | shorter h),
+    failure weight of h = (c(h) - sum of (c(hw) - D)) / c(h),
+    p(w | h) = (c(hw) - D) / c(h) + failure weight * p(w | h without its first word),
 
-so that a token's log-probability is a sum over the word, the pair and the triple
-that end in it: the word's own log-probability and each history's failure weight,
-and per arc log10(1 + (c(hw) - D) / (r(h) * p(w | shorter h))). A text's score is
-then the sum of one weight per word, pair and triple in it. The weights are a
-table made on the executors and joined to each text's distinct n-grams by
-shuffle, both packed in blocks by ranges of keys, more ranges for more tokens. Weights of the most common n-grams (by share, so of bounded number) are
-broadcast beside it, which keeps hot keys out of the shuffle and changes no score.
-Bit tables of fixed size leave out n-grams that can't be kept; where they fill up,
-more rows are shuffled, with the same result.
+without the first summand where there is no arc. From the empty state, a word of
+count c has (c - D) / N, and the mass D * V / N left over is the probability of
+an unknown word, one more type.
 
-N-grams are told apart by 64-bit hashes.
+How the automaton meets the texts. Texts are read once, as chunks of word
+numbers in a bucketed table, so that later steps meet a chunk without shuffling it.
+Counts are gathered in two exchanges of packed blocks, a block per chunk and
+bucket of keys:
 
-From the empty state, a word with count c has (c - D) / N, and the mass D * V / N
-left over is the probability of an unknown word, one more type.
+1. Slots of words, pairs and triples (a hash of a few bits more than there are
+   tokens) are counted; a chunk learns which of its pairs and triples may occur
+   often enough. An n-gram that does is never left out; most others are.
+2. Those n-grams are counted exactly, each with its history, and a chunk learns
+   the counts of its own histories and arcs: its part of the automaton.
+
+A text is then walked from left to right. A history that a large share of all
+tokens has is divided over several buckets by the words after it, and its sums
+come together again in the chunk. Nothing is broadcast or sent to the driver but
+three totals.
+
+N-grams are told apart by hashes, 64 bits for a history and 48 for the word after it.
 
 Defined results: a null or empty text is one end token; end counts as a token in
 training and scoring; without training rows every probability is that of one
 unknown type, 1, and the base score is 0 by the given formula; repeated rows each
-get the same result. Other columns are ignored.
+get the same result, those without an id train like any other (crc32 taken as 0).
+A text longer than a chunk is divided, with two words of context before each
+further part, and gets one sum. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import chunks, crc_of, in_batches
+from lawframe.llm.common import crc_of, in_batches
 from lawframe.session import shared_folder
 
 #: Not a word, as it holds a space.
@@ -54,65 +65,59 @@ END = b" "
 DISCOUNT = 0.75
 #: Pairs and triples seen this often have arcs.
 LEAST_COUNT = 2
-#: Least shares of all tokens for words in arcs and for arcs: none.
-CORE_SHARE = 0.0
-LEAST_SHARE = 0.0
-#: Shares of all tokens from which weights are broadcast, of at most 1 / share words, pairs and triples.
-HOT_WORD_SHARE = 4e-6
-HOT_SHARE = 2e-6
 HELD_OUT = (7, 2)
-#: N-grams that are summed up in memory at a time.
-STEP_NGRAMS = 1_000_000
-#: Bits of a bit table over keys, as a power of two; it is made in blocks of 2 ** 16 bits.
-FILTER_BITS = 28
+#: Tokens in a chunk, and in a bucket of keys where there are more buckets than twice the shuffle partitions.
+CHUNK_TOKENS = 2_000_000
+BUCKET_TOKENS = 4_000_000
+#: Bytes of a long text that are cut into words at a time.
+PART_BYTES = 8 << 20
+#: A history is divided from this many tokens on, and from a quarter of a bucket.
+LEAST_HOT = 1_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def tokens(raw: bytes) -> list[bytes]:
-    words = raw.translate(_LOWER).split()
-    words.append(END)
-    return words
-
-
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, c) over whole texts, summed per step and per task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held]), pa.array(list(held.values()), type=pa.int64())], names=["word", "c"])
-
-        for batch in batches:
-            for _, texts in chunks(batch, "text"):
-                for text in texts:
-                    held.update(tokens(text))
-                if len(held) > 300_000:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+def token_parts(raw: bytes) -> Iterator[list[bytes]]:
+    """The tokens of a text, in parts of bounded size; the last closes with the end token."""
+    raw = raw.translate(_LOWER)
+    start = 0
+    while len(raw) - start > PART_BYTES and (cut := _BLANK.search(raw, start + PART_BYTES)):
+        yield raw[start : cut.start()].split()
+        start = cut.end()
+    yield [*raw[start:].split(), END]
 
-    return in_batches(train.select("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers as one compressed block: per column the bytes of all values by place, without leading zeros."""
+    parts = []
+    for column in columns:
+        values = np.ascontiguousarray(column, dtype=np.uint64)
+        width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+        parts += [len(values).to_bytes(8, "little"), bytes([width]), values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-class _Ids(dict):
-    """Words' hashes, as Spark's xxhash64 of the word."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word, seed=42)
-        self[word] = value
-        return value
+def unpack(block: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    found, at = [], 0
+    while at < len(raw):
+        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
+        values = np.zeros((n, 8), dtype=np.uint8)
+        at += 9
+        values[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
+        at += n * width
+        found.append(values.view(np.uint64).reshape(n))
+    return found
 
 
-def word_ids(words: list[bytes], ids: _Ids) -> np.ndarray:
-    return np.fromiter(map(ids.__getitem__, words), dtype=np.uint64, count=len(words))
+def steps(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted column as its first value and the steps after it."""
+    return ordered[:1], np.diff(ordered)
 
 
-_END_ID = np.uint64(xxhash.xxh64_intdigest(END, seed=42))
+def whole(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,256 +127,331 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Equal ranges of keys of so many bits."""
+    top = keys >> np.uint64(bits - 32) if bits >= 32 else keys << np.uint64(32 - bits)
+    return (top * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def bit_table(keys: DataFrame) -> np.ndarray:
-    """2 ** FILTER_BITS bits, set at the slots of (key); blocks are made on the executors."""
-    low = FILTER_BITS - 16
+class _Numbers(dict):
+    """Words numbered as they come."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = np.sort((batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
-            for part in np.split(slot, np.flatnonzero(np.diff(slot >> 16)) + 1):
-                if len(part):
-                    held.setdefault(int(part[0] >> 16), np.zeros(1 << 16, dtype=bool))[part & 0xFFFF] = True
-        for block, bits in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["block", "bits"])
-
-    table = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    made = keys.select("key").repartition(64, F.shiftrightunsigned("key", 64 - low)).mapInArrow(run, "block long, bits binary")
-    for row in made.toLocalIterator():  # 2 ** (FILTER_BITS - 16) rows at most
-        table[row["block"] << 13 : row["block"] + 1 << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return table
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
-def ngrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs and triples in a run of texts, each of which closes with the end token: where their last words are, and their keys."""
-    inner = ids != _END_ID
-    pairs = mixed(ids[:-1], ids[1:])
-    at2 = np.flatnonzero(inner[:-1]) + 1
-    at3 = np.flatnonzero(inner[:-2] & inner[1:-1]) + 2 if len(ids) > 2 else np.zeros(0, dtype=np.int64)
-    return at2, pairs[at2 - 1], at3, mixed(pairs[at3 - 2], ids[at3])
+_CHUNK = "chunk long, refs array<long>, ids array<long>, held array<boolean>, sizes array<long>, before array<long>, n_train long, n_all long, block binary"
 
 
-def ngram_counts(train: DataFrame, order: int, shorter: np.ndarray) -> DataFrame:
-    """(key, hist, low, c): pairs or triples with their history and the n-gram without their first word, summed per step before the shuffle.
+def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Rows of (ref, doc_id, held_out, text) as chunks of pieces: ref, id, held out, tokens, words of context before them; words' hashes and the words by number."""
 
-    No n-gram is more common than the shorter ones in it, so those count only whose shorter ones are in the bit table.
-    """
-    shared = train.sparkSession.sparkContext.broadcast(shorter)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        numbers, tokens, pieces = _Numbers(), [], []
+
+        def done() -> pa.RecordBatch:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in numbers), dtype=np.uint64, count=len(numbers))
+            by = np.argsort(hashes)
+            place = np.empty(len(by), dtype=np.int64)
+            place[by] = np.arange(len(by))
+            block = pack(*steps(hashes[by]), place[np.array(tokens, dtype=np.int64)])
+            columns = [list(c) for c in zip(*pieces, strict=True)]
+            row = [number, *columns, sum(p[3] for p in pieces if not p[2]), sum(columns[3]), block]
+            return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, row, strict=True))], schema=_SCHEMA)
 
-    def summed(found: list[tuple]) -> pa.RecordBatch:
-        key, hist, low = (np.concatenate(c) for c in zip(*found, strict=True))
-        key, first, counts = np.unique(key, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (key, hist[first], low[first], counts.astype(np.int64))], names=["key", "hist", "low", "c"])
+        for batch in batches:
+            for ref, doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before: list[bytes] = []
+                for words in token_parts(text or b""):
+                    for at in range(0, len(words), chunk_tokens):
+                        part = words[at : at + chunk_tokens]
+                        if tokens and len(tokens) + len(part) > chunk_tokens:
+                            yield done()
+                            number, numbers, tokens, pieces = number + 1, _Numbers(), [], []
+                        tokens.extend(map(numbers.__getitem__, before))
+                        tokens.extend(map(numbers.__getitem__, part))
+                        pieces.append((ref, doc_id, held, len(part), len(before)))
+                        before = [*before, *part][-2:]
+        if pieces:
+            yield done()
+
+    return in_batches(docs).mapInArrow(run, _CHUNK)
+
+
+_SCHEMA = pa.schema(
+    [("chunk", pa.int64()), *[(name, pa.list_(kind)) for name, kind in (("refs", pa.int64()), ("ids", pa.int64()), ("held", pa.bool_()), ("sizes", pa.int64()), ("before", pa.int64()))]]
+    + [("n_train", pa.int64()), ("n_all", pa.int64()), ("block", pa.binary())]
+)
+_END_KEY = np.uint64(xxhash.xxh64_intdigest(END, seed=42))
+
+
+class Grams:
+    """A chunk's distinct words, pairs and triples with their counts in training texts, and which of them end at each token."""
+
+    def __init__(self, row: dict):
+        first, rest, place = unpack(row["block"])
+        self.words, self.word = whole(first, rest), place.astype(np.int64)
+        before, held = np.array(row["before"], dtype=np.int64), np.array(row["held"], dtype=bool)
+        sizes = np.array(row["sizes"], dtype=np.int64) + before
+        at = np.arange(len(self.word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.piece = np.repeat(np.arange(len(sizes)), sizes)
+        self.scored = at >= np.repeat(before, sizes)
+        counted = self.scored & ~np.repeat(held, sizes)
+        key = self.words[self.word]
+        at2, at3 = np.flatnonzero(at >= 1), np.flatnonzero((at >= 2) & self.scored)
+        pair_key = np.zeros(len(key), dtype=np.uint64)
+        pair_key[at2] = mixed(key[at2 - 1], key[at2])
+        self.pairs, where, self.pair = self._distinct(pair_key[at2], at2)
+        self.pair_first, self.pair_last = self.word[where - 1], self.word[where]
+        self.triples, where, self.triple = self._distinct(mixed(pair_key[at3 - 1], key[at3]), at3)
+        self.triple_pair, self.triple_last = self.pair[where - 1], self.word[where]
+        columns = ((self.word, self.words), (self.pair, self.pairs), (self.triple, self.triples))
+        self.n_train = [np.bincount(of[counted & (of >= 0)], minlength=len(kinds)) for of, kinds in columns]
+        self.n_all = [np.bincount(of[of >= 0], minlength=len(kinds)) for of, kinds in columns]
+
+    def _distinct(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, a place of each, and per token its key's number or -1."""
+        distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        of = np.full(len(self.word), -1, dtype=np.int64)
+        of[at] = number
+        return distinct, at[first], of
+
+    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct slots, each n-gram's slot, and the slots' counts in training texts and in all."""
+        keys = np.concatenate([self.words, self.pairs, self.triples]) >> np.uint64(64 - bits)
+        slot, of = np.unique(keys, return_inverse=True)
+        counts = [np.bincount(of, weights=np.concatenate(n), minlength=len(slot)).astype(np.int64) for n in (self.n_train, self.n_all)]
+        return slot, of, *counts
+
+
+def _rows(table: pa.Table) -> list[dict]:
+    return table.to_pylist()
+
+
+_ASK = "bucket long, chunk long, block binary"
+_ASK_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("block", pa.binary())])
+_REPLY = "chunk long, bucket long, kind int, types long, block binary"
+_REPLY_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("types", pa.int64()), ("block", pa.binary())])
+
+
+def slot_asks(chunks: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """Each chunk's slots with their counts, a block per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, found, size = shared.value, _Ids(), [], 0
         for batch in batches:
-            for _, texts in chunks(batch, "text"):
-                ids = word_ids([w for text in texts for w in tokens(text)], held)
-                at2, pair, at3, triple = ngrams(ids)
-                if order == 2:
-                    key, hist, low = pair, ids[at2 - 1], ids[at2]
-                else:
-                    all_pairs = np.zeros(len(ids), dtype=np.uint64)
-                    all_pairs[at2] = pair
-                    key, hist, low = triple, all_pairs[at3 - 1], all_pairs[at3]
-                may = _may_hold(bits, hist) & _may_hold(bits, low)
-                found.append((key[may], hist[may], low[may]))
-                size += int(may.sum())
-                if size > STEP_NGRAMS:
-                    yield summed(found)
-                    found, size = [], 0
-        if size:
-            yield summed(found)
-
-    counted = in_batches(train.select("text")).mapInArrow(run, "key long, hist long, low long, c long")
-    return counted.groupBy("key").agg(F.first("hist").alias("hist"), F.first("low").alias("low"), F.sum("c").alias("c")).where(F.col("c") >= LEAST_COUNT)
-
-
-def _rest(arcs: DataFrame) -> DataFrame:
-    """(of, taken): per history, what its arcs take of its count."""
-    return arcs.groupBy(F.col("hist").alias("of")).agg(F.sum(F.col("c") - DISCOUNT).alias("taken"))
+            for row in batch.to_pylist():
+                slot, _, train, load = Grams(row).slots(bits)
+                edges = np.searchsorted(bucket_of(slot, bits, buckets), np.arange(buckets + 1))
+                blocks = [(b, row["chunk"], pack(*steps(slot[i:j]), train[i:j], load[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*blocks, strict=True), _ASK_SCHEMA.types, strict=True)], schema=_ASK_SCHEMA)
+
+    return chunks.mapInArrow(run, _ASK)
+
+
+def slot_replies(least: int, hot: int):
+    """To each chunk: which slots are as common as an arc has to be, and how common the hot ones are."""
+
+    def run(asks: pa.Table) -> pa.Table:
+        rows = _rows(asks)
+        found = [unpack(row["block"]) for row in rows]
+        slots = [whole(f[0], f[1]) for f in found]
+        distinct, of = np.unique(np.concatenate(slots), return_inverse=True)
+        train, load = (np.bincount(of, weights=np.concatenate([f[i] for f in found]), minlength=len(distinct)).astype(np.int64) for i in (2, 3))
+        out = []
+        for row, own in zip(rows, np.split(of, np.cumsum([len(s) for s in slots])[:-1]), strict=True):
+            common = np.flatnonzero(load[own] >= hot)
+            out.append((row["chunk"], row["bucket"], 0, 0, pack([len(own)], np.packbits(train[own] >= least), common, load[own][common])))
+        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), _REPLY_SCHEMA.types, strict=True)], schema=_REPLY_SCHEMA)
 
+    return run
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Like a checkpoint, as compressed Parquet: the tables of n-grams are large."""
-    path = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+class Asks:
+    """What a chunk asks in the second exchange, in order of buckets: lines of histories, and under them lines of arcs.
 
-def weights(train: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(key, weight, c, is_word): every word, and every pair and triple with an arc."""
-    words = counts.select(F.xxhash64("word").alias("key"), "c")
-    pairs = _stored(ngram_counts(train, 2, bit_table(words.where(F.col("c") >= LEAST_COUNT))))
-    triples = _stored(ngram_counts(train, 3, bit_table(pairs)))
-    d, n = F.lit(DISCOUNT), F.lit(float(max(total, 1)))
-    rest = F.col("c") - F.coalesce("taken", F.lit(0.0))
-    word = words.join(_rest(pairs), F.col("key") == F.col("of"), "left").select("key", "c", rest.alias("rest"), ((F.col("c") - d) / n).alias("p"))
-    word = _stored(word)
-    fail = F.log10(F.col("rest") / F.col("c"))
-    history = word.select(F.col("key").alias("hist"), F.col("c").alias("c_hist"), F.col("rest").alias("r"))
-    lower = word.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
-    p = ((F.col("c") - d) + F.col("r") * F.col("p_low")) / F.col("c_hist")
-    delta = F.log10((F.col("c") - d) / (F.col("r") * F.col("p_low")) + 1)
-    pair = pairs.join(history, "hist").join(lower, "low").select("key", "c", p.alias("p"), delta.alias("delta"))
-    pair = _stored(pair.join(_rest(triples), F.col("key") == F.col("of"), "left").select("key", "c", "p", "delta", rest.alias("rest")))
-    history = pair.select(F.col("key").alias("hist"), F.col("rest").alias("r"))
-    lower = pair.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
-    triple = triples.join(history, "hist").join(lower, "low").select("key", delta.alias("weight"), "c", F.lit(False).alias("is_word"))
-    found = word.select("key", (F.log10("p") + fail).alias("weight"), "c", F.lit(True).alias("is_word"))
-    return _stored(found.unionByName(pair.select("key", (F.col("delta") + fail).alias("weight"), "c", F.lit(False).alias("is_word"))).unionByName(triple))
-
-
-class Hot:
-    """Weights of the most common n-grams as sorted arrays, and the bit table of all n-grams with an arc."""
-
-    def __init__(self, table: DataFrame, total: int):
-        least = F.when(F.col("is_word"), HOT_WORD_SHARE * total).otherwise(HOT_SHARE * total)
-        # at most 1 / HOT_WORD_SHARE + 2 / HOT_SHARE rows
-        rows = table.where(F.col("c") >= least).select("key", "weight", F.when(F.col("is_word"), F.col("c")).otherwise(0).alias("c")).toArrow()
-        key, weight, c = (rows.column(i).to_numpy() for i in range(3))
-        by = np.argsort(key.view(np.uint64), kind="stable")
-        self.keys, self.weights, self.logs = key.view(np.uint64)[by], weight[by], np.log10(c[by] + 1.0)
-        self.bits = bit_table(table.where("not is_word"))
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where keys are, and whether they are there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
-
-
-#: What goes to one step of the join: the n-grams of about this many tokens, and the weights they may meet.
-BUCKET_TOKENS = 1_000_000
-
-
-def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def packed_weights(table: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, keys, weights, counts): the table in blocks; counts are those of words, else 0."""
+    The words come first among the histories, then the pairs that may have arcs.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, weight, c = (batch.column(i).to_numpy() for i in range(3))
-            bucket = buckets_of(key.view(np.uint64), buckets)
-            out = []
-            for at in np.split(by := np.argsort(bucket, kind="stable"), np.flatnonzero(np.diff(bucket[by])) + 1):
-                if len(at):
-                    out.append((int(bucket[at[0]]), key[at].tobytes(), weight[at].tobytes(), c[at].tobytes()))
-            if out:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "keys", "weights", "counts"])
+    def __init__(self, grams: Grams, replies: list[dict], bits: int, buckets: int, hot: int):
+        _, of, *_ = grams.slots(bits)
+        flags, loads = [], []
+        for row in replies:
+            n, bit, at, load = unpack(row["block"])
+            flags.append(np.unpackbits(bit.astype(np.uint8))[: int(n[0])].astype(bool))
+            own = np.zeros(int(n[0]), dtype=np.int64)
+            own[at.astype(np.int64)] = load
+            loads.append(own)
+        flag, load = np.concatenate(flags)[of], np.concatenate(loads)[of]
+        n1, n2 = len(grams.words), len(grams.pairs)
+        has2 = flag[n1 : n1 + n2]
+        self.pairs = np.flatnonzero(has2)
+        self.triples = np.flatnonzero(flag[n1 + n2 :] & has2[grams.triple_pair])
+        after = np.flatnonzero(has2 & (grams.words[grams.pair_last] != _END_KEY))
+        self.line_of_pair = np.full(n2, -1, dtype=np.int64)
+        self.line_of_pair[after] = n1 + np.arange(len(after))
+        history = np.concatenate([grams.words, grams.pairs[after]])
+        own = np.concatenate([grams.n_train[0], grams.n_train[1][after]])
+        shares = np.minimum(1 + np.concatenate([load[:n1], load[n1 : n1 + n2][after]]) // hot, buckets)
+        self.first = np.cumsum(shares) - shares
+        line = np.repeat(np.arange(len(history)), shares)
+        share = np.arange(len(line)) - self.first[line]
+        bucket = (bucket_of(history, 64, buckets)[line] + share) % buckets
+        by = np.lexsort((history[line], bucket))
+        self.rank = np.empty(len(by), dtype=np.int64)
+        self.rank[by] = np.arange(len(by))
+        of_history = np.concatenate([grams.pair_first[self.pairs], self.line_of_pair[grams.triple_pair[self.triples]]])
+        word = np.concatenate([grams.words[grams.pair_last[self.pairs]], grams.words[grams.triple_last[self.triples]]]) >> np.uint64(16)
+        n = np.concatenate([grams.n_train[1][self.pairs], grams.n_train[2][self.triples]])
+        under = self.rank[self.first[of_history] + (word % shares[of_history].astype(np.uint64)).astype(np.int64)]
+        by_arc = np.lexsort((word, under))
+        self.rank_arc = np.empty(len(by_arc), dtype=np.int64)
+        self.rank_arc[by_arc] = np.arange(len(by_arc))
+        self.histories = history[line][by], (line < n1)[by], np.where(share == 0, own[line], 0)[by], np.bincount(under, minlength=len(by))
+        self.arcs = word[by_arc], n[by_arc]
+        self.bucket, self.arc_bucket = bucket[by], bucket[by][under[by_arc]]
+
+    def blocks(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        lines, arcs = (np.searchsorted(b, np.arange(buckets + 1)) for b in (self.bucket, self.arc_bucket))
+        key, is_word, n, size = self.histories
+        for b, (i, j, k, m) in enumerate(zip(lines, lines[1:], arcs, arcs[1:])):
+            if j > i:
+                yield b, pack(*steps(key[i:j]), is_word[i:j], n[i:j], size[i:j], *(a[k:m] for a in self.arcs))
+
+    def read(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per history its count, the sum of its arcs' counts and the number of its arcs; per pair and per triple asked its count, 0 without an arc."""
+        found = [np.concatenate(c).astype(np.int64) for c in zip(*(unpack(row["block"]) for row in replies), strict=True)]
+        c, taken, arcs = (np.add.reduceat(column[self.rank], self.first) for column in found[:3])
+        arc = found[3][self.rank_arc]
+        return c, taken, arcs, arc[: len(self.pairs)], arc[len(self.pairs) :]
+
+
+def gram_asks(bits: int, buckets: int, hot: int):
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        [row] = _rows(chunk)
+        asks = Asks(Grams(row), sorted(_rows(replies), key=lambda r: r["bucket"]), bits, buckets, hot)
+        blocks = [(b, row["chunk"], block) for b, block in asks.blocks(buckets)]
+        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*blocks, strict=True), _ASK_SCHEMA.types, strict=True)], schema=_ASK_SCHEMA)
 
-    rows = table.select("key", "weight", F.when(F.col("is_word"), F.col("c")).otherwise(0).alias("c"))
-    return rows.mapInArrow(run, "bucket long, keys binary, weights binary, counts binary")
+    return run
 
 
-_PACKED = [("bucket", pa.int64()), ("ref", pa.int64()), ("n_words", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary()), ("tfs", pa.binary())]
-_HEAD = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())]
+def gram_replies(least: int):
+    """To each chunk: per history its count, the sum and the number of the arcs; per arc its count. A bucket's first row has the number of its words."""
+
+    def run(asks: pa.Table) -> pa.Table:
+        rows = _rows(asks)
+        found = [unpack(row["block"]) for row in rows]
+        lines = [whole(f[0], f[1]) for f in found]
+        history, of = np.unique(np.concatenate(lines), return_inverse=True)
+        is_word, n, size, word, n_arc = (np.concatenate([f[i] for f in found]).astype(np.uint64 if i == 5 else np.int64) for i in range(2, 7))
+        c = np.bincount(of, weights=n, minlength=len(history)).astype(np.int64)
+        under = np.repeat(of, size)
+        _, first, arc = np.unique(mixed(history[under], word), return_index=True, return_inverse=True)
+        count = np.bincount(arc, weights=n_arc, minlength=len(first)).astype(np.int64)
+        count[count < least] = 0
+        has = np.flatnonzero(count)
+        taken = np.bincount(under[first[has]], weights=count[has], minlength=len(history)).astype(np.int64)
+        arcs = np.bincount(under[first[has]], minlength=len(history))
+        words = np.zeros(len(history), dtype=bool)
+        words[of[is_word > 0]] = True
+        types, out = int((words & (c > 0)).sum()), []
+        ends, arc_ends = np.cumsum([len(x) for x in lines]), np.cumsum([len(f[5]) for f in found])
+        for i, (row, own, own_arcs) in enumerate(zip(rows, np.split(of, ends[:-1]), np.split(arc, arc_ends[:-1]), strict=True)):
+            out.append((row["chunk"], row["bucket"], 1, 0 if i else types, pack(c[own], taken[own], arcs[own], count[own_arcs])))
+        return pa.table([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), _REPLY_SCHEMA.types, strict=True)], schema=_REPLY_SCHEMA)
 
+    return run
 
-def partial_scores(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
-    """Per row one line with what its hot n-grams add; the other n-grams that may have a weight in blocks by bucket, words first.
 
-    Rows are numbered; `ref` is a row's number, or that of a block's first text.
-    """
-    schema = "bucket long, ref long, n_words long, keys binary, texts binary, tfs binary, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+class Automaton:
+    """A chunk's part: histories' failure weights and the arcs' own shares of probability."""
+
+    def __init__(self, grams: Grams, asks: Asks, replies: list[dict], total: int, types: int):
+        c, taken, arcs, pair, triple = asks.read(replies)
+        some = np.maximum(c, 1)
+        self.fail = np.where(c > 0, (c - taken + DISCOUNT * arcs) / some, 1.0)
+        n1 = len(grams.words)
+        self.count = c[:n1]
+        n = max(total, 1)
+        unknown = DISCOUNT * types / n if total else 1.0
+        self.start = np.where(self.count > 0, (self.count - DISCOUNT) / n, unknown)
+        self.pair_arc = np.zeros(len(grams.pairs))
+        has = pair > 0
+        self.pair_arc[asks.pairs[has]] = (pair[has] - DISCOUNT) / c[grams.pair_first[asks.pairs[has]]]
+        self.triple_arc = np.zeros(len(grams.triples))
+        has = triple > 0
+        self.triple_arc[asks.triples[has]] = (triple[has] - DISCOUNT) / c[asks.line_of_pair[grams.triple_pair[asks.triples[has]]]]
+        self.line_of_pair = asks.line_of_pair
+
+    def walk(self, grams: Grams) -> np.ndarray:
+        """Each token's log10 probability, for all texts of the chunk at once.
+
+        The state before a token is the pair before it, carried along the text; where the pair has no state, or at the start of a text, the word or the empty one.
+        """
+        p = self.start[grams.word]
+        two = np.flatnonzero(grams.pair >= 0)
+        p[two] = self.pair_arc[grams.pair[two]] + self.fail[grams.word[two - 1]] * p[two]
+        three = np.flatnonzero(grams.triple >= 0)
+        state = self.line_of_pair[grams.pair[three - 1]]
+        p[three] = self.triple_arc[grams.triple[three]] + np.where(state >= 0, self.fail[state], 1.0) * p[three]
+        return np.log10(p)
+
+
+_HEAD = [("ref", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())]
+
+
+def piece_scores(bits: int, buckets: int, hot: int, total: int, types: int):
+    """Per piece of a text: tokens, known ones, the sum of log10(c + 1), and the automaton's log10 probability."""
+
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        [row] = _rows(chunk)
+        by_bucket = sorted(_rows(replies), key=lambda r: r["bucket"])
+        grams = Grams(row)
+        asks = Asks(grams, [r for r in by_bucket if r["kind"] == 0], bits, buckets, hot)
+        automaton = Automaton(grams, asks, [r for r in by_bucket if r["kind"] == 1], total, types)
+        count, piece = automaton.count[grams.word], np.where(grams.scored, grams.piece, len(row["refs"]))
+        known, logs, score = (np.bincount(piece, weights=x, minlength=len(row["refs"]) + 1)[: len(row["refs"])] for x in (count > 0, np.log10(count + 1.0), automaton.walk(grams)))
+        columns = [row["refs"], row["ids"], row["held"], row["sizes"], known.astype(np.int64), logs, score]
+        return pa.table([pa.array(c, type=t) for c, (_, t) in zip(columns, _HEAD, strict=True)], names=[name for name, _ in _HEAD])
 
-    def batch_of(packed: list, heads: list, n: int) -> pa.RecordBatch:
-        columns = [pa.array(c, type=t) if c is not None else pa.nulls(n, t) for c, (_, t) in zip([*packed, *heads], [*_PACKED, *_HEAD], strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in [*_PACKED, *_HEAD]])
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = shared.value, _Ids()
-        for batch in batches:
-            ids, refs, held_out = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
-            for first, texts in chunks(batch, "text"):
-                n = len(texts)
-                split = [tokens(text) for text in texts]
-                sizes = np.array([len(words) for words in split])
-                of = np.repeat(np.arange(n), sizes)
-                word = word_ids([w for words in split for w in words], held)
-                at2, pair, at3, triple = ngrams(word)
-                may2, may3 = _may_hold(own.bits, pair), _may_hold(own.bits, triple)
-                key = np.concatenate([word, pair[may2], triple[may3]])
-                text = np.concatenate([of, of[at2[may2]], of[at3[may3]]])
-                longer = np.arange(len(key)) >= len(word)
-                at, has = own.find(key)
-                sums = [np.bincount(text[has], weights=w[at[has]], minlength=n) for w in (own.logs, own.weights)]
-                n_hot = np.bincount(text[has & ~longer], minlength=n)
-                ref = refs[first : first + n]
-                yield batch_of([ref % buckets, ref, None, None, None, None], [ids.slice(first, n), held_out.slice(first, n), sizes, n_hot, *sums], n)
-                key, text, longer = key[~has], text[~has], longer[~has]
-                if not len(key):
-                    continue
-                bucket = buckets_of(key, buckets)
-                by = np.lexsort((text, key, longer, bucket))
-                key, text, longer, bucket = key[by], text[by], longer[by], bucket[by]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])]))
-                tf = np.diff(np.append(new, len(key))).astype(np.int32)
-                key, text, longer, bucket = key[new], text[new].astype(np.int32), longer[new], bucket[new]
-                blocks = np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1)
-                found = [[int(bucket[b[0]]), int(ref[0]), int((~longer[b]).sum()), key[b].tobytes(), text[b].tobytes(), tf[b].tobytes()] for b in blocks]
-                yield batch_of(list(zip(*found, strict=True)), [None] * 6, len(found))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("ref"), "held_out", F.col("text").cast("binary").alias("text"))
-    return in_batches(rows).mapInArrow(run, schema)
-
-
-def _meet(unknown: float):
-    """What one bucket's n-grams add to their texts, and the lines of texts as they are."""
-
-    def run(parts: pa.Table, table: pa.Table) -> pa.Table:
-        names = ["ref", *[name for name, _ in _HEAD]]
-        kinds = [pa.int64(), *[t for _, t in _HEAD]]
-        read = lambda column, kind: np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
-        known, weight, count = read(table["keys"], np.uint64), read(table["weights"], np.float64), read(table["counts"], np.int64)
-        by = np.argsort(known)
-        known, weight, count = known[by], weight[by], count[by]
-        is_head = parts["keys"].is_null()
-        out = [parts.filter(is_head).select(names)]
-        for row in parts.filter(parts["keys"].is_valid()).select([name for name, _ in _PACKED]).to_batches():
-            for ref, n_words, keys, texts, tfs in zip(*(row.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                key, text, tf = np.frombuffer(keys, dtype=np.uint64), np.frombuffer(texts, dtype=np.int32), np.frombuffer(tfs, dtype=np.int32)
-                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                has = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
-                is_word = np.arange(len(key)) < n_words
-                w, c = np.where(is_word, unknown, 0.0), np.zeros(len(key), dtype=np.int64)
-                w[has], c[has] = weight[at[has]], count[at[has]]
-                met, text = np.unique(text, return_inverse=True)
-                n_known, logs, score = (np.bincount(text, weights=x * tf, minlength=len(met)) for x in (has & is_word, np.log10(c + 1.0), w))
-                columns = [ref + met.astype(np.int64), None, None, np.zeros(len(met), dtype=np.int64), n_known.astype(np.int64), logs, score]
-                out.append(pa.table([pa.nulls(len(met), t) if x is None else pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True)], names=names))
-        return pa.concat_tables([t.cast(pa.schema(list(zip(names, kinds, strict=True)))) for t in out])
 
-    return run
+def _stored(df: DataFrame) -> DataFrame:
+    """Like a checkpoint, as Parquet: blocks are compressed already."""
+    path = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LEAST_HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of (doc_id, text)."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     modulus, held = HELD_OUT
-    rows = docs.select("doc_id", (crc_of(F.col("doc_id")) % modulus == held).alias("held_out"), "text")
-    train = rows.where("not held_out").select(F.col("text").cast("binary").alias("text"))
-    counts = _stored(word_counts(train))
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("types")).first()
-    total, types = size["total"], size["types"]
-    table = weights(train, counts, total)
-    buckets = 16 + total // BUCKET_TOKENS
-    unknown = float(np.log10(DISCOUNT * types / total)) if total else 0.0
-    parts = partial_scores(rows, Hot(table, total), buckets).groupBy("bucket").cogroup(packed_weights(table, buckets).groupBy("bucket"))
-    met = parts.applyInArrow(_meet(unknown), "ref long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
-    by_row = met.groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), (crc_of(F.col("doc_id")) % modulus == held).alias("held_out"), F.col("text").cast("binary").alias("text")
+    )
+    name, path = f"lm_chunks_{uuid.uuid4().hex}", f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    chunked(rows, chunk_tokens).write.format("parquet").option("path", path).bucketBy(partitions, "chunk").saveAsTable(name)
+    try:
+        chunks = spark.table(name)
+        size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_all")]).first()
+        total, tokens = size["n_train"], size["n_all"]
+        buckets = max(2 * partitions, tokens // BUCKET_TOKENS)
+        hot = max(least_hot, tokens // (4 * buckets))
+        bits = max(16, (16 * tokens).bit_length())
+        first = _stored(slot_asks(chunks, bits, buckets).groupBy("bucket").applyInArrow(slot_replies(LEAST_COUNT, hot), _REPLY))
+        asks = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(gram_asks(bits, buckets, hot), _ASK)
+        second = _stored(asks.groupBy("bucket").applyInArrow(gram_replies(LEAST_COUNT), _REPLY))
+        types = second.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"]
+        schema = "ref long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+        pieces = chunks.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(piece_scores(bits, buckets, hot, total, types), schema)
+        by_row = _stored(pieces.groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")]))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return by_row.select(
         "doc_id",
         "held_out",

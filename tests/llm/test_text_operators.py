@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from helpers import SF, same_rows
@@ -127,14 +128,14 @@ def test_links_between_close_fingerprints(spark, limit):
             assert (comps[i] == comps[j]) == (found.get(a, a) == found.get(b, b))
 
 
-def _automaton(texts, core_share, least_share):
+def _automaton(texts):
     """The same model with dictionaries, walked state by state."""
     toks = [(t or "").encode().translate(LOWER).split() + [b" "] for t in texts]
     uni = collections.Counter(w for t in toks for w in t)
     total, types = sum(uni.values()), len(uni)
-    core = {w for w, c in uni.items() if c >= max(core_share * total, 2)}
+    core = {w for w, c in uni.items() if c >= 2}
     grams = {n: collections.Counter(tuple(t[i : i + n]) for t in toks for i in range(len(t) - n + 1) if all(w in core for w in t[i : i + n])) for n in (2, 3)}
-    grams = {n: {g: c for g, c in v.items() if c >= max(least_share * total, 2)} for n, v in grams.items()}
+    grams = {n: {g: c for g, c in v.items() if c >= 2} for n, v in grams.items()}
     grams[3] = {g: c for g, c in grams[3].items() if g[:2] in grams[2]}
     d, arcs, fail = lm_score.DISCOUNT, {}, {}
     for w, c in uni.items():
@@ -164,11 +165,12 @@ def _walk(arcs, fail, state, word, unknown=0.0):
         state = state[1:]
 
 
-def test_lm_score_is_the_automaton(spark, duck):
-    rows = duck.execute("SELECT doc_id, text FROM documents").fetchall()
+def _same_as_automaton(rows, scored):
+    """Held-out tokens' gain over the base, after comparing every row with the walk through dictionaries."""
     train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
-    arcs, fail, unknown, core, uni, total, types = _automaton(train, lm_score.CORE_SHARE, lm_score.LEAST_SHARE)
-    got = {r["doc_id"]: r for r in registry.op3_lm_score(spark, SF).collect()}
+    arcs, fail, unknown, core, uni, total, types = _automaton(train)
+    got = {r["doc_id"]: r for r in scored.collect()}
+    assert len(got) == len(rows)
     gain = 0.0
     for d, t in rows:
         words = (t or "").encode().translate(LOWER).split() + [b" "]
@@ -183,13 +185,40 @@ def test_lm_score_is_the_automaton(spark, duck):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(uni[w] > 0 for w in words), total)
         gain += (r["score"] - r["base_score"]) * r["held_out"]
-    assert gain > 0  # closer to held-out text than the base
+    return gain
+
+
+@pytest.mark.parametrize("sf_dir", [SF, SF.replace("sf0.001", "sf0.01")])
+def test_lm_score_is_the_automaton(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert _same_as_automaton(rows, registry.op3_lm_score(spark, sf_dir)) > 0  # closer to held-out text than the base
+
+
+def test_lm_score_with_small_chunks_and_divided_histories(spark):
+    """Texts over several chunks, and histories over several buckets, change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    _same_as_automaton(rows, lm_score.score(docs, chunk_tokens=700, least_hot=20))
+
+
+def test_packed_blocks():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 1000):
+        columns = [sorted(rng.getrandbits(64) for _ in range(n)), [rng.getrandbits(48) for _ in range(n)], [0] * n]
+        first, rest, *others = lm_score.unpack(lm_score.pack(*lm_score.steps(np.array(columns[0], dtype=np.uint64)), *(np.array(c, dtype=np.uint64) for c in columns[1:])))
+        assert [lm_score.whole(first, rest).tolist(), *(c.tolist() for c in others)] == columns
+
+
+def test_long_texts_are_cut_at_blanks(monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_BYTES", 10)
+    for text in (b"", b" ", b"one", b"A bc\t def  ghij\nklmnopqrstuvwxyz0123456789 a b c d e f g h i j k l ", b"x" * 50):
+        assert [w for part in lm_score.token_parts(text) for w in part] == [*text.translate(LOWER).split(), b" "]
 
 
 def test_lm_probabilities_sum_to_one(spark):
     """From any state, all words and the unknown one have probability one together."""
     texts = ["a b a b a c", "a b d", "b a b a e f"] * 3
-    arcs, fail, unknown, _, uni, *_ = _automaton(texts, 1e-9, 1e-9)
+    arcs, fail, unknown, _, uni, *_ = _automaton(texts)
     for state in [(), *fail]:
         cost, rest = 0.0, state
         while rest:
