@@ -23,8 +23,8 @@ Counts are gathered in two exchanges of packed blocks, a block per chunk and
 bucket of keys:
 
 1. Slots of words, pairs and triples (a hash of a few bits more than there are
-   tokens) are counted; a chunk learns which of its pairs and triples may occur
-   often enough. An n-gram that does is never left out; most others are.
+   tokens) are counted; a chunk learns which of its own may occur often enough
+   for an arc. An n-gram that does is never left out; most others are.
 2. Those n-grams are counted exactly, each with its history, and a chunk learns
    the counts of its own histories and arcs: its part of the automaton.
 
@@ -33,7 +33,7 @@ tokens has is divided over several buckets by the words after it, and its sums
 come together again in the chunk. Nothing is broadcast or sent to the driver but
 three totals.
 
-N-grams are told apart by hashes, 64 bits for a history and 48 for the word after it.
+N-grams are told apart by hashes, of 24 bits more than the number of tokens has.
 
 Defined results: a null or empty text is one end token; end counts as a token in
 training and scoring; without training rows every probability is that of one
@@ -67,7 +67,7 @@ DISCOUNT = 0.75
 LEAST_COUNT = 2
 HELD_OUT = (7, 2)
 #: Tokens in a chunk, and in a bucket of keys where there are more buckets than twice the shuffle partitions.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 4_000_000
 #: Bytes of a long text that are cut into words at a time.
 PART_BYTES = 8 << 20
@@ -187,18 +187,29 @@ _SCHEMA = pa.schema(
 _END_KEY = np.uint64(xxhash.xxh64_intdigest(END, seed=42))
 
 
+def distinct(keys: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and each key's number; kind "stable" for keys that are a few sorted runs."""
+    by = np.argsort(keys, kind=kind)
+    ordered = keys[by]
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(keys), dtype=np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], by[new], number
+
+
 class Grams:
-    """A chunk's distinct words, pairs and triples with their counts in training texts, and which of them end at each token."""
+    """A chunk's distinct words, pairs and triples with their counts, and which of them end at each token (-1: none)."""
 
     def __init__(self, row: dict):
         first, rest, place = unpack(row["block"])
-        self.words, self.word = whole(first, rest), place.astype(np.int64)
-        before, held = np.array(row["before"], dtype=np.int64), np.array(row["held"], dtype=bool)
-        sizes = np.array(row["sizes"], dtype=np.int64) + before
-        at = np.arange(len(self.word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.piece = np.repeat(np.arange(len(sizes)), sizes)
-        self.scored = at >= np.repeat(before, sizes)
-        counted = self.scored & ~np.repeat(held, sizes)
+        self.words, self.word = whole(first, rest), place.astype(np.int32)
+        del place
+        before, self.held = np.array(row["before"], dtype=np.int32), np.array(row["held"], dtype=bool)
+        sizes = np.array(row["sizes"], dtype=np.int32) + before
+        at = np.arange(len(self.word), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
+        self.piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.scored = at >= before[self.piece]
         key = self.words[self.word]
         at2, at3 = np.flatnonzero(at >= 1), np.flatnonzero((at >= 2) & self.scored)
         pair_key = np.zeros(len(key), dtype=np.uint64)
@@ -207,45 +218,47 @@ class Grams:
         self.pair_first, self.pair_last = self.word[where - 1], self.word[where]
         self.triples, where, self.triple = self._distinct(mixed(pair_key[at3 - 1], key[at3]), at3)
         self.triple_pair, self.triple_last = self.pair[where - 1], self.word[where]
-        columns = ((self.word, self.words), (self.pair, self.pairs), (self.triple, self.triples))
-        self.n_train = [np.bincount(of[counted & (of >= 0)], minlength=len(kinds)) for of, kinds in columns]
-        self.n_all = [np.bincount(of[of >= 0], minlength=len(kinds)) for of, kinds in columns]
 
     def _distinct(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, a place of each, and per token its key's number or -1."""
-        distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
-        of = np.full(len(self.word), -1, dtype=np.int64)
+        kinds, first, number = distinct(keys)
+        of = np.full(len(self.word), -1, dtype=np.int32)
         of[at] = number
-        return distinct, at[first], of
-
-    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct slots, each n-gram's slot, and the slots' counts in training texts and in all."""
-        keys = np.concatenate([self.words, self.pairs, self.triples]) >> np.uint64(64 - bits)
-        slot, of = np.unique(keys, return_inverse=True)
-        counts = [np.bincount(of, weights=np.concatenate(n), minlength=len(slot)).astype(np.int64) for n in (self.n_train, self.n_all)]
-        return slot, of, *counts
+        return kinds, at[first], of
 
+    def counts(self, train: bool) -> list[np.ndarray]:
+        """Of words, pairs and triples, in training texts or in all."""
+        counted = self.scored & ~self.held[self.piece] if train else self.scored
+        columns = ((self.word, self.words), (self.pair, self.pairs), (self.triple, self.triples))
+        return [np.bincount(of[counted & (of >= 0)], minlength=len(kinds)) for of, kinds in columns]
 
-def _rows(table: pa.Table) -> list[dict]:
-    return table.to_pylist()
+    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct slots, and each n-gram's slot."""
+        slot, _, of = distinct(np.concatenate([self.words, self.pairs, self.triples]) >> np.uint64(64 - bits), "stable")
+        return slot, of
 
 
-_ASK = "bucket long, chunk long, block binary"
-_ASK_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("block", pa.binary())])
+_ASK = "bucket long, chunk long, alone long, block binary"
+_ASK_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("alone", pa.int64()), ("block", pa.binary())])
 _REPLY = "chunk long, bucket long, kind int, types long, block binary"
 _REPLY_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("types", pa.int64()), ("block", pa.binary())])
 
 
+def _columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)]
+
+
 def slot_asks(chunks: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """Each chunk's slots with their counts, a block per bucket."""
+    """Each chunk's slots with their counts in all texts, a block per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                slot, _, train, load = Grams(row).slots(bits)
+                grams = Grams(row)
+                slot, of = grams.slots(bits)
+                n = np.bincount(of, weights=np.concatenate(grams.counts(train=False)), minlength=len(slot)).astype(np.int64)
                 edges = np.searchsorted(bucket_of(slot, bits, buckets), np.arange(buckets + 1))
-                blocks = [(b, row["chunk"], pack(*steps(slot[i:j]), train[i:j], load[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*blocks, strict=True), _ASK_SCHEMA.types, strict=True)], schema=_ASK_SCHEMA)
+                blocks = [(b, row["chunk"], 0, pack(*steps(slot[i:j]), n[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays(_columns(blocks, _ASK_SCHEMA), schema=_ASK_SCHEMA)
 
     return chunks.mapInArrow(run, _ASK)
 
@@ -254,16 +267,17 @@ def slot_replies(least: int, hot: int):
     """To each chunk: which slots are as common as an arc has to be, and how common the hot ones are."""
 
     def run(asks: pa.Table) -> pa.Table:
-        rows = _rows(asks)
-        found = [unpack(row["block"]) for row in rows]
-        slots = [whole(f[0], f[1]) for f in found]
-        distinct, of = np.unique(np.concatenate(slots), return_inverse=True)
-        train, load = (np.bincount(of, weights=np.concatenate([f[i] for f in found]), minlength=len(distinct)).astype(np.int64) for i in (2, 3))
+        chunk, [bucket, *_] = asks["chunk"].to_pylist(), asks["bucket"].to_pylist()
+        found = [unpack(block) for block in asks["block"].to_pylist()]
+        sizes = [len(f[2]) for f in found]
+        kinds, _, of = distinct(np.concatenate([whole(f[0], f[1]) for f in found]))
+        n = np.bincount(of, weights=np.concatenate([f[2] for f in found]), minlength=len(kinds)).astype(np.int64)
         out = []
-        for row, own in zip(rows, np.split(of, np.cumsum([len(s) for s in slots])[:-1]), strict=True):
-            common = np.flatnonzero(load[own] >= hot)
-            out.append((row["chunk"], row["bucket"], 0, 0, pack([len(own)], np.packbits(train[own] >= least), common, load[own][common])))
-        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), _REPLY_SCHEMA.types, strict=True)], schema=_REPLY_SCHEMA)
+        for to, own in zip(chunk, np.split(of, np.cumsum(sizes)[:-1]), strict=True):
+            total = n[own]
+            common = np.flatnonzero(total >= hot)
+            out.append((to, bucket, 0, 0, pack([len(own)], np.packbits(total >= least), common, total[common])))
+        return pa.table(_columns(out, _REPLY_SCHEMA), schema=_REPLY_SCHEMA)
 
     return run
 
@@ -271,11 +285,12 @@ def slot_replies(least: int, hot: int):
 class Asks:
     """What a chunk asks in the second exchange, in order of buckets: lines of histories, and under them lines of arcs.
 
-    The words come first among the histories, then the pairs that may have arcs.
+    Histories are the words and pairs that may occur often enough, the words first.
+    A word that can't is nowhere else, so that its count is known in the chunk.
     """
 
     def __init__(self, grams: Grams, replies: list[dict], bits: int, buckets: int, hot: int):
-        _, of, *_ = grams.slots(bits)
+        _, of = grams.slots(bits)
         flags, loads = [], []
         for row in replies:
             n, bit, at, load = unpack(row["block"])
@@ -284,55 +299,70 @@ class Asks:
             own[at.astype(np.int64)] = load
             loads.append(own)
         flag, load = np.concatenate(flags)[of], np.concatenate(loads)[of]
+        del of, flags, loads
+        self.n1, self.n2, self.n3 = grams.counts(train=True)
         n1, n2 = len(grams.words), len(grams.pairs)
-        has2 = flag[n1 : n1 + n2]
-        self.pairs = np.flatnonzero(has2)
+        has1 = flag[:n1]
+        has2 = flag[n1 : n1 + n2] & has1[grams.pair_first] & has1[grams.pair_last]
+        self.words, self.pairs = np.flatnonzero(has1), np.flatnonzero(has2)
         self.triples = np.flatnonzero(flag[n1 + n2 :] & has2[grams.triple_pair])
         after = np.flatnonzero(has2 & (grams.words[grams.pair_last] != _END_KEY))
-        self.line_of_pair = np.full(n2, -1, dtype=np.int64)
-        self.line_of_pair[after] = n1 + np.arange(len(after))
-        history = np.concatenate([grams.words, grams.pairs[after]])
-        own = np.concatenate([grams.n_train[0], grams.n_train[1][after]])
-        shares = np.minimum(1 + np.concatenate([load[:n1], load[n1 : n1 + n2][after]]) // hot, buckets)
+        self.line_of_word, self.line_of_pair = np.full(n1, -1, dtype=np.int64), np.full(n2, -1, dtype=np.int64)
+        self.line_of_word[self.words] = np.arange(len(self.words))
+        self.line_of_pair[after] = len(self.words) + np.arange(len(after))
+        history = np.concatenate([grams.words[self.words], grams.pairs[after]])
+        own = np.concatenate([self.n1[self.words], self.n2[after]])
+        shares = np.minimum(1 + np.concatenate([load[:n1][self.words], load[n1 : n1 + n2][after]]) // hot, buckets)
         self.first = np.cumsum(shares) - shares
         line = np.repeat(np.arange(len(history)), shares)
         share = np.arange(len(line)) - self.first[line]
         bucket = (bucket_of(history, 64, buckets)[line] + share) % buckets
-        by = np.lexsort((history[line], bucket))
+        place = np.empty(len(history), dtype=np.int64)
+        place[np.argsort(history, kind="stable")] = np.arange(len(history))
+        by = np.argsort(bucket * len(history) + place[line], kind="stable")
         self.rank = np.empty(len(by), dtype=np.int64)
         self.rank[by] = np.arange(len(by))
-        of_history = np.concatenate([grams.pair_first[self.pairs], self.line_of_pair[grams.triple_pair[self.triples]]])
-        word = np.concatenate([grams.words[grams.pair_last[self.pairs]], grams.words[grams.triple_last[self.triples]]]) >> np.uint64(16)
-        n = np.concatenate([grams.n_train[1][self.pairs], grams.n_train[2][self.triples]])
-        under = self.rank[self.first[of_history] + (word % shares[of_history].astype(np.uint64)).astype(np.int64)]
-        by_arc = np.lexsort((word, under))
+        of_history = np.concatenate([self.line_of_word[grams.pair_first[self.pairs]], self.line_of_pair[grams.triple_pair[self.triples]]])
+        word = np.concatenate([grams.pair_last[self.pairs], grams.triple_last[self.triples]]).astype(np.int64)
+        share = (grams.words[word] % shares[of_history].astype(np.uint64)).astype(np.int64)
+        under = self.rank[self.first[of_history] + share]
+        by_arc = np.argsort(under * n1 + word)
         self.rank_arc = np.empty(len(by_arc), dtype=np.int64)
         self.rank_arc[by_arc] = np.arange(len(by_arc))
-        self.histories = history[line][by], (line < n1)[by], np.where(share == 0, own[line], 0)[by], np.bincount(under, minlength=len(by))
-        self.arcs = word[by_arc], n[by_arc]
-        self.bucket, self.arc_bucket = bucket[by], bucket[by][under[by_arc]]
+        self.histories = history[line][by], (line < len(self.words))[by], np.where(self.first[line] == np.arange(len(line)), own[line], 0)[by], np.bincount(under, minlength=len(by))
+        self.arcs = word[by_arc], np.concatenate([self.n2[self.pairs], self.n3[self.triples]])[by_arc]
+        self.bucket, self.arc_bucket, self.keys = bucket[by], bucket[by][under[by_arc]], grams.words
 
-    def blocks(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+    def blocks(self, key_bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """Per bucket the histories' keys with their counts and numbers of arcs, the words after them, and per arc its word's place among those and its count."""
         lines, arcs = (np.searchsorted(b, np.arange(buckets + 1)) for b in (self.bucket, self.arc_bucket))
-        key, is_word, n, size = self.histories
+        shift, (key, is_word, n, size), (word, n_arc) = np.uint64(64 - key_bits), self.histories, self.arcs
         for b, (i, j, k, m) in enumerate(zip(lines, lines[1:], arcs, arcs[1:])):
             if j > i:
-                yield b, pack(*steps(key[i:j]), is_word[i:j], n[i:j], size[i:j], *(a[k:m] for a in self.arcs))
+                kinds, _, place = distinct(word[k:m])
+                yield b, pack(*steps(key[i:j] >> shift), is_word[i:j], n[i:j], size[i:j], *steps(self.keys[kinds] >> shift), place, n_arc[k:m])
+
+    def alone(self) -> int:
+        """Training words that no bucket counts."""
+        return int((self.n1[self.line_of_word < 0] > 0).sum())
 
     def read(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per history its count, the sum of its arcs' counts and the number of its arcs; per pair and per triple asked its count, 0 without an arc."""
+        if not len(self.first):
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
         found = [np.concatenate(c).astype(np.int64) for c in zip(*(unpack(row["block"]) for row in replies), strict=True)]
         c, taken, arcs = (np.add.reduceat(column[self.rank], self.first) for column in found[:3])
         arc = found[3][self.rank_arc]
         return c, taken, arcs, arc[: len(self.pairs)], arc[len(self.pairs) :]
 
 
-def gram_asks(bits: int, buckets: int, hot: int):
+def gram_asks(bits: int, key_bits: int, buckets: int, hot: int):
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        [row] = _rows(chunk)
-        asks = Asks(Grams(row), sorted(_rows(replies), key=lambda r: r["bucket"]), bits, buckets, hot)
-        blocks = [(b, row["chunk"], block) for b, block in asks.blocks(buckets)]
-        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*blocks, strict=True), _ASK_SCHEMA.types, strict=True)], schema=_ASK_SCHEMA)
+        [row] = chunk.to_pylist()
+        asks = Asks(Grams(row), sorted(replies.to_pylist(), key=lambda r: r["bucket"]), bits, buckets, hot)
+        blocks = [(b, row["chunk"], 0, block) for b, block in asks.blocks(key_bits, buckets)]
+        # a line of its own, so that it is there without any block
+        return pa.table(_columns([*blocks, (row["chunk"] % buckets, row["chunk"], asks.alone(), None)], _ASK_SCHEMA), schema=_ASK_SCHEMA)
 
     return run
 
@@ -341,14 +371,18 @@ def gram_replies(least: int):
     """To each chunk: per history its count, the sum and the number of the arcs; per arc its count. A bucket's first row has the number of its words."""
 
     def run(asks: pa.Table) -> pa.Table:
-        rows = _rows(asks)
-        found = [unpack(row["block"]) for row in rows]
-        lines = [whole(f[0], f[1]) for f in found]
-        history, of = np.unique(np.concatenate(lines), return_inverse=True)
-        is_word, n, size, word, n_arc = (np.concatenate([f[i] for f in found]).astype(np.uint64 if i == 5 else np.int64) for i in range(2, 7))
+        bucket, alone = asks["bucket"].to_pylist()[0], sum(asks["alone"].to_pylist())
+        asks = asks.filter(asks["block"].is_valid())
+        if not asks.num_rows:
+            return pa.table(_columns([(None, bucket, 1, alone, None)], _REPLY_SCHEMA), schema=_REPLY_SCHEMA)
+        found = [unpack(block) for block in asks["block"].to_pylist()]
+        history, _, of = distinct(np.concatenate([whole(f[0], f[1]) for f in found]))
+        is_word, n, size, n_arc = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (2, 3, 4, 8))
+        word = np.concatenate([whole(f[5], f[6])[f[7].astype(np.int64)] for f in found])
+        ends, arc_ends = np.cumsum([len(f[2]) for f in found]), np.cumsum([len(f[7]) for f in found])
         c = np.bincount(of, weights=n, minlength=len(history)).astype(np.int64)
         under = np.repeat(of, size)
-        _, first, arc = np.unique(mixed(history[under], word), return_index=True, return_inverse=True)
+        _, first, arc = distinct(mixed(history[under], word))
         count = np.bincount(arc, weights=n_arc, minlength=len(first)).astype(np.int64)
         count[count < least] = 0
         has = np.flatnonzero(count)
@@ -356,11 +390,10 @@ def gram_replies(least: int):
         arcs = np.bincount(under[first[has]], minlength=len(history))
         words = np.zeros(len(history), dtype=bool)
         words[of[is_word > 0]] = True
-        types, out = int((words & (c > 0)).sum()), []
-        ends, arc_ends = np.cumsum([len(x) for x in lines]), np.cumsum([len(f[5]) for f in found])
-        for i, (row, own, own_arcs) in enumerate(zip(rows, np.split(of, ends[:-1]), np.split(arc, arc_ends[:-1]), strict=True)):
-            out.append((row["chunk"], row["bucket"], 1, 0 if i else types, pack(c[own], taken[own], arcs[own], count[own_arcs])))
-        return pa.table([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), _REPLY_SCHEMA.types, strict=True)], schema=_REPLY_SCHEMA)
+        types, out = alone + int((words & (c > 0)).sum()), []
+        for i, (to, own, own_arcs) in enumerate(zip(asks["chunk"].to_pylist(), np.split(of, ends[:-1]), np.split(arc, arc_ends[:-1]), strict=True)):
+            out.append((to, bucket, 1, 0 if i else types, pack(c[own], taken[own], arcs[own], count[own_arcs])))
+        return pa.table(_columns(out, _REPLY_SCHEMA), schema=_REPLY_SCHEMA)
 
     return run
 
@@ -370,32 +403,28 @@ class Automaton:
 
     def __init__(self, grams: Grams, asks: Asks, replies: list[dict], total: int, types: int):
         c, taken, arcs, pair, triple = asks.read(replies)
-        some = np.maximum(c, 1)
-        self.fail = np.where(c > 0, (c - taken + DISCOUNT * arcs) / some, 1.0)
-        n1 = len(grams.words)
-        self.count = c[:n1]
-        n = max(total, 1)
-        unknown = DISCOUNT * types / n if total else 1.0
-        self.start = np.where(self.count > 0, (self.count - DISCOUNT) / n, unknown)
-        self.pair_arc = np.zeros(len(grams.pairs))
-        has = pair > 0
-        self.pair_arc[asks.pairs[has]] = (pair[has] - DISCOUNT) / c[grams.pair_first[asks.pairs[has]]]
-        self.triple_arc = np.zeros(len(grams.triples))
-        has = triple > 0
-        self.triple_arc[asks.triples[has]] = (triple[has] - DISCOUNT) / c[asks.line_of_pair[grams.triple_pair[asks.triples[has]]]]
-        self.line_of_pair = asks.line_of_pair
+        fail = np.where(c > 0, (c - taken + DISCOUNT * arcs) / np.maximum(c, 1), 1.0)
+        of = lambda values, lines, other: np.where(lines >= 0, np.append(values, 0)[lines], other)
+        self.word_fail, self.pair_fail = of(fail, asks.line_of_word, 1.0), of(fail, asks.line_of_pair, 1.0)
+        self.count = of(c, asks.line_of_word, asks.n1)
+        unknown = DISCOUNT * types / total if total else 1.0
+        self.start = np.where(self.count > 0, (self.count - DISCOUNT) / max(total, 1), unknown)
+        self.pair_arc, self.triple_arc = np.zeros(len(grams.pairs)), np.zeros(len(grams.triples))
+        has = asks.pairs[pair > 0]
+        self.pair_arc[has] = (pair[pair > 0] - DISCOUNT) / c[asks.line_of_word[grams.pair_first[has]]]
+        has = asks.triples[triple > 0]
+        self.triple_arc[has] = (triple[triple > 0] - DISCOUNT) / c[asks.line_of_pair[grams.triple_pair[has]]]
 
     def walk(self, grams: Grams) -> np.ndarray:
         """Each token's log10 probability, for all texts of the chunk at once.
 
-        The state before a token is the pair before it, carried along the text; where the pair has no state, or at the start of a text, the word or the empty one.
+        The state before a token is the pair before it, carried along the text; where the pair has no arcs, or at the start of a text, the word or the empty one.
         """
         p = self.start[grams.word]
         two = np.flatnonzero(grams.pair >= 0)
-        p[two] = self.pair_arc[grams.pair[two]] + self.fail[grams.word[two - 1]] * p[two]
+        p[two] = self.pair_arc[grams.pair[two]] + self.word_fail[grams.word[two - 1]] * p[two]
         three = np.flatnonzero(grams.triple >= 0)
-        state = self.line_of_pair[grams.pair[three - 1]]
-        p[three] = self.triple_arc[grams.triple[three]] + np.where(state >= 0, self.fail[state], 1.0) * p[three]
+        p[three] = self.triple_arc[grams.triple[three]] + self.pair_fail[grams.pair[three - 1]] * p[three]
         return np.log10(p)
 
 
@@ -406,8 +435,8 @@ def piece_scores(bits: int, buckets: int, hot: int, total: int, types: int):
     """Per piece of a text: tokens, known ones, the sum of log10(c + 1), and the automaton's log10 probability."""
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        [row] = _rows(chunk)
-        by_bucket = sorted(_rows(replies), key=lambda r: r["bucket"])
+        [row] = chunk.to_pylist()
+        by_bucket = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
         grams = Grams(row)
         asks = Asks(grams, [r for r in by_bucket if r["kind"] == 0], bits, buckets, hot)
         automaton = Automaton(grams, asks, [r for r in by_bucket if r["kind"] == 1], total, types)
@@ -440,15 +469,17 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LE
         chunks = spark.table(name)
         size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_all")]).first()
         total, tokens = size["n_train"], size["n_all"]
+        # a key's chance to be taken for another is 2 ** -24 at most
+        key_bits = min(64, max(40, tokens.bit_length() + 24))
         buckets = max(2 * partitions, tokens // BUCKET_TOKENS)
         hot = max(least_hot, tokens // (4 * buckets))
         bits = max(16, (16 * tokens).bit_length())
         first = _stored(slot_asks(chunks, bits, buckets).groupBy("bucket").applyInArrow(slot_replies(LEAST_COUNT, hot), _REPLY))
-        asks = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(gram_asks(bits, buckets, hot), _ASK)
+        asks = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(gram_asks(bits, key_bits, buckets, hot), _ASK)
         second = _stored(asks.groupBy("bucket").applyInArrow(gram_replies(LEAST_COUNT), _REPLY))
         types = second.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"]
         schema = "ref long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
-        pieces = chunks.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(piece_scores(bits, buckets, hot, total, types), schema)
+        pieces = chunks.groupBy("chunk").cogroup(first.unionByName(second.where("chunk is not null")).groupBy("chunk")).applyInArrow(piece_scores(bits, buckets, hot, total, types), schema)
         by_row = _stored(pieces.groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")]))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
