@@ -66,7 +66,7 @@ DISCOUNT = 0.75
 #: Pairs and triples seen this often have arcs.
 LEAST_COUNT = 2
 HELD_OUT = (7, 2)
-#: Tokens in a chunk, and in a bucket of keys where there are more buckets than twice the shuffle partitions.
+#: Tokens in a chunk, and about those in a bucket of keys; there are half as many buckets as shuffle partitions at least.
 CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 4_000_000
 #: Bytes of a long text that are cut into words at a time.
@@ -283,10 +283,12 @@ def slot_replies(least: int, hot: int):
 
 
 class Asks:
-    """What a chunk asks in the second exchange, in order of buckets: lines of histories, and under them lines of arcs.
+    """What a chunk asks in the second exchange: lines of words, lines of pairs under their first word, triples under their first pair.
 
-    Histories are the words and pairs that may occur often enough, the words first.
-    A word that can't is nowhere else, so that its count is known in the chunk.
+    All that may occur often enough are asked, in the bucket of the first word. A
+    word that can't is nowhere else, so that its count is known in the chunk. A hot
+    word's pairs are dealt over several buckets by their second word, a hot pair's
+    triples by their third; the counts of words and pairs go to the first one.
     """
 
     def __init__(self, grams: Grams, replies: list[dict], bits: int, buckets: int, hot: int):
@@ -300,60 +302,68 @@ class Asks:
             loads.append(own)
         flag, load = np.concatenate(flags)[of], np.concatenate(loads)[of]
         del of, flags, loads
-        self.n1, self.n2, self.n3 = grams.counts(train=True)
+        self.keys, (self.n1, self.n2, self.n3) = grams.words, grams.counts(train=True)
         n1, n2 = len(grams.words), len(grams.pairs)
-        has1 = flag[:n1]
-        has2 = flag[n1 : n1 + n2] & has1[grams.pair_first] & has1[grams.pair_last]
-        self.words, self.pairs = np.flatnonzero(has1), np.flatnonzero(has2)
+        self.asked = flag[:n1]
+        has2 = flag[n1 : n1 + n2] & self.asked[grams.pair_first] & self.asked[grams.pair_last]
+        self.words, self.pairs = np.flatnonzero(self.asked), np.flatnonzero(has2)
         self.triples = np.flatnonzero(flag[n1 + n2 :] & has2[grams.triple_pair])
-        after = np.flatnonzero(has2 & (grams.words[grams.pair_last] != _END_KEY))
-        self.line_of_word, self.line_of_pair = np.full(n1, -1, dtype=np.int64), np.full(n2, -1, dtype=np.int64)
-        self.line_of_word[self.words] = np.arange(len(self.words))
-        self.line_of_pair[after] = len(self.words) + np.arange(len(after))
-        history = np.concatenate([grams.words[self.words], grams.pairs[after]])
-        own = np.concatenate([self.n1[self.words], self.n2[after]])
-        shares = np.minimum(1 + np.concatenate([load[:n1][self.words], load[n1 : n1 + n2][after]]) // hot, buckets)
-        self.first = np.cumsum(shares) - shares
-        line = np.repeat(np.arange(len(history)), shares)
-        share = np.arange(len(line)) - self.first[line]
-        bucket = (bucket_of(history, 64, buckets)[line] + share) % buckets
-        place = np.empty(len(history), dtype=np.int64)
-        place[np.argsort(history, kind="stable")] = np.arange(len(history))
-        by = np.argsort(bucket * len(history) + place[line], kind="stable")
-        self.rank = np.empty(len(by), dtype=np.int64)
-        self.rank[by] = np.arange(len(by))
-        of_history = np.concatenate([self.line_of_word[grams.pair_first[self.pairs]], self.line_of_pair[grams.triple_pair[self.triples]]])
-        word = np.concatenate([grams.pair_last[self.pairs], grams.triple_last[self.triples]]).astype(np.int64)
-        share = (grams.words[word] % shares[of_history].astype(np.uint64)).astype(np.int64)
-        under = self.rank[self.first[of_history] + share]
-        by_arc = np.argsort(under * n1 + word)
-        self.rank_arc = np.empty(len(by_arc), dtype=np.int64)
-        self.rank_arc[by_arc] = np.arange(len(by_arc))
-        self.histories = history[line][by], (line < len(self.words))[by], np.where(self.first[line] == np.arange(len(line)), own[line], 0)[by], np.bincount(under, minlength=len(by))
-        self.arcs = word[by_arc], np.concatenate([self.n2[self.pairs], self.n3[self.triples]])[by_arc]
-        self.bucket, self.arc_bucket, self.keys = bucket[by], bucket[by][under[by_arc]], grams.words
+        shares1 = np.minimum(1 + load[:n1] // hot, buckets)
+        shares2 = np.minimum(1 + load[n1 : n1 + n2] // hot, buckets)[self.pairs]
+        del flag, load
+        base = bucket_of(grams.words, 64, buckets)
+        share_of = lambda word, shares: (grams.words[word] % shares.astype(np.uint64)).astype(np.int64)
+        # lines of pairs: a pair's shares, in turn
+        first2 = np.cumsum(shares2) - shares2
+        pair = np.repeat(np.arange(len(self.pairs)), shares2)
+        turn = np.arange(len(pair)) - first2[pair]
+        w1, w2 = (x[self.pairs][pair].astype(np.int64) for x in (grams.pair_first, grams.pair_last))
+        bucket2 = (base[w1] + share_of(w2, shares1[w1]) + turn) % buckets
+        # lines of words: a word's shares, and where its pairs are
+        word = np.repeat(self.words, shares1[self.words])
+        turns = np.arange(len(word)) - np.repeat(np.cumsum(shares1[self.words]) - shares1[self.words], shares1[self.words])
+        lines, _, line = distinct(np.concatenate([(base[word] + turns) % buckets * n1 + word, bucket2 * n1 + w1]))
+        self.line_word, self.line_bucket = lines % n1, lines // n1
+        under = line[len(word) :].astype(np.int64)
+        by2 = np.argsort(under * n1 + w2)
+        self.line_pair = pair[by2]
+        rank2 = np.empty(len(by2), dtype=np.int64)
+        rank2[by2] = np.arange(len(by2))
+        place = np.full(n2, -1, dtype=np.int64)
+        place[self.pairs] = np.arange(len(self.pairs))
+        of2, w3 = place[grams.triple_pair[self.triples]], grams.triple_last[self.triples].astype(np.int64)
+        under3 = rank2[first2[of2] + share_of(w3, shares2[of2])]
+        self.by3 = np.argsort(under3 * n1 + w3)
+        self.level1 = np.where(self.line_bucket == base[self.line_word], self.n1[self.line_word], 0), np.bincount(under, minlength=len(lines))
+        self.level2 = w2[by2], np.where(turn == 0, self.n2[self.pairs][pair], 0)[by2], np.bincount(under3, minlength=len(by2))
+        self.level3 = w3[self.by3], self.n3[self.triples][self.by3]
+        self.buckets = self.line_bucket, bucket2[by2], bucket2[by2][under3[self.by3]]
 
     def blocks(self, key_bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """Per bucket the histories' keys with their counts and numbers of arcs, the words after them, and per arc its word's place among those and its count."""
-        lines, arcs = (np.searchsorted(b, np.arange(buckets + 1)) for b in (self.bucket, self.arc_bucket))
-        shift, (key, is_word, n, size), (word, n_arc) = np.uint64(64 - key_bits), self.histories, self.arcs
-        for b, (i, j, k, m) in enumerate(zip(lines, lines[1:], arcs, arcs[1:])):
-            if j > i:
-                kinds, _, place = distinct(word[k:m])
-                yield b, pack(*steps(key[i:j] >> shift), is_word[i:j], n[i:j], size[i:j], *steps(self.keys[kinds] >> shift), place, n_arc[k:m])
+        """Per bucket the words' keys, counts and numbers of pairs; the words after them; per pair its word's place among those, its count and number of triples; per triple its word's place and count."""
+        edges = [np.searchsorted(b, np.arange(buckets + 1)) for b in self.buckets]
+        shift = np.uint64(64 - key_bits)
+        for b in range(buckets):
+            one, two, three = (slice(e[b], e[b + 1]) for e in edges)
+            if one.stop > one.start:
+                kinds, _, place = distinct(np.concatenate([self.level2[0][two], self.level3[0][three]]))
+                n = two.stop - two.start
+                columns = [*(c[one] for c in self.level1), *steps(self.keys[kinds] >> shift), place[:n], *(c[two] for c in self.level2[1:]), place[n:], self.level3[1][three]]
+                yield b, pack(*steps(self.keys[self.line_word[one]] >> shift), *columns)
 
     def alone(self) -> int:
         """Training words that no bucket counts."""
-        return int((self.n1[self.line_of_word < 0] > 0).sum())
+        return int((self.n1[~self.asked] > 0).sum())
 
-    def read(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per history its count, the sum of its arcs' counts and the number of its arcs; per pair and per triple asked its count, 0 without an arc."""
-        if not len(self.first):
-            return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-        found = [np.concatenate(c).astype(np.int64) for c in zip(*(unpack(row["block"]) for row in replies), strict=True)]
-        c, taken, arcs = (np.add.reduceat(column[self.rank], self.first) for column in found[:3])
-        arc = found[3][self.rank_arc]
-        return c, taken, arcs, arc[: len(self.pairs)], arc[len(self.pairs) :]
+    def read(self, replies: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Per word of the chunk its count, the sum of its pairs' counts and the number of its pairs; the same per pair asked; per triple asked its count. 0 without an arc."""
+        found = [np.concatenate(c).astype(np.int64) for c in zip(*(unpack(row["block"]) for row in replies), strict=True)] or [np.zeros(0, dtype=np.int64)] * 7
+        words = [np.bincount(self.line_word, weights=c, minlength=len(self.n1)).astype(np.int64) for c in found[:3]]
+        words[0] = np.where(self.asked, words[0], self.n1)
+        pairs = [np.bincount(self.line_pair, weights=c, minlength=len(self.pairs)).astype(np.int64) for c in found[3:6]]
+        triples = np.empty(len(self.triples), dtype=np.int64)
+        triples[self.by3] = found[6]
+        return words, pairs, triples
 
 
 def gram_asks(bits: int, key_bits: int, buckets: int, hot: int):
@@ -367,8 +377,17 @@ def gram_asks(bits: int, key_bits: int, buckets: int, hot: int):
     return run
 
 
+def _kept(of: np.ndarray, n: np.ndarray, first: np.ndarray, parent: np.ndarray, parents: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of arcs, 0 below the least; per parent, their sum and number."""
+    count = np.bincount(of, weights=n, minlength=len(first)).astype(np.int64)
+    count[count < least] = 0
+    has = np.flatnonzero(count)
+    at = parent[first[has]]
+    return count, np.bincount(at, weights=count[has], minlength=parents).astype(np.int64), np.bincount(at, minlength=parents)
+
+
 def gram_replies(least: int):
-    """To each chunk: per history its count, the sum and the number of the arcs; per arc its count. A bucket's first row has the number of its words."""
+    """To each chunk: per word its count, the sum and the number of its arcs; the same per pair; per triple its count. A bucket's first row has the number of its words."""
 
     def run(asks: pa.Table) -> pa.Table:
         bucket, alone = asks["bucket"].to_pylist()[0], sum(asks["alone"].to_pylist())
@@ -376,23 +395,23 @@ def gram_replies(least: int):
         if not asks.num_rows:
             return pa.table(_columns([(None, bucket, 1, alone, None)], _REPLY_SCHEMA), schema=_REPLY_SCHEMA)
         found = [unpack(block) for block in asks["block"].to_pylist()]
-        history, _, of = distinct(np.concatenate([whole(f[0], f[1]) for f in found]))
-        is_word, n, size, n_arc = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (2, 3, 4, 8))
-        word = np.concatenate([whole(f[5], f[6])[f[7].astype(np.int64)] for f in found])
-        ends, arc_ends = np.cumsum([len(f[2]) for f in found]), np.cumsum([len(f[7]) for f in found])
-        c = np.bincount(of, weights=n, minlength=len(history)).astype(np.int64)
-        under = np.repeat(of, size)
-        _, first, arc = distinct(mixed(history[under], word))
-        count = np.bincount(arc, weights=n_arc, minlength=len(first)).astype(np.int64)
-        count[count < least] = 0
-        has = np.flatnonzero(count)
-        taken = np.bincount(under[first[has]], weights=count[has], minlength=len(history)).astype(np.int64)
-        arcs = np.bincount(under[first[has]], minlength=len(history))
-        words = np.zeros(len(history), dtype=bool)
-        words[of[is_word > 0]] = True
-        types, out = alone + int((words & (c > 0)).sum()), []
-        for i, (to, own, own_arcs) in enumerate(zip(asks["chunk"].to_pylist(), np.split(of, ends[:-1]), np.split(arc, arc_ends[:-1]), strict=True)):
-            out.append((to, bucket, 1, 0 if i else types, pack(c[own], taken[own], arcs[own], count[own_arcs])))
+        n1, pairs_of, n2, triples_of, n3 = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (2, 3, 7, 8, 10))
+        dicts = [whole(f[4], f[5]) for f in found]
+        w2, w3 = (np.concatenate([d[f[i].astype(np.int64)] for d, f in zip(dicts, found, strict=True)]) for i in (6, 9))
+        ends = [np.cumsum([len(f[i]) for f in found])[:-1] for i in (2, 6, 9)]
+        words, _, of1 = distinct(np.concatenate([whole(f[0], f[1]) for f in found]))
+        del found, dicts
+        parent2 = np.repeat(of1, pairs_of)
+        pairs, first2, of2 = distinct(mixed(words[parent2], w2))
+        parent3 = np.repeat(of2, triples_of)
+        _, first3, of3 = distinct(mixed(pairs[parent3], w3))
+        c1 = np.bincount(of1, weights=n1, minlength=len(words)).astype(np.int64)
+        c2, sum2, arcs2 = _kept(of2, n2, first2, parent2, len(words), least)
+        c3, sum3, arcs3 = _kept(of3, n3, first3, parent3, len(pairs), least)
+        types, out = alone + int((c1 > 0).sum()), []
+        parts = [np.split(of, end) for of, end in zip((of1, of2, of3), ends, strict=True)]
+        for i, (to, one, two, three) in enumerate(zip(asks["chunk"].to_pylist(), *parts, strict=True)):
+            out.append((to, bucket, 1, 0 if i else types, pack(c1[one], sum2[one], arcs2[one], c2[two], sum3[two], arcs3[two], c3[three])))
         return pa.table(_columns(out, _REPLY_SCHEMA), schema=_REPLY_SCHEMA)
 
     return run
@@ -402,18 +421,20 @@ class Automaton:
     """A chunk's part: histories' failure weights and the arcs' own shares of probability."""
 
     def __init__(self, grams: Grams, asks: Asks, replies: list[dict], total: int, types: int):
-        c, taken, arcs, pair, triple = asks.read(replies)
-        fail = np.where(c > 0, (c - taken + DISCOUNT * arcs) / np.maximum(c, 1), 1.0)
-        of = lambda values, lines, other: np.where(lines >= 0, np.append(values, 0)[lines], other)
-        self.word_fail, self.pair_fail = of(fail, asks.line_of_word, 1.0), of(fail, asks.line_of_pair, 1.0)
-        self.count = of(c, asks.line_of_word, asks.n1)
+        words, pairs, triple = asks.read(replies)
+        fail = lambda c, taken, arcs: np.where(c > 0, (c - taken + DISCOUNT * arcs) / np.maximum(c, 1), 1.0)
+        self.count, self.word_fail = words[0], fail(*words)
+        self.pair_fail = np.ones(len(grams.pairs))
+        self.pair_fail[asks.pairs] = fail(*pairs)
         unknown = DISCOUNT * types / total if total else 1.0
         self.start = np.where(self.count > 0, (self.count - DISCOUNT) / max(total, 1), unknown)
-        self.pair_arc, self.triple_arc = np.zeros(len(grams.pairs)), np.zeros(len(grams.triples))
-        has = asks.pairs[pair > 0]
-        self.pair_arc[has] = (pair[pair > 0] - DISCOUNT) / c[asks.line_of_word[grams.pair_first[has]]]
+        pair = np.zeros(len(grams.pairs), dtype=np.int64)
+        pair[asks.pairs] = pairs[0]
+        self.pair_arc, self.triple_arc = np.zeros(len(pair)), np.zeros(len(grams.triples))
+        has = np.flatnonzero(pair)
+        self.pair_arc[has] = (pair[has] - DISCOUNT) / self.count[grams.pair_first[has]]
         has = asks.triples[triple > 0]
-        self.triple_arc[has] = (triple[triple > 0] - DISCOUNT) / c[asks.line_of_pair[grams.triple_pair[has]]]
+        self.triple_arc[has] = (triple[triple > 0] - DISCOUNT) / pair[grams.triple_pair[has]]
 
     def walk(self, grams: Grams) -> np.ndarray:
         """Each token's log10 probability, for all texts of the chunk at once.
@@ -471,10 +492,10 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LE
         total, tokens = size["n_train"], size["n_all"]
         # a key's chance to be taken for another is 2 ** -24 at most
         key_bits = min(64, max(40, tokens.bit_length() + 24))
-        buckets = max(2 * partitions, tokens // BUCKET_TOKENS)
+        buckets = max(1, partitions // 2, tokens // BUCKET_TOKENS)
         hot = max(least_hot, tokens // (4 * buckets))
         bits = max(16, (16 * tokens).bit_length())
-        first = _stored(slot_asks(chunks, bits, buckets).groupBy("bucket").applyInArrow(slot_replies(LEAST_COUNT, hot), _REPLY))
+        first = _stored(slot_asks(chunks, bits, 4 * buckets).groupBy("bucket").applyInArrow(slot_replies(LEAST_COUNT, hot), _REPLY))
         asks = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(gram_asks(bits, key_bits, buckets, hot), _ASK)
         second = _stored(asks.groupBy("bucket").applyInArrow(gram_replies(LEAST_COUNT), _REPLY))
         types = second.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"]
