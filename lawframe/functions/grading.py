@@ -11,6 +11,11 @@ from lawframe.functions import algebra as A
 _LINE = r"(?imd)^[ \t>*+-]*(?:\*\*)?\s*(ASSUME|ASK)\b\s*(?:\*\*)?\s*:\s*(.+)$"
 
 
+#: Messages of missing lines.
+NO_ASSUME = "no 'ASSUME:' line found in the response"
+NO_ASK = "no 'ASK:' line found in the response"
+
+
 def _clean(value: Column) -> Column:
     bare = F.regexp_replace(value, r"^\s+|\s+$", "")
     bare = F.regexp_replace(bare, r"^[`*]+|[`*]+$", "")
@@ -39,8 +44,8 @@ def verdict(assume: Column, ask: Column, e: Column, f: Column, transform: Column
     """The verdict of an extracted answer, its parsed tokens and the transform found."""
     parsed = e.isNotNull() & f.isNotNull()
     error = (
-        F.when(assume.isNull(), "no 'ASSUME:' line found in the response")
-        .when(ask.isNull(), "no 'ASK:' line found in the response")
+        F.when(assume.isNull(), NO_ASSUME)
+        .when(ask.isNull(), NO_ASK)
         .when(e.isNull(), "the ASSUME line is no equation")
         .when(f.isNull(), "the ASK line is no equation")
     )

@@ -38,6 +38,38 @@ def sampling_label(sampling: Column, pair_n: Column, model_n: Column, n: Column)
     return F.concat(F.when(sampling == "uniform", "Complex ").otherwise("Stratified "), size.cast("string"))
 
 
+def sample_tag(pairs: Column, stratify_ops: Column, stratify_eq_ops: Column) -> Column:
+    """How a run samples, and how many pairs; numbers per bin that are null or 0 do not count."""
+    kind = F.when(stratify_eq_ops > 0, "balanced ").when(stratify_ops > 0, "stratified ").otherwise("uniform ")
+    return F.concat(kind, pairs.cast("string"))
+
+
+def group_name(label: Column, regime: Column) -> Column:
+    """A sampling label and the regime."""
+    return F.concat(label, F.when(regime == "off", " / Reasoning off").otherwise(" / Reasoning on"))
+
+
+def experiment_title(pairs: Column, stratify_ops: Column, stratify_eq_ops: Column, eq_bins: Column, bins: Column, seed: Column, arms: Column, labels: Column) -> Column:
+    """The title of runs over the same pairs: how they were sampled, the seed, and the arms or the conditions compared.
+
+    `bins` are the pairs' operation counts, `arms` and `labels` those of the runs, all with repeats; labels keep their order.
+    """
+    n = F.concat(pairs.cast("string"), F.lit(" pairs, "))
+    low, high = F.array_min(bins), F.array_max(bins)
+    balanced = F.concat(
+        n, stratify_eq_ops.cast("string"), F.lit(" per per-equation operation bin "), F.replace(F.coalesce(F.when(eq_bins != "", eq_bins), F.lit("1:10")), F.lit(":"), F.lit("–")),
+        F.lit(", both laws from the same bin"),
+    )
+    less = F.when(low > 1, F.concat(F.lit(" minus vacuous-law pairs (bins "), low.cast("string"), F.lit("–"), high.cast("string"), F.lit(" remain)"))).otherwise("")
+    stratified = F.concat(n, stratify_ops.cast("string"), F.lit(" per operation-count bin 1–8"), less)
+    how = F.when(stratify_eq_ops > 0, balanced).when(stratify_ops > 0, stratified).otherwise(F.concat(pairs.cast("string"), F.lit(" uniformly sampled pairs")))
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(arms), lambda a: F.struct(arm_order(a).alias("o"), a.alias("a")))), lambda x: x["a"])
+    several = F.size(ordered) > 1
+    names = F.array_distinct(labels)
+    compared = F.when(several, F.concat(F.array_join(ordered, " vs "), F.lit(" · "), F.array_join(names, " and "))).otherwise(F.array_join(names, " vs "))
+    return F.concat(how, F.lit(" · seed "), seed.cast("string"), F.lit(" · "), compared)
+
+
 def short_model(model: Column) -> Column:
     return F.regexp_replace(model, "^[^/]*/", "")
 

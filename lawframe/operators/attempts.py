@@ -33,19 +33,36 @@ def latest_graded(rows: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "row.*").select(*rows.columns)
 
 
+#: Names in a block of a list that all rows meet.
+BLOCK = 1000
+
+
+def with_every(rows: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """Rows with each of the names, a list that is asked for: blocks of about `BLOCK` names meet all rows, a block at a time.
+
+    The list stays on the executors; a short one is a single block.
+    """
+    listed = names.select(name).where(F.col(name).isNotNull()).distinct()
+    blocks = max(1, -(-listed.count() // BLOCK))
+    packed = listed.groupBy(F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(name).alias("names"))
+    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+    return met.withColumn(name, F.explode("names")).drop("block", "names")
+
+
 def pending_tasks(samples: DataFrame, models: DataFrame, results: DataFrame) -> DataFrame:
-    """Tasks (pair_id, model) without a graded result; `models` is a short list of requested models."""
-    tasks = samples.select("pair_id").distinct().withColumn("model", F.explode(_listed(models)))
+    """Tasks (pair_id, model) of the requested models without a graded result."""
+    tasks = with_every(samples.select("pair_id").distinct(), models, "model")
     done = graded(results).select("pair_id", "model").distinct()
     return tasks.join(done, ["pair_id", "model"], "left_anti")
 
 
-def _listed(models: DataFrame) -> Column:
-    """Requested models as an array literal; they come from a command line or a configuration."""
-    names = [r["model"] for r in models.select("model").distinct().orderBy("model").limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 models are requested")
-    return F.array(*[F.lit(n) for n in names])
+def discover_runs(runs: DataFrame, keys: list[str], regime: str = "regime") -> DataFrame:
+    """Runs (keys, run), one for each key; ValueError names keys that have several, and regimes that are neither on nor off."""
+    by_key = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("first"), F.max("run").alias("last"))
+    wrong = by_key.where((F.col("n") > 1) | ~F.coalesce(F.col(regime).isin("on", "off"), F.lit(False))).limit(20).collect()  # for the message
+    if wrong:
+        raise ValueError("; ".join(f"{tuple(r[k] for k in keys)}: {r['n']} runs, {r['first']} to {r['last']}" for r in wrong))
+    return by_key.select(*keys, F.col("first").alias("run"))
 
 
 def missing_evaluations(expected: DataFrame, results: DataFrame, group: list[str]) -> DataFrame:
@@ -80,15 +97,11 @@ def with_curve(rows: DataFrame, group: list[str], metric: str, least: int = 3) -
 def unknown_keys(requested: DataFrame, catalog: DataFrame, least: float = 0.4, most: int = 3) -> DataFrame:
     """(key, nearest): requested keys that the catalog lacks, with its most similar names, ties by name.
 
-    Similarity is 1 - edit distance / longer length. The requested keys, a short
-    list, are compared with all catalog names where those are read.
+    Similarity is 1 - edit distance / longer length. The requested keys are compared
+    with all catalog names, in blocks.
     """
     lacking = requested.select("key").distinct().join(catalog.select("key"), "key", "left_anti")
-    names = [r["key"] for r in lacking.orderBy("key").limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 unknown keys are requested")
-    wanted = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-    pairs = catalog.select(F.col("key").alias("name")).distinct().withColumn("key", F.explode(wanted))
+    pairs = with_every(catalog.select(F.col("key").alias("name")).distinct(), lacking, "key")
     near = pairs.withColumn("near", 1 - F.levenshtein("key", "name") / F.greatest(F.length("key"), F.length("name"))).where(F.col("near") >= least)
     from pyspark.sql import Window
 

@@ -17,14 +17,40 @@ OPENING = (
 )
 ASSUME = "Suppose the following always holds."
 QUESTION = "Now consider the following question."
+FOR_ONE = "or every choice of an object "
+FOR_MORE = "or every choice of objects "
+APPLY = "apply the operation to "
+FIRST_INPUT = " as its first input and "
+SECOND_INPUT = " as its second input, and call the result "
+NEXT_STEP = "; then "
+AFTER_STEPS = ". Then "
+EQUAL = " is always equal to "
+FOLLOWS = "Does it follow that "
+FOLLOWS_BARE = "Does it follow that, "
 #: Fixed values of the story form.
+SIDE_BY_SIDE = " runs two procedures side by side."
+IN_THE_FIRST = "In the first, "
+IN_THE_SECOND = "In the second, "
+HOWEVER = "However "
+CHOOSES = " chooses "
+ALWAYS = " always "
+SEPARATELY = "Separately, "
+MUST = "must "
+TAKE = "Take any "
+AT_ALL = " at all"
+CALL_ONE = "call it "
+CALL_MORE = "call "
+AGAIN = "again "
+STARTING = "starting "
+ITSELF = " itself"
 NAMING_AGENT = ("sets the result aside as", "calls the result", "calls that")
 NAMING_IMPERATIVE = ("set the result aside as", "call the result", "call that")
 NUMBERS = ("one", "two", "three", "four", "five", "six")
 ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth")
 THEME_FIELDS = (
-    "key intro subject possessive element_singular element_plural op_agent op_imperative result_noun same_habit same_question closing question_intro question_lead"
-).split()
+    "key", "intro", "subject", "possessive", "element_singular", "element_plural", "op_agent", "op_imperative",
+    "result_noun", "same_habit", "same_question", "closing", "question_intro", "question_lead",
+)
 
 
 def with_complexity(pairs: DataFrame) -> DataFrame:
@@ -114,17 +140,17 @@ def _literal_law(tokens: Column) -> Column:
     letters = F.array(*[F.lit(x) for x in LETTERS])
 
     def words(used: Column, law: Column) -> Column:
-        quantifier = F.when(F.size(used) == 1, F.concat(F.lit("for every choice of an object "), F.get(used, 0))).otherwise(
-            F.concat(F.lit("for every choice of objects "), _listing(used))
+        quantifier = F.when(F.size(used) == 1, F.concat(F.lit(f"f{FOR_ONE}"), F.get(used, 0))).otherwise(
+            F.concat(F.lit(f"f{FOR_MORE}"), _listing(used))
         )
         texts = F.transform(
             law["steps"],
             lambda s, i: F.concat(
-                F.lit("apply the operation to "), s["a"], F.lit(" as its first input and "), s["b"], F.lit(f" as its second input, and call the result {RESULT} "), (i + 1).cast("string")
+                F.lit(APPLY), s["a"], F.lit(FIRST_INPUT), s["b"], F.lit(f"{SECOND_INPUT}{RESULT} "), (i + 1).cast("string")
             ),
         )
-        equality = F.concat(F.get(law["stack"], 0), F.lit(" is always equal to "), F.get(law["stack"], 1))
-        return F.struct(quantifier.alias("quantifier"), F.array_join(texts, "; then ").alias("procedure"), F.size(law["steps"]).alias("steps"), equality.alias("equality"))
+        equality = F.concat(F.get(law["stack"], 0), F.lit(EQUAL), F.get(law["stack"], 1))
+        return F.struct(quantifier.alias("quantifier"), F.array_join(texts, NEXT_STEP).alias("procedure"), F.size(law["steps"]).alias("steps"), equality.alias("equality"))
 
     used = F.slice(letters, F.lit(1), F.size(A.variables(tokens)))
     return A.let(linearized(_named(tokens, letters), RESULT), lambda law: A.let(used, lambda u: words(u, law)))
@@ -134,12 +160,12 @@ def render_literal(pairs: DataFrame) -> DataFrame:
     """Pairs (e, f) of tokens with `description`, canonical_e and canonical_f; null where a law has too many variables."""
     def assume(law: Column) -> Column:
         lead = F.concat(F.lit(f"{ASSUME} "), _capital(law["quantifier"]), F.lit(", "))
-        return F.when(law["steps"] > 0, F.concat(lead, law["procedure"], F.lit(". Then "), law["equality"], F.lit("."))).otherwise(F.concat(lead, law["equality"], F.lit(".")))
+        return F.when(law["steps"] > 0, F.concat(lead, law["procedure"], F.lit(AFTER_STEPS), law["equality"], F.lit("."))).otherwise(F.concat(lead, law["equality"], F.lit(".")))
 
     def ask(law: Column) -> Column:
-        stepped = F.concat(F.lit(f"{QUESTION} "), _capital(law["quantifier"]), F.lit(", "), law["procedure"], F.lit(". Does it follow that "), law["equality"], F.lit("?"))
+        stepped = F.concat(F.lit(f"{QUESTION} "), _capital(law["quantifier"]), F.lit(", "), law["procedure"], F.lit(f". {FOLLOWS}"), law["equality"], F.lit("?"))
         return F.when(law["steps"] > 0, stepped).otherwise(
-            F.concat(F.lit(f"{QUESTION} Does it follow that, "), law["quantifier"], F.lit(", "), law["equality"], F.lit("?"))
+            F.concat(F.lit(f"{QUESTION} {FOLLOWS_BARE}"), law["quantifier"], F.lit(", "), law["equality"], F.lit("?"))
         )
 
     fits = (F.size(A.variables(F.col("e"))) <= MOST_VARIABLES) & (F.size(A.variables(F.col("f"))) <= MOST_VARIABLES)
@@ -154,8 +180,8 @@ def render_literal(pairs: DataFrame) -> DataFrame:
 
 _LETTER = "[xyzwuv]"
 _REF = rf"(?:{_LETTER}|{RESULT} \d+)"
-_STEP = rf"^apply the operation to ({_REF}) as its first input and ({_REF}) as its second input, and call the result {RESULT} (\d+)$"
-_QUANTIFIER = rf"^[Ff]or every choice of (?:an object {_LETTER}|objects {_LETTER}(?:, {_LETTER})*,? and {_LETTER}), "
+_STEP = rf"^{APPLY}({_REF}){FIRST_INPUT}({_REF}){SECOND_INPUT}{RESULT} (\d+)$"
+_QUANTIFIER = rf"^[Ff](?:{FOR_ONE}{_LETTER}|{FOR_MORE}{_LETTER}(?:, {_LETTER})*,? and {_LETTER}), "
 
 
 def _resolved(ref: Column, values: Column) -> Column:
@@ -166,7 +192,7 @@ def _resolved(ref: Column, values: Column) -> Column:
 
 def _read_law(procedure: Column, equality: Column) -> Column:
     """The law of a procedure (null: none) and an equality, as tokens; null where either is malformed."""
-    parts = F.when(procedure.isNull(), F.array().cast("array<string>")).otherwise(F.split(procedure, "; then "))
+    parts = F.when(procedure.isNull(), F.array().cast("array<string>")).otherwise(F.split(procedure, NEXT_STEP))
 
     def step(values: Column, part: Column) -> Column:
         number = F.regexp_extract(part, _STEP, 3)
@@ -174,7 +200,7 @@ def _read_law(procedure: Column, equality: Column) -> Column:
         good = number == (F.size(values) + 1).cast("string")
         return F.when(good, F.array_append(values, F.concat(F.lit("("), a, F.lit(f" {A.OP} "), b, F.lit(")"))))
 
-    pattern = rf"^({_REF}) is always equal to ({_REF})$"
+    pattern = rf"^({_REF}){EQUAL}({_REF})$"
 
     def law(values: Column) -> Column:
         sides = [_resolved(F.regexp_extract(equality, pattern, i), values) for i in (1, 2)]
@@ -188,6 +214,16 @@ def _after(text: Column, start: str) -> Column:
     return F.when(F.startswith(text, F.lit(start)), F.substr(text, F.lit(len(start) + 1)))
 
 
+def once_per_text(records: DataFrame, text: str, made: Column) -> DataFrame:
+    """Records with `made`, a struct made from a text alone, once for each distinct text; records without a text have none.
+
+    The second aggregate shuffles nothing; without it Spark would repeat the
+    expression in each filter that it pushes down.
+    """
+    texts = records.select(text).where(F.col(text).isNotNull()).distinct()
+    return records.join(texts.groupBy(text).agg(F.first(made).alias("made")), text, "left")
+
+
 def backparse_literal(records: DataFrame) -> DataFrame:
     """Records (description) with canonical_e and canonical_f, read from the text alone; null where it is malformed."""
     nothing = F.lit(None).cast("string")
@@ -195,13 +231,13 @@ def backparse_literal(records: DataFrame) -> DataFrame:
     def first(text: Column) -> Column:
         body = F.when(text.endswith("."), F.regexp_extract(_after(text, f"{ASSUME} "), r"(?s)^(.*)\.$", 1))
         rest = F.when(body.rlike(_QUANTIFIER), F.regexp_replace(body, _QUANTIFIER, ""))
-        return A.let(F.split(rest, r"\. Then ", 2), lambda two: A.let(F.struct(F.when(F.size(two) == 2, F.get(two, 0)).alias("p"), F.element_at(two, -1).alias("q")), lambda x: _read_law(x["p"], x["q"])))
+        return A.let(F.split(rest, rf"\{AFTER_STEPS}", 2), lambda two: A.let(F.struct(F.when(F.size(two) == 2, F.get(two, 0)).alias("p"), F.element_at(two, -1).alias("q")), lambda x: _read_law(x["p"], x["q"])))
 
     def second(text: Column) -> Column:
         def parts(ask: Column) -> Column:
-            plain = _after(ask, "Does it follow that, ")
+            plain = _after(ask, FOLLOWS_BARE)
             bare = F.when(plain.rlike(_QUANTIFIER), F.regexp_replace(plain, _QUANTIFIER, ""))
-            two = F.split(F.when(ask.rlike(_QUANTIFIER), F.regexp_replace(ask, _QUANTIFIER, "")), r"\. Does it follow that ", 2)
+            two = F.split(F.when(ask.rlike(_QUANTIFIER), F.regexp_replace(ask, _QUANTIFIER, "")), rf"\. {FOLLOWS}", 2)
             stepped = F.struct(F.get(two, 0).alias("p"), F.get(two, 1).alias("q"))
             return F.when(plain.isNotNull(), F.struct(nothing.alias("p"), bare.alias("q"))).otherwise(stepped)
 
@@ -211,14 +247,27 @@ def backparse_literal(records: DataFrame) -> DataFrame:
     whole = lambda parts: F.when((F.size(parts) == 3) & (F.get(parts, 0) == OPENING), parts)
     parts = A.let(F.split("description", "\n\n"), whole)
     e, f = A.let(F.get(parts, 1), first), A.let(F.get(parts, 2), second)
-    return records.withColumns({"canonical_e": A.canonical(e), "canonical_f": A.canonical(f)})
+    made = F.struct(A.canonical(e).alias("canonical_e"), A.canonical(f).alias("canonical_f"))
+    kept = records.drop("canonical_e", "canonical_f")
+    return once_per_text(kept, "description", made).select(*[F.col(f"`{c}`") for c in kept.columns], "made.canonical_e", "made.canonical_f")
+
+
+def _gate(read: DataFrame, e: str, f: str) -> DataFrame:
+    same = F.col(e).eqNullSafe(F.col("true e")) & F.col(f).eqNullSafe(F.col("true f"))
+    return read.groupBy("theme").agg(F.count(F.lit(1)).alias("records"), F.count_if(~same).alias("failures"))
 
 
 def roundtrip_gate(records: DataFrame) -> DataFrame:
     """(theme, records, failures): records (theme, description, canonical_e, canonical_f) whose text does not read back as they say."""
     told = records.select("theme", "description", F.col("canonical_e").alias("true e"), F.col("canonical_f").alias("true f"))
-    same = F.col("canonical_e").eqNullSafe(F.col("true e")) & F.col("canonical_f").eqNullSafe(F.col("true f"))
-    return backparse_literal(told).groupBy("theme").agg(F.count(F.lit(1)).alias("records"), F.count_if(~same).alias("failures"))
+    return _gate(backparse_literal(told), "canonical_e", "canonical_f")
+
+
+def story_roundtrip_gate(records: DataFrame, themes: DataFrame) -> DataFrame:
+    """The same of records whose description is a story; one that opens like another theme's fails as well."""
+    told = records.select("theme", F.col("description").alias("story"), F.col("canonical_e").alias("true e"), F.col("canonical_f").alias("true f"))
+    read = backparse_story(told, themes)
+    return _gate(read.withColumn("read_e", F.when(F.col("read_theme") == F.col("theme"), F.col("read_e"))), "read_e", "read_f")
 
 
 def _story_law(tokens: Column, question: bool) -> dict[str, Column]:
@@ -240,18 +289,18 @@ def _story_law(tokens: Column, question: bool) -> dict[str, Column]:
             (i + 1).cast("string"),
         ),
     )
-    glue = F.lit("; then ") if question else F.concat(F.lit("; then "), t["subject"], F.lit(" "))
+    glue = F.lit(NEXT_STEP) if question else F.concat(F.lit(NEXT_STEP), t["subject"], F.lit(" "))
     joined = lambda steps: F.aggregate(F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))), F.get(steps, 0), lambda a, s: F.concat(a, glue, s))
-    again = "again " if question else ""
-    at_all = "" if question else " at all"
+    again = AGAIN if question else ""
+    at_all = "" if question else AT_ALL
     ordinal = F.array(*[F.lit(x) for x in ORDINALS])
     number = F.array(*[F.lit(x) for x in NUMBERS])
     parts = F.transform(names, lambda x, i: F.concat(F.lit("the "), F.get(ordinal, i), F.lit(" "), x))
-    take = F.when(n == 1, F.concat(F.lit("Take any "), t["element_singular"], F.lit(f"{at_all} — {again}call it "), F.get(names, 0), F.lit("."))).otherwise(
-        F.concat(F.lit("Take any "), F.get(number, n - 1), F.lit(" "), t["element_plural"], F.lit(f"{at_all} — {again}call "), _listing(parts), F.lit("."))
+    take = F.when(n == 1, F.concat(F.lit(TAKE), t["element_singular"], F.lit(f"{at_all} — {again}{CALL_ONE}"), F.get(names, 0), F.lit("."))).otherwise(
+        F.concat(F.lit(TAKE), F.get(number, n - 1), F.lit(" "), t["element_plural"], F.lit(f"{at_all} — {again}{CALL_MORE}"), _listing(parts), F.lit("."))
     )
-    ref = lambda i: F.when(F.array_contains(names, F.get(law["stack"], i)), F.concat(F.get(law["stack"], i), F.lit(" itself"))).otherwise(F.get(law["stack"], i))
-    chosen = F.when(n == 1, F.concat(F.lit("starting "), t["element_singular"])).otherwise(F.concat(F.get(number, n - 1), F.lit(" starting "), t["element_plural"]))
+    ref = lambda i: F.when(F.array_contains(names, F.get(law["stack"], i)), F.concat(F.get(law["stack"], i), F.lit(ITSELF))).otherwise(F.get(law["stack"], i))
+    chosen = F.when(n == 1, F.concat(F.lit(STARTING), t["element_singular"])).otherwise(F.concat(F.get(number, n - 1), F.lit(f" {STARTING}"), t["element_plural"]))
     return t | {
         "take": take,
         "n_left": left,
@@ -275,19 +324,19 @@ def render_story(pairs: DataFrame, themes: DataFrame) -> DataFrame:
     h = _story_law(F.col("e"), question=False)
     two = (h["n_left"] > 0) & (h["n_right"] > 0)
     some = (h["n_left"] > 0) | (h["n_right"] > 0)
-    opening = F.concat(h["intro"], F.lit(" "), h["take"], F.when(two, F.concat(F.lit(" "), _capital(h["subject"]), F.lit(" runs two procedures side by side."))).otherwise(""))
-    first = F.when(two, F.concat(F.lit("In the first, "), h["subject"], F.lit(" "), h["left"], F.lit("."))).when(
+    opening = F.concat(h["intro"], F.lit(" "), h["take"], F.when(two, F.concat(F.lit(" "), _capital(h["subject"]), F.lit(SIDE_BY_SIDE))).otherwise(""))
+    first = F.when(two, F.concat(F.lit(IN_THE_FIRST), h["subject"], F.lit(" "), h["left"], F.lit("."))).when(
         some, F.concat(_capital(h["subject"]), F.lit(" "), F.coalesce(F.when(h["n_left"] > 0, h["left"]), h["right"]), F.lit("."))
     )
-    second = F.when(two, F.concat(F.lit("In the second, "), h["subject"], F.lit(" "), h["right"], F.lit(".")))
+    second = F.when(two, F.concat(F.lit(IN_THE_SECOND), h["subject"], F.lit(" "), h["right"], F.lit(".")))
     habit = F.concat(
-        F.lit("However "), h["subject"], F.lit(" chooses "), h["possessive"], F.lit(" "), h["chosen"], F.lit(", "), h["x"], F.lit(" and "), h["y"], F.lit(" always "), h["same_habit"], F.lit(". "), h["closing"]
+        F.lit(HOWEVER), h["subject"], F.lit(CHOOSES), h["possessive"], F.lit(" "), h["chosen"], F.lit(", "), h["x"], F.lit(" and "), h["y"], F.lit(ALWAYS), h["same_habit"], F.lit(". "), h["closing"]
     )
     q = _story_law(F.col("f"), question=True)
-    then = F.when((q["n_left"] > 0) & (q["n_right"] > 0), F.concat(F.lit("Separately, "), q["right"], F.lit("."))).when(q["n_right"] > 0, F.concat(_capital(q["right"]), F.lit(".")))
+    then = F.when((q["n_left"] > 0) & (q["n_right"] > 0), F.concat(F.lit(SEPARATELY), q["right"], F.lit("."))).when(q["n_right"] > 0, F.concat(_capital(q["right"]), F.lit(".")))
     start = F.when(q["n_left"] > 0, F.concat(_capital(q["left"]), F.lit(".")))
     asked = F.concat_ws(" ", q["question_intro"], q["take"], start, then)
-    closing = F.concat(q["question_lead"], F.lit(", must "), q["x"], F.lit(" and "), q["y"], F.lit(" always "), q["same_question"], F.lit("?"))
+    closing = F.concat(q["question_lead"], F.lit(f", {MUST}"), q["x"], F.lit(" and "), q["y"], F.lit(ALWAYS), q["same_question"], F.lit("?"))
     return joined.withColumns(
         {
             "story": F.concat_ws("\n\n", opening, first, second, habit, asked, closing),
@@ -308,7 +357,7 @@ def backparse_story(stories: DataFrame, themes: DataFrame) -> DataFrame:
     noun = quoted(F.col("result_noun"))
     ref = F.concat(F.lit("("), noun, F.lit(r" \d+|"), names, F.lit(")"))
     op = lambda c: F.replace(F.replace(quoted(c), F.lit(r"\{a\}"), ref), F.lit(r"\{b\}"), ref)
-    compare = F.concat(F.lit("("), noun, F.lit(r" \d+|(?:"), names, F.lit(")(?: itself)?)"))
+    compare = F.concat(F.lit("("), noun, F.lit(r" \d+|(?:"), names, F.lit(f")(?:{ITSELF})?)"))
     dim = themes.select(
         "key",
         "intro",
@@ -318,8 +367,8 @@ def backparse_story(stories: DataFrame, themes: DataFrame) -> DataFrame:
         F.locate("{b}", F.col("op_agent")).alias("b agent"),
         F.concat(F.lit(r"\b(?:[Ss]he|[Hh]e) "), op(F.col("op_agent")), F.lit(" and (?:" + "|".join(NAMING_AGENT) + ") "), noun, F.lit(r" (\d+)")).alias("agent"),
         F.concat(F.lit("(?i)"), op(F.col("op_imperative")), F.lit(" and (?:" + "|".join(NAMING_IMPERATIVE) + ") "), noun, F.lit(r" (\d+)")).alias("imperative"),
-        F.concat(F.lit("However (?:she|he) chooses [^,]*, "), compare, F.lit(" and "), compare, F.lit(" always "), quoted(F.col("same_habit")), F.lit(r"\.")).alias("habit"),
-        F.concat(F.lit("must "), compare, F.lit(" and "), compare, F.lit(" always "), quoted(F.col("same_question")), F.lit(r"\?")).alias("asked"),
+        F.concat(F.lit(f"{HOWEVER}(?:she|he){CHOOSES}[^,]*, "), compare, F.lit(" and "), compare, F.lit(ALWAYS), quoted(F.col("same_habit")), F.lit(r"\.")).alias("habit"),
+        F.concat(F.lit(MUST), compare, F.lit(" and "), compare, F.lit(ALWAYS), quoted(F.col("same_question")), F.lit(r"\?")).alias("asked"),
     )
     told = stories.join(dim, F.startswith("story", "intro"), "left")
     at = F.expr("locate(question_intro, story)")
@@ -354,9 +403,9 @@ def backparse_story(stories: DataFrame, themes: DataFrame) -> DataFrame:
 
 #: Words and characters that must not leak into texts.
 BANNED_WORDS = (
-    "equation equations law laws magma magmas implies implication implications theorem theorems lemma axiom axioms formula formulas "
-    "variable variables quantifier commutative associative lean"
-).split()
+    "equation", "equations", "law", "laws", "magma", "magmas", "implies", "implication", "implications", "theorem", "theorems", "lemma",
+    "axiom", "axioms", "formula", "formulas", "variable", "variables", "quantifier", "commutative", "associative", "lean",
+)
 BANNED_CHARS = "∘◇*=+^⇒→≠()[]{}<>"
 
 

@@ -21,6 +21,8 @@ from lawframe.operators import corpus
 OVERSAMPLING = 8
 #: (slot, least and most operations of both laws, how many), filled in this order (fixed values).
 SLOTS = (("low", 2, 3, 1), ("high", 7, 8, 1), ("example", 4, 6, 3))
+#: Draws after which a slot counts as unfillable (fixed value).
+SLOT_DRAWS = 200_000
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -91,12 +93,21 @@ def _placed(laws: DataFrame, seed: str, most: int) -> DataFrame:
     return ranked.where(F.col("rank") <= most).select("law_no", "ops", (F.col("rank") - 1).cast("long").alias("at"))
 
 
+def _full(sample: DataFrame, group: str, quota: dict) -> DataFrame:
+    """The sample, if each group has its quota; ValueError with the groups that fall short, an absent one included."""
+    got = {r[group]: r["n"] for r in sample.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per group of a short list
+    if short := [f"{g}: {got.get(g, 0)} of {n}" for g, n in quota.items() if got.get(g, 0) < n]:
+        raise ValueError(f"too few for {group} {', '.join(short)}")
+    return sample
+
+
 def sample_stratified(laws: DataFrame, per_bin: int, seed: str, bins: Iterable[int] = range(1, 9), most: int = 4) -> DataFrame:
     """(bin, e_no, f_no): per bin of total operations, pairs dealt in turn to its splits, then by place within a split.
 
-    A split that runs out leaves its turns to the others; a bin with fewer
-    pairs than asked for gives what it has.
+    A split that runs out leaves its turns to the others; ValueError if a bin
+    has fewer pairs than asked for.
     """
+    bins = list(bins)
     usable = corpus.renderable(laws)
     sizes = split_sizes(usable, bins, most)
     counts = usable.groupBy(A.operations(F.col("tokens")).alias("ops")).agg(F.count(F.lit(1)).alias("n"))
@@ -109,12 +120,14 @@ def sample_stratified(laws: DataFrame, per_bin: int, seed: str, bins: Iterable[i
     # as far as places can reach: e_at + block + 1 is at most 2 * per_bin
     placed = _placed(usable, seed, 2 * per_bin + 1)
     e, f = (placed.select(F.col("law_no").alias(f"{x}_no"), F.col("ops").alias(f"ops_{x}"), F.col("at").alias(f"{x}_at")) for x in "ef")
-    return turns.join(e, ["ops_e", "e_at"]).join(f, ["ops_f", "f_at"]).select("bin", "e_no", "f_no")
+    found = turns.join(e, ["ops_e", "e_at"]).join(f, ["ops_f", "f_at"]).select("bin", "e_no", "f_no")
+    return _full(found, "bin", dict.fromkeys(bins, per_bin))
 
 
-def sample_balanced(laws: DataFrame, per_bin: int, seed: str) -> DataFrame:
-    """(ops, e_no, f_no): pairs of different laws of as many operations, `per_bin` for each number with two laws or more."""
-    usable = corpus.renderable(laws).where(A.operations(F.col("tokens")) >= 1)
+def sample_balanced(laws: DataFrame, per_bin: int, seed: str, bins: Iterable[int] = range(1, 11)) -> DataFrame:
+    """(ops, e_no, f_no): `per_bin` pairs of different laws of as many operations, for each number in `bins`; ValueError if one has too few."""
+    bins = list(bins)
+    usable = corpus.renderable(laws).where(A.operations(F.col("tokens")).isin(bins))
     pools = usable.groupBy(A.operations(F.col("tokens")).alias("ops")).agg(F.count(F.lit(1)).alias("pool")).where("pool >= 2")
     draws = pools.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_bin - 1)))).where("i < pool * (pool - 1)")
     e_at = F.col("i") % F.col("pool")
@@ -122,18 +135,18 @@ def sample_balanced(laws: DataFrame, per_bin: int, seed: str) -> DataFrame:
     draws = draws.select("ops", e_at.alias("e_at"), ((F.col("i") + 1 + shift) % F.col("pool")).alias("f_at"))
     placed = _placed(usable, seed, per_bin + 1)
     e, f = (placed.select(F.col("law_no").alias(f"{x}_no"), "ops", F.col("at").alias(f"{x}_at")) for x in "ef")
-    return draws.join(e, ["ops", "e_at"]).join(f, ["ops", "f_at"]).select("ops", "e_no", "f_no")
+    return _full(draws.join(e, ["ops", "e_at"]).join(f, ["ops", "f_at"]).select("ops", "e_no", "f_no"), "ops", dict.fromkeys(bins, per_bin))
 
 
-def slot_fill(laws: DataFrame, seed: str, draws: int = 20_000) -> DataFrame:
-    """(slot, place, e_no, f_no, ops_total): each slot's first fitting, non-vacuous pairs in draw order."""
+def slot_fill(laws: DataFrame, seed: str, draws: int = SLOT_DRAWS) -> DataFrame:
+    """(slot, place, e_no, f_no, ops_total): each slot's first fitting, non-vacuous pairs in draw order; ValueError if one stays empty after so many draws."""
     pairs = corpus.drop_vacuous(corpus.with_complexity(_with_laws(_draws(laws, draws, seed), laws)))
     slot = F.coalesce(*[F.when(F.col("ops_total").between(low, high), F.lit(name)) for name, low, high, _ in SLOTS])
     most = F.coalesce(*[F.when(F.col("slot") == name, F.lit(n)) for name, _, _, n in SLOTS])
     ranked = pairs.withColumn("slot", slot).where("slot is not null").withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy("draw")))
     # the plan drops all but the first few of each slot before it shuffles
     few = ranked.where(F.col("place") <= max(n for *_, n in SLOTS)).where(F.col("place") <= most)
-    return few.select("slot", "place", "e_no", "f_no", "ops_total")
+    return _full(few.select("slot", "place", "e_no", "f_no", "ops_total"), "slot", {name: n for name, *_, n in SLOTS})
 
 
 def nested_examples(laws: DataFrame, group: str, most: int, seed: str) -> DataFrame:
@@ -179,13 +192,13 @@ def _term(polish: Column) -> Column:
     return F.get(F.aggregate(F.reverse(polish), F.array().cast("array<string>"), step), 0)
 
 
-def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, least: int = 1) -> DataFrame:
-    """(bin, law_key, line, draw): laws with as many operations as their bin, one per law key, the first drawn.
+def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, per_bin: int, min_pairs: int = 20) -> DataFrame:
+    """(bin, law_key, line, draw): per bin the first `per_bin` laws with as many operations, one per law key, the first drawn.
 
     Each row of `draws` (draw) makes one attempt per bin: the operations are split
     uniformly, the smaller side first, each side's shape is uniform, and each leaf
-    takes a used variable or a fresh one, six at most. ValueError if a bin has
-    fewer than `least` laws.
+    takes a used variable or a fresh one, six at most. A bin may stay short of its
+    quota if its laws still make `min_pairs` ordered pairs; ValueError if not.
     """
     bins = list(bins)
     each = draws.withColumn("bin", F.explode(F.array(*[F.lit(b) for b in bins])))
@@ -213,8 +226,8 @@ def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, least: int
     tokens = A.parse_canonical(F.concat("s.left", F.lit(" = "), "s.right"))
     keyed = made.select("bin", "draw", F.explode(F.array(tokens)).alias("t")).select("bin", "draw", A.law_key(F.col("t")).alias("law_key"), A.serialized(F.col("t")).alias("line"))
     found = keyed.groupBy("bin", "law_key").agg(F.min_by("line", "draw").alias("line"), F.min("draw").alias("draw"))
-    if least > 1:
-        got = {r["bin"]: r["n"] for r in found.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per bin
-        if short := [b for b in bins if got.get(b, 0) < least]:
-            raise ValueError(f"too few laws in bins {short}")
-    return found
+    order = Window.partitionBy("bin").orderBy("draw", "law_key")
+    # the plan drops all but the first of each bin before it shuffles
+    kept = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_bin).drop("rank")
+    enough = next(n for n in range(per_bin + 1) if n == per_bin or n * (n - 1) >= min_pairs)
+    return _full(kept, "bin", dict.fromkeys(bins, enough))

@@ -41,11 +41,12 @@ def model_summary(rows: DataFrame, models: DataFrame) -> DataFrame:
 
 def fmt_pct(ratio: Column, digits: int = 1) -> Column:
     """A ratio in percent, `-` for null."""
-    return F.when(ratio.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", ratio * 100))
+    return fmt_number(ratio * 100, digits)
 
 
 def fmt_number(value: Column, digits: int = 3) -> Column:
-    return F.when(value.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", value))
+    """A number with so many digits, `-` for null; ties go to the even digit."""
+    return F.when(value.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", F.bround(value, digits)))
 
 
 def summary_table(summary: DataFrame) -> DataFrame:

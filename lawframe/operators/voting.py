@@ -69,6 +69,45 @@ def multi_pass_join(passes: DataFrame, k: int) -> DataFrame:
     return found.select(*KEYS, F.array_join(F.transform("rows", lambda r: r["bucket"]), ",").alias("buckets"), F.size("rows").alias("present"), (k - F.size("rows")).alias("missing"))
 
 
+#: What runs of one experiment have in common.
+SHARED_META = ("models", "form", "reasoning_regime", "prompt_template_sha256", "equations_sha256", "label_prefix", "seed", "temperature")
+
+
+def coverage_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, only_in): distinct keys that only one of two runs covers; none if they cover the same."""
+    both = a.select(*keys).distinct().withColumn("run", F.lit("a")).unionByName(b.select(*keys).distinct().withColumn("run", F.lit("b")))
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("only_in")).where("n = 1").drop("n")
+
+
+def pass_differences(samples: DataFrame, meta: DataFrame, shared: tuple[str, ...] = SHARED_META) -> DataFrame:
+    """(pass, differs, n): where a pass differs from the first one.
+
+    `samples` has the ordered list of each pass (pass, place, pair_id, prompt_hash):
+    entries that only one of the two lists has count under "samples". `meta` has a
+    row per pass; each shared key with another value, null like any, counts once.
+    """
+    first = meta.agg(F.min("pass")).first()[0]
+    others = meta.where(F.col("pass") != first)
+    entries = samples.groupBy("place", "pair_id", "prompt_hash").agg(F.collect_set("pass").alias("passes"))
+    each = entries.select(F.explode("passes").alias("pass"), F.array_contains("passes", F.lit(first)).alias("shared"))
+    sizes = each.groupBy("pass").agg(F.count(F.lit(1)).alias("own"), F.count_if("shared").alias("common"))
+    # a row per pass from here on; a pass without samples lacks all of the first one's
+    sizes = meta.select("pass").join(sizes, "pass", "left").na.fill(0, ["own", "common"])
+    want = F.max(F.when(F.col("pass") == first, F.col("own"))).over(Window.partitionBy())
+    lists = sizes.withColumn("n", want + F.col("own") - 2 * F.col("common")).where((F.col("pass") != first) & (F.col("n") > 0)).select("pass", F.lit("samples").alias("differs"), "n")
+    values = lambda df: df.select("pass", F.explode(F.array(*[F.struct(F.lit(k).alias("differs"), F.col(k).cast("string").alias("value")) for k in shared])).alias("m")).select("pass", "m.*")
+    want = values(meta.where(F.col("pass") == first)).select("differs", F.col("value").alias("wanted"))
+    keys = values(others).join(want, "differs").where(~F.col("value").eqNullSafe(F.col("wanted")))
+    return lists.unionByName(keys.select("pass", "differs", F.lit(1).cast("long").alias("n")))
+
+
+def check_consistency(samples: DataFrame, meta: DataFrame, shared: tuple[str, ...] = SHARED_META) -> None:
+    """ValueError naming the passes that sample other prompts than the first, or differ from it in metadata."""
+    found = pass_differences(samples, meta, shared).orderBy("pass", "differs").collect()  # passes times shared keys at most
+    if found:
+        raise ValueError("; ".join(f"pass {r['pass']} differs in {r['differs']}" for r in found))
+
+
 def baseline_subset(baseline: DataFrame, passes: DataFrame) -> DataFrame:
     """Baseline rows of the models that have passes; ValueError unless both cover the same pairs."""
     pairs, own = (x.select("pair_id").distinct() for x in (baseline, passes))

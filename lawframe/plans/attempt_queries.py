@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lawframe.operators import attempts as T
 from lawframe.operators import paired, summary, voting
+from lawframe.operators.order import numbered
 from lawframe.plans.registry import query
 from lawframe.plans.views import attempts, attempts_sql, table
 
@@ -119,12 +120,12 @@ def report_tiles(spark, sf_dir):
 @query(
     "group_runs_by_pairset",
     attempts_sql(
-        """, s AS (SELECT form || '/' || regime AS run, count(DISTINCT pair_id) AS pairs, string_agg(DISTINCT pair_id, ',' ORDER BY pair_id) AS ids FROM attempts WHERE ops_total < 3 GROUP BY 1)
+        """, s AS (SELECT form || '/' || regime AS run, count(DISTINCT pair_id) AS pairs, string_agg(DISTINCT pair_id, ',' ORDER BY pair_id) AS ids FROM attempts GROUP BY 1)
 SELECT run, pairs, min(run) OVER (PARTITION BY ids) AS experiment FROM s"""
     ),
 )
 def group_runs_by_pairset(spark, sf_dir):
-    return summary.group_runs_by_pairset(attempts(spark, sf_dir).where("ops_total < 3"), RUN)
+    return summary.group_runs_by_pairset(attempts(spark, sf_dir), RUN)
 
 
 @query(
@@ -373,10 +374,10 @@ def spearman(spark, sf_dir):
 
 @query(
     "average_ranks",
-    attempts_sql(f", g AS (SELECT regime, pair_id, count(*) FILTER ({_OK}) AS good FROM attempts WHERE ops_total = 3 GROUP BY ALL) SELECT regime, pair_id, (rank() OVER (PARTITION BY regime ORDER BY good) + (count(*) OVER (PARTITION BY regime, good) - 1) / 2.0)::DOUBLE AS place FROM g"),
+    attempts_sql(f", g AS (SELECT regime, pair_id, count(*) FILTER ({_OK}) AS good FROM attempts GROUP BY ALL) SELECT regime, pair_id, (rank() OVER (PARTITION BY regime ORDER BY good) + (count(*) OVER (PARTITION BY regime, good) - 1) / 2.0)::DOUBLE AS place FROM g"),
 )
 def average_ranks(spark, sf_dir):
-    return _average_ranks(attempts(spark, sf_dir).where("ops_total = 3"))
+    return _average_ranks(attempts(spark, sf_dir))
 
 
 @query(
@@ -515,33 +516,57 @@ def baseline_subset(spark, sf_dir):
     return voting.baseline_subset(baseline, passes).select("seq", "pair_id", "model")
 
 
-@query("sample_model_order", attempts_sql("SELECT pair_id, model, row_number() OVER (ORDER BY first_seq, model)::INT AS place FROM (SELECT pair_id, model, min(min(seq)) OVER (PARTITION BY pair_id) AS first_seq FROM attempts WHERE ops_total = 2 GROUP BY pair_id, model)"))
+@query("sample_model_order", attempts_sql("SELECT pair_id, model, row_number() OVER (ORDER BY first_seq, model)::INT AS place FROM (SELECT pair_id, model, min(min(seq)) OVER (PARTITION BY pair_id) AS first_seq FROM attempts GROUP BY pair_id, model)"))
 def sample_model_order(spark, sf_dir):
-    return _model_order(spark, attempts(spark, sf_dir).where("ops_total = 2"))
+    return _model_order(attempts(spark, sf_dir))
 
 
 @query("sample_model_order_all", attempts_sql("SELECT pair_id, model, row_number() OVER (ORDER BY first_seq, model)::INT AS place FROM (SELECT pair_id, model, min(min(seq)) OVER (PARTITION BY pair_id) AS first_seq FROM attempts GROUP BY pair_id, model)"))
 def sample_model_order_all(spark, sf_dir):
-    return _model_order(spark, attempts(spark, sf_dir))
+    return _model_order(attempts(spark, sf_dir))
 
 
-def _model_order(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _model_order(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("pair_id").agg(F.min("seq").alias("first_seq"))
     cells = rows.select("pair_id", "model").distinct().join(first, "pair_id")
-    # sorted by ranges; zipWithIndex numbers the sorted rows without gathering them
-    ordered = cells.select("pair_id", "model", "first_seq").orderBy("first_seq", "model")
-    numbered = ordered.rdd.zipWithIndex().map(lambda r: (r[0]["pair_id"], r[0]["model"], r[1] + 1))
-    return spark.createDataFrame(numbered, "pair_id string, model string, place int")
+    return numbered(cells, ["first_seq", "model", "pair_id"], "place").select("pair_id", "model", F.col("place").cast("int").alias("place"))
 
 
 @query(
     "assert_same_pairs",
-    attempts_sql(", a AS (SELECT DISTINCT pair_id FROM attempts WHERE form = 'story' AND regime = 'on'), b AS (SELECT DISTINCT pair_id FROM attempts WHERE form = 'literal' AND regime = 'on') SELECT pair_id, 'a' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT pair_id, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"),
+    attempts_sql(
+        """, cells AS (SELECT DISTINCT form, regime, pair_id, model FROM attempts WHERE form <> 'two-stage'), a AS (SELECT regime, pair_id, model FROM cells WHERE form = 'story'), b AS (SELECT regime, pair_id, model FROM cells WHERE form = 'literal')
+SELECT regime, pair_id, model, 'a' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT regime, pair_id, model, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+    ),
 )
 def assert_same_pairs(spark, sf_dir):
-    rows = attempts(spark, sf_dir).where("regime = 'on'")
-    a, b = (rows.where(F.col("form") == f).select("pair_id").distinct() for f in ("story", "literal"))
-    return a.exceptAll(b).withColumn("only_in", F.lit("a")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("b")))
+    """Where the story and the literal runs differ, by regime, pair and model."""
+    a, b = (attempts(spark, sf_dir).where(F.col("form") == f) for f in ("story", "literal"))
+    return voting.coverage_differences(a, b, ["regime", "pair_id", "model"])
+
+
+_PASS_SAMPLES = """, sampled AS (SELECT DISTINCT pass, pair_id, substr(pair_id, 2)::BIGINT AS place FROM attempts),
+samples AS (SELECT pass, place, pair_id, CASE WHEN pass = 3 AND place % 10 = 0 THEN 'changed' ELSE 'same' END AS prompt_hash FROM sampled),
+meta AS (SELECT pass, 'seed' AS key, '7' AS value FROM (SELECT DISTINCT pass FROM attempts) UNION ALL SELECT pass, 'temperature', CASE WHEN pass = 5 THEN '0.7' ELSE '0' END FROM (SELECT DISTINCT pass FROM attempts))"""
+
+
+@query(
+    "pass_consistency",
+    attempts_sql(
+        _PASS_SAMPLES
+        + """, first AS (SELECT place, pair_id, prompt_hash FROM samples WHERE pass = 1),
+others AS (SELECT DISTINCT pass FROM attempts WHERE pass > 1),
+lists AS (SELECT o.pass, (SELECT count(*) FROM (SELECT place, pair_id, prompt_hash FROM samples s WHERE s.pass = o.pass EXCEPT SELECT * FROM first)) + (SELECT count(*) FROM (SELECT * FROM first EXCEPT SELECT place, pair_id, prompt_hash FROM samples s WHERE s.pass = o.pass)) AS n FROM others o)
+SELECT pass, 'samples' AS differs, n FROM lists WHERE n > 0 UNION ALL SELECT pass, 'temperature', 1 FROM others WHERE pass = 5"""
+    ),
+)
+def pass_consistency(spark, sf_dir):
+    """Passes against the first: each samples what its attempts have; one has changed prompts, one another temperature."""
+    place = F.substring("pair_id", 2, 20).cast("long")
+    sampled = attempts(spark, sf_dir).select("pass", "pair_id").distinct().withColumn("place", place)
+    changed = F.when((F.col("pass") == 3) & (F.col("place") % 10 == 0), "changed").otherwise("same")
+    meta = sampled.select("pass").distinct().select("pass", F.lit("7").alias("seed"), F.when(F.col("pass") == 5, "0.7").otherwise("0").alias("temperature"))
+    return voting.pass_differences(sampled.withColumn("prompt_hash", changed), meta, ("seed", "temperature"))
 
 
 @query("union_runs", attempts_sql("SELECT seq, bucket, CASE WHEN form = 'two-stage' THEN reasoning_tokens END AS stage1_reasoning_tokens FROM attempts WHERE form IN ('story', 'two-stage')"))
@@ -558,15 +583,6 @@ def common_keys(spark, sf_dir):
     return rows.where("form = 'story'").select("pair_id", "model").intersect(rows.where("form = 'literal'").select("pair_id", "model"))
 
 
-@query(
-    "discover_runs",
-    attempts_sql("SELECT form, regime, count(DISTINCT ops_total % 2) AS copies, count(DISTINCT ops_total % 2) > 1 AS duplicate, regime IN ('on', 'off') AS known_regime FROM attempts GROUP BY ALL"),
-)
-def discover_runs(spark, sf_dir):
-    runs = attempts(spark, sf_dir).select(*RUN, (F.col("ops_total") % 2).alias("directory")).distinct()
-    return runs.groupBy(*RUN).agg(F.count(F.lit(1)).alias("copies"), (F.count(F.lit(1)) > 1).alias("duplicate")).withColumn("known_regime", F.col("regime").isin("on", "off"))
-
-
 @query(
     "unknown_keys",
     """WITH catalog AS (SELECT n_name AS key FROM nation), requested AS (SELECT DISTINCT replace(n_name, 'A', 'E') AS key FROM nation),

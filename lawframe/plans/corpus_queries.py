@@ -25,9 +25,12 @@ def example_themes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(c) for c in THEME_COLUMNS) for r in rows], io.THEME)
 
 
+def themed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return law_pairs(spark, sf_dir).withColumn("theme", F.when(F.col("e_no") % 2 == 0, "bakery").otherwise("loom"))
+
+
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = law_pairs(spark, sf_dir).withColumn("theme", F.when(F.col("e_no") % 2 == 0, "bakery").otherwise("loom"))
-    return corpus.render_story(pairs, example_themes(spark))
+    return corpus.render_story(themed_pairs(spark, sf_dir), example_themes(spark))
 
 
 @query("render_story")
@@ -53,7 +56,7 @@ def leakage_filter(spark, sf_dir):
     return flagged.select("doc_id", "banned_word", "banned_char", "lone_letter", "letter_digit")
 
 
-@query("scan_themes", "SELECT lower(replace(n_name, ' ', '_')) AS key, 6 AS names, true AS misnamed FROM nation")
+@query("scan_themes", "SELECT lower(replace(n_name, ' ', '_')) AS key, 6 AS names, CASE WHEN n_nationkey % 3 = 0 THEN 'other' ELSE lower(replace(n_name, ' ', '_')) END AS stem, n_nationkey % 3 = 0 AS misnamed FROM nation")
 def scan_themes(spark, sf_dir):
     """Nations make themes, a file each, that are written, read and checked against their file names."""
     names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -61,8 +64,10 @@ def scan_themes(spark, sf_dir):
     rows = names.withColumn("key", F.lower(F.regexp_replace("n_name", " ", "_"))).withColumn("match", F.lit("loom"))
     themed = rows.join(base.withColumn("match", F.lit("loom")), "match").select("n_nationkey", *THEME_COLUMNS)
     path = _folder(spark)
-    themed.drop("n_nationkey").write.option("maxRecordsPerFile", 1).json(path)
-    return io.scan_themes(spark, path).select("key", F.size("palette").alias("names"), "misnamed")
+    file = F.concat(F.when(F.col("n_nationkey") % 3 == 0, "other").otherwise(F.col("key")), F.lit(".json"))
+    # every third theme is in a file of another name; one of a name holds one theme, as maxRecordsPerFile says
+    themed.withColumn("file", file).drop("n_nationkey").write.option("maxRecordsPerFile", 1).partitionBy("file").json(path)
+    return io.scan_themes(spark, path).select("key", F.size("palette").alias("names"), "stem", "misnamed")
 
 
 @query(

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from lawframe.functions import algebra as A
+from lawframe.functions.labels import FORM_ORDER
+from lawframe.operators import attempts as T
 from lawframe.operators import corpus, summary
 from lawframe.operators.attempts import latest_graded
 from lawframe.plans.attempt_queries import _LATEST, _SUMMARY, CELL, _models
@@ -28,32 +30,57 @@ def _folder(spark: SparkSession) -> str:
 @query("scan_equations", forms_sql("SELECT row_number() OVER (ORDER BY law_no) AS law_no, equation FROM laws"))
 def scan_equations(spark, sf_dir):
     path = _folder(spark)
-    # one file in line order, as lists are authored
-    laws(spark, sf_dir).orderBy("law_no").select("equation").coalesce(1).write.text(path)
+    # as many files as the sort has ranges, named in their order
+    laws(spark, sf_dir).orderBy("law_no").select("equation").write.text(path)
     return io.scan_equations(spark, path)
 
 
-@query("content_digest", forms_sql("SELECT sha256(string_agg(equation, chr(10) ORDER BY law_no) || chr(10)) AS sha256 FROM laws"))
+@query("content_digest", forms_sql("SELECT law_no // 100 AS list, sha256(string_agg(equation, chr(10) ORDER BY law_no) || chr(10)) AS sha256 FROM laws GROUP BY 1"))
 def content_digest(spark, sf_dir):
+    """A list of equations per hundred law numbers, each a file."""
     path = _folder(spark)
-    laws(spark, sf_dir).orderBy("law_no").select("equation").coalesce(1).write.text(path)
-    return io.content_digest(spark, f"{path}/*.txt").select("sha256")
+    lists = laws(spark, sf_dir).withColumn("list", F.floor(F.col("law_no") / 100))
+    lists.repartition("list").sortWithinPartitions("list", "law_no").select("list", "equation").write.partitionBy("list").text(path)
+    found = io.content_digest(spark, f"{path}/*/*.txt")
+    return found.select(F.regexp_extract("path", r"list=(\d+)/", 1).cast("long").alias("list"), "sha256")
 
 
 def _result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = attempts(spark, sf_dir).select("form", "regime", "pair_id", "model", "ops_total", "depth", F.col("reasoning_tokens").cast("long").alias("reasoning_tokens"), "latency_s", "bucket")
-    return have.select(*[F.col(f.name) if f.name in have.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(io.RESULTS)])
+    return have.select(*[F.col(f.name) if f.name in have.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(io.RESULTS)])
 
 
-@query("scan_runs", attempts_sql("SELECT form || '-' || regime AS run, form, regime, count(*) AS n_rows, count(DISTINCT pair_id) AS pairs FROM attempts GROUP BY ALL"))
+def _run_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Each (form, regime) as a run directory of the three tables."""
+    path, rows = _folder(spark), _result_rows(spark, sf_dir)
+    for form in FORM_ORDER:
+        for regime in ("off", "on"):
+            run = f"{path}/{form}-{regime}"
+            own = rows.where((F.col("form") == form) & (F.col("regime") == regime))
+            own.write.json(f"{run}/results.jsonl")
+            own.groupBy("pair_id").agg(F.first("form").alias("form"), F.max("depth").alias("depth")).write.json(f"{run}/samples.jsonl")
+            size = own.agg(F.countDistinct("pair_id").alias("n"), F.array_sort(F.collect_set("model")).alias("models"))
+            size.withColumns({"form": F.lit(form), "reasoning_regime": F.lit(regime)}).coalesce(1).write.json(f"{run}/run_meta.json")
+    return path
+
+
+@query(
+    "scan_runs",
+    attempts_sql("SELECT form || '-' || regime AS run, form, regime, count(DISTINCT pair_id)::INT AS n, array_to_string(list_sort(list(DISTINCT model)), ',') AS models, count(DISTINCT pair_id) AS samples, count(*) AS n_rows, count(DISTINCT pair_id) AS pairs FROM attempts GROUP BY ALL"),
+)
 def scan_runs(spark, sf_dir):
-    """Each (form, regime) becomes a run directory, whose name tells the run again on reading."""
-    path = _folder(spark)
-    rows = _result_rows(spark, sf_dir).withColumn("run", F.concat_ws("-", "form", "regime"))
-    rows.write.partitionBy("run").json(path)
-    named = F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]*)/", 1)
-    found = spark.read.schema(io.RESULTS).json(f"{path}/run=*").withColumn("run", named)
-    return found.groupBy("run", "form", "regime").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("pair_id").alias("pairs"))
+    """Run directories are written and read again, metadata, samples and results; the folder's name tells the run."""
+    meta, samples, results = io.scan_runs(spark, f"{_run_folders(spark, sf_dir)}/*")
+    told = meta.select("run", "form", F.col("reasoning_regime").alias("regime"), "n", F.array_join("models", ",").alias("models"))
+    counted = samples.groupBy("run").agg(F.count(F.lit(1)).alias("samples"))
+    rows = results.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("pair_id").alias("pairs"))
+    return told.join(counted, "run").join(rows, "run")
+
+
+@query("discover_runs", attempts_sql("SELECT DISTINCT form, regime, form || '-' || regime AS run FROM attempts"))
+def discover_runs(spark, sf_dir):
+    meta, *_ = io.scan_runs(spark, f"{_run_folders(spark, sf_dir)}/*")
+    return T.discover_runs(meta.select("form", F.col("reasoning_regime").alias("regime"), "run"), ["form", "regime"])
 
 
 @query("write_results", attempts_sql("SELECT regime, bucket, count(*) AS n FROM attempts GROUP BY ALL"))
@@ -90,7 +117,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "theme": F.lit("literal"), "style": F.lit("literal"), "equation_e": F.col("e_text"), "equation_f": F.col("f_text"), "canonical_e": F.col("canonical_e"),
         "canonical_f": F.col("canonical_f"), "label_e": F.concat(F.lit("E"), F.col("e_no").cast("string")), "label_f": F.concat(F.lit("E"), F.col("f_no").cast("string")),
     }
-    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(io.RECORD)["metadata"].dataType}
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(io.RECORD)["metadata"].dataType}
     return pairs.select(F.col("description").alias("story"), F.struct(*[meta.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()]).alias("metadata"))
 
 
@@ -98,8 +125,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_corpus_record(spark, sf_dir):
     path = _folder(spark)
     _records(spark, sf_dir).write.json(path)
-    # a line per record here, a file per record where they are authored
-    found = spark.read.schema(io.RECORD).json(path)
+    found = io.scan_corpus_records(spark, path, lines=True)
     return found.select("metadata.label_e", "metadata.label_f", "metadata.canonical_e", "metadata.canonical_f")
 
 

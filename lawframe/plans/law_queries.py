@@ -237,7 +237,23 @@ def sample_pairs(spark, sf_dir):
     return sampling.sample_pairs(parsed_laws(spark, sf_dir), n=100, seed="7").select("draw", "e_no", "f_no")
 
 
-@query("sample_stratified")
+_U = ", u AS (SELECT law_no, ops FROM known WHERE n_vars <= 6)"
+
+
+@query(
+    "sample_stratified",
+    forms_sql(
+        _SIDES
+        + _U
+        + f""", g AS (SELECT ops, count(*) AS n FROM u WHERE ops <= 4 GROUP BY ops), bins AS (SELECT unnest(range(1, 9))::INT AS bin),
+splits AS (SELECT bin, e.ops AS ops_e, f.ops AS ops_f, e.n AS n_e, f.n AS n_f, e.n * f.n - CASE WHEN e.ops = f.ops THEN e.n ELSE 0 END AS candidates FROM bins JOIN g e ON true JOIN g f ON f.ops = bin - e.ops),
+turns AS (SELECT *, unnest(range(least(20, candidates))) AS j FROM splits WHERE candidates > 0),
+dealt AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY bin ORDER BY j, {_DRAW.format("bin, ops_e")}) <= 20),
+places AS (SELECT law_no, ops, row_number() OVER (PARTITION BY ops ORDER BY {_DRAW.format("law_no")}, law_no) - 1 AS at FROM u)
+SELECT bin, e.law_no AS e_no, f.law_no AS f_no FROM dealt d JOIN places e ON e.ops = ops_e AND e.at = j % n_e
+  JOIN places f ON f.ops = ops_f AND f.at = (j % n_e + j // n_e + CASE WHEN ops_e = ops_f THEN 1 ELSE 0 END) % n_f"""
+    ),
+)
 def sample_stratified(spark, sf_dir):
     return sampling.sample_stratified(_known(spark, sf_dir), per_bin=20, seed="7")
 
@@ -246,17 +262,30 @@ def sample_stratified(spark, sf_dir):
     "sample_balanced",
     forms_sql(
         _SIDES
-        + f""", places AS (SELECT law_no, ops, row_number() OVER (PARTITION BY ops ORDER BY {_DRAW.format("law_no")}, law_no) - 1 AS at, count(*) OVER (PARTITION BY ops) AS pool FROM known WHERE n_vars <= 6 AND ops >= 1),
+        + f""", places AS (SELECT law_no, ops, row_number() OVER (PARTITION BY ops ORDER BY {_DRAW.format("law_no")}, law_no) - 1 AS at, count(*) OVER (PARTITION BY ops) AS pool FROM known WHERE n_vars <= 6 AND ops IN (1, 2, 3, 4, 6)),
 draws AS (SELECT DISTINCT ops, pool, i FROM places, range(20) t(i) WHERE pool >= 2),
 chosen AS (SELECT ops, i, i % pool AS e_at, (i + 1 + (i // pool) % (pool - 1)) % pool AS f_at FROM draws WHERE i < pool * (pool - 1))
 SELECT c.ops, e.law_no AS e_no, f.law_no AS f_no FROM chosen c JOIN places e ON e.ops = c.ops AND e.at = c.e_at JOIN places f ON f.ops = c.ops AND f.at = c.f_at"""
     ),
 )
 def sample_balanced(spark, sf_dir):
-    return sampling.sample_balanced(parsed_laws(spark, sf_dir), per_bin=20, seed="7")
+    return sampling.sample_balanced(parsed_laws(spark, sf_dir), per_bin=20, seed="7", bins=(1, 2, 3, 4, 6))
 
 
-@query("slot_fill")
+@query(
+    "slot_fill",
+    forms_sql(
+        _SIDES
+        + """, size AS (SELECT max(law_no) AS n FROM laws),
+draws AS (SELECT i, ('0x' || substr(sha256('7|e|' || i), 1, 15))::BIGINT % n + 1 AS e_no, ('0x' || substr(sha256('7|f|' || i), 1, 15))::BIGINT % n + 1 AS f_no FROM range(200000) t(i), size),
+firsts AS (SELECT min(i) AS i, e_no, f_no FROM draws WHERE e_no <> f_no GROUP BY e_no, f_no),
+u AS (SELECT law_no, ops FROM known WHERE n_vars <= 6 AND solid),
+told AS (SELECT i, e_no, f_no, e.ops + f.ops AS ops_total FROM firsts JOIN u e ON e.law_no = e_no JOIN u f ON f.law_no = f_no),
+slots AS (SELECT *, CASE WHEN ops_total IN (2, 3) THEN 'low' WHEN ops_total IN (7, 8) THEN 'high' WHEN ops_total BETWEEN 4 AND 6 THEN 'example' END AS slot FROM told),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY i)::INT AS place FROM slots WHERE slot IS NOT NULL)
+SELECT slot, place, e_no, f_no, ops_total FROM ranked WHERE place <= CASE slot WHEN 'example' THEN 3 ELSE 1 END"""
+    ),
+)
 def slot_fill(spark, sf_dir):
     return sampling.slot_fill(parsed_laws(spark, sf_dir), seed="7")
 
@@ -264,7 +293,7 @@ def slot_fill(spark, sf_dir):
 @query("synthesize_laws")
 def synthesize_laws(spark, sf_dir):
     draws = laws(spark, sf_dir).select(F.col("law_no").alias("draw"))
-    return sampling.synthesize_laws(draws, bins=range(1, 5), seed="7")
+    return sampling.synthesize_laws(draws, bins=range(1, 11), seed="7", per_bin=40)
 
 
 @query(
@@ -280,22 +309,44 @@ def nested_prefix_examples(spark, sf_dir):
     return sampling.nested_examples(known, "ops", most=3, seed="7")
 
 
+_DRAWN = """SELECT e_no, f_no FROM (SELECT min(i) AS i, e_no, f_no FROM (
+  SELECT i, ('0x' || substr(sha256('{0}|e|' || i), 1, 15))::BIGINT % n + 1 AS e_no, ('0x' || substr(sha256('{0}|f|' || i), 1, 15))::BIGINT % n + 1 AS f_no FROM range(800) t(i), size)
+  WHERE e_no <> f_no AND e_no IN (SELECT law_no FROM u) AND f_no IN (SELECT law_no FROM u) GROUP BY e_no, f_no) ORDER BY i LIMIT 100"""
+
+
 @query(
     "same_pairs_across_forms",
-    forms_sql("SELECT a AS form_a, b AS form_b, 0::BIGINT AS only_a, 0::BIGINT AS only_b FROM (VALUES ('story','literal'), ('story','two-stage'), ('literal','two-stage')) t(a, b)"),
+    forms_sql(
+        _SIDES
+        + _U
+        + f""", size AS (SELECT max(law_no) AS n FROM laws), a AS ({_DRAWN.format("7")}), b AS ({_DRAWN.format("8")}),
+d AS (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS x, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS y)
+SELECT l AS form_a, r AS form_b, CASE WHEN r = 'reseeded' THEN x ELSE 0 END::BIGINT AS only_a, CASE WHEN r = 'reseeded' THEN y ELSE 0 END::BIGINT AS only_b
+FROM (VALUES ('story', 'literal'), ('story', 'two-stage'), ('story', 'reseeded'), ('literal', 'two-stage'), ('literal', 'reseeded'), ('two-stage', 'reseeded')) t(l, r), d"""
+    ),
 )
 def same_pairs_across_forms(spark, sf_dir):
+    """The pairs of three forms, and those of another seed, which do differ."""
     known = parsed_laws(spark, sf_dir)
     arms = {form: sampling.sample_pairs(known, n=100, seed="7", form=form) for form in ("story", "literal", "two-stage")}
-    return sampling.pair_set_differences(arms)
+    return sampling.pair_set_differences(arms | {"reseeded": sampling.sample_pairs(known, n=100, seed="8")})
 
 
-@query(
-    "linearize_steps",
-    forms_sql(f"SELECT law_no, {_OPS.format('toks')} AS n_steps FROM base"),
-)
+#: The text before the step's closing bracket is replaced by its number, one step a turn.
+_STEPS = """, steps AS (
+  WITH RECURSIVE r(law_no, n, s, a, b) AS (
+    SELECT law_no, 0::BIGINT, array_to_string(toks, ' '), NULL::VARCHAR, NULL::VARCHAR FROM base
+    UNION ALL
+    SELECT law_no, n + 1, regexp_replace(s, '\\( ([^()]+) ∘ ([^()]+) \\)', 'Result~' || (n + 1)), regexp_extract(s, '\\( ([^()]+) ∘ ([^()]+) \\)', 1), regexp_extract(s, '\\( ([^()]+) ∘ ([^()]+) \\)', 2)
+    FROM r WHERE s LIKE '%(%')
+  SELECT law_no, n, replace(a, '~', ' ') AS a, replace(b, '~', ' ') AS b FROM r WHERE n > 0)"""
+
+
+@query("linearize_steps", forms_sql(_STEPS + "SELECT law_no, n::INT AS step, a, b FROM steps"))
 def linearize_steps(spark, sf_dir):
-    return _known(spark, sf_dir).select("law_no", F.size(corpus.linearized(F.col("tokens"), "Result")["steps"]).alias("n_steps"))
+    """A row per step: the innermost operation whose bracket closes first comes first, the left side before the right one."""
+    steps = F.posexplode(corpus.linearized(F.col("tokens"), "Result")["steps"]).alias("at", "s")
+    return _known(spark, sf_dir).select("law_no", steps).select("law_no", (F.col("at") + 1).alias("step"), "s.a", "s.b")
 
 
 @query("render_literal")
@@ -309,7 +360,22 @@ def backparse_literal(spark, sf_dir):
     return corpus.backparse_literal(rendered).select("e_no", "f_no", "canonical_e", "canonical_f")
 
 
-@query("roundtrip_gate", forms_sql("SELECT 'literal' AS theme, count(*) AS records, 0::BIGINT AS failures FROM pairs"))
+@query(
+    "roundtrip_gate",
+    forms_sql(
+        """, told AS (SELECT e_no, f_no, regexp_matches(e_text || f_text, '[∘◇*]') AND e_no % 6 = 0 AS damaged FROM pairs)
+SELECT theme, count(*) AS records, count(*) FILTER (damaged AND kind = 0 OR e_no % 10 = 3 AND kind = 1) AS failures FROM (
+  SELECT 'literal' AS theme, 0 AS kind, * FROM told UNION ALL SELECT CASE e_no % 2 WHEN 0 THEN 'bakery' ELSE 'loom' END, 1, * FROM told) GROUP BY theme"""
+    ),
+)
 def roundtrip_gate(spark, sf_dir):
-    rendered = corpus.render_literal(law_pairs(spark, sf_dir)).withColumn("theme", F.lit("literal"))
-    return corpus.roundtrip_gate(rendered)
+    """Literal texts and stories; every sixth literal text and every tenth story are damaged first."""
+    from lawframe.plans.corpus_queries import example_themes, themed_pairs
+
+    cut = F.replace("description", F.lit(" as its first input"), F.lit(" as its input"))
+    literal = corpus.render_literal(law_pairs(spark, sf_dir)).withColumn("description", F.when(F.col("e_no") % 6 == 0, cut).otherwise(F.col("description")))
+    # a story without its last character has no closing question
+    stories = corpus.render_story(themed_pairs(spark, sf_dir), example_themes(spark)).withColumn("description", F.when(F.col("e_no") % 10 == 3, F.expr("left(story, length(story) - 40)")).otherwise(F.col("story")))
+    columns = ["theme", "description", "canonical_e", "canonical_f"]
+    found = corpus.roundtrip_gate(literal.withColumn("theme", F.lit("literal")).select(*columns))
+    return found.unionByName(corpus.story_roundtrip_gate(stories.select(*columns), example_themes(spark)))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawframe.functions import algebra as A
 from lawframe.functions import grading as G
 from lawframe.functions import labels as L
-from lawframe.operators import answers, corpus
+from lawframe.operators import answers, corpus, summary
 from lawframe.operators.attempts import is_correct
 from lawframe.plans.registry import query
 from lawframe.plans.views import RESPONSES, law_pairs, responses
@@ -25,6 +24,7 @@ _KINDS = """kinds(tid, assume, ask, e, f) AS (VALUES
  (7, 'op(y, x) = op(x, op(y, y))', 'op(x, y) = op(op(x, x), y)', '(v1 ∘ v2) = (v2 ∘ (v1 ∘ v1))', '(v1 ∘ v2) = ((v1 ∘ v1) ∘ v2)'),
  (8, 'op(x, y) = op(op(y, y), x)', 'op(op(x, x), y) = op(x, y)', '(v1 ∘ v2) = ((v2 ∘ v2) ∘ v1)', '((v1 ∘ v1) ∘ v2) = (v1 ∘ v2)'))"""
 
+#: Fixed value: an answer line, in DuckDB's words.
 _LINE = r"(?im)^[ \t>*+-]*(?:\*\*)?\s*{0}\b\s*(?:\*\*)?\s*:\s*(.+)$"
 
 
@@ -145,23 +145,14 @@ def wrap_prompt(spark, sf_dir):
     return joined.select(*ID, L.wrap_prompt(F.col("text"), F.col("prefix"), F.col("suffix"), F.col("regime"), F.col("model")).alias("prompt"))
 
 
-@query(
-    "split_sections",
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'g ' || role END AS grammar, CASE WHEN turn % 3 < 2 THEN trim(text) END AS encoding FROM conversations WHERE text = trim(text) AND length(text) > 0 AND text NOT LIKE '%GRAMMAR%' AND text NOT LIKE '%ENCODING%'""",
-)
-def split_sections(spark, sf_dir):
-    return _sections(spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text = trim(text) AND length(text) > 0 AND text NOT LIKE '%GRAMMAR%' AND text NOT LIKE '%ENCODING%'"))
-
-
-@query(
-    "split_sections_all",
-    r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'g ' || role END AS grammar, CASE WHEN turn % 3 < 2 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') END AS encoding FROM conversations""",
-)
-def split_sections_all(spark, sf_dir):
-    return _sections(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+_SECTIONS = r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'g ' || role END AS grammar, CASE WHEN turn % 3 < 2 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') END AS encoding FROM conversations"""
 
 
-def _sections(rows: DataFrame) -> DataFrame:
+@query("split_sections", _SECTIONS)
+@query("split_sections_all", _SECTIONS)
+def split_sections(spark, sf_dir):
+    """All texts: after two pairs of markers, after one, and without any."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     body = F.concat(F.lit("ENCODING\nnot this\n## GRAMMAR:\ng "), F.col("role"), F.lit("\n**ENCODING**\n"), F.col("text"))
     text = F.when(F.col("turn") % 3 == 0, body).when(F.col("turn") % 3 == 1, F.concat(F.lit("ENCODING:\n"), F.col("text"))).otherwise(F.col("text"))
     return rows.withColumn("s", L.split_sections(text)).select(*ID, "s.grammar", "s.encoding")
@@ -209,6 +200,39 @@ def sampling_label(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", label.alias("label"))
 
 
+@query(
+    "sample_tag",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'uniform ' WHEN 1 THEN 'stratified ' ELSE 'balanced ' END || user_id AS tag,
+  CASE WHEN event_id % 3 = 0 THEN 'Complex ' ELSE 'Stratified ' END || user_id || CASE WHEN event_id % 2 = 0 THEN ' / Reasoning off' ELSE ' / Reasoning on' END AS name FROM events""",
+)
+def sample_tag(spark, sf_dir):
+    kind = F.col("event_id") % 3
+    tag = L.sample_tag(F.col("user_id"), F.when(kind == 1, 20).otherwise(0), F.when(kind == 2, 20))
+    label = L.sampling_label(F.when(kind == 0, "uniform").otherwise("stratified"), F.col("user_id"), F.lit(None), F.lit(None))
+    name = L.group_name(label, F.when(F.col("event_id") % 2 == 0, "off").otherwise("on"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tag.alias("tag"), name.alias("name"))
+
+
+@query(
+    "experiment_title",
+    """SELECT user_id, count(*) || CASE user_id % 3
+    WHEN 0 THEN ' uniformly sampled pairs'
+    WHEN 1 THEN ' pairs, 20 per operation-count bin 1–8' || CASE WHEN min(event_id % 8) > 1 THEN ' minus vacuous-law pairs (bins ' || min(event_id % 8) || '–' || max(event_id % 8) || ' remain)' ELSE '' END
+    ELSE ' pairs, 20 per per-equation operation bin ' || CASE WHEN user_id % 2 = 0 THEN '1–10' ELSE '2–7' END || ', both laws from the same bin' END
+  || ' · seed ' || user_id % 5 || ' · ' || CASE WHEN count(DISTINCT event_id % 2) > 1 THEN 'story vs literal + hint · no-think' ELSE 'no-think' END AS title
+FROM events GROUP BY user_id""",
+)
+def experiment_title(spark, sf_dir):
+    """A title per user: events are the pairs, whose parity is the arm."""
+    arm = F.when(F.col("event_id") % 2 == 0, "literal + hint").otherwise("story")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.col("event_id") % 8).alias("bins"), F.collect_set(arm).alias("arms"))
+    kind = F.col("user_id") % 3
+    title = L.experiment_title(
+        F.col("n"), F.when(kind == 1, 20), F.when(kind == 2, 20), F.when(F.col("user_id") % 2 == 1, "2:7"), F.col("bins"), F.col("user_id") % 5, F.col("arms"), F.array(F.lit("no-think"), F.lit("no-think"))
+    )
+    return rows.select("user_id", title.alias("title"))
+
+
 @query("short_names", "SELECT event_id, event_type AS model, 'run-' || user_id AS run FROM events")
 def short_names(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -216,18 +240,13 @@ def short_names(spark, sf_dir):
     return rows.select("event_id", L.short_model(F.concat(F.lit("vendor/"), F.col("event_type"))).alias("model"), L.run_stem(name).alias("run"))
 
 
-@query("fmt_pct", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.0f', 100 * l_linenumber / 4.0) END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 4.0) END AS number FROM lineitem WHERE l_linenumber % 4 <> 2 AND l_linenumber <> 5")
-def fmt_pct(spark, sf_dir):
-    return _formatted(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber % 4 <> 2 AND l_linenumber <> 5"))
-
-
-@query("fmt_pct_all", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE (25 * l_linenumber)::VARCHAR END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 4.0) END AS number FROM lineitem")
-def fmt_pct_all(spark, sf_dir):
-    return _formatted(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-
+_FORMATTED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.1f', 100 * l_linenumber / 16.0) END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 16.0) END AS number FROM lineitem"
 
-def _formatted(rows: DataFrame) -> DataFrame:
-    from lawframe.operators.summary import fmt_number, fmt_pct as pct
 
-    value = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") / 4.0).cast("double")
-    return rows.select("l_orderkey", "l_linenumber", pct(value, 0).alias("pct"), fmt_number(value).alias("number"))
+@query("fmt_pct", _FORMATTED)
+@query("fmt_pct_all", _FORMATTED)
+def fmt_pct(spark, sf_dir):
+    """Sixteenths, which have ties at one and at three digits."""
+    value = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") / 16.0).cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", summary.fmt_pct(value).alias("pct"), summary.fmt_number(value).alias("number"))

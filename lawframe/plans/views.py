@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawframe.functions import algebra
+from lawframe.operators.corpus import once_per_text
 
 ATTEMPTS = """SELECT event_id AS seq, ts,
   concat('E', CAST(user_id AS STRING)) AS pair_id,
@@ -77,9 +78,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed(equations: DataFrame) -> DataFrame:
     """Equations with `tokens`; every distinct text is parsed once, as lists repeat the same laws."""
-    texts = equations.select("equation").distinct()
-    once = texts.groupBy("equation").agg(F.first(algebra.parse_infix(F.col("equation"))).alias("tokens"))
-    return equations.join(once, "equation")
+    once = once_per_text(equations, "equation", algebra.parse_infix(F.col("equation")))
+    return once.withColumnRenamed("made", "tokens")
 
 
 def parsed_laws(spark: SparkSession, sf_dir: str) -> DataFrame:

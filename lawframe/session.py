@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,7 @@ def local_session(cores: str = "8", app: str = "lawframe", **extra: str) -> Spar
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", f"{tempfile.gettempdir()}/lawframe-{os.getpid()}/warehouse")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
@@ -27,9 +29,29 @@ def local_session(cores: str = "8", app: str = "lawframe", **extra: str) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, also for checkpoints; a temporary one only where none is configured."""
+    """The folder that driver and executors share, also for checkpoints: spark.checkpoint.dir, else the context's own.
+
+    Where neither is set, a folder beside the warehouse serves a local session; on a
+    cluster that is a ValueError, as executors would not see a folder of the driver's.
+    """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="lawframe-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/../lawframe-shared"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and a function that makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it is not there."""
+    system, make = file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(make(path))] if system.exists(make(path)) else []

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawframe.functions import algebra
 from lawframe.operators.corpus import THEME_FIELDS
-from lawframe.session import shared_folder
+from lawframe.operators.order import after
+from lawframe.session import names_in, shared_folder
 
 TRANSFORM = "struct<swap_e:boolean,swap_f:boolean,dual:boolean>"
 USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,cost:double>"
@@ -42,45 +44,53 @@ RUN_META = (
 THEME = (", ".join(f"{f} string" for f in THEME_FIELDS) + ", palette array<string>, notes string")
 
 
-def _file_name() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
-
-
-def _directory() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
+def _run() -> Column:
+    """The run directory of a table in it, which is a file or a folder of files."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/(?:run_meta\.json|samples\.jsonl|results\.jsonl)(?:/[^/]*)?$", 1)
 
 
 def scan_equations(spark: SparkSession, path: str) -> DataFrame:
-    """(law_no, equation) by line of one file, from 1, unparsable lines included; ValueError if the file is empty.
+    """(law_no, equation) by line, from 1, over files in order of their paths; unparsable lines included.
 
-    An equation list is authored and fits one task; only whole text keeps the line numbers.
+    ValueError if there is no line, or if the first one is no equation. Lines are
+    numbered where they are read, and a table of a row per split of a file says
+    how many lines come before.
     """
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n$", "").alias("value")).where("value <> ''")
-    if text.isEmpty():
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.rtrim("value").alias("equation")
+    )
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = after(splits, ["file", "start"], "n").select("file", "start", "first", "before")
+    found = lines.join(before, ["file", "start"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("law_no"), "equation")
+    first = found.where("law_no = 1").select(algebra.parse_infix(F.col("equation")).isNotNull().alias("good")).first()
+    if first is None:
         raise ValueError(f"{path} has no equations")
-    return text.select(F.posexplode(F.split("value", "\n"))).select((F.col("pos") + 1).cast("long").alias("law_no"), F.rtrim("col").alias("equation"))
+    if not first["good"]:
+        raise ValueError(f"the first line of {path} is no equation")
+    return found
 
 
 def content_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256) of each file's bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """(path, file, sha256) of each file's bytes; a file is one task's work, of 2 GB at most, as binary files are."""
+    return spark.read.format("binaryFile").load(path).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
 def scan_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(meta, samples, results) of the run directories that a glob names, each row with its `run`; blank lines are skipped."""
-    meta = spark.read.schema(RUN_META).option("multiLine", True).json(f"{path}/run_meta.json").withColumn("run", _directory())
-    lines = [spark.read.schema(s).option("mode", "FAILFAST").json(f"{path}/{name}.jsonl").withColumn("run", _directory()) for s, name in ((SAMPLES, "samples"), (RESULTS, "results"))]
+    meta = spark.read.schema(RUN_META).option("multiLine", True).json(f"{path}/run_meta.json").withColumn("run", _run())
+    lines = [spark.read.schema(s).option("mode", "FAILFAST").json(f"{path}/{name}.jsonl").withColumn("run", _run()) for s, name in ((SAMPLES, "samples"), (RESULTS, "results"))]
     return meta, *lines
 
 
 def scan_themes(spark: SparkSession, path: str) -> DataFrame:
-    """Themes, one file each, with `stem` of the file; a key that differs from it is marked in `misnamed`."""
-    stem = F.regexp_replace(_file_name(), r"\.json$", "")
+    """Themes with `stem` of the file, or of the folder that a writer made of it (`x.json/part-0` or `file=x.json/part-0`); a key that differs from it is marked in `misnamed`."""
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]*)\.json(?:/[^/]*)?$", 1)
     return spark.read.schema(THEME).option("multiLine", True).json(path).withColumn("stem", stem).withColumn("misnamed", ~F.col("key").eqNullSafe(F.col("stem")))
 
 
-def scan_corpus_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).option("multiLine", True).json(path)
+def scan_corpus_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Corpus records: a file each as they are authored, or a line each as Spark writes them."""
+    return spark.read.schema(RECORD).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def write_results(rows: DataFrame, path: str, by: list[str]) -> None:
@@ -88,27 +98,26 @@ def write_results(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("append").partitionBy(*by).json(path)
 
 
-def write_corpus(records: DataFrame, key: Column, path: str) -> None:
+def write_corpus(records: DataFrame, key: Column, path: str, parts: int | None = None) -> None:
     """Write records by key, once each: the same key replaces what an earlier call wrote, whatever the call's other keys.
 
-    Keys fall into 64 partitions by hash; those that a call touches are read, merged and replaced.
+    Keys fall into parts by hash; those that a call touches are read, merged and
+    replaced. The number of parts is fixed by the first call, `parts` or else as
+    many as the session's shuffle partitions, and is part of the folders' names.
     """
     spark = records.sparkSession
-    fresh = records.withColumn("record_key", key).withColumn("part", F.pmod(F.xxhash64("record_key"), F.lit(64)).cast("int"))
-    row = F.struct(*[c for c in fresh.columns if c not in ("record_key", "part")])
-    fresh = fresh.groupBy("record_key", "part").agg(F.min(F.to_json(row)).alias("row"))
-    schema = "row string, record_key string, part int"
-    try:
-        old = spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        old = spark.createDataFrame([], schema)
+    known = [int(name.removeprefix("parts=")) for name in names_in(spark, path) if name.startswith("parts=")]
+    parts = known[0] if known else parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fresh = records.withColumns({"record_key": key, "parts": F.lit(parts)}).withColumn("part", F.pmod(F.xxhash64("record_key"), F.lit(parts)).cast("int"))
+    row = F.struct(*[c for c in fresh.columns if c not in ("record_key", "parts", "part")])
+    fresh = fresh.groupBy("record_key", "parts", "part").agg(F.min(F.to_json(row)).alias("row"))
+    schema = "row string, record_key string, parts int, part int"
+    old = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
     touched = fresh.select("part").distinct()
     merged = old.join(touched, "part", "left_semi").join(fresh.select("record_key"), "record_key", "left_anti").select(*[f.name for f in fresh.schema]).unionByName(fresh)
     shared_folder(spark)
     # Spark does not write to what it reads, so the merged partitions go through a file set of their own
-    merged.checkpoint().repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    merged.checkpoint().repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parts", "part").parquet(path)
 
 
 def write_run_dir(path: str, meta: DataFrame, samples: DataFrame, rows: DataFrame, summary: DataFrame) -> None:

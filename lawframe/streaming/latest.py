@@ -1,23 +1,92 @@
 """Attempts that land as files: the row that counts, and summaries, kept up after each batch.
 
-State is a table per key, replaced as a whole by each batch under a version of
-its own, so that a batch that is run again starts from the same former state.
+State is a row per key, dealt by hash of the key into parts. A batch reads and
+rewrites the parts that its keys fall into and no other; a part's rows are
+written under the batch's number, and a manifest per batch says which number is
+current for each part. The manifest is written last, so that a batch that failed
+or is run again starts from the former one, and a restart finds the newest in the
+folder, with or without new files. Parts of former batches stay readable for two
+batches and are then removed.
+
 A correction can move a row to another bucket, so summaries are made from the
 state and not added up.
+
+Defined results: without any landed row the state is empty; a key may be null in
+any column; repeated rows count once, as they carry the same seq.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawframe.operators.attempts import latest_graded
+from lawframe.session import file_system, names_in
+
+#: Parts of the state, fixed when it is made.
+PARTS = 64
+
+
+class State:
+    """The state in a folder: `rows/part=<p>/batch=<b>`, and `manifests/<b>` with each part's current batch."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], parts: int = PARTS):
+        self.spark, self.path, self.schema, self.keys, self.parts = spark, path, schema, keys, parts
 
+    def batches(self) -> list[int]:
+        """Numbers of the batches with a whole manifest."""
+        found = [b for b in names_in(self.spark, f"{self.path}/manifests") if b.isdigit()]
+        return sorted(int(b) for b in found if "_SUCCESS" in names_in(self.spark, f"{self.path}/manifests/{b}"))
 
-def _state(spark: SparkSession, path: str, version: int, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/version={version}") if version >= 0 else spark.createDataFrame([], schema)
+    def manifest(self, before: int | None = None) -> tuple[int, dict[int, int]]:
+        """The newest batch, of those below `before`, and each part's current batch."""
+        known = [b for b in self.batches() if before is None or b < before]
+        if not known:
+            return -1, {}
+        text = self.spark.read.text(f"{self.path}/manifests/{known[-1]}").first()["value"]
+        return known[-1], {int(p): b for p, b in json.loads(text).items()}
+
+    def rows(self, current: dict[int, int]) -> DataFrame:
+        if not current:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/rows/part={p}/batch={b}" for p, b in sorted(current.items())])
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.parts)).cast("int")
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        """Take a batch in; once more with the same number gives the same state."""
+        _, current = self.manifest(before=number)
+        fresh = batch.withColumn("part", self.part())
+        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # PARTS numbers at most
+        former = self.rows({p: current[p] for p in touched if p in current})
+        merged = latest_graded(former.unionByName(batch), self.keys)
+        dealt = merged.withColumn("part", self.part()).withColumn("batch", F.lit(number))
+        dealt.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{self.path}/rows")
+        text = json.dumps(current | dict.fromkeys(touched, number))
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifests/{number}")
+        self._forget(number)
+
+    def _forget(self, number: int) -> None:
+        """Remove manifests from before the last one, and parts that no manifest left names."""
+        system, make = file_system(self.spark, self.path)
+        known = self.batches()
+        kept = [b for b in known if b >= number or b == max((k for k in known if k < number), default=-1)]
+        for b in known:
+            if b not in kept:
+                system.delete(make(f"{self.path}/manifests/{b}"), True)
+        used: dict[int, set[int]] = {}
+        for b in kept:
+            for p, at in self.manifest(before=b + 1)[1].items():
+                used.setdefault(p, set()).add(at)
+        for p, live in used.items():
+            for name in names_in(self.spark, f"{self.path}/rows/part={p}"):
+                if name.startswith("batch=") and int(name.removeprefix("batch=")) not in live:
+                    system.delete(make(f"{self.path}/rows/part={p}/{name}"), True)
 
 
 def run_incremental_latest(
@@ -30,18 +99,15 @@ def run_incremental_latest(
     files_per_batch: int = 1,
     after: Callable[[DataFrame, int], None] | None = None,
 ) -> DataFrame:
-    """Read all rows that have landed, a few files a batch, and return the final state; `after` gets each batch's state."""
-    last = {"version": -1}
-
-    def step(batch: DataFrame, version: int) -> None:
-        former = _state(spark, state, version - 1, schema)
-        merged = latest_graded(former.unionByName(batch), keys)
-        merged.write.mode("overwrite").parquet(f"{state}/version={version}")
-        last["version"] = version
+    """Read all rows that have landed since the last run, a few files a batch, and return the state; `after` gets each batch's state."""
+    held = State(spark, state, schema, keys)
+
+    def step(batch: DataFrame, number: int) -> None:
+        held.merge(batch, number)
         if after is not None:
-            after(_state(spark, state, version, schema), version)
+            after(held.rows(held.manifest()[1]), number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return _state(spark, state, last["version"], schema)
+    return held.rows(held.manifest()[1])

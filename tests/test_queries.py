@@ -5,7 +5,7 @@ from helpers import SF, same_rows
 
 from lawframe.plans import registry
 
-WITHOUT_SQL = {"sample_stratified", "slot_fill", "synthesize_laws", "render_literal", "render_story", "backparse_story", "stage_attribution"}
+WITHOUT_SQL = {"synthesize_laws", "render_literal", "render_story", "backparse_story", "stage_attribution"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

@@ -49,14 +49,14 @@ def test_slots(laws):
 
 def test_one_operation_gives_five_laws(spark):
     draws = spark.range(400).withColumnRenamed("id", "draw")
-    found = sampling.synthesize_laws(draws, [1], "9").collect()
-    assert len(found) == 5
-    with pytest.raises(ValueError):
-        sampling.synthesize_laws(draws, [1], "9", least=6)
+    found = sampling.synthesize_laws(draws, [1], "9", per_bin=40).collect()
+    assert len(found) == 5  # 20 ordered pairs are enough
+    with pytest.raises(ValueError, match="bin 1: 5 of 6"):
+        sampling.synthesize_laws(draws, [1], "9", per_bin=40, min_pairs=21)
 
 
 def test_synthetic_laws_keep_the_contract(spark):
-    found = sampling.synthesize_laws(spark.range(300).withColumnRenamed("id", "draw"), range(1, 7), "9")
+    found = sampling.synthesize_laws(spark.range(300).withColumnRenamed("id", "draw"), range(1, 7), "9", per_bin=60)
     lines = parsed(found.select(F.monotonically_increasing_id().alias("law_no"), F.col("line").alias("equation"))).cache()
     broken = {r["rule"]: r["violations"] for r in corpus.corpus_contract(lines, 1, 6).collect()}
     assert broken == dict.fromkeys(broken, 0)
@@ -66,3 +66,24 @@ def test_shapes_are_uniform(spark):
     shapes = spark.range(14_000).select(F.array_join(sampling._shape("s", F.col("id"), "l", F.lit(4)), "").alias("s")).groupBy("s").count().collect()
     assert len(shapes) == 14  # the fourth Catalan number
     assert all(800 < r["count"] < 1200 for r in shapes)
+
+
+def test_quotas_are_errors(spark, laws):
+    """A bin, a pool or a slot that can't be filled is an error that names it; so is an absent one."""
+    three = parsed(spark.createDataFrame([(1, "x = y"), (2, "x = y ∘ z"), (3, "x = x ∘ y")], "law_no long, equation string"))
+    with pytest.raises(ValueError, match="bin 2: 2 of 20"):
+        sampling.sample_stratified(three, 20, "7", bins=(2,))
+    with pytest.raises(ValueError, match="bin 5: 0 of 1"):
+        sampling.sample_stratified(three, 1, "7", bins=(5,))
+    with pytest.raises(ValueError, match="ops 1: 2 of 3"):
+        sampling.sample_balanced(three, 3, "7", bins=(1,))
+    with pytest.raises(ValueError, match="ops 4: 0 of 1"):
+        sampling.sample_balanced(three, 1, "7", bins=(1, 4))
+    with pytest.raises(ValueError, match="high: 0 of 1"):
+        sampling.slot_fill(three, "7", draws=500)
+    assert sampling.sample_balanced(three, 2, "7", bins=(1,)).count() == 2
+
+
+def test_synthetic_bins_have_their_quota(spark):
+    found = sampling.synthesize_laws(spark.range(400).withColumnRenamed("id", "draw"), range(2, 11), "9", per_bin=15)
+    assert {r["bin"]: r["count"] for r in found.groupBy("bin").count().collect()} == dict.fromkeys(range(2, 11), 15)
