@@ -31,7 +31,7 @@ bucket of keys:
 A text is then walked from left to right. A history that a large share of all
 tokens has is divided over several buckets by the words after it, and its sums
 come together again in the chunk. Nothing is broadcast or sent to the driver but
-three totals.
+three totals and the code book of blocks, of bounded size.
 
 N-grams are told apart by hashes, of 24 bits more than the number of tokens has.
 
@@ -45,7 +45,9 @@ further part, and gets one sum. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -62,7 +64,9 @@ from lawframe.session import shared_folder
 
 #: Not a word, as it holds a space.
 END = b" "
-DISCOUNT = 0.75
+#: The discount is a whole number of quarters, so that what a history's arcs take is a whole number too.
+QUARTERS = 3
+DISCOUNT = QUARTERS / 4
 #: Pairs and triples seen this often have arcs.
 LEAST_COUNT = 2
 HELD_OUT = (7, 2)
@@ -71,6 +75,9 @@ CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 4_000_000
 #: Bytes of a long text that are cut into words at a time.
 PART_BYTES = 8 << 20
+#: Common words that blocks name by number, and the chunks that they are taken from.
+BOOK_WORDS = 65_535
+BOOK_CHUNKS = 16
 #: A history is divided from this many tokens on, and from a quarter of a bucket.
 LEAST_HOT = 1_000
 
@@ -88,25 +95,36 @@ def token_parts(raw: bytes) -> Iterator[list[bytes]]:
     yield [*raw[start:].split(), END]
 
 
+_SQUEEZE, _SWELL = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Whole numbers as one compressed block: per column the bytes of all values by place, without leading zeros."""
+    """Whole numbers as one block: per column the bytes of all values by place, each place compressed by itself, without leading zeros."""
     parts = []
     for column in columns:
         values = np.ascontiguousarray(column, dtype=np.uint64)
         width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
-        parts += [len(values).to_bytes(8, "little"), bytes([width]), values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        parts.append(struct.pack("<QB", len(values), width))
+        for place in range(width):
+            raw = values.view(np.uint8).reshape(-1, 8)[:, place].tobytes()
+            squeezed = _SQUEEZE(raw) if len(raw) > 32 else raw
+            # a place that does not shrink stays as it is
+            stored = squeezed if len(squeezed) < len(raw) else raw
+            parts += [struct.pack("<I", len(stored)), stored]
+    return b"".join(parts)
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
     found, at = [], 0
-    while at < len(raw):
-        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
+    while at < len(block):
+        n, width = struct.unpack_from("<QB", block, at)
         values = np.zeros((n, 8), dtype=np.uint8)
         at += 9
-        values[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
-        at += n * width
+        for place in range(width):
+            size = struct.unpack_from("<I", block, at)[0]
+            stored = block[at + 4 : at + 4 + size]
+            values[:, place] = np.frombuffer(stored if size == n else _SWELL(stored), dtype=np.uint8)
+            at += 4 + size
         found.append(values.view(np.uint64).reshape(n))
     return found
 
@@ -282,6 +300,30 @@ def slot_replies(least: int, hot: int):
     return run
 
 
+def code_book(chunks: DataFrame) -> np.ndarray:
+    """Keys of common words, at most `BOOK_WORDS`, the most common of the sampled chunks first. Blocks name these by number; what is counted does not depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                first, rest, word = unpack(row["block"])
+                keys = whole(first, rest)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(word.astype(np.int64), minlength=len(keys)))], names=["key", "n"])
+
+    some = [r["chunk"] for r in chunks.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(BOOK_CHUNKS).collect()]
+    counts = chunks.where(F.col("chunk").isin(some)).select("block").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "key").limit(BOOK_WORDS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
+
+
+def codes(keys: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Each key's number in the book, else the number of keys in it."""
+    if not len(book):
+        return np.zeros(len(keys), dtype=np.int64)
+    by = np.argsort(book)
+    at = np.minimum(np.searchsorted(book[by], keys), len(book) - 1)
+    return np.where(book[by][at] == keys, by[at], len(book))
+
+
 class Asks:
     """What a chunk asks in the second exchange: lines of words, lines of pairs under their first word, triples under their first pair.
 
@@ -339,55 +381,55 @@ class Asks:
         self.level3 = w3[self.by3], self.n3[self.triples][self.by3]
         self.buckets = self.line_bucket, bucket2[by2], bucket2[by2][under3[self.by3]]
 
-    def blocks(self, key_bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """Per bucket the words' keys, counts and numbers of pairs; the words after them; per pair its word's place among those, its count and number of triples; per triple its word's place and count."""
+    def blocks(self, book: np.ndarray, key_bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """Per bucket the words' keys, counts and numbers of pairs; per pair its word's code, its count and number of triples; per triple its word's code and count; the keys of words without a code."""
         edges = [np.searchsorted(b, np.arange(buckets + 1)) for b in self.buckets]
-        shift = np.uint64(64 - key_bits)
+        shift, code = np.uint64(64 - key_bits), codes(self.keys, book)
         for b in range(buckets):
             one, two, three = (slice(e[b], e[b + 1]) for e in edges)
             if one.stop > one.start:
-                kinds, _, place = distinct(np.concatenate([self.level2[0][two], self.level3[0][three]]))
-                n = two.stop - two.start
-                columns = [*(c[one] for c in self.level1), *steps(self.keys[kinds] >> shift), place[:n], *(c[two] for c in self.level2[1:]), place[n:], self.level3[1][three]]
-                yield b, pack(*steps(self.keys[self.line_word[one]] >> shift), *columns)
+                w2, w3 = self.level2[0][two], self.level3[0][three]
+                rare = np.concatenate([w2, w3])
+                rare = self.keys[rare[code[rare] == len(book)]] >> shift
+                columns = [*(c[one] for c in self.level1), code[w2], *(c[two] for c in self.level2[1:]), code[w3], self.level3[1][three]]
+                yield b, pack(*steps(self.keys[self.line_word[one]] >> shift), *columns, rare)
 
     def alone(self) -> int:
         """Training words that no bucket counts."""
         return int((self.n1[~self.asked] > 0).sum())
 
     def read(self, replies: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Per word of the chunk its count, the sum of its pairs' counts and the number of its pairs; the same per pair asked; per triple asked its count. 0 without an arc."""
-        found = [np.concatenate(c).astype(np.int64) for c in zip(*(unpack(row["block"]) for row in replies), strict=True)] or [np.zeros(0, dtype=np.int64)] * 7
-        words = [np.bincount(self.line_word, weights=c, minlength=len(self.n1)).astype(np.int64) for c in found[:3]]
+        """Per word of the chunk its count and what its arcs take; the same per pair asked; per triple asked its count, 0 without an arc."""
+        found = [np.concatenate(c).astype(np.int64) for c in zip(*(unpack(row["block"]) for row in replies), strict=True)] or [np.zeros(0, dtype=np.int64)] * 5
+        words = [np.bincount(self.line_word, weights=c, minlength=len(self.n1)).astype(np.int64) for c in found[:2]]
         words[0] = np.where(self.asked, words[0], self.n1)
-        pairs = [np.bincount(self.line_pair, weights=c, minlength=len(self.pairs)).astype(np.int64) for c in found[3:6]]
+        pairs = [np.bincount(self.line_pair, weights=c, minlength=len(self.pairs)).astype(np.int64) for c in found[2:4]]
         triples = np.empty(len(self.triples), dtype=np.int64)
-        triples[self.by3] = found[6]
+        triples[self.by3] = found[4]
         return words, pairs, triples
 
 
-def gram_asks(bits: int, key_bits: int, buckets: int, hot: int):
+def gram_asks(book, bits: int, key_bits: int, buckets: int, hot: int):
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         [row] = chunk.to_pylist()
         asks = Asks(Grams(row), sorted(replies.to_pylist(), key=lambda r: r["bucket"]), bits, buckets, hot)
-        blocks = [(b, row["chunk"], 0, block) for b, block in asks.blocks(key_bits, buckets)]
+        blocks = [(b, row["chunk"], 0, block) for b, block in asks.blocks(book.value, key_bits, buckets)]
         # a line of its own, so that it is there without any block
         return pa.table(_columns([*blocks, (row["chunk"] % buckets, row["chunk"], asks.alone(), None)], _ASK_SCHEMA), schema=_ASK_SCHEMA)
 
     return run
 
 
-def _kept(of: np.ndarray, n: np.ndarray, first: np.ndarray, parent: np.ndarray, parents: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of arcs, 0 below the least; per parent, their sum and number."""
+def _kept(of: np.ndarray, n: np.ndarray, first: np.ndarray, parent: np.ndarray, parents: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of arcs, 0 below the least; per parent, what its arcs take of its count, in quarters."""
     count = np.bincount(of, weights=n, minlength=len(first)).astype(np.int64)
     count[count < least] = 0
     has = np.flatnonzero(count)
-    at = parent[first[has]]
-    return count, np.bincount(at, weights=count[has], minlength=parents).astype(np.int64), np.bincount(at, minlength=parents)
+    return count, np.bincount(parent[first[has]], weights=4 * count[has] - QUARTERS, minlength=parents).astype(np.int64)
 
 
-def gram_replies(least: int):
-    """To each chunk: per word its count, the sum and the number of its arcs; the same per pair; per triple its count. A bucket's first row has the number of its words."""
+def gram_replies(book, key_bits: int, least: int):
+    """To each chunk: per word its count and what its arcs take; the same per pair; per triple its count. A bucket's first row has the number of its words."""
 
     def run(asks: pa.Table) -> pa.Table:
         bucket, alone = asks["bucket"].to_pylist()[0], sum(asks["alone"].to_pylist())
@@ -395,23 +437,29 @@ def gram_replies(least: int):
         if not asks.num_rows:
             return pa.table(_columns([(None, bucket, 1, alone, None)], _REPLY_SCHEMA), schema=_REPLY_SCHEMA)
         found = [unpack(block) for block in asks["block"].to_pylist()]
-        n1, pairs_of, n2, triples_of, n3 = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (2, 3, 7, 8, 10))
-        dicts = [whole(f[4], f[5]) for f in found]
-        w2, w3 = (np.concatenate([d[f[i].astype(np.int64)] for d, f in zip(dicts, found, strict=True)]) for i in (6, 9))
-        ends = [np.cumsum([len(f[i]) for f in found])[:-1] for i in (2, 6, 9)]
+        n1, pairs_of, n2, triples_of, n3 = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (2, 3, 5, 6, 8))
+        keys = np.append(book.value >> np.uint64(64 - key_bits), np.uint64(0))
+        after = []
+        for f in found:
+            code = np.concatenate([f[4], f[7]]).astype(np.int64)
+            word = keys[code]
+            word[code == len(keys) - 1] = f[9]
+            after.append(np.split(word, [len(f[4])]))
+        w2, w3 = (np.concatenate([w[i] for w in after]) for i in (0, 1))
+        ends = [np.cumsum([len(f[i]) for f in found])[:-1] for i in (2, 4, 7)]
         words, _, of1 = distinct(np.concatenate([whole(f[0], f[1]) for f in found]))
-        del found, dicts
+        del found, after
         parent2 = np.repeat(of1, pairs_of)
         pairs, first2, of2 = distinct(mixed(words[parent2], w2))
         parent3 = np.repeat(of2, triples_of)
         _, first3, of3 = distinct(mixed(pairs[parent3], w3))
         c1 = np.bincount(of1, weights=n1, minlength=len(words)).astype(np.int64)
-        c2, sum2, arcs2 = _kept(of2, n2, first2, parent2, len(words), least)
-        c3, sum3, arcs3 = _kept(of3, n3, first3, parent3, len(pairs), least)
+        c2, taken2 = _kept(of2, n2, first2, parent2, len(words), least)
+        c3, taken3 = _kept(of3, n3, first3, parent3, len(pairs), least)
         types, out = alone + int((c1 > 0).sum()), []
         parts = [np.split(of, end) for of, end in zip((of1, of2, of3), ends, strict=True)]
         for i, (to, one, two, three) in enumerate(zip(asks["chunk"].to_pylist(), *parts, strict=True)):
-            out.append((to, bucket, 1, 0 if i else types, pack(c1[one], sum2[one], arcs2[one], c2[two], sum3[two], arcs3[two], c3[three])))
+            out.append((to, bucket, 1, 0 if i else types, pack(c1[one], taken2[one], c2[two], taken3[two], c3[three])))
         return pa.table(_columns(out, _REPLY_SCHEMA), schema=_REPLY_SCHEMA)
 
     return run
@@ -422,7 +470,7 @@ class Automaton:
 
     def __init__(self, grams: Grams, asks: Asks, replies: list[dict], total: int, types: int):
         words, pairs, triple = asks.read(replies)
-        fail = lambda c, taken, arcs: np.where(c > 0, (c - taken + DISCOUNT * arcs) / np.maximum(c, 1), 1.0)
+        fail = lambda c, taken: np.where(c > 0, (c - taken / 4) / np.maximum(c, 1), 1.0)
         self.count, self.word_fail = words[0], fail(*words)
         self.pair_fail = np.ones(len(grams.pairs))
         self.pair_fail[asks.pairs] = fail(*pairs)
@@ -490,14 +538,17 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LE
         chunks = spark.table(name)
         size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_all")]).first()
         total, tokens = size["n_train"], size["n_all"]
-        # a key's chance to be taken for another is 2 ** -24 at most
-        key_bits = min(64, max(40, tokens.bit_length() + 24))
         buckets = max(1, partitions // 2, tokens // BUCKET_TOKENS)
         hot = max(least_hot, tokens // (4 * buckets))
-        bits = max(16, (16 * tokens).bit_length())
+        # some sixteen slots a token
+        size_bits = round(math.log2(max(tokens, 1)))
+        bits = max(16, size_bits + 4)
+        # a key's chance to be taken for another is 2 ** -24 at most
+        key_bits = min(64, max(40, size_bits + 24))
+        book = spark.sparkContext.broadcast(code_book(chunks))
         first = _stored(slot_asks(chunks, bits, 4 * buckets).groupBy("bucket").applyInArrow(slot_replies(LEAST_COUNT, hot), _REPLY))
-        asks = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(gram_asks(bits, key_bits, buckets, hot), _ASK)
-        second = _stored(asks.groupBy("bucket").applyInArrow(gram_replies(LEAST_COUNT), _REPLY))
+        asks = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(gram_asks(book, bits, key_bits, buckets, hot), _ASK)
+        second = _stored(asks.groupBy("bucket").applyInArrow(gram_replies(book, key_bits, LEAST_COUNT), _REPLY))
         types = second.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"]
         schema = "ref long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
         pieces = chunks.groupBy("chunk").cogroup(first.unionByName(second.where("chunk is not null")).groupBy("chunk")).applyInArrow(piece_scores(bits, buckets, hot, total, types), schema)

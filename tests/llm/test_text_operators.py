@@ -201,6 +201,11 @@ def test_lm_score_with_small_chunks_and_divided_histories(spark):
     _same_as_automaton(rows, lm_score.score(docs, chunk_tokens=700, least_hot=20))
 
 
+def test_code_book():
+    book, keys = np.array([7, 3, 9], dtype=np.uint64), np.array([1, 3, 7, 9, 10], dtype=np.uint64)
+    assert lm_score.codes(keys, book).tolist() == [3, 1, 0, 2, 3] and lm_score.codes(keys, book[:0]).tolist() == [0] * 5
+
+
 def test_packed_blocks():
     rng = random.Random(3)
     for n in (0, 1, 2, 1000):
