@@ -49,6 +49,7 @@ import math
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +72,7 @@ DISCOUNT = QUARTERS / 4
 LEAST_COUNT = 2
 HELD_OUT = (7, 2)
 #: Tokens in a chunk, and about those in a bucket of keys; there are half as many buckets as shuffle partitions at least.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 4_000_000
 #: Bytes of a long text that are cut into words at a time.
 PART_BYTES = 8 << 20
@@ -167,14 +168,14 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        numbers, tokens, pieces = _Numbers(), [], []
+        numbers, tokens, pieces = _Numbers(), array("I"), []
 
         def done() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in numbers), dtype=np.uint64, count=len(numbers))
             by = np.argsort(hashes)
-            place = np.empty(len(by), dtype=np.int64)
+            place = np.empty(len(by), dtype=np.uint32)
             place[by] = np.arange(len(by))
-            block = pack(*steps(hashes[by]), place[np.array(tokens, dtype=np.int64)])
+            block = pack(*steps(hashes[by]), place[np.frombuffer(tokens, dtype=np.uint32)])
             columns = [list(c) for c in zip(*pieces, strict=True)]
             row = [number, *columns, sum(p[3] for p in pieces if not p[2]), sum(columns[3]), block]
             return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, row, strict=True))], schema=_SCHEMA)
@@ -187,7 +188,7 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
                         part = words[at : at + chunk_tokens]
                         if tokens and len(tokens) + len(part) > chunk_tokens:
                             yield done()
-                            number, numbers, tokens, pieces = number + 1, _Numbers(), [], []
+                            number, numbers, tokens, pieces = number + 1, _Numbers(), array("I"), []
                         tokens.extend(map(numbers.__getitem__, before))
                         tokens.extend(map(numbers.__getitem__, part))
                         pieces.append((ref, doc_id, held, len(part), len(before)))
