@@ -68,6 +68,23 @@ def crc_of(column: Column) -> Column:
 BROADCAST_ROWS = 50_000
 
 
+#: A key counts as hot from one in so many of all rows on, and from so many rows: at most HOT_SHARE keys are.
+HOT_SHARE = 10_000
+HOT_ROWS = 100
+
+
+def joined_on(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """`rows` joined with `table`, which has each key once, with the number of its rows in `n` (which is left out).
+
+    Hot keys, of bounded number, are broadcast, so that their rows stay where they
+    are; all others meet by shuffle.
+    """
+    least = max(HOT_ROWS, (table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"] or 0) // HOT_SHARE)
+    hot = F.broadcast(checkpointed(table.where(F.col(n) > least)))
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= least), key)
+    return rows.join(hot, key).unionByName(others).drop(n)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Write a table down; mark it for broadcast if its counted rows allow that, else leave the join to Spark."""
     kept = checkpointed(df)

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, in_batches, small, text_key
+from lawframe.llm.common import checkpointed, chunks, in_batches, joined_on, small, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -116,7 +116,9 @@ def _keyed(rows: DataFrame) -> DataFrame:
     """Rows (kind, fp) with the bits of their key, without those that share their key with no other."""
     masks = F.array(*[F.lit(_signed(m)) for m in MASKS])
     keyed = rows.withColumn("bits", F.col("fp").bitwiseAND(F.element_at(masks, F.col("kind") + 1)))
-    return keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("kind", "bits"))).where("n > 1")
+    # counted before they meet, as a key can have very many fingerprints
+    counts = keyed.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(counts, ["kind", "bits"]).select("fp", "kind", "bits", "n")
 
 
 def _forest(values: np.ndarray, chain: int) -> Iterator[tuple[int, int]]:
@@ -212,14 +214,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, limit: int = KEY_LIMIT) -> DataFrame:
     """(doc_id, key, fp, component_id) per row of (doc_id, text)."""
     printed = checkpointed(fingerprints(docs, shingle, seed))
-    distinct = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    distinct = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     linked = checkpointed(components(links(distinct, limit)))
     of_root = linked.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = linked.join(of_root, "root").select("node", "component_id")
     of_print = distinct.join(of_node, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.when(F.col("node").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")
+        "fp", F.when(F.col("node").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), "n"
     )
-    return printed.join(of_print, "fp").select("doc_id", "key", "fp", "component_id")
+    return joined_on(printed, checkpointed(of_print), "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -227,13 +229,13 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Da
     found = checkpointed(near_duplicates(docs, shingle, seed))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     # a component of null ids only is told by the texts' fingerprints
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    rows = found.groupBy(group.alias("g"), "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    best = rows.groupBy("g").agg(F.min(rank).alias("best"))
+    group = F.coalesce(F.concat(F.lit("id "), F.col("component_id").cast("string")), F.concat(F.lit("fp "), F.col("fp").cast("string")))
+    rows = found.groupBy(group.alias("g"), "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    best = checkpointed(rows.groupBy("g").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")))
     marks = small(
-        rows.join(best, rows["g"].eqNullSafe(best["g"]))
-        .select(F.col("doc_id").alias("mark id"), F.col("key").alias("mark key"), rank.eqNullSafe(F.col("best")).alias("stays"), "n")
-        .where("not stays or n > 1")
+        joined_on(rows, best, "g")
+        .select(F.col("doc_id").alias("mark id"), F.col("key").alias("mark key"), rank.eqNullSafe(F.col("best")).alias("stays"), "copies")
+        .where("not stays or copies > 1")
     )
     same = F.col("doc_id").eqNullSafe(F.col("mark id")) & (text_key(F.col("text")) == F.col("mark key"))
     kept = docs.join(marks.where("not stays").select("mark id", "mark key"), same, "left_anti")
