@@ -45,7 +45,7 @@ FROM lowered l LEFT JOIN covered c ON l.doc_id = c.doc_id LEFT JOIN found f ON l
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = sharding.assign(docs, shards=40)
+    found = sharding.shard_rows(docs, shards=40)
     return found.select(
         "doc_id",
         F.col("bytes").alias("size"),
