@@ -2,8 +2,8 @@
 
 Every row gets a hash-random key. Rows are sorted by that key within key
 ranges of their source, token counts are summed up over the ranges (one
-total per range, then a running total over the few ranges of a source, then
-a running total inside the one range that holds the cut), and each source is
+total per range, then running totals over blocks of ranges, over the ranges of
+a block, and inside each range), and each source is
 cut at its exact budget. Whole epochs come before the cut.
 
 Only (source, key, size) is shuffled, never texts. A hot source has more key
@@ -27,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 RANGE_ROWS = 2_000
+#: Ranges whose totals are summed up in one task.
+BLOCK_RANGES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -87,10 +89,15 @@ def cut_points(sizes: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROW
         .groupBy("source", "slot", "key")
         .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("budget").alias("budget"))
     )
-    by_source = Window.partitionBy("source").orderBy("slot")
-    per_range = ranged.groupBy("source", "slot").agg(F.sum("size").alias("range_size"))
-    offsets = per_range.withColumn(
-        "before_range", F.coalesce(F.sum("range_size").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_range = ranged.groupBy("source", "slot").agg(F.sum("size").alias("range_size")).withColumn("block", F.floor(F.col("slot") / BLOCK_RANGES))
+    earlier = (Window.unboundedPreceding, -1)
+    # blocks of a source, then the ranges of a block: no task has all ranges of a hot source
+    blocks = per_range.groupBy("source", "block").agg(F.sum("range_size").alias("block_size"))
+    by_source, by_block = Window.partitionBy("source").orderBy("block").rowsBetween(*earlier), Window.partitionBy("source", "block").orderBy("slot").rowsBetween(*earlier)
+    blocks = blocks.select(F.col("source").alias("of"), F.col("block").alias("in"), F.coalesce(F.sum("block_size").over(by_source), F.lit(0)).alias("before_block"))
+    placed = per_range.withColumn("in_block", F.coalesce(F.sum("range_size").over(by_block), F.lit(0)))
+    offsets = placed.join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in"))).select(
+        "source", "slot", (F.col("before_block") + F.col("in_block")).alias("before_range")
     )
     within = Window.partitionBy("source", "slot").orderBy("key")
     running = ranged.withColumn("before", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
