@@ -23,7 +23,9 @@ Defined results: a null or empty text has no text evidence; a row without a
 declared language, suffix or host has no such evidence; a null label is not
 learned from; without any labels there are no languages, and every row has
 lang null and is rejected; a tie goes to the first language by name; an empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result; repeated rows each get the same result and count
+each in the aggregations; a long text is read whole, and its evidence grows with
+its letters. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -199,8 +201,8 @@ def fuse(rows: DataFrame, model: TextModel, temper: float = TEMPER, least_poster
     )
     place = F.coalesce("by host", "by suffix", prior)
     told = F.coalesce("by declared", uniform)
-    # up to 400 letters' worth of tempered text evidence, in which the mean over the whole text counts
-    weight = F.least(F.col("letters"), F.lit(400)) * temper
+    # the whole text's tempered evidence: a mean per trigram, and as many trigrams as letters
+    weight = F.col("letters") * temper
     logs = F.zip_with(
         F.zip_with(F.transform("likelihood", lambda x: x * weight), place, lambda a, p: a + F.log(p)), told, lambda a, p: a + F.log(p)
     )
