@@ -9,8 +9,13 @@ Suffix statistics are the smoothed share of blocked URLs for each last host
 label among the labelled URLs, one aggregate over all of them. A suffix that
 no label has gets the overall share.
 
+In training, a row's suffix has the share that the labels outside its own fold
+have, one of `FOLDS` by hash, so that no row tells its own label.
+
 Defined results: a null url, or one without `://`, has an empty host and path
-and fits no rule; it is judged by its features, which are then zero. With
+and fits no rule; it is judged by its features: those of the host and the path
+are those of empty text, those of the whole url (length, digits, parameters) are
+counted as in any other, and a null url's are zero. With
 fewer than two classes among the labels the trees can't be trained, and the
 verdict is the only class, or allow. Repeated rows each come out. Other
 columns are ignored.
@@ -35,6 +40,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 TRAIN_ROWS = 20_000
+#: Parts of the labelled URLs for the suffix shares in training.
+FOLDS = 10
 FEATURES = ("length", "host_length", "depth", "host_depth", "digit_ratio", "entropy", "params", "hyphens", "longest_label", "suffix_rate")
 
 
@@ -97,14 +104,22 @@ def judge(pages: DataFrame, rules: tuple = RULES, train_rows: int = TRAIN_ROWS,
     """(page_id, host, path, rule, verdict, score): score is the trees' probability that the URL is to be blocked."""
     rows = checkpointed(lexical(pages, rules))
     label = (F.col("best.verdict") == "block").cast("double")
-    by_suffix = rows.where("best is not null").groupBy("suffix").agg(F.sum(label).alias("bad"), F.count(F.lit(1)).alias("n"))
+    known = F.col("best").isNotNull()
+    own = F.pmod("draw", F.lit(FOLDS))
+    in_fold = [[F.sum(F.when(own == k, x).otherwise(0)) for k in range(FOLDS)] for x in (label, F.lit(1))]
+    by_suffix = rows.where(known).groupBy("suffix").agg(
+        F.sum(label).alias("bad"), F.count(F.lit(1)).alias("n"), F.array(*in_fold[0]).alias("fold_bad"), F.array(*in_fold[1]).alias("fold_n")
+    )
     overall = by_suffix.agg(F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     share = overall["bad"] / overall["n"] if overall["n"] else 0.0
-    rates = small(by_suffix.select(F.col("suffix").alias("of"), ((F.col("bad") + 10 * share) / (F.col("n") + 10)).alias("rate")))
-    full = rows.join(rates, F.col("suffix") == F.col("of"), "left").withColumn("suffix_rate", F.coalesce("rate", F.lit(share)))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
+    rates = small(by_suffix.withColumnRenamed("suffix", "of"))
+    rate = lambda bad, n: (bad + 10 * share) / (n + 10)
+    full = rows.join(rates, F.col("suffix") == F.col("of"), "left").withColumn("suffix_rate", F.coalesce(rate(F.col("bad"), F.col("n")), F.lit(share)))
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    vectors = assembler.transform(full)
     if 0 < overall["bad"] < overall["n"]:
-        train = vectors.where("best is not null").select("features", label.alias("label"), "draw").orderBy("draw").limit(train_rows)
+        labelled = full.where(known).withColumn("suffix_rate", rate(F.col("bad") - F.get("fold_bad", own), F.col("n") - F.get("fold_n", own)))
+        train = assembler.transform(labelled).select("features", label.alias("label"), "draw").orderBy("draw").limit(train_rows)
         model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxMemoryInMB=64).fit(checkpointed(train.select("features", "label")))
         scored = model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
     else:
