@@ -53,7 +53,7 @@ class Tokenizer:
 
     def counter(self):
         if self.ranks is None:
-            return lambda text: len(text.split())
+            return lambda text: sum(1 for _ in WORDS.finditer(text))
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines()) if a}
         encoding = tiktoken.Encoding(self.version, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda text: sum(len(encoding.encode_ordinary(part)) for part in whole_pieces(text))
