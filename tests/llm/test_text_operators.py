@@ -251,6 +251,60 @@ def test_language_id(spark, duck):
     assert sum(r["accepted"] for r in rows) >= 0.98 * len(rows)
 
 
+def _brute_languages(pages, labelled):
+    """Posteriors in plain Python: trigram counts, then counts by declared language, suffix and host."""
+    counts = {}
+    for text, lang in {(t, l) for t, l in labelled if t is not None and l is not None}:
+        counts.setdefault(lang, collections.Counter()).update(langid.slots(text.encode())[0].tolist())
+    names = sorted(counts)
+    total = {n: sum(counts[n].values()) + 0.05 * langid.SLOTS for n in names}
+    rows = []
+    for page, url, html in pages:
+        html = html or ""
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html)
+        text = re.sub(r"&#?\w+;", " ", re.sub(r"(?s)<[^>]*>", " ", text), flags=re.A)
+        found = re.search(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})""", html)
+        host = re.split(r"[/?#]", url.split("://", 1)[1])[0].lower() if url and "://" in url else ""
+        at, letters = langid.slots(text.encode())
+        mean = {n: sum(math.log((counts[n][s] + 0.05) / total[n]) for s in at.tolist()) / len(at) if letters else 0.0 for n in names}
+        said = max(names, key=lambda n: (mean[n], -names.index(n))) if letters else None
+        rows.append((page, host or None, host.rsplit(".", 1)[-1] if host else None, found and found.group(1).lower(), letters, mean, said))
+    said = collections.Counter(r[6] for r in rows if r[6])
+    base = {n: (said[n] + 1) / (sum(said.values()) + len(names)) for n in names}
+    by = collections.Counter()
+    for _, host, suffix, declared, _, _, lang in rows:
+        if lang:
+            for key in (("s", suffix) if suffix else None, ("h", host, suffix) if host else None, ("d", declared) if declared else None):
+                by[key, lang] += 1
+
+    def smoothed(key, prior, weight):
+        n = sum(by[key, x] for x in names)
+        return {x: (by[key, x] + weight * prior[x]) / (n + weight) for x in names} if n else None
+
+    out = {}
+    for page, host, suffix, declared, letters, mean, _ in rows:
+        suffixes = smoothed(("s", suffix), base, langid.SUFFIX_WEIGHT) if suffix else None
+        hosts = smoothed(("h", host, suffix), suffixes, langid.HOST_WEIGHT) if host and suffixes else None
+        prior = hosts or suffixes or base
+        told = {x: 1.0 for x in names}
+        if declared and any(by[("d", declared), x] for x in names):
+            told = {x: (by[("d", declared), x] + langid.DECLARED_WEIGHT / len(names)) / (said[x] + langid.DECLARED_WEIGHT) for x in names}
+        logs = {x: langid.TEMPER * letters * mean[x] + math.log(prior[x]) + math.log(told[x]) for x in names}
+        best = max(logs.values())
+        lang = next(x for x in names if logs[x] == best)
+        out[page] = (lang, 1 / sum(math.exp(v - best) for v in logs.values()))
+    return out
+
+
+def test_language_posteriors_are_the_brute_force_ones(spark):
+    read = lambda name, *c: [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(*c).collect()]
+    want = _brute_languages(read("pages", "page_id", "url", "html"), read("documents", "text", "lang"))
+    rows = registry.op5_langid(spark, SF).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert (r["lang"], r["posterior"]) == (want[r["page_id"]][0], pytest.approx(want[r["page_id"]][1], rel=1e-6))
+
+
 def test_language_id_of_odd_rows(spark, docs, no_docs):
     kept = langid.accepted_documents(docs).collect()
     gone = docs.count() - len(kept)
