@@ -7,14 +7,17 @@ scanned for prefix shingles only; what is found joins the windows by shingle
 hash, is bounded by position and length, and is compared word for word.
 
 Two scans of the documents read whole texts: one counts benchmark shingles,
-one finds candidates. Each filters by a bit table of fixed size that is built
-from hashes on the executors, so nothing broadcast grows with the benchmark;
-a larger benchmark only lets more false candidates through to the join, which
-drops them. No step pairs documents with each other or holds a group: a
-passage that is in a third of all documents makes one candidate per occurrence.
+one finds candidates. Each filters by a bit table that is built from hashes on
+the executors, with some sixteen bits for each shingle looked for, up to 16 MB;
+a benchmark of more than eight million windows only lets more false candidates
+through to the join, which drops them. No step pairs documents with each other
+or holds a group: a passage that is in a third of all documents makes one
+candidate per occurrence, which carries the window's number and not its items.
 
 Defined results: null, empty and wordless texts have no words and no hits;
-items without words have no windows; repeated items count once by item_id;
+items without words have no windows; repeated items count once by item_id; an
+item without an id marks words as hit and is not among the items; among equally
+rare shingles the one of least hash is the prefix; a long text is scanned whole;
 repeated document rows each get the same result; an empty benchmark leaves
 every document clean. Other columns are ignored.
 """
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, in_batches, small, text_key
+from lawframe.llm.common import BROADCAST_ROWS, checkpointed, chunks, in_batches, small, text_key
 
 WINDOW = 10
 SHINGLE = 3
-TABLE_BITS = 22
+#: Least and most bits of a bit table, as powers of two; it is made in blocks of 2 ** 16 bits.
+LEAST_BITS, MOST_BITS = 16, 27
 
 #: Bytes of words stay, A-Z in lower case; all others part words.
 _WORD_BYTES = bytes(
@@ -94,57 +98,68 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
 
 
-def bit_table(hashes: DataFrame) -> tuple[bytes, list[int]]:
-    """A table of 2 ** TABLE_BITS bits over (k, h), and the sizes k; built per word on the executors."""
-    slot = F.shiftrightunsigned("h", 64 - TABLE_BITS)
-    words = (
-        hashes.select("k", slot.alias("slot"))
-        .groupBy((F.col("slot") / 32).cast("long").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits"), F.collect_set("k").alias("ks"))
-        .collect()  # 2 ** TABLE_BITS / 32 rows at most
-    )
-    table = np.zeros(1 << (TABLE_BITS - 5), dtype=np.uint32)
-    for row in words:
-        table[row["word"]] = row["bits"]
-    return table.tobytes(), sorted({k for row in words for k in row["ks"]})
+class BitTable:
+    """Bits over shingles' hashes, and the shingles' sizes."""
+
+    def __init__(self, bits: int, table: np.ndarray, sizes: list[int]):
+        self.bits, self.table, self.sizes = bits, table, sizes
+
+    def find(self, crcs: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of shingles that the table may hold and that stay within one text."""
+        hashes = shingle_hashes(crcs, k)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = np.flatnonzero(self.table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+        text = np.searchsorted(ends, at, side="right")
+        at = at[at + k <= ends[text]] if len(at) else at
+        return at, hashes[at]
 
 
-def _found(crcs: np.ndarray, ends: np.ndarray, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of shingles that the table may hold and that stay within one text."""
-    hashes = shingle_hashes(crcs, k)
-    slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    at = np.flatnonzero((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1))
-    text = np.searchsorted(ends, at, side="right")
-    at = at[at + k <= ends[text]] if len(at) else at
-    return at, hashes[at]
+def bit_table(hashes: DataFrame) -> BitTable:
+    """The table of (k, h) rows, sized by their number; its blocks are made on the executors."""
+    sizes, n = hashes.agg(F.collect_set("k"), F.count_distinct("h")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = np.sort((batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))
+            for part in np.split(slot, np.flatnonzero(np.diff(slot >> 16)) + 1):
+                if len(part):
+                    held.setdefault(int(part[0] >> 16), np.zeros(1 << 16, dtype=bool))[part & 0xFFFF] = True
+        for block, found in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(found, bitorder="little").tobytes()])], names=["block", "bits"])
 
-def shingle_counts(docs: DataFrame, table: bytes, sizes: list[int]) -> DataFrame:
+    table = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    dealt = hashes.select("h").repartition(F.shiftrightunsigned("h", 64 - bits + 16)) if bits > 16 else hashes.select("h").coalesce(1)
+    for row in dealt.mapInArrow(run, "block long, bits binary").toLocalIterator():  # 2 ** (MOST_BITS - 16) rows at most
+        table[row["block"] << 13 : row["block"] + 1 << 13] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return BitTable(bits, table, sorted(sizes))
+
+
+def shingle_counts(docs: DataFrame, table: BitTable) -> DataFrame:
     """(h, n): occurrences over all documents of the shingles in the table, summed per step before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table, dtype=np.uint32)
         for batch in batches:
             for _, texts in chunks(batch, "text"):
                 split = [words_of(t) for t in texts]
                 ends = np.cumsum([len(w) for w in split])
                 crcs = word_crcs([w for s in split for w in s])
-                for k in sizes:
-                    hashes, n = np.unique(_found(crcs, ends, k, bits)[1], return_counts=True)
+                for k in table.sizes:
+                    hashes, n = np.unique(table.find(crcs, ends, k)[1], return_counts=True)
                     if len(hashes):
                         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return in_batches(docs.select("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def candidates(docs: DataFrame, table: bytes, sizes: list[int], window: int) -> DataFrame:
+def candidates(docs: DataFrame, table: BitTable, window: int) -> DataFrame:
     """Per document row, a row with is_row = 1, and one per occurrence of a prefix shingle, with the words around it."""
     schema = "doc_id long, key long, is_row int, n_words long, h long, pos long, before int, around string"
     names = ["doc_id", "key", "is_row", "n_words", "h", "pos", "before", "around"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table, dtype=np.uint32)
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, texts in chunks(batch, "text"):
@@ -154,8 +169,8 @@ def candidates(docs: DataFrame, table: bytes, sizes: list[int], window: int) ->
                 # the hash of a document's own row is spread and meets no window, as it joins by is_row too
                 out = [(ids[first + i], keys[first + i], 1, len(w), keys[first + i], None, None, None) for i, w in enumerate(split)]
                 starts = np.concatenate([[0], sums[:-1]])
-                for k in sizes:
-                    at, hashes = _found(crcs, sums, k, bits)
+                for k in table.sizes:
+                    at, hashes = table.find(crcs, sums, k)
                     for p, i, h in zip(at.tolist(), np.searchsorted(sums, at, side="right").tolist(), hashes.view(np.int64).tolist(), strict=True):
                         p -= int(starts[i])
                         low = max(0, p - window + 1)
@@ -171,21 +186,21 @@ def candidates(docs: DataFrame, table: bytes, sizes: list[int], window: int) ->
     return in_batches(rows).mapInArrow(run, schema)
 
 
-def prefixes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(window, len, items, h, off, k): each window with its rarest shingle."""
-    shingles = checkpointed(benchmark_windows(benchmark, window, shingle))
-    counts = shingle_counts(docs, *bit_table(shingles))
+def prefixes(docs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(no, window, len, h, off, k): each window, numbered, with its rarest shingle."""
+    counts = shingle_counts(docs, bit_table(shingles))
     ranked = shingles.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return ranked.groupBy("window", "len").agg(
-        F.array_sort(F.collect_set("item_id")).alias("items"), F.min(F.struct("n", "h", "off", "k")).alias("rarest")
-    ).select("window", "len", "items", "rarest.h", "rarest.off", "rarest.k")
+    found = ranked.groupBy("window", "len").agg(F.min(F.struct("n", "h", "off", "k")).alias("rarest"))
+    return found.select(F.monotonically_increasing_id().alias("no"), "window", "len", "rarest.h", "rarest.off", "rarest.k")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Per document row: doc_id, key (of its text), n_words, spans (distinct (start, len) of windows found), items."""
-    prefix = checkpointed(prefixes(docs, benchmark, window, shingle))
-    found = candidates(docs, *bit_table(prefix), window)
-    p = prefix.select(F.col("h").alias("ph"), "off", "len", "window", "items")
+    shingles = checkpointed(benchmark_windows(benchmark, window, shingle))
+    prefix = checkpointed(prefixes(docs, shingles))
+    found = candidates(docs, bit_table(prefix), window)
+    p = prefix.select(F.col("h").alias("ph"), "off", "len", "window", "no")
+    p = F.broadcast(p) if prefix.count() <= BROADCAST_ROWS else p
     start = F.col("pos") - F.col("off")
     place = F.col("before") - F.col("off")
     bounds = (F.col("is_row") == 0) & (place >= 0) & (start + F.col("len") <= F.col("n_words"))
@@ -195,10 +210,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle
         F.sum("is_row").cast("int").alias("copies"),
         F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("hit"), F.struct(start.alias("start"), F.col("len")))).alias("spans"),
-        F.collect_set(F.when(F.col("hit"), F.col("items"))).alias("item_lists"),
+        F.collect_set(F.when(F.col("hit"), F.col("no"))).alias("windows"),
     )
-    return by_row.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        "doc_id", "key", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("item_lists"))).alias("items")
+    by_row = checkpointed(by_row)
+    items = shingles.where("off = 0 and item_id is not null").select("item_id", "window", "len").distinct().join(prefix.select("window", "len", "no"), ["window", "len"])
+    hits = by_row.where(F.size("windows") > 0).select(F.col("doc_id").alias("hit id"), F.col("key").alias("hit key"), F.explode("windows").alias("no"))
+    named = hits.join(small(items.select("no", "item_id")), "no").groupBy("hit id", "hit key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    same = F.col("doc_id").eqNullSafe(F.col("hit id")) & (F.col("key") == F.col("hit key"))
+    return by_row.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).join(named, same, "left").select(
+        "doc_id", "key", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
