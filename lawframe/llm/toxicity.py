@@ -10,13 +10,14 @@ by logistic regression on the same labelled rows.
 
 Training uses at most `train_toxic` + `train_ordinary` labelled rows, those of
 least hash, which is what the driver gathers; it gets their texts and figures
-and no other row's. Scoring covers every row, every window of the whole text,
+and no other row's. All telling pieces of those rows are in the dictionary. Scoring covers every row, every window of the whole text,
 in the task that reads it; nothing is shuffled.
 
 Defined results: a null or empty text has one empty window; repeated rows get
 equal scores; labels other than 0 and 1 are ignored; without labels of both
-kinds every score is the share of toxic labels (0 without any); an empty table
-gives an empty result. Other columns are ignored.
+kinds every score is the share of toxic labels (0 without any); a long text is cut
+into windows from end to end; an empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ TRAIN_ORDINARY = 5_000
 LEAST_Z = 6.0
 LEAST_LOG_ODDS = 2.5
 LEAST_DOCUMENTS = 4
-TOXIC_BYTES = 2048
+#: Bytes of common words in both dictionaries, a parameter of the model: more do not rank better (figures in the README).
 COMMON_BYTES = 4096
 HELD_OUT = (5, 0)
 
@@ -130,18 +131,21 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """(common, toxic): raw dictionary content, the most useful last, where references are shortest."""
-    pieces, size = [], 0
-    for piece in telling_pieces(toxic, ordinary):
-        if size + len(piece) <= TOXIC_BYTES:
-            pieces.append(piece)
-            size += len(piece)
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], common_bytes: int = COMMON_BYTES) -> tuple[bytes, bytes]:
+    """(common, toxic): raw dictionary content, the most useful last, where references are shortest.
+
+    All telling pieces are in the toxic part; the common part has as many whole words as `common_bytes` hold.
+    """
     counts: Counter[bytes] = Counter()
     for raw in ordinary:
         counts.update(set(raw.translate(_LETTERS).split()))
-    words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4000]]
-    return b" ".join(words[::-1])[-COMMON_BYTES:], b"".join(pieces[::-1])
+    words, size = [], 0
+    for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        size += len(word) + 1
+        if size > common_bytes:
+            break
+        words.append(word)
+    return b" ".join(words[::-1]), b"".join(telling_pieces(toxic, ordinary)[::-1])
 
 
 def figures(raw: bytes, ordinary, toxic) -> list[float]:
@@ -177,15 +181,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_T
     return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | float:
-    """A model, or the score for all rows if labels of one kind are lacking."""
+def train(docs: DataFrame, labels: DataFrame, common_bytes: int = COMMON_BYTES, **bounds: int) -> Model | float:
+    """A model, or the score for all rows if labels of one kind are lacking; `bounds` are those of training_rows."""
     sample = checkpointed(training_rows(docs, labels, **bounds))
     rows = sample.select("text", "toxic").collect()
     texts = {(r["text"].encode(), r["toxic"]) for r in rows}
     toxic, ordinary = [sorted(t for t, k in texts if k == kind) for kind in (1, 0)]
     if not toxic or not ordinary:
         return float(bool(toxic))
-    common, extra = train_dictionaries(toxic, ordinary)
+    common, extra = train_dictionaries(toxic, ordinary, common_bytes)
     model = Model(common, extra, [], [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
