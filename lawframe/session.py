@@ -31,15 +31,15 @@ def local_session(cores: str = "8", app: str = "lawframe", **extra: str) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, also for checkpoints: spark.checkpoint.dir, else the context's own.
 
-    Where neither is set, a folder beside the warehouse serves a local session; on a
-    cluster that is a ValueError, as executors would not see a folder of the driver's.
+    Where neither is set, a new temporary folder serves a local session; on a cluster
+    that is a ValueError, as executors would not see a folder of the driver's.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/../lawframe-shared"
+        base = tempfile.mkdtemp(prefix="lawframe-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base
