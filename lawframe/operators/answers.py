@@ -9,11 +9,17 @@ from lawframe.functions import algebra as A
 from lawframe.functions import grading as G
 
 
+#: Parts over which responses without answer lines are dealt.
+SALTS = 64
+
+
 def graded_responses(responses: DataFrame) -> DataFrame:
     """Rows (response, canonical_e, canonical_f) with `assume`, `ask`, `verdict` and `bucket`.
 
     Answers repeat heavily, so each distinct (assume, ask, truth) is graded once
     and joined back. The answer lines are extracted where the responses are read.
+    Responses without either line can be very many of one key, so they are dealt
+    over `SALTS` parts of it.
     """
     assume, ask = G.extract_answer(F.col("response"))
     extracted = responses.withColumns({"assume": assume, "ask": ask})
@@ -23,14 +29,17 @@ def graded_responses(responses: DataFrame) -> DataFrame:
     found = tokens.groupBy(*keys).agg(
         F.first("te").alias("e"), F.first("tf").alias("f"), F.first(G.transform_found(F.col("te"), F.col("tf"), F.col("canonical_e"), F.col("canonical_f"))).alias("transform")
     )
-    once = found.select(
-        *[F.col(k).alias(f"of {k}") for k in keys], "e", "f", G.verdict(F.col("assume"), F.col("ask"), F.col("e"), F.col("f"), F.col("transform")).alias("verdict")
+    lost = F.col("assume").isNull() & F.col("ask").isNull()
+    parts = F.when(lost, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    once = found.withColumn("of salt", F.explode(parts)).select(
+        "of salt", *[F.col(k).alias(f"of {k}") for k in keys], "e", "f", G.verdict(F.col("assume"), F.col("ask"), F.col("e"), F.col("f"), F.col("transform")).alias("verdict")
     )
-    same = None
+    extracted = extracted.withColumn("salt", F.when(lost, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
+    same = F.col("salt") == F.col("of salt")
     for k in keys:
         one = F.col(k).eqNullSafe(F.col(f"of {k}"))
-        same = one if same is None else same & one
-    joined = extracted.join(once, same).drop(*[f"of {k}" for k in keys])
+        same = same & one
+    joined = extracted.join(once, same).drop("salt", "of salt", *[f"of {k}" for k in keys])
     return joined.withColumn("bucket", G.bucket_of(F.col("response"), F.col("verdict")))
 
 

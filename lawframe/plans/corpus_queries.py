@@ -8,6 +8,7 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawframe.functions import algebra as A
 from lawframe.functions import labels as L
 from lawframe.operators import corpus
 from lawframe.plans.io_queries import _folder
@@ -26,7 +27,9 @@ def example_themes(spark: SparkSession) -> DataFrame:
 
 
 def themed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return law_pairs(spark, sf_dir).withColumn("theme", F.when(F.col("e_no") % 2 == 0, "bakery").otherwise("loom"))
+    """Each pair with the theme that its laws select, of the two in order of their keys."""
+    number = A.theme_number(A.canonical(F.col("e")), A.canonical(F.col("f")), 2)
+    return law_pairs(spark, sf_dir).withColumn("theme", F.get(F.array(F.lit("bakery"), F.lit("loom")), number))
 
 
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:

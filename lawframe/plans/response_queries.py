@@ -10,7 +10,7 @@ from lawframe.functions import labels as L
 from lawframe.operators import answers, corpus, summary
 from lawframe.operators.attempts import is_correct
 from lawframe.plans.registry import query
-from lawframe.plans.views import RESPONSES, law_pairs, responses
+from lawframe.plans.views import RESPONSES, forms_sql, law_pairs, responses
 
 #: Per kind of answer: cleaned lines, canonical forms (null: does not parse), status by parity of the pair, transform and bucket.
 _KINDS = """kinds(tid, assume, ask, e, f) AS (VALUES
@@ -108,12 +108,18 @@ def law_reading_rate(spark, sf_dir):
     return answers.law_reading_rate(answers.graded_responses(responses(spark, sf_dir)))
 
 
-@query("stage_attribution")
+@query(
+    "stage_attribution",
+    forms_sql("SELECT CASE WHEN e_no % 7 = 0 THEN 'off-grammar' WHEN e_no % 5 = 0 THEN 'drifted' ELSE 'faithful' END AS stage1, e_no % 2 = 0 AS correct, count(*) AS n FROM pairs GROUP BY ALL"),
+)
 def stage_attribution(spark, sf_dir):
-    """First stages made from law pairs: every fifth describes the next pair instead, every seventh is cut off."""
-    rendered = corpus.render_literal(law_pairs(spark, sf_dir))
-    drifted = F.when(F.col("e_no") % 5 == 0, F.replace("description", F.lit("first input"), F.lit("second input"))).otherwise(F.col("description"))
-    told = F.when(F.col("e_no") % 7 == 0, F.substring("description", 1, 300)).when(F.col("e_no") % 3 == 0, F.concat(F.lit("Here it is.\n"), drifted)).otherwise(drifted)
+    """First stages made from law pairs: every seventh is cut off, of the others every fifth tells the two laws in the wrong order; some have words before the description."""
+    pairs = law_pairs(spark, sf_dir)
+    turned = pairs.select("e_no", F.col("f").alias("e"), F.col("e").alias("f"))
+    wrong = corpus.render_literal(turned).select("e_no", F.col("description").alias("turned"))
+    rendered = corpus.render_literal(pairs).join(wrong, "e_no")
+    whole = F.when(F.col("e_no") % 5 == 0, F.col("turned")).otherwise(F.col("description"))
+    told = F.when(F.col("e_no") % 7 == 0, F.substring("description", 1, 300)).when(F.col("e_no") % 3 == 0, F.concat(F.lit("Here it is.\n"), whole)).otherwise(whole)
     return answers.stage_attribution(rendered.withColumn("stage1_response", told).withColumn("correct", F.col("e_no") % 2 == 0))
 
 
@@ -240,13 +246,19 @@ def short_names(spark, sf_dir):
     return rows.select("event_id", L.short_model(F.concat(F.lit("vendor/"), F.col("event_type"))).alias("model"), L.run_stem(name).alias("run"))
 
 
-_FORMATTED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.1f', 100 * l_linenumber / 16.0) END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 16.0) END AS number FROM lineitem"
+def _formatted(spark, sf_dir: str, parts: float, digits: int):
+    value = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") / parts).cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", summary.fmt_pct(value, digits).alias("pct"), summary.fmt_number(value).alias("number"))
 
 
-@query("fmt_pct", _FORMATTED)
-@query("fmt_pct_all", _FORMATTED)
+@query("fmt_pct", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.1f', 100 * l_linenumber / 16.0) END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 16.0) END AS number FROM lineitem")
 def fmt_pct(spark, sf_dir):
     """Sixteenths, which have ties at one and at three digits."""
-    value = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") / 16.0).cast("double")
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.select("l_orderkey", "l_linenumber", summary.fmt_pct(value).alias("pct"), summary.fmt_number(value).alias("number"))
+    return _formatted(spark, sf_dir, 16.0, 1)
+
+
+@query("fmt_pct_all", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '-' ELSE (25 * l_linenumber)::VARCHAR END AS pct, CASE WHEN l_linenumber = 3 THEN '-' ELSE printf('%.3f', l_linenumber / 4.0) END AS number FROM lineitem")
+def fmt_pct_all(spark, sf_dir):
+    """Quarters, without digits."""
+    return _formatted(spark, sf_dir, 4.0, 0)

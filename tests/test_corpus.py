@@ -31,6 +31,33 @@ def test_damaged_descriptions_do_not_read(spark):
     assert whole == [True] + [False] * len(bad)
 
 
+def test_story_wording(spark):
+    """One bare side and one with two steps, word for word."""
+    pairs = _pairs(spark, ("x = (x ∘ y) ∘ z", "x ∘ y = y ∘ x")).withColumn("theme", F.lit("bakery"))
+    assert corpus.render_story(pairs, example_themes(spark)).first()["story"].split("\n\n") == [
+        "In a small harbour bakery, the baker keeps to one old custom. Take any three doughs at all — call the first rye, the second spelt, and the third millet.",
+        "She folds rye into spelt and sets the result aside as Loaf 1; then she folds Loaf 1 into millet and calls the result Loaf 2.",
+        "However she chooses her three starting doughs, rye itself and Loaf 2 always bake to the very same bread. Nobody in the bakery has seen it otherwise.",
+        "One winter her cousin asks about something. Take any two doughs — again call the first rye and the second spelt. Fold rye into spelt and set the result aside as Loaf 1. "
+        "Separately, fold spelt into rye and call the result Loaf 2.",
+        "In this bakery, must Loaf 1 and Loaf 2 always bake to the same bread?",
+    ]
+
+
+def test_damaged_stories_do_not_read(spark):
+    themes = example_themes(spark)
+    good = corpus.render_story(_pairs(spark, ("x = (x ∘ y) ∘ z", "x ∘ y = y ∘ x")).withColumn("theme", F.lit("loom")), themes).first()
+    story = good["story"]
+    bad = [
+        story[:-30], story.replace("In a quiet valley mill", "Somewhere"), story.replace("Cloth 1", "Cloth 7", 1), story.replace("always feel exactly alike", "feel alike"),
+        story.replace("runs linen across merino", "lays linen across merino"), story.replace("One summer his niece", "His niece"), "", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([story, *bad])], "i int, story string")
+    rows = corpus.backparse_story(df, themes).orderBy("i").collect()
+    truth = (good["canonical_e"], good["canonical_f"])
+    assert [(r["read_e"], r["read_f"]) == truth and r["read_theme"] == "loom" for r in rows] == [True] + [False] * len(bad)
+
+
 def test_seven_variables_are_not_rendered(spark):
     row = corpus.render_literal(_pairs(spark, ("((a ∘ b) ∘ (c ∘ d)) ∘ (e ∘ f) = g", "x = x"))).first()
     assert row["description"] is None
