@@ -11,7 +11,8 @@ and one media value at a time is in memory besides its Arrow batch.
 
 Defined results: a null text is an empty payload, which is padded to one unit;
 repeated rows give equal values; damaged media raise ValueError, naming the
-page; an empty table gives an empty result. Other columns are ignored.
+page; an empty table gives an empty result. A text of any length is one file,
+of as many pages as it takes, and is held whole by the task that reads it. Other columns are ignored.
 """
 
 from __future__ import annotations
