@@ -317,6 +317,14 @@ def test_language_id_of_odd_rows(spark, docs, no_docs):
     assert langid.identify_pages(pages, labelled.limit(0)).where("accepted or lang is not null").count() == 0
 
 
+def test_very_long_pages(spark):
+    """Over a megabyte of markup is read from end to end."""
+    labelled = spark.createDataFrame([("le chat est sur la table et le chien mange", "fr"), ("the cat sat on the mat and the dog ate", "en")], "text string, lang string")
+    html = "<html lang=en><body>" + "<p>the dog</p>" * 20 + "<script>var x = 1;</script><p>le chien mange sur la table</p>" * 20_000
+    found = langid.identify_pages(spark.createDataFrame([(1, "http://h.example/x", html)], "page_id long, url string, html string"), labelled).first()
+    assert (found["text_lang"], found["lang"], found["declared"]) == ("fr", "fr", "en") and found["letters"] > 400_000
+
+
 def test_priors_decide_where_texts_do_not(spark):
     """A host that is French otherwise makes a doubtful page French."""
     model = langid.TextModel(["en", "fr"], None)
