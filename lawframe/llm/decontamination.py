@@ -8,9 +8,9 @@ hash, is bounded by position and length, and is compared word for word.
 
 Two scans of the documents read whole texts: one counts benchmark shingles,
 one finds candidates. Each filters by a bit table that is built from hashes on
-the executors, with some sixteen bits for each shingle looked for, up to 16 MB;
-a benchmark of more than eight million windows only lets more false candidates
-through to the join, which drops them. No step pairs documents with each other
+the executors, with 256 bits or more for each shingle looked for, up to 16 MB in
+all; a benchmark of more than half a million windows only lets more false
+candidates through to the join, which drops them. No step pairs documents with each other
 or holds a group: a passage that is in a third of all documents makes one
 candidate per occurrence, which carries the window's number and not its items.
 
@@ -117,7 +117,7 @@ class BitTable:
 def bit_table(hashes: DataFrame) -> BitTable:
     """The table of (k, h) rows, sized by their number; its blocks are made on the executors."""
     sizes, n = hashes.agg(F.collect_set("k"), F.count_distinct("h")).first()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (256 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
