@@ -27,15 +27,17 @@ from pyspark.sql import types as T
 from lawframe.operators.attempts import latest_graded
 from lawframe.session import file_system, names_in
 
-#: Parts of the state, fixed when it is made.
-PARTS = 64
-
 
 class State:
-    """The state in a folder: `rows/part=<p>/batch=<b>`, and `manifests/<b>` with each part's current batch."""
+    """The state in a folder: `rows/part=<p>/batch=<b>`, and `manifests/<b>` with the number of parts and each part's current batch.
+
+    The number of parts is fixed by the first batch: `parts`, or else as many as the session's shuffle partitions.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], parts: int = PARTS):
-        self.spark, self.path, self.schema, self.keys, self.parts = spark, path, schema, keys, parts
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], parts: int | None = None):
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.manifest()
 
     def batches(self) -> list[int]:
         """Numbers of the batches with a whole manifest."""
@@ -47,8 +49,9 @@ class State:
         known = [b for b in self.batches() if before is None or b < before]
         if not known:
             return -1, {}
-        text = self.spark.read.text(f"{self.path}/manifests/{known[-1]}").first()["value"]
-        return known[-1], {int(p): b for p, b in json.loads(text).items()}
+        told = json.loads(self.spark.read.text(f"{self.path}/manifests/{known[-1]}").first()["value"])
+        self.parts = told["parts"]
+        return known[-1], {int(p): b for p, b in told["current"].items()}
 
     def rows(self, current: dict[int, int]) -> DataFrame:
         if not current:
@@ -62,12 +65,12 @@ class State:
         """Take a batch in; once more with the same number gives the same state."""
         _, current = self.manifest(before=number)
         fresh = batch.withColumn("part", self.part())
-        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # PARTS numbers at most
+        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # a number per part at most
         former = self.rows({p: current[p] for p in touched if p in current})
         merged = latest_graded(former.unionByName(batch), self.keys)
         dealt = merged.withColumn("part", self.part()).withColumn("batch", F.lit(number))
         dealt.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{self.path}/rows")
-        text = json.dumps(current | dict.fromkeys(touched, number))
+        text = json.dumps({"parts": self.parts, "current": current | dict.fromkeys(touched, number)})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifests/{number}")
         self._forget(number)
 

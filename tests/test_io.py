@@ -132,6 +132,7 @@ def test_batches_rewrite_what_they_touch(spark, folder):
     state.merge(rows(("E1", "m", 99, "exact")), 1)
     after = state.manifest()[1]
     assert sorted(before) == list(range(8)) and sum(before[p] != after[p] for p in before) == 1
+    assert State(spark, folder, state.schema, state.keys, parts=5).parts == 8  # fixed by the first batch
     state.merge(rows(("E1", "m", 99, "exact")), 1)  # the same batch again
     assert state.rows(state.manifest()[1]).count() == 40
     for n in range(2, 5):
