@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,8 +65,9 @@ def crc_of(column: Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")), F.lit(0))
 
 
-#: Rows of a per-source or per-cell table, of about 100 bytes each, up to which it is broadcast.
+#: Rows, and bytes as JSON, of a per-source or per-cell table up to which it is broadcast.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 #: A key counts as hot from one in so many of all rows on, and from so many rows: at most HOT_SHARE keys are.
@@ -86,6 +88,23 @@ def joined_on(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> Data
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Write a table down; mark it for broadcast if its counted rows allow that, else leave the join to Spark."""
+    """Write a table down; mark it for broadcast if its counted rows and bytes allow that, else leave the join to Spark."""
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    if kept.count() > BROADCAST_ROWS:
+        return kept
+    measured = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))))).first()[0] or 0
+    return F.broadcast(kept) if measured <= BROADCAST_BYTES else kept
+
+
+def marked(docs: DataFrame, marks: DataFrame, keys: list[Column], how: str) -> DataFrame:
+    """Rows of `docs` whose `keys` are ("left_semi") or aren't ("left_anti") a row of `marks`, nulls equal to nulls.
+
+    The columns of `marks` are those of `keys`, in order. They go in one struct under a
+    generated name, so that no column of `docs` can clash with them.
+    """
+    name = f"mark {uuid.uuid4().hex}"
+    side = small(marks.distinct().select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(marks.columns)]).alias(name)))
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & key.eqNullSafe(F.col(f"`{name}`.k{i}"))
+    return docs.join(side, same, how)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import BROADCAST_ROWS, checkpointed, chunks, in_batches, small, text_key
+from lawframe.llm.common import BROADCAST_ROWS, checkpointed, chunks, in_batches, marked, small, text_key
 
 WINDOW = 10
 SHINGLE = 3
@@ -239,9 +239,4 @@ def digest(found: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark."""
     hit = matches(docs, benchmark, window, shingle).where(F.size("spans") > 0)
-    bad = small(hit.select(F.col("doc_id").alias("bad id"), F.col("key").alias("bad key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("bad id")) & (text_key(F.col("text")) == F.col("bad key"))
-    return docs.join(bad, same, "left_anti")
-
-
-
+    return marked(docs, hit.select("doc_id", "key"), [F.col("doc_id"), text_key(F.col("text"))], "left_anti")

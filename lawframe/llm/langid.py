@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, in_batches, small, text_key
+from lawframe.llm.common import checkpointed, chunks, in_batches, marked, small, text_key
 
 TRAIN_ROWS = 1_000
 SLOTS = 1 << 16
@@ -239,11 +239,5 @@ def accepted_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFra
         "doc_id", text_key(F.col("text")).alias("key"), F.col("source").alias("host"), F.lit("source").alias("suffix"), F.col("lang").alias("declared"), "text"
     )
     measured = checkpointed(text_evidence(rows, model))
-    rejected = fuse(measured, model).where("not accepted").select(F.col("doc_id").alias("bad id"), F.col("key").alias("bad key"), F.col("host").alias("bad host"), F.col("declared").alias("bad declared"))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("bad id"))
-        & (text_key(F.col("text")) == F.col("bad key"))
-        & F.col("source").eqNullSafe(F.col("bad host"))
-        & F.col("lang").eqNullSafe(F.col("bad declared"))
-    )
-    return docs.join(small(rejected.distinct()), same, "left_anti")
+    rejected = fuse(measured, model).where("not accepted").select("doc_id", "key", "host", "declared")
+    return marked(docs, rejected, [F.col("doc_id"), text_key(F.col("text")), F.col("source"), F.col("lang")], "left_anti")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, in_batches, joined_on, small, text_key
+from lawframe.llm.common import checkpointed, chunks, in_batches, joined_on, marked, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -232,16 +232,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Da
     group = F.coalesce(F.concat(F.lit("id "), F.col("component_id").cast("string")), F.concat(F.lit("fp "), F.col("fp").cast("string")))
     rows = found.groupBy(group.alias("g"), "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
     best = checkpointed(rows.groupBy("g").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")))
-    marks = small(
-        joined_on(rows, best, "g")
-        .select(F.col("doc_id").alias("mark id"), F.col("key").alias("mark key"), rank.eqNullSafe(F.col("best")).alias("stays"), "copies")
-        .where("not stays or copies > 1")
+    marks = checkpointed(
+        joined_on(rows, best, "g").select("doc_id", "key", rank.eqNullSafe(F.col("best")).alias("stays"), "copies").where("not stays or copies > 1")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("mark id")) & (text_key(F.col("text")) == F.col("mark key"))
-    kept = docs.join(marks.where("not stays").select("mark id", "mark key"), same, "left_anti")
-    repeated = marks.where("stays").select("mark id", "mark key")
+    keys = [F.col("doc_id"), text_key(F.col("text"))]
+    kept = marked(docs, marks.where("not stays").select("doc_id", "key"), keys, "left_anti")
+    repeated = marks.where("stays").select("doc_id", "key")
     if repeated.isEmpty():
         return kept
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.join(repeated, same, "left_semi").groupBy("doc_id", text_key(F.col("text")).alias("text key")).agg(F.min(F.struct(*columns)).alias("row"))
-    return kept.join(repeated, same, "left_anti").union(once.select("row.*"))
+    # rows that agree in doc_id and text may differ in others, of any type: the least as JSON stays
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = marked(kept, repeated, keys, "left_semi").select(row.alias("row")).groupBy(F.col("row.doc_id").alias("id"), text_key(F.col("row.text")).alias("key"))
+    return marked(kept, repeated, keys, "left_anti").union(once.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
