@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawframe.llm import decontamination, langid, lm_score, media, mixing, sharding, simhash, token_counts, toxicity, urls
+from lawframe.llm import decontamination, langid, lm_score, media, mixing, prefix_trie, quality, sharding, simhash, spelling, token_counts, toxicity, urls
 from lawframe.llm.common import checkpointed, table
 from lawframe.session import shared_folder
 
@@ -149,6 +149,78 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return rollup.totals()
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: The checksum of a run is crc32, bit by bit, of its bytes; near words share what is left when one code point goes, or are it.
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT w, c, hex(d || ':' || w) AS x, strlen(d || ':' || w) AS size FROM runs),
+summed AS (
+  SELECT w, c, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(0, size),
+      lambda i: (instr('123456789ABCDEF', x[2 * i + 1]) * 16 + instr('123456789ABCDEF', x[2 * i + 2]))::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END))) AS h
+  FROM coded),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM summed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS v FROM (SELECT word, unnest(range(0, length(word)))::INT AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN words b ON a.v = b.word),
+best AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.near, (-w.n, p.near)) AS near, max(w.n) AS near_n FROM pairs p JOIN words w ON p.near = w.word GROUP BY p.word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+walk(word, found, step) AS (
+  SELECT word, word, 0 FROM forms UNION ALL SELECT k.word, f.form, step + 1 FROM walk k JOIN forms f ON k.found = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN (SELECT word, arg_max(found, step) AS root FROM walk GROUP BY word) r ON f.word = r.word
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+#: h of a conversation: crc32, bit by bit, of the digits of its id.
+OP12_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(t ORDER BY place) AS ts FROM turns GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, ts, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END))) % 9 AS h
+  FROM own),
+built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefixes AS (SELECT conv_id, len(ts) AS total, d, ts[1:d] AS path FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(total) = d AS leaf,
+    CASE WHEN d > 0 THEN strlen(path[d].text) ELSE 0 END AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN total = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT path[1:a] AS path, sum((n_convs - 1) * bytes) AS saved, count_if(leaf) AS leaves
+  FROM (SELECT path, n_convs, bytes, leaf, unnest(range(0, d + 1)) AS a FROM nodes) GROUP BY 1)
+SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN below b ON v.path = b.path LEFT JOIN kids k ON v.path = k.path LEFT JOIN nodes p ON v.d > 0 AND p.d = v.d - 1 AND p.path = v.path[1:v.d - 1]
+"""
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
@@ -160,5 +232,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_urls": op10_urls,
+    "op11_spelling": op11_spelling,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality": op13_quality,
 }
-ORACLES = {"op1_decontamination": OP1_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op7_mixing": OP7_SQL, "op11_spelling": OP11_SQL, "op12_prefix_trie": OP12_SQL}
