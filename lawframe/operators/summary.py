@@ -23,6 +23,11 @@ def model_summary(rows: DataFrame, models: DataFrame) -> DataFrame:
         _count(F.coalesce(tokens, F.lit(0)) != 0).alias("rows_with_reasoning"),
         F.median(F.when(tokens != 0, tokens)).alias("tokens"),
     )
+    return _told(sums, models)
+
+
+def _told(sums: DataFrame, models: DataFrame) -> DataFrame:
+    """The summary of (model, a count for each bucket, length, rows_with_reasoning, tokens), for every requested model."""
     zero = F.lit(0).cast("long")
     joined = models.select("model").distinct().join(sums, "model", "left").na.fill(0, [*BUCKETS, "rows_with_reasoning"])
     good = sum((F.col(f"`{b}`") for b in CORRECT), zero)
@@ -39,6 +44,45 @@ def model_summary(rows: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+TOTALS = "model string, kind string, value bigint, n bigint"
+
+
+def added_up(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("model", "kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def summary_counts(rows: DataFrame) -> DataFrame:
+    """(model, kind, value, n): what a summary is made of, in counts that add up, also negative ones.
+
+    By kind: the rows of each bucket (value null), and histograms of the lengths of responses and of reasoning tokens.
+    """
+    tokens = F.col("reasoning_tokens").cast("long")
+    length = F.length("response").cast("long")
+    none = F.lit(None).cast("long")
+    told = [F.struct(F.col("bucket").alias("kind"), none.alias("value")), F.when(length > 0, F.struct(F.lit("length").alias("kind"), length.alias("value"))), F.when(tokens != 0, F.struct(F.lit("tokens").alias("kind"), tokens.alias("value")))]
+    each = rows.select("model", F.explode(F.array_compact(F.array(*told))).alias("t"))
+    return each.groupBy("model", F.col("t.kind").alias("kind"), F.col("t.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary_from_counts(counts: DataFrame, models: DataFrame) -> DataFrame:
+    """model_summary from counts; a median is the mean of the values at the two middle places of a histogram."""
+    from pyspark.sql import Window
+
+    by = ["model", "kind"]
+    # distinct values of a model and kind, not rows
+    running = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(*by).orderBy("value")), "all": F.sum("n").over(Window.partitionBy(*by))})
+    low, high = [F.min(F.when(F.col("upto") >= F.floor((F.col("all") + k) / 2), F.col("value"))) for k in (1, 2)]
+    each = running.groupBy(*by).agg(F.max("all").alias("n"), ((low + high) / 2).alias("median"))
+    kind = F.col("kind")
+    sums = each.groupBy("model").agg(
+        *[F.coalesce(F.max(F.when(kind == b, F.col("n"))), F.lit(0)).alias(b) for b in BUCKETS],
+        F.max(F.when(kind == "length", F.col("median"))).alias("length"),
+        F.coalesce(F.max(F.when(kind == "tokens", F.col("n"))), F.lit(0)).alias("rows_with_reasoning"),
+        F.max(F.when(kind == "tokens", F.col("median"))).alias("tokens"),
+    )
+    return _told(sums, models)
+
+
 def fmt_pct(ratio: Column, digits: int = 1) -> Column:
     """A ratio in percent, `-` for null."""
     return fmt_number(ratio * 100, digits)

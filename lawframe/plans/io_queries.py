@@ -18,7 +18,7 @@ from lawframe.plans.registry import query
 from lawframe.plans.views import attempts, attempts_sql, forms_sql, law_pairs, laws
 from lawframe.session import shared_folder
 from lawframe.sources import io
-from lawframe.streaming.latest import run_incremental_latest
+from lawframe.streaming.latest import run_incremental_latest, run_incremental_summary
 
 
 def _folder(spark: SparkSession) -> str:
@@ -85,12 +85,12 @@ def discover_runs(spark, sf_dir):
 
 @query("write_results", attempts_sql("SELECT regime, bucket, count(*) AS n FROM attempts GROUP BY ALL"))
 def write_results(spark, sf_dir):
-    """Two appends to one log, read back."""
+    """A batch per regime to one log, each written twice, as a job that is run again does; read back."""
     path = _folder(spark)
     rows = _result_rows(spark, sf_dir)
-    for regime in ("off", "on"):
-        io.write_results(rows.where(F.col("regime") == regime), path, ["regime"])
-    return spark.read.schema(io.RESULTS).json(path).groupBy("regime", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    for regime in ("off", "on", "off", "on"):
+        io.write_results(rows.where(F.col("regime") == regime), path, ["regime"], batch=f"regime {regime}")
+    return io.read_results(spark, path).groupBy("regime", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("write_csv_report", attempts_sql("SELECT form, regime, count(*)::VARCHAR AS n FROM attempts GROUP BY ALL"))
@@ -138,7 +138,7 @@ def write_corpus(spark, sf_dir):
     key = A.record_key(m["label_e"], m["label_f"], m["theme"], m["canonical_e"], m["canonical_f"])
     io.write_corpus(records, key, path)
     io.write_corpus(records.where(F.length("metadata.label_e") < 4), key, path)
-    return spark.read.parquet(path).select("record_key")
+    return io.corpus_table(spark, path).rows().select("record_key")
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> tuple[str, str, DataFrame]:
@@ -157,16 +157,11 @@ def incremental_latest(spark, sf_dir):
 
 @query(
     "incremental_summary",
-    attempts_sql(_SUMMARY + "SELECT model, graded, good / nullif(graded, 0) AS correct_rate, median_reasoning_tokens FROM sums"),
+    attempts_sql(_SUMMARY + "SELECT model, graded, good / nullif(graded, 0) AS correct_rate, median_response_len, rows_with_reasoning, median_reasoning_tokens FROM sums"),
 )
 def incremental_summary(spark, sf_dir):
     folder, landed, rows = _landed(spark, sf_dir)
-
-    def after(state: DataFrame, version: int) -> None:
-        told = summary.model_summary(state.withColumn("response", F.concat("bucket", "answer_class")), _models(spark))
-        told.write.mode("overwrite").parquet(f"{folder}/summary")
-
-    run_incremental_latest(spark, landed, rows.schema, CELL, f"{folder}/state", f"{folder}/offsets", files_per_batch=2, after=after)
-    return spark.read.parquet(f"{folder}/summary").select("model", "graded", "correct_rate", "median_reasoning_tokens")
-
-
+    told = run_incremental_summary(
+        spark, landed, rows.schema, CELL, f"{folder}/state", f"{folder}/offsets", _models(spark), files_per_batch=2, response="concat(bucket, answer_class)"
+    )
+    return told.select("model", "graded", "correct_rate", "median_response_len", "rows_with_reasoning", "median_reasoning_tokens")

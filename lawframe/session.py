@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -55,3 +57,40 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     """What a folder holds; nothing if it is not there."""
     system, make = file_system(spark, path)
     return [f.getPath().getName() for f in system.listStatus(make(path))] if system.exists(make(path)) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of UTF-8 text, such as a manifest, on the driver."""
+    system, make = file_system(spark, path)
+    stream = system.open(make(path))
+    try:
+        return spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Put a small file of text in place whole, or not at all; False if it is there already and may not be replaced.
+
+    It is written under another name and renamed, which the file system does for one
+    of several writers alone.
+    """
+    system, make = file_system(spark, path)
+    folder, _, name = path.rpartition("/")
+    draft = make(f"{folder}/.{name}-{uuid.uuid4().hex}")
+    stream = system.create(draft, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark._sc._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE if replace else options.NONE
+    target = make(path)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(system.makeQualified(draft), system.makeQualified(target), how)
+    except Py4JJavaError as problem:
+        system.delete(draft, False)
+        if "AlreadyExists" in str(problem.java_exception.getClass().getName()):
+            return False
+        raise
+    return True

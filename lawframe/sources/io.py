@@ -6,13 +6,19 @@ Schemas are explicit; a field that a file lacks is null.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lawframe.functions import algebra
 from lawframe.operators.corpus import THEME_FIELDS
 from lawframe.operators.order import after
-from lawframe.session import names_in, shared_folder
+from lawframe.session import file_system, names_in, put_text, read_text, shared_folder
+from lawframe.sources.keyed import MOST_ROWS, KeyedTable
 
 TRANSFORM = "struct<swap_e:boolean,swap_f:boolean,dual:boolean>"
 USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,cost:double>"
@@ -93,31 +99,60 @@ def scan_corpus_records(spark: SparkSession, path: str, lines: bool = False) ->
     return spark.read.schema(RECORD).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
-def write_results(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Append rows to a log, a partition per run."""
-    rows.write.mode("append").partitionBy(*by).json(path)
-
+def write_results(rows: DataFrame, path: str, by: list[str], batch: str) -> bool:
+    """Append a batch of rows to a log, once: False if the batch is in it already, whatever rows it has now.
 
-def write_corpus(records: DataFrame, key: Column, path: str, parts: int | None = None) -> None:
+    The rows go to a folder of their own; a commit file, which is put in place for one
+    writer alone, then makes them part of the log. What a writer that died, or one that came second,
+    has left is in no commit, and readers don't see it.
+    """
+    spark = rows.sparkSession
+    name = hashlib.sha256(batch.encode()).hexdigest()
+    if f"{name}.json" in names_in(spark, f"{path}/_commits"):
+        return False
+    folder = f"data/batch={name}-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*by).json(f"{path}/{folder}")
+    if put_text(spark, f"{path}/_commits/{name}.json", json.dumps({"batch": batch, "folder": folder})):
+        return True
+    system, make = file_system(spark, path)
+    system.delete(make(f"{path}/{folder}"), True)
+    return False
+
+
+def read_results(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
+    """The rows of all batches that are committed when it is called, each once."""
+    names = [n for n in names_in(spark, f"{path}/_commits") if n.endswith(".json") and not n.startswith(".")]
+    if not names:
+        return spark.createDataFrame([], schema)
+    folders = [json.loads(read_text(spark, f"{path}/_commits/{n}"))["folder"] for n in sorted(names)]
+    found = spark.read.schema(schema).option("basePath", f"{path}/data").json([f"{path}/{f}" for f in folders])
+    return found.select(*StructType.fromDDL(schema).names)
+
+
+#: A record by key; the record itself is kept as JSON.
+CORPUS = "record_key string, row string"
+
+
+def write_corpus(records: DataFrame, key: Column, path: str, most_rows: int = MOST_ROWS) -> int:
     """Write records by key, once each: the same key replaces what an earlier call wrote, whatever the call's other keys.
 
-    Keys fall into parts by hash; those that a call touches are read, merged and
-    replaced. The number of parts is fixed by the first call, `parts` or else as
-    many as the session's shuffle partitions, and is part of the folders' names.
+    Parts are copied on write and split as they grow. The call makes a new version, which it
+    returns; readers see the former one whole until then. Of two writers of one version, one starts again from the other's.
     """
-    spark = records.sparkSession
-    known = [int(name.removeprefix("parts=")) for name in names_in(spark, path) if name.startswith("parts=")]
-    parts = known[0] if known else parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fresh = records.withColumns({"record_key": key, "parts": F.lit(parts)}).withColumn("part", F.pmod(F.xxhash64("record_key"), F.lit(parts)).cast("int"))
-    row = F.struct(*[c for c in fresh.columns if c not in ("record_key", "parts", "part")])
-    fresh = fresh.groupBy("record_key", "parts", "part").agg(F.min(F.to_json(row)).alias("row"))
-    schema = "row string, record_key string, parts int, part int"
-    old = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
-    touched = fresh.select("part").distinct()
-    merged = old.join(touched, "part", "left_semi").join(fresh.select("record_key"), "record_key", "left_anti").select(*[f.name for f in fresh.schema]).unionByName(fresh)
-    shared_folder(spark)
-    # Spark does not write to what it reads, so the merged partitions go through a file set of their own
-    merged.checkpoint().repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parts", "part").parquet(path)
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
+    fresh = records.select(key.alias("record_key"), row.alias("row")).groupBy("record_key").agg(F.min("row").alias("row"))
+
+    def fold(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1)))
+        return both.groupBy("record_key").agg(F.max_by("row", "new").alias("row"))
+
+    shared_folder(records.sparkSession)
+    return corpus_table(records.sparkSession, path, most_rows).upsert(fresh.checkpoint(), fold)
+
+
+def corpus_table(spark: SparkSession, path: str, most_rows: int = MOST_ROWS) -> KeyedTable:
+    """The versions of a written corpus; `rows()` is a snapshot of the newest."""
+    return KeyedTable(spark, path, StructType.fromDDL(CORPUS), ["record_key"], most_rows)
 
 
 def write_run_dir(path: str, meta: DataFrame, samples: DataFrame, rows: DataFrame, summary: DataFrame) -> None:

@@ -1,15 +1,16 @@
 """Attempts that land as files: the row that counts, and summaries, kept up after each batch.
 
-State is a row per key, dealt by hash of the key into parts. A batch reads and
-rewrites the parts that its keys fall into and no other; a part's rows are
-written under the batch's number, and a manifest per batch says which number is
-current for each part. The manifest is written last, so that a batch that failed
-or is run again starts from the former one, and a restart finds the newest in the
-folder, with or without new files. Parts of former batches stay readable for two
-batches and are then removed.
-
-A correction can move a row to another bucket, so summaries are made from the
-state and not added up.
+The state is a keyed table with a version per batch: a batch reads and rewrites the
+parts that its keys fall into, which are bounded, and splits those that outgrow the
+bound. A batch that failed or is run again starts from the version before it, and a
+restart finds the newest in the folder, with or without new files, also where the
+failed batch was in the middle of a split.
+
+A correction can move a row to another bucket. Summaries are therefore kept as totals
+that rows are taken out of as well: per model the rows of each bucket, and a histogram
+of each value that has a median. A batch subtracts what its parts counted before and
+adds what they count after, so its cost depends on the parts that it touches and on
+the number of distinct values, not on the state.
 
 Defined results: without any landed row the state is empty; a key may be null in
 any column; repeated rows count once, as they carry the same seq.
@@ -17,79 +18,71 @@ any column; repeated rows count once, as they carry the same seq.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lawframe.operators import summary
 from lawframe.operators.attempts import latest_graded
 from lawframe.session import file_system, names_in
+from lawframe.sources.keyed import MOST_ROWS, KeyedTable, Parts
+
+#: What is called after each batch: its number, and the rows of the touched parts before and after.
+After = Callable[[int, DataFrame, DataFrame], None]
 
 
 class State:
-    """The state in a folder: `rows/part=<p>/batch=<b>`, and `manifests/<b>` with the number of parts and each part's current batch.
+    """The row that counts of each key, a version per batch."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], most_rows: int = MOST_ROWS):
+        self.keys, self.table = keys, KeyedTable(spark, path, schema, keys, most_rows)
+
+    def rows(self) -> DataFrame:
+        return self.table.rows()
+
+    def merge(self, batch: DataFrame, number: int, after: After | None = None) -> tuple[Parts, Parts]:
+        """Take a batch in; once more with the same number gives the same state. The parts that it touched, before and after."""
+        _, parts = self.table.parts(before=number)
+        made, former, now = self.table.merged(batch, parts, lambda old, new: latest_graded(old.unionByName(new), self.keys), str(number))
+        if after is not None:
+            after(number, self.table.rows(former), self.table.rows(now))
+        self.table.commit(number, made, replace=True)
+        self.table.forget(number)
+        return former, now
 
-    The number of parts is fixed by the first batch: `parts`, or else as many as the session's shuffle partitions.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], parts: int | None = None):
-        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
-        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.manifest()
+class Totals:
+    """Summary totals (model, kind, value, n), a version per batch: the former one and what the batch changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
     def batches(self) -> list[int]:
-        """Numbers of the batches with a whole manifest."""
-        found = [b for b in names_in(self.spark, f"{self.path}/manifests") if b.isdigit()]
-        return sorted(int(b) for b in found if "_SUCCESS" in names_in(self.spark, f"{self.path}/manifests/{b}"))
+        """Numbers of the whole ones."""
+        found = [b for b in names_in(self.spark, self.path) if b.isdigit()]
+        return sorted(int(b) for b in found if "_SUCCESS" in names_in(self.spark, f"{self.path}/{b}"))
 
-    def manifest(self, before: int | None = None) -> tuple[int, dict[int, int]]:
-        """The newest batch, of those below `before`, and each part's current batch."""
+    def rows(self, before: int | None = None) -> DataFrame:
         known = [b for b in self.batches() if before is None or b < before]
-        if not known:
-            return -1, {}
-        told = json.loads(self.spark.read.text(f"{self.path}/manifests/{known[-1]}").first()["value"])
-        self.parts = told["parts"]
-        return known[-1], {int(p): b for p, b in told["current"].items()}
-
-    def rows(self, current: dict[int, int]) -> DataFrame:
-        if not current:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/rows/part={p}/batch={b}" for p, b in sorted(current.items())])
-
-    def part(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.parts)).cast("int")
-
-    def merge(self, batch: DataFrame, number: int) -> None:
-        """Take a batch in; once more with the same number gives the same state."""
-        _, current = self.manifest(before=number)
-        fresh = batch.withColumn("part", self.part())
-        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # a number per part at most
-        former = self.rows({p: current[p] for p in touched if p in current})
-        merged = latest_graded(former.unionByName(batch), self.keys)
-        dealt = merged.withColumn("part", self.part()).withColumn("batch", F.lit(number))
-        dealt.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{self.path}/rows")
-        text = json.dumps({"parts": self.parts, "current": current | dict.fromkeys(touched, number)})
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifests/{number}")
-        self._forget(number)
-
-    def _forget(self, number: int) -> None:
-        """Remove manifests from before the last one, and parts that no manifest left names."""
+        schema = summary.TOTALS
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{known[-1]}") if known else self.spark.createDataFrame([], schema)
+
+    def change(self, number: int, former: DataFrame, now: DataFrame) -> None:
+        """Take out what was counted, put in what counts; once more with the same number gives the same totals."""
+        out = summary.summary_counts(former).withColumn("n", -F.col("n"))
+        whole = self.rows(before=number).unionByName(out).unionByName(summary.summary_counts(now))
+        summary.added_up(whole).write.mode("overwrite").parquet(f"{self.path}/{number}")
         system, make = file_system(self.spark, self.path)
-        known = self.batches()
-        kept = [b for b in known if b >= number or b == max((k for k in known if k < number), default=-1)]
-        for b in known:
-            if b not in kept:
-                system.delete(make(f"{self.path}/manifests/{b}"), True)
-        used: dict[int, set[int]] = {}
-        for b in kept:
-            for p, at in self.manifest(before=b + 1)[1].items():
-                used.setdefault(p, set()).add(at)
-        for p, live in used.items():
-            for name in names_in(self.spark, f"{self.path}/rows/part={p}"):
-                if name.startswith("batch=") and int(name.removeprefix("batch=")) not in live:
-                    system.delete(make(f"{self.path}/rows/part={p}/{name}"), True)
+        for old in [b for b in self.batches() if b < number][:-1]:
+            system.delete(make(f"{self.path}/{old}"), True)
+
+
+def _stream(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, files_per_batch: int, step: Callable[[DataFrame, int], object]) -> None:
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    query = stream.writeStream.foreachBatch(lambda batch, number: step(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def run_incremental_latest(
@@ -100,17 +93,33 @@ def run_incremental_latest(
     state: str,
     checkpoint: str,
     files_per_batch: int = 1,
-    after: Callable[[DataFrame, int], None] | None = None,
+    after: After | None = None,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
-    """Read all rows that have landed since the last run, a few files a batch, and return the state; `after` gets each batch's state."""
-    held = State(spark, state, schema, keys)
+    """Read all rows that have landed since the last run, a few files a batch, and return the state; `after` is called before a batch is committed."""
+    held = State(spark, state, schema, keys, most_rows)
+    _stream(spark, source, schema, checkpoint, files_per_batch, lambda batch, number: held.merge(batch, number, after))
+    return held.rows()
 
-    def step(batch: DataFrame, number: int) -> None:
-        held.merge(batch, number)
-        if after is not None:
-            after(held.rows(held.manifest()[1]), number)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return held.rows(held.manifest()[1])
+def run_incremental_summary(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    keys: list[str],
+    state: str,
+    checkpoint: str,
+    models: DataFrame,
+    files_per_batch: int = 1,
+    most_rows: int = MOST_ROWS,
+    response: str = "response",
+) -> DataFrame:
+    """The summary of the rows that count, per requested model, after all that has landed; `response` is an expression for the text whose length counts."""
+    totals = Totals(spark, f"{state}/totals")
+
+    def after(number: int, former: DataFrame, now: DataFrame) -> None:
+        told = [rows.withColumn("response", F.expr(response)) for rows in (former, now)]
+        totals.change(number, *told)
+
+    run_incremental_latest(spark, source, schema, keys, state, checkpoint, files_per_batch, after, most_rows)
+    return summary.summary_from_counts(totals.rows(), models)

@@ -5,10 +5,11 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lawframe.operators import attempts, order, voting
+from lawframe.operators import attempts, order, summary, voting
 from lawframe.session import shared_folder
 from lawframe.sources import io
-from lawframe.streaming.latest import State, run_incremental_latest
+from lawframe.sources.keyed import KeyedTable
+from lawframe.streaming.latest import State, Totals, run_incremental_latest, run_incremental_summary
 
 SCHEMA = "pair_id string, model string, seq long, bucket string"
 
@@ -51,13 +52,79 @@ def test_numbered(spark):
     assert order.numbered(rows.limit(0).drop("range"), ["v"], "place").count() == 0
 
 
-def test_corpus_keeps_one_record_per_key_and_its_parts(spark, folder):
+def test_corpus_keeps_one_record_per_key(spark, folder):
     rows = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "k string, v int")
-    io.write_corpus(rows, F.col("k"), folder, parts=3)
-    io.write_corpus(rows.where("k <> 'a'").withColumn("v", F.lit(2)), F.col("k"), folder, parts=9)
-    found = spark.read.parquet(folder).collect()
-    assert sorted((r["record_key"], r["row"]) for r in found) == [(k, f'{{"k":"{k}","v":{v}}}') for k, v in (("a", 1), ("b", 2), ("c", 2))]
-    assert {r["parts"] for r in found} == {3}
+    assert io.write_corpus(rows, F.col("k"), folder) == 0
+    before = io.corpus_table(spark, folder)
+    _, parts = before.parts()
+    assert io.write_corpus(rows.where("k <> 'a'").withColumn("v", F.lit(2)), F.col("k"), folder) == 1
+    told = lambda df: sorted((r["record_key"], r["row"]) for r in df.collect())
+    made = lambda **v: [(k, f'{{"k":"{k}","v":{n}}}') for k, n in v.items()]
+    assert told(io.corpus_table(spark, folder).rows()) == made(a=1, b=2, c=2)
+    assert told(before.rows(parts)) == made(a=1, b=1, c=1)  # a reader of the former version still sees it whole
+
+
+def test_of_two_writers_one_starts_again(spark, folder, monkeypatch):
+    rows = lambda k, v: spark.createDataFrame([(k, v)], "k string, v int")
+    io.write_corpus(rows("a", 1), F.col("k"), folder)
+    merged, overtaken = KeyedTable.merged, []
+
+    def slow(self, *args):
+        found = merged(self, *args)
+        if not overtaken:  # another writer commits between this one's data and its manifest
+            overtaken.append(1)
+            io.write_corpus(rows("b", 2), F.col("k"), folder)
+        return found
+
+    monkeypatch.setattr(KeyedTable, "merged", slow)
+    io.write_corpus(rows("c", 3), F.col("k"), folder)
+    table = io.corpus_table(spark, folder)
+    assert sorted(r["record_key"] for r in table.rows().collect()) == ["a", "b", "c"] and table.versions() == [0, 1, 2]
+
+
+def test_a_writer_that_dies_leaves_the_former_version(spark, folder, monkeypatch):
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v int")
+    io.write_corpus(rows, F.col("k"), folder, most_rows=8)
+
+    def die(*_args, **_options):
+        raise RuntimeError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "commit", die)
+        with pytest.raises(RuntimeError):
+            io.write_corpus(rows.withColumn("k", F.concat("k", F.lit("x"))), F.col("k"), folder, most_rows=8)
+    table = io.corpus_table(spark, folder, most_rows=8)
+    assert table.versions() == [0] and table.rows().count() == 50
+    io.write_corpus(rows.withColumn("k", F.concat("k", F.lit("x"))), F.col("k"), folder, most_rows=8)
+    assert table.rows().count() == 100 and max(n for _, n in table.parts()[1].values()) <= 8
+
+
+def test_a_batch_is_in_the_log_once(spark, folder, monkeypatch):
+    schema = "pair_id string, regime string"
+    rows = spark.createDataFrame([("E1", "on"), ("E2", "off"), ("E 3/x", "a b=c")], schema)
+    read = lambda: sorted(tuple(r) for r in io.read_results(spark, folder, schema).collect())
+    assert read() == []
+    assert io.write_results(rows, folder, ["regime"], batch="one") and not io.write_results(rows, folder, ["regime"], batch="one")
+    assert read() == sorted(tuple(r) for r in rows.collect())
+
+    def die(*_args, **_options):
+        raise RuntimeError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(io, "put_text", die)  # between the data and the commit
+        with pytest.raises(RuntimeError):
+            io.write_results(rows, folder, ["regime"], batch="two")
+    assert len(read()) == 3
+    assert io.write_results(rows, folder, ["regime"], batch="two") and len(read()) == 6
+
+    # two writers of one batch: the second finds the commit only when it wants to make its own
+    with monkeypatch.context() as m:
+        m.setattr(io, "names_in", lambda *_: [])
+        assert not io.write_results(rows, folder, ["regime"], batch="two")
+    assert len(read()) == 6
+    done = io.read_results(spark, folder, schema).select("pair_id", F.lit("m").alias("model"), F.lit("exact").alias("bucket"))
+    todo = attempts.pending_tasks(spark.createDataFrame([("E1",), ("E9",)], "pair_id string"), spark.createDataFrame([("m",)], "model string"), done)
+    assert [tuple(r) for r in todo.collect()] == [("E9", "m")]
 
 
 def test_runs_are_unique_by_key(spark):
@@ -116,7 +183,7 @@ def test_a_failed_batch_is_taken_again(spark, folder):
     _run(spark, folder)
     _land(spark, f"{folder}/in", ("E1", "m", 2, "exact"), ("E3", "m", 3, "exact"))
 
-    def fail(state, number):
+    def fail(number, former, now):
         raise RuntimeError("stopped")
 
     with pytest.raises(Exception, match="stopped"):
@@ -124,18 +191,67 @@ def test_a_failed_batch_is_taken_again(spark, folder):
     assert _run(spark, folder) == [("E1", 2, "exact"), ("E3", 3, "exact")]
 
 
-def test_batches_rewrite_what_they_touch(spark, folder):
-    state = State(spark, folder, spark.createDataFrame([], SCHEMA).schema, ["pair_id", "model"], parts=8)
-    rows = lambda *r: spark.createDataFrame(list(r), SCHEMA)
-    state.merge(rows(*[(f"E{i}", "m", i, "wrong") for i in range(40)]), 0)
-    before = state.manifest()[1]
-    state.merge(rows(("E1", "m", 99, "exact")), 1)
-    after = state.manifest()[1]
-    assert sorted(before) == list(range(8)) and sum(before[p] != after[p] for p in before) == 1
-    assert State(spark, folder, state.schema, state.keys, parts=5).parts == 8  # fixed by the first batch
-    state.merge(rows(("E1", "m", 99, "exact")), 1)  # the same batch again
-    assert state.rows(state.manifest()[1]).count() == 40
-    for n in range(2, 5):
-        state.merge(rows(("E1", "m", 100 + n, "exact")), n)
-    assert state.batches() == [3, 4]
-    assert [r["seq"] for r in state.rows(state.manifest()[1]).where("pair_id = 'E1'").collect()] == [104]
+def _state(spark, folder, most_rows):
+    return State(spark, folder, spark.createDataFrame([], SCHEMA).schema, ["pair_id", "model"], most_rows)
+
+
+def test_parts_split_as_the_state_grows(spark, folder):
+    state = _state(spark, folder, 10)
+    rows = lambda low, high: spark.createDataFrame([(f"E{i}", "m", i, "wrong") for i in range(low, high)], SCHEMA)
+    for number, (low, high) in enumerate([(0, 5), (5, 40), (40, 500)]):  # a hundred times its first size
+        state.merge(rows(low, high), number)
+        _, parts = state.table.parts()
+        assert max(n for _, n in parts.values()) <= 10 and sum(n for _, n in parts.values()) == high
+        assert sum(2.0 ** -len(p) for p in parts) == 1.0  # each key is in one part
+    assert state.rows().count() == 500 and len(parts) > 50
+    former, now = state.merge(rows(7, 8).withColumn("seq", F.lit(999).cast("long")), 3)
+    # a key's batch reads and writes one part, however large the state is
+    assert len(former) == len(now) == 1
+    after = state.table.parts()[1]
+    assert {p for p in parts if parts[p] != after[p]} == set(now)
+    assert state.rows().where("pair_id = 'E7'").first()["seq"] == 999
+    state.merge(rows(7, 8).withColumn("seq", F.lit(999).cast("long")), 3)  # the same batch again
+    assert state.rows().count() == 500 and state.table.versions() == [2, 3]
+
+
+def test_a_restart_in_the_middle_of_a_split(spark, folder, monkeypatch):
+    state = _state(spark, folder, 4)
+    rows = lambda n: spark.createDataFrame([(f"E{i}", "m", i, "wrong") for i in range(n)], SCHEMA)
+    state.merge(rows(4), 0)
+
+    def die(*_args, **_options):
+        raise RuntimeError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "commit", die)
+        with pytest.raises(RuntimeError):
+            state.merge(rows(30), 1)
+    again = _state(spark, folder, 4)
+    assert again.rows().count() == 4 and again.table.parts()[1].keys() == {""}
+    again.merge(rows(30), 1)
+    assert again.rows().count() == 30 and "" not in again.table.parts()[1]
+
+
+def test_summaries_follow_corrections(spark, folder):
+    """Equal to a recompute from the state after every batch; the totals' size doesn't depend on the state's."""
+    import random
+
+    draw = random.Random(4)
+    schema = "pair_id string, model string, seq long, bucket string, response string, reasoning_tokens int"
+    models = spark.createDataFrame([("m0",), ("m1",), ("m9",)], "model string")
+    kinds = ["exact", "wrong", "api-error", "unparseable", "correct-swapped"]
+    seq = 0
+    for _ in range(4):
+        rows = []
+        for _ in range(60):
+            seq += 1
+            rows.append((f"E{draw.randrange(25)}", f"m{draw.randrange(2)}", seq, draw.choice(kinds), draw.choice([None, "", "a", "abc"]), draw.choice([None, 0, 5, 8])))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        kind = spark.createDataFrame([], schema).schema
+        told = run_incremental_summary(spark, f"{folder}/in", kind, ["pair_id", "model"], f"{folder}/state", f"{folder}/offsets", models, most_rows=6)
+        state = State(spark, f"{folder}/state", kind, ["pair_id", "model"]).rows()
+        want = summary.model_summary(state, models)
+        assert sorted(map(tuple, told.collect()), key=str) == sorted(map(tuple, want.select(*told.columns).collect()), key=str)
+    totals = Totals(spark, f"{folder}/state/totals")
+    assert totals.rows().count() <= 2 * (5 + 2 + 2) and len(totals.batches()) == 2
+    assert totals.rows().where("n <= 0").isEmpty()
