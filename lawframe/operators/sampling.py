@@ -2,27 +2,26 @@
 
 A draw's hash decides it, so that samples repeat, do not depend on the form in
 which pairs are rendered, and can be made on any number of executors. Pairs are
-found by position: laws get a place within their group by hash, as many places
-as the sample can use, and draw number i names two places. No law is paired
-with every other.
+found by position: laws get a place within their group, and draw number i names two
+places, by a keyed permutation of the numbers of all pairs or by turns. No law is
+paired with every other, and a sample that can be filled is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawframe.functions import algebra as A
 from lawframe.operators import corpus
+from lawframe.operators.order import numbered
 
-#: More than one law in ten may be unusable or drawn twice before a sample falls short.
-OVERSAMPLING = 8
+#: Rounds of the keyed permutation.
+ROUNDS = 4
 #: (slot, least and most operations of both laws, how many), filled in this order (fixed values).
 SLOTS = (("low", 2, 3, 1), ("high", 7, 8, 1), ("example", 4, 6, 3))
-#: Draws after which a slot counts as unfillable (fixed value).
-SLOT_DRAWS = 200_000
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -34,16 +33,24 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _draws(laws: DataFrame, count: int, seed: str) -> DataFrame:
-    """(draw, e_no, f_no): the first draw of each ordered pair of different line numbers."""
-    size = laws.agg(F.max("law_no").alias("n"))
-    places = laws.sparkSession.range(count).withColumnRenamed("id", "draw").join(F.broadcast(size))
-    drawn = places.select(
-        "draw",
-        (_number(_hash(seed, "e", F.col("draw"))) % F.col("n") + 1).alias("e_no"),
-        (_number(_hash(seed, "f", F.col("draw"))) % F.col("n") + 1).alias("f_no"),
-    )
-    return drawn.where("e_no <> f_no").groupBy("e_no", "f_no").agg(F.min("draw").alias("draw"))
+def permuted(spark: SparkSession, size: int, n: int, seed: str) -> DataFrame:
+    """(draw, at): the first n of the numbers 0 .. size - 1 in an order that the seed decides, each number once.
+
+    A Feistel network permutes the numbers below a power of four, of which those below `size`, one in
+    four at least, count in their order. So each draw is a new number, and all are drawn in the end.
+    """
+    half = next(w for w in range(1, 32) if 4**w >= size)
+    mask = (1 << half) - 1
+    tried = min(4**half, 8 * n + 64)
+    while True:
+        draws = spark.range(tried).select(F.col("id").alias("draw"), F.shiftright("id", half).alias("l"), F.col("id").bitwiseAND(F.lit(mask)).alias("r"))
+        for turn in range(ROUNDS):
+            mixed = _number(_hash(seed, str(turn), F.col("r"))) % (1 << half)
+            draws = draws.select("draw", F.col("r").alias("l"), F.col("l").bitwiseXOR(mixed).alias("r"))
+        found = draws.select("draw", (F.shiftleft("l", half) + F.col("r")).alias("at")).where(F.col("at") < size)
+        if tried == 4**half or found.count() >= n:
+            return found.orderBy("draw").limit(n)
+        tried = min(4**half, 2 * tried)
 
 
 def _with_laws(pairs: DataFrame, laws: DataFrame) -> DataFrame:
@@ -54,12 +61,29 @@ def _with_laws(pairs: DataFrame, laws: DataFrame) -> DataFrame:
     return pairs.join(e, "e_no").join(f, "f_no")
 
 
+def _by_place(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (e_at, f_at) with e_no and f_no of the laws in these places."""
+    for side in "ef":
+        pairs = pairs.join(placed.select(F.col("place").alias(f"{side}_at"), F.col("law_no").alias(f"{side}_no")), f"{side}_at")
+    return pairs
+
+
 def sample_pairs(laws: DataFrame, n: int, seed: str, form: str = "story") -> DataFrame:
-    """n ordered pairs of different renderable laws in draw order; ValueError if so many can't be drawn."""
-    found = _with_laws(_draws(laws, n * OVERSAMPLING, seed), laws).withColumn("form", F.lit(form)).orderBy("draw").limit(n)
-    if (got := found.count()) < n:
-        raise ValueError(f"only {got} of {n} pairs can be drawn")
-    return found
+    """n ordered pairs of different renderable laws in draw order; ValueError if there are not as many.
+
+    A pair's number tells the places of its laws among the renderable ones; numbers are
+    drawn without replacement, so that any sample that can be filled is.
+    """
+    placed = numbered(corpus.renderable(laws).select("law_no"), ["law_no"], "place").checkpoint()
+    m = placed.count()
+    size = m * (m - 1)
+    if size < n:
+        raise ValueError(f"only {size} of {n} pairs can be drawn")
+    e_at = F.expr(f"at div {max(m - 1, 1)}")
+    f_at = F.col("at") % max(m - 1, 1)
+    drawn = permuted(laws.sparkSession, size, n, seed).select("draw", (e_at + 1).alias("e_at"), (f_at + 1 + (f_at >= e_at).cast("long")).alias("f_at"))
+    found = _by_place(drawn, placed).select("draw", "e_no", "f_no")
+    return _with_laws(found, laws).withColumn("form", F.lit(form)).orderBy("draw")
 
 
 def pair_set_differences(arms: dict[str, DataFrame]) -> DataFrame:
@@ -138,15 +162,40 @@ def sample_balanced(laws: DataFrame, per_bin: int, seed: str, bins: Iterable[int
     return _full(draws.join(e, ["ops", "e_at"]).join(f, ["ops", "f_at"]).select("ops", "e_no", "f_no"), "ops", dict.fromkeys(bins, per_bin))
 
 
-def slot_fill(laws: DataFrame, seed: str, draws: int = SLOT_DRAWS) -> DataFrame:
-    """(slot, place, e_no, f_no, ops_total): each slot's first fitting, non-vacuous pairs in draw order; ValueError if one stays empty after so many draws."""
-    pairs = corpus.drop_vacuous(corpus.with_complexity(_with_laws(_draws(laws, draws, seed), laws)))
-    slot = F.coalesce(*[F.when(F.col("ops_total").between(low, high), F.lit(name)) for name, low, high, _ in SLOTS])
-    most = F.coalesce(*[F.when(F.col("slot") == name, F.lit(n)) for name, _, _, n in SLOTS])
-    ranked = pairs.withColumn("slot", slot).where("slot is not null").withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy("draw")))
-    # the plan drops all but the first few of each slot before it shuffles
-    few = ranked.where(F.col("place") <= max(n for *_, n in SLOTS)).where(F.col("place") <= most)
-    return _full(few.select("slot", "place", "e_no", "f_no", "ops_total"), "slot", {name: n for name, *_, n in SLOTS})
+def slot_fill(laws: DataFrame, seed: str) -> DataFrame:
+    """(slot, place, e_no, f_no, ops_total): for each slot as many distinct, non-vacuous pairs as it wants, in draw order; ValueError if there are not as many.
+
+    The pairs of a slot are numbered by the operations of their laws and by the laws' places
+    among those of as many, and drawn without replacement.
+    """
+    usable = corpus.renderable(laws).select("law_no", A.operations(F.col("tokens")).alias("ops")).where("ops > 0")
+    placed = numbered(usable, ["ops", "law_no"], "place").checkpoint()
+    have = {r["ops"]: (r["first"], r["n"]) for r in placed.groupBy("ops").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).collect()}  # a row per number of operations
+    found = None
+    for slot, low, high, n in SLOTS:
+        splits, size = [], 0
+        for total in range(low, high + 1):
+            for e in sorted(have):
+                f = total - e
+                if f in have and (pairs := have[e][1] * (have[f][1] - (e == f))):
+                    splits.append((size, pairs, total, e, f))
+                    size += pairs
+        if size < n:
+            raise ValueError(f"too few for slot {slot}: {size} of {n}")
+        told = F.lit(None)
+        for first, pairs, total, e, f in splits:
+            (e_first, _), (f_first, f_n) = have[e], have[f]
+            width = f_n - (e == f)
+            e_at = F.expr(f"(at - {first}) div {width}")
+            f_at = (F.col("at") - first) % width
+            f_at = f_at + (f_at >= e_at).cast("long") if e == f else f_at
+            own = F.struct(F.lit(total).alias("ops_total"), (e_at + e_first).alias("e_at"), (f_at + f_first).alias("f_at"))
+            told = F.when((F.col("at") >= first) & (F.col("at") < first + pairs), own).otherwise(told)
+        drawn = permuted(laws.sparkSession, size, n, f"{seed}|{slot}").withColumn("t", told)
+        place = F.row_number().over(Window.orderBy("draw"))  # of the few rows of a slot
+        drawn = drawn.select(F.lit(slot).alias("slot"), place.alias("place"), "t.ops_total", "t.e_at", "t.f_at")
+        found = drawn if found is None else found.unionByName(drawn)
+    return _by_place(found, placed).select("slot", "place", "e_no", "f_no", "ops_total")
 
 
 def nested_examples(laws: DataFrame, group: str, most: int, seed: str) -> DataFrame:

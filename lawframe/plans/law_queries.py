@@ -223,21 +223,29 @@ def complexity_pair_join(spark, sf_dir):
 _DRAW = "sha256(concat_ws('|', '7', {0}))"
 
 
-@query(
-    "sample_pairs",
-    forms_sql(
-        _SIDES
-        + """, size AS (SELECT max(law_no) AS n FROM laws),
-draws AS (SELECT i, ('0x' || substr(sha256('7|e|' || i), 1, 15))::BIGINT % n + 1 AS e_no, ('0x' || substr(sha256('7|f|' || i), 1, 15))::BIGINT % n + 1 AS f_no FROM range(800) t(i), size),
-firsts AS (SELECT min(i) AS i, e_no, f_no FROM draws WHERE e_no <> f_no GROUP BY e_no, f_no)
-SELECT i AS draw, e_no, f_no FROM firsts WHERE e_no IN (SELECT law_no FROM known WHERE n_vars <= 6) AND f_no IN (SELECT law_no FROM known WHERE n_vars <= 6) ORDER BY i LIMIT 100"""
-    ),
-)
-def sample_pairs(spark, sf_dir):
-    return sampling.sample_pairs(parsed_laws(spark, sf_dir), n=100, seed="7").select("draw", "e_no", "f_no")
+def _permuted_sql(name: str, seed: str, size: str, n: int) -> str:
+    """Tables up to `name` (draw, at): the first n of the numbers below `size`, an expression, in the order of the seed."""
+    rounds = "".join(
+        f""", {name}_{i + 1} AS (SELECT draw, w, size, r AS l, xor(l, ('0x' || substr(sha256(concat_ws('|', '{seed}', '{i}', r)), 1, 15))::BIGINT % (1::BIGINT << w)) AS r FROM {name}_{i})"""
+        for i in range(4)
+    )
+    return f""", {name}_size AS (SELECT s AS size, (SELECT min(w) FROM range(1, 31) t(w) WHERE pow(4, w) >= s)::INT AS w FROM (SELECT ({size})::BIGINT AS s)),
+{name}_0 AS (SELECT i AS draw, w, size, i >> w AS l, i & ((1::BIGINT << w) - 1) AS r FROM {name}_size, range(100000) t(i) WHERE i < pow(4, w) AND i < {8 * n + 64}){rounds},
+{name} AS (SELECT draw, (l << w) + r AS at FROM {name}_4 WHERE (l << w) + r < size ORDER BY draw LIMIT {n})"""
+
+
+_U = ", u AS (SELECT law_no, ops FROM known WHERE n_vars <= 6), places AS (SELECT law_no, row_number() OVER (ORDER BY law_no) - 1 AS at FROM u), m AS (SELECT count(*) AS m FROM u)"
 
 
-_U = ", u AS (SELECT law_no, ops FROM known WHERE n_vars <= 6)"
+def _pairs_sql(name: str, seed: str) -> str:
+    return _permuted_sql(f"{name}_p", seed, "SELECT m * (m - 1) FROM m", 100) + f""", {name} AS (
+  SELECT draw, e.law_no AS e_no, f.law_no AS f_no FROM {name}_p p, m JOIN places e ON e.at = p.at // (m - 1)
+    JOIN places f ON f.at = p.at % (m - 1) + CASE WHEN p.at % (m - 1) >= p.at // (m - 1) THEN 1 ELSE 0 END)"""
+
+
+@query("sample_pairs", forms_sql(_SIDES + _U + _pairs_sql("a", "7") + "SELECT * FROM a"))
+def sample_pairs(spark, sf_dir):
+    return sampling.sample_pairs(parsed_laws(spark, sf_dir), n=100, seed="7").select("draw", "e_no", "f_no")
 
 
 @query(
@@ -249,9 +257,9 @@ _U = ", u AS (SELECT law_no, ops FROM known WHERE n_vars <= 6)"
 splits AS (SELECT bin, e.ops AS ops_e, f.ops AS ops_f, e.n AS n_e, f.n AS n_f, e.n * f.n - CASE WHEN e.ops = f.ops THEN e.n ELSE 0 END AS candidates FROM bins JOIN g e ON true JOIN g f ON f.ops = bin - e.ops),
 turns AS (SELECT *, unnest(range(least(20, candidates))) AS j FROM splits WHERE candidates > 0),
 dealt AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY bin ORDER BY j, {_DRAW.format("bin, ops_e")}) <= 20),
-places AS (SELECT law_no, ops, row_number() OVER (PARTITION BY ops ORDER BY {_DRAW.format("law_no")}, law_no) - 1 AS at FROM u)
-SELECT bin, e.law_no AS e_no, f.law_no AS f_no FROM dealt d JOIN places e ON e.ops = ops_e AND e.at = j % n_e
-  JOIN places f ON f.ops = ops_f AND f.at = (j % n_e + j // n_e + CASE WHEN ops_e = ops_f THEN 1 ELSE 0 END) % n_f"""
+spots AS (SELECT law_no, ops, row_number() OVER (PARTITION BY ops ORDER BY {_DRAW.format("law_no")}, law_no) - 1 AS at FROM u)
+SELECT bin, e.law_no AS e_no, f.law_no AS f_no FROM dealt d JOIN spots e ON e.ops = ops_e AND e.at = j % n_e
+  JOIN spots f ON f.ops = ops_f AND f.at = (j % n_e + j // n_e + CASE WHEN ops_e = ops_f THEN 1 ELSE 0 END) % n_f"""
     ),
 )
 def sample_stratified(spark, sf_dir):
@@ -272,18 +280,25 @@ def sample_balanced(spark, sf_dir):
     return sampling.sample_balanced(parsed_laws(spark, sf_dir), per_bin=20, seed="7", bins=(1, 2, 3, 4, 6))
 
 
+def _slot_sql(slot: str, low: int, high: int, n: int) -> str:
+    splits = f"""SELECT t AS ops_total, e.ops AS ops_e, f.ops AS ops_f, e.n * (f.n - (e.ops = f.ops)::INT) AS pairs, f.n - (e.ops = f.ops)::INT AS width
+  FROM range({low}, {high + 1}) r(t) JOIN sized e ON true JOIN sized f ON e.ops + f.ops = t WHERE e.n * (f.n - (e.ops = f.ops)::INT) > 0"""
+    return f""", {slot}_s AS (SELECT *, sum(pairs) OVER (ORDER BY ops_total, ops_e) - pairs AS first FROM ({splits}))""" + _permuted_sql(f"{slot}_p", f"7|{slot}", f"SELECT sum(pairs) FROM {slot}_s", n) + f""", {slot} AS (
+  SELECT '{slot}' AS slot, row_number() OVER (ORDER BY draw)::INT AS place, e.law_no AS e_no, f.law_no AS f_no, ops_total::INT AS ops_total
+  FROM {slot}_p p JOIN {slot}_s s ON p.at >= s.first AND p.at < s.first + s.pairs
+    JOIN spots e ON e.ops = s.ops_e AND e.at = (p.at - s.first) // s.width
+    JOIN spots f ON f.ops = s.ops_f AND f.at = (p.at - s.first) % s.width + CASE WHEN s.ops_e = s.ops_f AND (p.at - s.first) % s.width >= (p.at - s.first) // s.width THEN 1 ELSE 0 END)"""
+
+
 @query(
     "slot_fill",
     forms_sql(
         _SIDES
-        + """, size AS (SELECT max(law_no) AS n FROM laws),
-draws AS (SELECT i, ('0x' || substr(sha256('7|e|' || i), 1, 15))::BIGINT % n + 1 AS e_no, ('0x' || substr(sha256('7|f|' || i), 1, 15))::BIGINT % n + 1 AS f_no FROM range(200000) t(i), size),
-firsts AS (SELECT min(i) AS i, e_no, f_no FROM draws WHERE e_no <> f_no GROUP BY e_no, f_no),
-u AS (SELECT law_no, ops FROM known WHERE n_vars <= 6 AND solid),
-told AS (SELECT i, e_no, f_no, e.ops + f.ops AS ops_total FROM firsts JOIN u e ON e.law_no = e_no JOIN u f ON f.law_no = f_no),
-slots AS (SELECT *, CASE WHEN ops_total IN (2, 3) THEN 'low' WHEN ops_total IN (7, 8) THEN 'high' WHEN ops_total BETWEEN 4 AND 6 THEN 'example' END AS slot FROM told),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY i)::INT AS place FROM slots WHERE slot IS NOT NULL)
-SELECT slot, place, e_no, f_no, ops_total FROM ranked WHERE place <= CASE slot WHEN 'example' THEN 3 ELSE 1 END"""
+        + ", spots AS (SELECT law_no, ops, row_number() OVER (PARTITION BY ops ORDER BY law_no) - 1 AS at FROM known WHERE n_vars <= 6 AND ops > 0), sized AS (SELECT ops, count(*) AS n FROM spots GROUP BY ops)"
+        + _slot_sql("low", 2, 3, 1)
+        + _slot_sql("high", 7, 8, 1)
+        + _slot_sql("example", 4, 6, 3)
+        + "SELECT * FROM low UNION ALL SELECT * FROM high UNION ALL SELECT * FROM example"
     ),
 )
 def slot_fill(spark, sf_dir):
@@ -309,18 +324,15 @@ def nested_prefix_examples(spark, sf_dir):
     return sampling.nested_examples(known, "ops", most=3, seed="7")
 
 
-_DRAWN = """SELECT e_no, f_no FROM (SELECT min(i) AS i, e_no, f_no FROM (
-  SELECT i, ('0x' || substr(sha256('{0}|e|' || i), 1, 15))::BIGINT % n + 1 AS e_no, ('0x' || substr(sha256('{0}|f|' || i), 1, 15))::BIGINT % n + 1 AS f_no FROM range(800) t(i), size)
-  WHERE e_no <> f_no AND e_no IN (SELECT law_no FROM u) AND f_no IN (SELECT law_no FROM u) GROUP BY e_no, f_no) ORDER BY i LIMIT 100"""
-
-
 @query(
     "same_pairs_across_forms",
     forms_sql(
         _SIDES
         + _U
-        + f""", size AS (SELECT max(law_no) AS n FROM laws), a AS ({_DRAWN.format("7")}), b AS ({_DRAWN.format("8")}),
-d AS (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS x, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS y)
+        + _pairs_sql("a", "7")
+        + _pairs_sql("b", "8")
+        + """,
+d AS (SELECT (SELECT count(*) FROM (SELECT e_no, f_no FROM a EXCEPT SELECT e_no, f_no FROM b)) AS x, (SELECT count(*) FROM (SELECT e_no, f_no FROM b EXCEPT SELECT e_no, f_no FROM a)) AS y)
 SELECT l AS form_a, r AS form_b, CASE WHEN r = 'reseeded' THEN x ELSE 0 END::BIGINT AS only_a, CASE WHEN r = 'reseeded' THEN y ELSE 0 END::BIGINT AS only_b
 FROM (VALUES ('story', 'literal'), ('story', 'two-stage'), ('story', 'reseeded'), ('literal', 'two-stage'), ('literal', 'reseeded'), ('two-stage', 'reseeded')) t(l, r), d"""
     ),

@@ -26,6 +26,41 @@ def test_too_few_pairs_is_an_error(spark):
         sampling.sample_pairs(two, 10, "1")
 
 
+def _law_list(spark, n, good):
+    """n laws of which every `good`-th is renderable, the others of seven variables or no equations."""
+    bad = ["((a ∘ b) ∘ (c ∘ d)) ∘ ((e ∘ f) ∘ g) = a", "x ∘ y ∘ z = x"]
+    rows = [(i, "x ∘ y = y" if i % good == 0 else bad[i % 2]) for i in range(1, n + 1)]
+    return parsed(spark.createDataFrame(rows, "law_no long, equation string"))
+
+
+def test_any_sample_that_can_be_filled_is(spark):
+    laws = _law_list(spark, 600, 3)
+    assert sampling.sample_pairs(laws, 50, "7").count() == 50
+    few = _law_list(spark, 60, 5)  # 12 renderable laws: all of their pairs, each once
+    rows = sampling.sample_pairs(few, 132, "7").collect()
+    assert {(r["e_no"], r["f_no"]) for r in rows} == {(e, f) for e in range(5, 61, 5) for f in range(5, 61, 5) if e != f} and len(rows) == 132
+    with pytest.raises(ValueError, match="only 132 of 133"):
+        sampling.sample_pairs(few, 133, "7")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 16, 17, 100, 1000])
+def test_permutations(spark, size):
+    every = [r["at"] for r in sampling.permuted(spark, size, size, "s").collect()]
+    assert sorted(every) == list(range(size))
+    assert [r["at"] for r in sampling.permuted(spark, size, min(size, 5), "s").collect()] == every[:5]
+    if size > 50:
+        assert every != sorted(every) and every != [r["at"] for r in sampling.permuted(spark, size, size, "t").collect()]
+
+
+def test_slots_fill_from_few_laws(spark):
+    """One pair alone fits a slot among very many that don't."""
+    rows = [(i, "x = y ∘ z") for i in range(1, 300)] + [(300, "x ∘ y = (x ∘ x) ∘ y"), (301, "x = y ∘ (z ∘ (x ∘ (y ∘ (z ∘ x))))"), (302, "x = (y ∘ z) ∘ x"), (303, "x = x")]
+    laws = parsed(spark.createDataFrame(rows, "law_no long, equation string"))
+    found = sampling.slot_fill(laws, "7").collect()
+    assert {(r["slot"], r["place"]) for r in found} == {("low", 1), ("high", 1), ("example", 1), ("example", 2), ("example", 3)}
+    assert all(303 not in (r["e_no"], r["f_no"]) for r in found)
+
+
 def test_stratified_quotas_and_splits(laws):
     rows = sampling.sample_stratified(laws.where("tokens is not null"), 20, "7").collect()
     assert len({(r["e_no"], r["f_no"]) for r in rows}) == len(rows) and all(r["e_no"] != r["f_no"] for r in rows)
@@ -80,7 +115,7 @@ def test_quotas_are_errors(spark, laws):
     with pytest.raises(ValueError, match="ops 4: 0 of 1"):
         sampling.sample_balanced(three, 1, "7", bins=(1, 4))
     with pytest.raises(ValueError, match="high: 0 of 1"):
-        sampling.slot_fill(three, "7", draws=500)
+        sampling.slot_fill(three, "7")
     assert sampling.sample_balanced(three, 2, "7", bins=(1,)).count() == 2
 
 
