@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawframe.operators.similar import nearest
+
 #: Fixed values, in report order.
 BUCKETS = ("exact", "correct-swapped", "correct-dualized", "wrong", "unparseable", "api-error")
 CORRECT = BUCKETS[:3]
@@ -33,18 +35,20 @@ def latest_graded(rows: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "row.*").select(*rows.columns)
 
 
-#: Names in a block of a list that all rows meet.
+#: Names in a block of a list that all rows meet, and blocks up to which the list is broadcast.
 BLOCK = 1000
+BROADCAST_BLOCKS = 100
 
 
 def with_every(rows: DataFrame, names: DataFrame, name: str) -> DataFrame:
     """Rows with each of the names, a list that is asked for: blocks of about `BLOCK` names meet all rows, a block at a time.
 
-    The list stays on the executors; a short one is a single block.
+    A list of up to `BROADCAST_BLOCKS` blocks, by its count, goes to all tasks, so that rows stay where they are.
     """
     listed = names.select(name).where(F.col(name).isNotNull()).distinct()
     blocks = max(1, -(-listed.count() // BLOCK))
     packed = listed.groupBy(F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(name).alias("names"))
+    packed = F.broadcast(packed) if blocks <= BROADCAST_BLOCKS else packed
     met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
     return met.withColumn(name, F.explode("names")).drop("block", "names")
 
@@ -95,17 +99,9 @@ def with_curve(rows: DataFrame, group: list[str], metric: str, least: int = 3) -
 
 
 def unknown_keys(requested: DataFrame, catalog: DataFrame, least: float = 0.4, most: int = 3) -> DataFrame:
-    """(key, nearest): requested keys that the catalog lacks, with its most similar names, ties by name.
-
-    Similarity is 1 - edit distance / longer length. The requested keys are compared
-    with all catalog names, in blocks.
-    """
+    """(key, nearest): requested keys that the catalog lacks, with its most similar names, ties by name; see `similar`."""
     lacking = requested.select("key").distinct().join(catalog.select("key"), "key", "left_anti")
-    pairs = with_every(catalog.select(F.col("key").alias("name")).distinct(), lacking, "key")
-    near = pairs.withColumn("near", 1 - F.levenshtein("key", "name") / F.greatest(F.length("key"), F.length("name"))).where(F.col("near") >= least)
-    from pyspark.sql import Window
-
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("near"), "name"))).where(F.col("rank") <= most)
-    best = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("found"))
+    near = nearest(lacking, catalog.select(F.col("key").alias("name")), least, most)
+    best = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("found"))
     joined = lacking.join(best, "key", "left")
     return joined.select("key", F.coalesce(F.array_join(F.transform("found", lambda x: x["name"]), ","), F.lit("")).alias("nearest"))
