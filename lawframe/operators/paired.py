@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,18 +103,34 @@ def model_correlations(by_model: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def transitions(a: DataFrame, b: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Both, rescued, lost, neither and net from arm a to arm b, with accuracies: overall and for each column in `by`."""
-    left = graded(latest_graded(a, keys)).select(*keys, *[c for c in by if c not in keys], is_correct(F.col("bucket")).alias("was"))
+#: Complexity bands by total operations.
+BANDS = (("low", 1, 3), ("high", 4, 8))
+
+
+def transitions(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], bands: str | None = None, vacuous: DataFrame | None = None) -> DataFrame:
+    """Both, rescued, lost, neither and net from arm a to arm b, with accuracies: overall and for each column in `by`.
+
+    `bands` names a column of operations by which rows are also grouped into complexity bands, those
+    outside of any aside. Pairs in `vacuous` (pair_id), those with a law without operations, are left out.
+    """
+    own = [*by, *([bands] if bands and bands not in by else [])]
+    left = graded(latest_graded(a, keys)).select(*keys, *[c for c in own if c not in keys], is_correct(F.col("bucket")).alias("was"))
+    if vacuous is not None:
+        left = left.join(vacuous.select("pair_id").distinct(), "pair_id", "left_anti")
     right = graded(latest_graded(b, keys)).select(*keys, is_correct(F.col("bucket")).alias("now"))
     was, now = F.col("was"), F.col("now")
     cells = {"both": was & now, "rescued": ~was & now, "lost": was & ~now, "neither": ~was & ~now}
-    joined = left.join(right, keys).select(*by, was, now)
-    wide = joined.groupingSets([[], *[[F.col(c)] for c in by]], *by).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(n) for n, c in cells.items()], *[F.grouping(c).alias(f"without {c}") for c in by]
+    joined, levels = left.join(right, keys), list(by)
+    if bands:
+        joined = joined.withColumn("band", F.coalesce(*[F.when(F.col(bands).between(low, high), F.lit(name)) for name, low, high in BANDS]))
+        levels.append("band")
+    wide = joined.select(*levels, was, now).groupingSets([[], *[[F.col(c)] for c in levels]], *levels).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(n) for n, c in cells.items()], *[F.grouping(c).alias(f"without {c}") for c in levels]
     )
-    level = F.coalesce(*[F.when(F.col(f"without {c}") == 0, F.lit(c)) for c in by], F.lit("overall"))
-    value = F.coalesce(*[F.col(c).cast("string") for c in by], F.lit("all"))
+    if bands:  # a group of rows outside of any band is none
+        wide = wide.where((F.col("without band") == 1) | F.col("band").isNotNull())
+    level = F.coalesce(*[F.when(F.col(f"without {c}") == 0, F.lit(c)) for c in levels], F.lit("overall"))
+    value = F.coalesce(*[F.col(c).cast("string") for c in levels], F.lit("all"))
     return wide.select(
         level.alias("level"),
         value.alias("value"),
@@ -124,21 +142,45 @@ def transitions(a: DataFrame, b: DataFrame, keys: list[str], by: list[str]) -> D
     )
 
 
+#: Twice the standard deviations below the mean of a binomial at one half beyond which its terms vanish, and terms that are always added up.
+TAIL, LEAST_TERMS = 7, 50
+
+
+def _stirling(x: Column) -> Column:
+    """log x! less Stirling's formula for it, x a whole number: exact up to 15, then its series."""
+    x = x.cast("double")
+    small = F.log(F.factorial(F.least(x, F.lit(15)).cast("int")).cast("double")) - (x + 0.5) * F.log(F.greatest(x, F.lit(1.0))) + x - 0.5 * math.log(2 * math.pi)
+    square = x * x
+    return F.when(x <= 15, small).otherwise((1 / 12 - (1 / 360 - (1 / 1260 - 1 / (square * 1680)) / square) / square) / x)
+
+
+def log_binomial(n: Column, k: Column) -> Column:
+    """log of the chance of k of n at one half, without the cancellation of large logarithms."""
+    n, k = n.cast("double"), k.cast("double")
+    d = 1 - k * 2 / n
+    body = 0.5 * F.log(n / (k * (n - k) * (2 * math.pi))) + _stirling(n) - _stirling(k) - _stirling(n - k)
+    distance = n / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+    return F.when((k <= 0) | (k >= n), -n * math.log(2)).otherwise(body - distance)
+
+
 def sign_test_p(gained: Column, lost: Column) -> Column:
     """Two-sided sign test: twice the lower binomial tail at one half, one at most.
 
-    Terms are added up by logarithms, as many as the smaller count.
+    The tail is its largest term times a sum of ratios, which vanish within a number of terms that
+    grows with the square root of the counts.
     """
-    n = (gained + lost).cast("double")
-    k = F.least(gained, lost).cast("int")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("total"))
+    n, k = gained + lost, F.least(gained, lost).cast("long")
+    terms = F.least(k, (F.ceil(F.sqrt(n.cast("double")) * TAIL) + LEAST_TERMS).cast("long"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    x, y = k.cast("double"), (n - k).cast("double")
 
     def step(s: Column, i: Column) -> Column:
-        now = F.when(i == 0, s["log"]).otherwise(s["log"] + F.log((n - i + 1) / F.greatest(i, F.lit(1))))
-        return F.struct(now.alias("log"), (s["total"] + F.exp(now)).alias("total"))
+        now = s["term"] * (x - i + 1) / (y + i)
+        return F.struct(now.alias("term"), (s["total"] + now).alias("total"))
 
-    tail = F.aggregate(F.sequence(F.lit(0), k), start, step, lambda s: s["total"])
-    return F.least(F.lit(1.0), tail * 2)
+    places = F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    total = F.aggregate(places, start, step, lambda s: s["total"])
+    return F.least(F.lit(1.0), F.exp(log_binomial(n, k)) * total * 2)
 
 
 def sign_test(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

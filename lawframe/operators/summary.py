@@ -137,25 +137,51 @@ def report_tiles(rows: DataFrame, run: list[str]) -> DataFrame:
     )
 
 
-def group_runs_by_pairset(rows: DataFrame, run: list[str]) -> DataFrame:
-    """Runs with `pairs` and `experiment`, the first run (by name) that covers the same set of pairs.
+def run_sketches(rows: DataFrame, run: list[str], precision: int = 12) -> DataFrame:
+    """Per run its counts and sketches of its models and pairs, to be kept and united later; sketches of overlapping runs add up."""
+    found = rows.groupBy(*run).agg(
+        F.hll_sketch_agg("model", precision).alias("models"),
+        F.hll_sketch_agg("pair_id", precision).alias("pairs"),
+        _count(F.col("bucket") != API_ERROR).alias("graded"),
+        _count(is_correct(F.col("bucket"))).alias("good"),
+    )
+    return found
+
+
+def tiles_of_sketches(sketches: DataFrame, run: list[str]) -> DataFrame:
+    """report_tiles from the runs' sketches: models and pairs are estimates, with a standard error of 1.04 / sqrt(2^precision)."""
+    return sketches.agg(
+        F.countDistinct(*run).alias("runs"),
+        F.hll_sketch_estimate(F.hll_union_agg("models")).alias("models"),
+        F.hll_sketch_estimate(F.hll_union_agg("pairs")).alias("pairs"),
+        F.sum("graded").alias("graded"),
+        F.try_divide(F.sum("good") * 100.0, F.sum("graded")).alias("correct_pct"),
+    )
+
+
+def group_runs_by_pairset(rows: DataFrame, run: list[str], seen: str | None = None) -> DataFrame:
+    """Runs with `pairs` and `experiment`, the first run that covers the same set of pairs: by name, or by the least of `seen`.
 
     A set is told by the number of its pairs and two sums of hashes over it,
     which add up in parallel, so that no set is gathered in one place.
     """
-    distinct = rows.select(*run, "pair_id").distinct()
+    distinct = rows.groupBy(*run, "pair_id").agg(F.min(seen if seen else F.lit(0)).alias("seen"))
     name = F.concat_ws("/", *run)
     marks = [F.sum(F.xxhash64("pair_id", F.lit(i)).cast("decimal(38,0)")).alias(f"mark{i}") for i in (1, 2)]
-    sets = distinct.groupBy(*run).agg(F.count(F.lit(1)).alias("pairs"), *marks).withColumn("run", name)
-    first = sets.groupBy("pairs", "mark1", "mark2").agg(F.min("run").alias("experiment"))
+    sets = distinct.groupBy(*run).agg(F.count(F.lit(1)).alias("pairs"), F.min("seen").alias("seen"), *marks).withColumn("run", name)
+    first = sets.groupBy("pairs", "mark1", "mark2").agg(F.min_by("run", F.struct("seen", "run")).alias("experiment"))
     return sets.join(first, ["pairs", "mark1", "mark2"]).select("run", "pairs", "experiment")
 
 
-def usage_rollup(rows: DataFrame, by: list[str], cost: str) -> DataFrame:
+def usage_rollup(rows: DataFrame, by: list[str], cost: str, split: Column | None = None) -> DataFrame:
+    """Costs, tokens and failures; with `split`, whether a row's text was split into its sections, also graded rows of which it wasn't."""
+    failed = F.col("bucket") == API_ERROR
+    more = [] if split is None else [_count(~failed & ~F.coalesce(split, F.lit(False))).alias("split_failures")]
     return rows.groupBy(*by).agg(
         F.sum(F.coalesce(F.col(cost), F.lit(0.0))).alias("cost"),
         F.sum(F.coalesce(F.col("reasoning_tokens"), F.lit(0))).alias("tokens"),
-        _count(F.col("bucket") == API_ERROR).alias("error_rows"),
+        _count(failed).alias("error_rows"),
+        *more,
         F.count(F.lit(1)).alias("n_rows"),
     )
 

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawframe.operators.attempts import API_ERROR, is_correct, latest_graded
+from lawframe.operators.order import numbered
 
 ABSTAIN = ("unparseable", API_ERROR)
 KEYS = ["pair_id", "model"]
+#: Models up to which their list is broadcast.
+BROADCAST_MODELS = 10_000
 
 
 def passes_of(rows: DataFrame) -> DataFrame:
@@ -58,14 +61,72 @@ def majority_vote(passes: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 
 def vote_at_k(passes: DataFrame, ks: list[int]) -> DataFrame:
-    """Votes over the first k passes for each k."""
-    each = passes.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("pass") <= F.col("k"))
-    return majority_vote(each, ["k", *KEYS])
+    """Votes over the first k passes for each k, with one shuffle for all: as majority_vote of each.
 
+    A key's passes up to the largest k, one row each, are put in order, and tallies of classes run
+    along them; what the running vote was after the last pass that each k has comes out.
+    """
+    most = max(ks)
+    carried = [c for c in passes.columns if c not in KEYS]
+    ballot = F.when(~F.col("bucket").isin(*ABSTAIN), F.col("answer_class"))
+    one = F.struct(F.col("pass").alias("at"), ballot.alias("class"), (F.col("bucket") == API_ERROR).alias("failed"), F.struct(*carried).alias("row"))
+    found = passes.where(F.col("pass") <= most).groupBy(*KEYS).agg(F.collect_list(one).alias("rows"))
+    in_order = F.array_sort("rows", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+    found = found.withColumn("rows", in_order)
+    kind = found.schema["rows"].dataType.elementType
+    row = kind["row"].dataType.simpleString()
+    tally = "array<struct<class:string,votes:int,row:{0}>>".format(row)
+    state = f"struct<n:int,valid:int,tallies:{tally},best:struct<class:string,votes:int,row:{row}>,fallback:struct<failed:boolean,row:{row}>>"
+
+    def count(s: Column, r: Column) -> Column:
+        """The state with one pass more: a class that draws level with the leading one stays behind it, as it was seen later or caught up."""
+        tallies, mine = s["tallies"], r["class"]
+        known = F.exists(tallies, lambda t: t["class"] == mine)
+        raised = F.transform(tallies, lambda t: F.struct(t["class"].alias("class"), (t["votes"] + (t["class"] == mine).cast("int")).alias("votes"), t["row"].alias("row")))
+        grown = F.when(known, raised).otherwise(F.array_append(tallies, F.struct(mine.alias("class"), F.lit(1).alias("votes"), r["row"].alias("row"))))
+        now = F.when(mine.isNull(), tallies).otherwise(grown)
+        better = s["fallback"].isNull() | (s["fallback"]["failed"] & ~r["failed"])
+        fallback = F.when(mine.isNotNull(), s["fallback"]).when(better, F.struct(r["failed"].alias("failed"), r["row"].alias("row"))).otherwise(s["fallback"])
+        # classes stand in the order in which they were first seen, so the first of most votes leads
+        lead = F.aggregate(now, F.lit(None).cast(kind_of_best), lambda b, t: F.when(b.isNull() | (t["votes"] > b["votes"]), t).otherwise(b))
+        return F.struct((s["n"] + 1).alias("n"), (s["valid"] + mine.isNotNull().cast("int")).alias("valid"), now.alias("tallies"), lead.alias("best"), fallback.alias("fallback")).cast(state)
+
+    kind_of_best = f"struct<class:string,votes:int,row:{row}>"
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("valid"), F.array().cast(tally).alias("tallies"), F.lit(None).cast(kind_of_best).alias("best"), F.lit(None).cast(f"struct<failed:boolean,row:{row}>").alias("fallback")).cast(state)
+
+    def upto(k: int) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.aggregate(F.filter("rows", lambda r: r["at"] <= k), start, count).alias("vote"))
+
+    each = found.select(*KEYS, F.explode(F.array(*[upto(k) for k in ks])).alias("v")).select("v.k", *KEYS, "v.vote").where("vote.n > 0")
+    vote = F.col("vote")
+    leading = F.coalesce(vote["best"]["votes"], F.lit(0))
+    chosen = F.coalesce(vote["best"]["row"], vote["fallback"]["row"])
+    return each.withColumn("chosen", chosen).select(
+        "k",
+        *KEYS,
+        "chosen.*",
+        vote["n"].alias("vote_k"),
+        vote["valid"].alias("valid_ballots"),
+        (vote["n"] - vote["valid"]).alias("abstentions"),
+        leading.alias("votes_for_winner"),
+        F.size(vote["tallies"]).alias("distinct_classes"),
+        (F.size(F.filter(vote["tallies"], lambda t: t["votes"] == leading)) > 1).alias("tie"),
+        F.col("chosen.pass").alias("source_pass"),
+        vote["best"]["class"].alias("winner_class"),
+    )
 
-def multi_pass_join(passes: DataFrame, k: int) -> DataFrame:
-    """(pair_id, model, buckets, present, missing): the rows of passes 1 to k in order, and how many lack."""
-    found = passes.where(F.col("pass").between(1, k)).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pass", "bucket"))).alias("rows"))
+
+def multi_pass_join(passes: DataFrame, k: int, expected: DataFrame | None = None) -> DataFrame:
+    """(pair_id, model, buckets, present, missing): the rows of passes 1 to k in order, and how many lack.
+
+    With `expected` (pair_id, model), those alone and each of them; ValueError names some that no pass covers.
+    """
+    rows = passes.where(F.col("pass").between(1, k))
+    if expected is not None:
+        rows = rows.join(expected.select(*KEYS).distinct(), KEYS, "right")
+    found = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.when(F.col("pass").isNotNull(), F.struct("pass", "bucket")))).alias("rows"))
+    if expected is not None and (lacking := found.where(F.size("rows") == 0).orderBy(*KEYS).limit(20).collect()):  # for the message
+        raise ValueError("no pass has a row for " + ", ".join(f"{r['pair_id']} {r['model']}" for r in lacking))
     return found.select(*KEYS, F.array_join(F.transform("rows", lambda r: r["bucket"]), ",").alias("buckets"), F.size("rows").alias("present"), (k - F.size("rows")).alias("missing"))
 
 
@@ -108,12 +169,24 @@ def check_consistency(samples: DataFrame, meta: DataFrame, shared: tuple[str, ..
         raise ValueError("; ".join(f"pass {r['pass']} differs in {r['differs']}" for r in found))
 
 
-def baseline_subset(baseline: DataFrame, passes: DataFrame) -> DataFrame:
-    """Baseline rows of the models that have passes; ValueError unless both cover the same pairs."""
-    pairs, own = (x.select("pair_id").distinct() for x in (baseline, passes))
-    if not pairs.exceptAll(own).isEmpty() or not own.exceptAll(pairs).isEmpty():
-        raise ValueError("the baseline covers other pairs")
-    return baseline.join(passes.select("model").distinct(), "model", "left_semi")
+def baseline_subset(baseline: DataFrame, samples: DataFrame, baseline_samples: DataFrame, models: DataFrame, baseline_models: DataFrame | None = None) -> DataFrame:
+    """The baseline's rows of the passes' `models` (place, model), numbered in sample and model order by `at`.
+
+    `samples` and `baseline_samples` (place, pair_id, prompt_hash) are the ordered lists of the passes and of
+    the baseline: ValueError unless they are the same, prompts too. ValueError names models that the
+    baseline, by its rows or else `baseline_models` (model), lacks.
+    """
+    known = (baseline if baseline_models is None else baseline_models).select("model").distinct()
+    if lacking := [r["model"] for r in models.select("model").distinct().join(known, "model", "left_anti").orderBy("model").collect()]:  # of a short list
+        raise ValueError(f"the baseline lacks models: {', '.join(lacking)}")
+    entry = ["place", "pair_id", "prompt_hash"]
+    other = samples.select(*entry, F.lit(1).alias("side")).unionByName(baseline_samples.select(*entry, F.lit(-1).alias("side"))).groupBy(*entry).agg(F.sum("side").alias("side")).where("side <> 0")
+    if differing := other.orderBy("place").limit(5).collect():
+        raise ValueError("the baseline samples other pairs or prompts: " + ", ".join(f"{r['pair_id']} at {r['place']}" for r in differing))
+    # a model's place in a short list; the samples' places number the rows
+    listed = models.groupBy("model").agg(F.min("place").alias("model place"))
+    placed = baseline.join(F.broadcast(listed) if listed.count() <= BROADCAST_MODELS else listed, "model").join(samples.select("pair_id", F.col("place").alias("sample place")), "pair_id")
+    return numbered(placed, ["sample place", "model place"], "at").drop("sample place", "model place")
 
 
 def agreement_curve(votes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lawframe.functions import labels as L
 from lawframe.operators import attempts as T
 from lawframe.operators import paired, summary, voting
 from lawframe.operators.order import numbered
@@ -131,17 +132,22 @@ def group_runs_by_pairset(spark, sf_dir):
 @query(
     "group_runs_by_pairset_all",
     attempts_sql(
-        """, s AS (SELECT form || '/' || regime AS run, count(DISTINCT pair_id) AS pairs, string_agg(DISTINCT pair_id, ',' ORDER BY pair_id) AS ids FROM attempts GROUP BY 1)
-SELECT run, pairs, min(run) OVER (PARTITION BY ids) AS experiment FROM s"""
+        """, s AS (SELECT form || '/' || regime AS run, count(DISTINCT pair_id) AS pairs, min(seq) AS seen, string_agg(DISTINCT pair_id, ',' ORDER BY pair_id) AS ids FROM attempts GROUP BY 1)
+SELECT run, pairs, first_value(run) OVER (PARTITION BY ids ORDER BY seen, run) AS experiment FROM s"""
     ),
 )
 def group_runs_by_pairset_all(spark, sf_dir):
-    return summary.group_runs_by_pairset(attempts(spark, sf_dir), RUN)
+    """Experiments named by the run that was seen first."""
+    return summary.group_runs_by_pairset(attempts(spark, sf_dir), RUN, seen="seq")
 
 
-@query("usage_rollup", attempts_sql("SELECT form, regime, model, round(sum(coalesce(latency_s, 0)), 4) AS cost, sum(coalesce(reasoning_tokens, 0))::BIGINT AS tokens, count(*) FILTER (bucket = 'api-error') AS error_rows, count(*) AS n_rows FROM attempts GROUP BY ALL"))
+@query("usage_rollup", attempts_sql("SELECT form, regime, model, round(sum(coalesce(latency_s, 0)), 4) AS cost, sum(coalesce(reasoning_tokens, 0))::BIGINT AS tokens, count(*) FILTER (bucket = 'api-error') AS error_rows, count(*) FILTER (bucket <> 'api-error' AND answer_class = 'c0') AS split_failures, count(*) AS n_rows FROM attempts GROUP BY ALL"))
 def usage_rollup(spark, sf_dir):
-    return summary.usage_rollup(attempts(spark, sf_dir), [*RUN, "model"], "latency_s").withColumn("cost", F.round("cost", 4))
+    """The text of a class is split into its sections, but for one class."""
+    text = F.when(F.col("answer_class") == "c0", "no sections").otherwise(F.concat(F.lit("GRAMMAR\n"), "answer_class", F.lit("\nENCODING\n"), "bucket"))
+    sections = L.split_sections(text)
+    split = (F.coalesce(sections["grammar"], F.lit("")) != "") & (F.coalesce(sections["encoding"], F.lit("")) != "")
+    return summary.usage_rollup(attempts(spark, sf_dir), [*RUN, "model"], "latency_s", split).withColumn("cost", F.round("cost", 4))
 
 
 @query(
@@ -408,18 +414,28 @@ def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("form = 'story'"), rows.where("form = 'two-stage'")
 
 
+_LEVELS = """CASE WHEN grouping(model) = 0 THEN 'model' WHEN grouping(ops_total) = 0 THEN 'ops_total' WHEN grouping(band) = 0 THEN 'band' ELSE 'overall' END"""
+
+
 @query(
     "paired_transitions",
     attempts_sql(
         _ARMS
-        + """, c AS (SELECT CASE WHEN grouping(model) = 0 THEN 'model' WHEN grouping(ops_total) = 0 THEN 'ops_total' ELSE 'overall' END AS level,
-  CASE WHEN grouping(model) = 0 THEN model WHEN grouping(ops_total) = 0 THEN ops_total::VARCHAR ELSE 'all' END AS value, count(*) AS n, count(*) FILTER (was AND now) AS "both", count(*) FILTER (NOT was AND now) AS rescued, count(*) FILTER (was AND NOT now) AS lost, count(*) FILTER (NOT was AND NOT now) AS neither
-  FROM j GROUP BY GROUPING SETS ((), (model), (ops_total)))
+        + f""", vacuous AS (SELECT DISTINCT pair_id FROM attempts WHERE depth = 1),
+kinds AS (SELECT *, 'all' AS pairs, CASE WHEN ops_total BETWEEN 1 AND 3 THEN 'low' WHEN ops_total BETWEEN 4 AND 8 THEN 'high' END AS band FROM j
+  UNION ALL SELECT *, 'not vacuous', CASE WHEN ops_total BETWEEN 1 AND 3 THEN 'low' WHEN ops_total BETWEEN 4 AND 8 THEN 'high' END FROM j WHERE pair_id NOT IN (SELECT pair_id FROM vacuous)),
+c AS (SELECT pairs, {_LEVELS} AS level, coalesce(model, ops_total::VARCHAR, band, 'all') AS value, count(*) AS n, count(*) FILTER (was AND now) AS "both", count(*) FILTER (NOT was AND now) AS rescued, count(*) FILTER (was AND NOT now) AS lost, count(*) FILTER (NOT was AND NOT now) AS neither
+  FROM kinds GROUP BY GROUPING SETS ((pairs), (pairs, model), (pairs, ops_total), (pairs, band)))
 SELECT *, rescued - lost AS net, ("both" + lost) / nullif(n, 0) AS accuracy_before, ("both" + rescued) / nullif(n, 0) AS accuracy_after FROM c"""
     ),
 )
 def paired_transitions(spark, sf_dir):
-    return paired.transitions(*_arms(spark, sf_dir), ["regime", "pair_id", "model"], ["model", "ops_total"])
+    """All pairs, and those without a law of no operation, for which pairs of depth one stand."""
+    a, b = _arms(spark, sf_dir)
+    keys, by = ["regime", "pair_id", "model"], ["model", "ops_total"]
+    vacuous = attempts(spark, sf_dir).where("depth = 1").select("pair_id")
+    told = [paired.transitions(a, b, keys, by, bands="ops_total", vacuous=v).withColumn("pairs", F.lit(name)) for name, v in (("all", None), ("not vacuous", vacuous))]
+    return told[0].unionByName(told[1])
 
 
 @query(
@@ -504,16 +520,25 @@ def confidence_gate(spark, sf_dir):
     attempts_sql(_PASSES + "SELECT pair_id, model, string_agg(bucket, ',' ORDER BY pass) AS buckets, count(*)::INT AS present, (5 - count(*))::INT AS missing FROM passes WHERE pass <= 5 GROUP BY pair_id, model"),
 )
 def multi_pass_join(spark, sf_dir):
-    return voting.multi_pass_join(voting.passes_of(attempts(spark, sf_dir)), 5)
+    passes = voting.passes_of(attempts(spark, sf_dir))
+    return voting.multi_pass_join(passes, 5, expected=passes.where("pass <= 5"))
 
 
-@query("baseline_subset", attempts_sql("SELECT seq, pair_id, model FROM attempts WHERE form = 'story' AND pair_id IN (SELECT pair_id FROM attempts WHERE form = 'literal') AND model IN ('m0', 'm1')"))
+@query(
+    "baseline_subset",
+    attempts_sql(
+        """, mine AS (SELECT * FROM attempts WHERE form = 'story' QUALIFY row_number() OVER (PARTITION BY pair_id, model ORDER BY (bucket <> 'api-error') DESC, CASE WHEN bucket <> 'api-error' THEN -seq ELSE seq END) = 1)
+SELECT seq, pair_id, model, row_number() OVER (ORDER BY substr(pair_id, 2)::BIGINT, model DESC) AS place FROM mine WHERE pair_id IN (SELECT pair_id FROM attempts WHERE form = 'literal') AND model IN ('m0', 'm1')"""
+    ),
+)
 def baseline_subset(spark, sf_dir):
+    """The story run as baseline of two models, over the pairs that the literal run has too."""
     rows = attempts(spark, sf_dir)
     common = rows.where("form = 'story'").select("pair_id").intersect(rows.where("form = 'literal'").select("pair_id"))
-    baseline = T.with_pairs(rows.where("form = 'story'"), common)
-    passes = common.withColumn("model", F.explode(F.array(F.lit("m0"), F.lit("m1"))))
-    return voting.baseline_subset(baseline, passes).select("seq", "pair_id", "model")
+    samples = common.select(F.substring("pair_id", 2, 20).cast("long").alias("place"), "pair_id", F.sha2("pair_id", 256).alias("prompt_hash"))
+    baseline = T.with_pairs(T.latest_graded(rows.where("form = 'story'"), voting.KEYS), common)
+    models = spark.createDataFrame([(1, "m1"), (2, "m0")], "place int, model string")
+    return voting.baseline_subset(baseline, samples, samples, models).select("seq", "pair_id", "model", F.col("at").alias("place"))
 
 
 @query("sample_model_order", attempts_sql("SELECT pair_id, model, row_number() OVER (ORDER BY first_seq, model)::INT AS place FROM (SELECT pair_id, model, min(min(seq)) OVER (PARTITION BY pair_id) AS first_seq FROM attempts GROUP BY pair_id, model)"))

@@ -35,14 +35,25 @@ def scan_equations(spark, sf_dir):
     return io.scan_equations(spark, path)
 
 
-@query("content_digest", forms_sql("SELECT law_no // 100 AS list, sha256(string_agg(equation, chr(10) ORDER BY law_no) || chr(10)) AS sha256 FROM laws GROUP BY 1"))
+@query(
+    "content_digest",
+    forms_sql(
+        """, numbered AS (SELECT law_no // 100 AS list, equation, row_number() OVER (PARTITION BY law_no // 100 ORDER BY law_no) - 1 AS place FROM laws),
+plain AS (SELECT list, sha256(string_agg(equation, chr(10) ORDER BY place) || chr(10)) AS sha256, count(*) AS n_lines FROM numbered GROUP BY list),
+leaves AS (SELECT list, place // 8 AS block, sha256(string_agg(equation || chr(10), '' ORDER BY place)) AS h FROM numbered GROUP BY ALL),
+inner_nodes AS (SELECT list, block // 8 AS block, sha256(string_agg(h, '' ORDER BY block)) AS h FROM leaves GROUP BY list, block // 8),
+roots AS (SELECT list, sha256(string_agg(h, '' ORDER BY block)) AS tree FROM inner_nodes GROUP BY list)
+SELECT list, sha256, n_lines, tree FROM plain JOIN roots USING (list)"""
+    ),
+)
 def content_digest(spark, sf_dir):
-    """A list of equations per hundred law numbers, each a file."""
+    """A list of equations per hundred law numbers, each a file, with the digest of its bytes and the one of its tree of lines."""
     path = _folder(spark)
     lists = laws(spark, sf_dir).withColumn("list", F.floor(F.col("law_no") / 100))
     lists.repartition("list").sortWithinPartitions("list", "law_no").select("list", "equation").write.partitionBy("list").text(path)
-    found = io.content_digest(spark, f"{path}/*/*.txt")
-    return found.select(F.regexp_extract("path", r"list=(\d+)/", 1).cast("long").alias("list"), "sha256")
+    number = F.regexp_extract("path", r"list=(\d+)/", 1).cast("long").alias("list")
+    plain = io.content_digest(spark, f"{path}/*/*.txt").select(number, "sha256")
+    return plain.join(io.tree_digest(spark, f"{path}/*/*.txt", fan=8, levels=2).select(number, "n_lines", "tree"), "list")
 
 
 def _result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,15 +77,20 @@ def _run_folders(spark: SparkSession, sf_dir: str) -> str:
 
 @query(
     "scan_runs",
-    attempts_sql("SELECT form || '-' || regime AS run, form, regime, count(DISTINCT pair_id)::INT AS n, array_to_string(list_sort(list(DISTINCT model)), ',') AS models, count(DISTINCT pair_id) AS samples, count(*) AS n_rows, count(DISTINCT pair_id) AS pairs FROM attempts GROUP BY ALL"),
+    attempts_sql(
+        """, runs AS (SELECT form, regime, count(DISTINCT pair_id)::INT AS n, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM attempts GROUP BY ALL),
+samples AS (SELECT form, regime, pair_id, max(depth) AS sample_depth FROM attempts GROUP BY ALL)
+SELECT a.form || '-' || a.regime AS run, a.form, a.regime, n, models, a.pair_id, model, ops_total, depth, bucket, reasoning_tokens::BIGINT AS reasoning_tokens, latency_s, sample_depth
+FROM attempts a JOIN runs USING (form, regime) JOIN samples s ON a.form = s.form AND a.regime = s.regime AND a.pair_id = s.pair_id"""
+    ),
 )
 def scan_runs(spark, sf_dir):
-    """Run directories are written and read again, metadata, samples and results; the folder's name tells the run."""
+    """Run directories are written and read again: every result row beside its run's metadata and its sample; the folder's name tells the run."""
     meta, samples, results = io.scan_runs(spark, f"{_run_folders(spark, sf_dir)}/*")
-    told = meta.select("run", "form", F.col("reasoning_regime").alias("regime"), "n", F.array_join("models", ",").alias("models"))
-    counted = samples.groupBy("run").agg(F.count(F.lit(1)).alias("samples"))
-    rows = results.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("pair_id").alias("pairs"))
-    return told.join(counted, "run").join(rows, "run")
+    told = meta.select("run", F.col("reasoning_regime").alias("meta_regime"), "n", F.array_join("models", ",").alias("models"))
+    mine = samples.select("run", "pair_id", F.col("depth").alias("sample_depth"))
+    rows = results.join(told, "run").where("regime = meta_regime").join(mine, ["run", "pair_id"])
+    return rows.select("run", "form", "regime", "n", "models", "pair_id", "model", "ops_total", "depth", "bucket", "reasoning_tokens", "latency_s", "sample_depth")
 
 
 @query("discover_runs", attempts_sql("SELECT DISTINCT form, regime, form || '-' || regime AS run FROM attempts"))

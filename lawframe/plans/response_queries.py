@@ -91,10 +91,13 @@ def error_type(spark, sf_dir):
     return rows.select(*ID, kind.alias("error_type"))
 
 
-@query("synthesize_answer", _GRADED + " SELECT conv_id, turn, 'exact' AS bucket FROM responses")
+@query("synthesize_answer", _GRADED + " SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'wrong' ELSE 'unparseable' END AS bucket FROM responses")
 def synthesize_answer(spark, sf_dir):
-    perfect = responses(spark, sf_dir).withColumn("response", G.synthesize_answer(F.col("canonical_e"), F.col("canonical_f")))
-    return answers.graded_responses(perfect).select(*ID, "bucket")
+    """Perfect answers; every third is made with the laws exchanged, every other third loses its last line, and these must fail."""
+    perfect, turned = G.synthesize_answer(F.col("canonical_e"), F.col("canonical_f")), G.synthesize_answer(F.col("canonical_f"), F.col("canonical_e"))
+    kind = F.col("turn") % 3
+    told = F.when(kind == 0, perfect).when(kind == 1, turned).otherwise(F.regexp_replace(perfect, r"\nASK:.*$", ""))
+    return answers.graded_responses(responses(spark, sf_dir).withColumn("response", told)).select(*ID, "bucket")
 
 
 @query(

@@ -10,7 +10,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -76,9 +76,49 @@ def scan_equations(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def content_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file, sha256) of each file's bytes; a file is one task's work, of 2 GB at most, as binary files are."""
-    return spark.read.format("binaryFile").load(path).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
+#: Bytes up to which a file is digested as a whole, in one task.
+WHOLE_BYTES = (1 << 31) - 1
+
+
+def content_digest(spark: SparkSession, path: str, most: int = WHOLE_BYTES) -> DataFrame:
+    """(path, file, bytes, sha256) of each file; sha256 of its bytes is null for one of more than `most` bytes, for which there is tree_digest."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1).alias("file")
+    files = spark.read.format("binaryFile").load(path)
+    # the reader doesn't open files that the filter on their length leaves out
+    small = files.where(F.col("length") <= most).select("path", name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > most).select("path", name, F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
+    return small.unionByName(large)
+
+
+def tree_digest(spark: SparkSession, path: str, fan: int = 4096, levels: int = 3) -> DataFrame:
+    """(path, n_lines, tree) of each file of any size, whatever the splits in which it is read.
+
+    A leaf is the sha256 of `fan` lines, each with its line end, an inner node that of `fan`
+    nodes' hexadecimal digests, and the root that of all nodes below it, `levels` levels up; no
+    task holds more than `fan` lines or digests but for the root, of fewer than lines / fan^levels.
+    A line end is \\n alone, and the last line has one whether or not the file has it.
+    """
+    # raw bytes: text that is read isn't decoded; a line's place is known from its split's, as in scan_equations
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("line")
+    )
+    splits = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("path", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = lines.join(before, ["path", "start"]).withColumn("at", F.col("before") + F.col("id") - F.col("first"))
+    in_order = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+
+    def folded(c: str) -> Column:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("part"))), in_order), lambda r: r["part"])
+        return F.sha2(F.aggregate(parts, F.lit(b""), lambda whole, part: F.concat(whole, part)), 256) if c == "line" else F.sha2(F.array_join(parts, "").cast("binary"), 256)
+
+    ended = placed.withColumn("line", F.concat("line", F.lit(b"\n")))
+    nodes = ended.groupBy("path", F.floor(F.col("at") / fan).alias("at block")).agg(folded("line").alias("node"), F.count(F.lit(1)).alias("n_lines"))
+    nodes = nodes.withColumnRenamed("at block", "at")
+    for level in range(levels):
+        block = F.lit(0) if level == levels - 1 else F.floor(F.col("at") / fan)
+        nodes = nodes.groupBy("path", block.alias("at block")).agg(folded("node").alias("node"), F.sum("n_lines").alias("n_lines")).withColumnRenamed("at block", "at")
+    return nodes.select("path", "n_lines", F.col("node").alias("tree"))
 
 
 def scan_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

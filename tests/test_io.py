@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawframe.operators import attempts, order, summary, voting
-from lawframe.session import shared_folder
+from lawframe.session import file_system, shared_folder
 from lawframe.sources import io
 from lawframe.sources.keyed import KeyedTable
 from lawframe.streaming.latest import State, Totals, run_incremental_latest, run_incremental_summary
@@ -34,6 +34,34 @@ def test_lines_are_numbered_over_files(spark, folder):
     assert [(r["law_no"], r["equation"]) for r in found] == list(enumerate(lines, 1))
 
 
+def test_tree_digests_don_t_depend_on_splits(spark, folder):
+    import hashlib
+
+    lines = [bytes([65 + i % 26]) * (i % 40) + b"\xff\r"[: i % 3] for i in range(1, 701)]
+    system, make = file_system(spark, folder)
+    for name, end in (("a.txt", b"\n"), ("b.txt", b"")):
+        out = system.create(make(f"{folder}/{name}"), True)
+        out.write(bytearray(b"\n".join(lines) + end))
+        out.close()
+    sha = lambda parts: hashlib.sha256(b"".join(parts)).hexdigest()
+    nodes = [sha([x + b"\n" for x in lines[i : i + 10]]) for i in range(0, 700, 10)]
+    nodes = [sha([x.encode() for x in nodes[i : i + 10]]) for i in range(0, len(nodes), 10)]
+    want = sha([x.encode() for x in nodes])
+    for split in ("300", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            found = io.tree_digest(spark, f"{folder}/*.txt", fan=10, levels=2).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r["n_lines"], r["tree"]) for r in found] == [(700, want)] * 2
+    told = {r["file"]: (r["bytes"], r["sha256"]) for r in io.content_digest(spark, f"{folder}/*.txt").collect()}
+    raw = b"\n".join(lines)
+    assert told == {"a.txt": (len(raw) + 1, sha([raw, b"\n"])), "b.txt": (len(raw), sha([raw]))}
+    # one that is too large for a task has its size and no digest of its bytes
+    told = {r["file"]: r["sha256"] for r in io.content_digest(spark, f"{folder}/*.txt", most=len(raw)).collect()}
+    assert told == {"a.txt": None, "b.txt": sha([raw])}
+
+
 def test_lists_fail_fast(spark, folder):
     _text(spark, f"{folder}/bad", "no equation", "x = y")
     with pytest.raises(ValueError, match="first line"):

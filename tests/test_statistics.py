@@ -1,10 +1,13 @@
 """Retries, votes, contingency, ranks and tests on small literal cases."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lawframe.operators import attempts as T
-from lawframe.operators import paired, voting
+from lawframe.operators import paired, summary, voting
 
 
 def _log(spark, rows):
@@ -86,3 +89,94 @@ def test_attempt_queries_cover_all_attempts(spark):
     assert registry.QUERIES["sample_model_order_all"](spark, SF).count() == rows.select("pair_id", "model").distinct().count()
     wide = registry.QUERIES["group_runs_by_pairset_all"](spark, SF).agg(F.sum("pairs")).first()[0]
     assert wide == rows.select("form", "regime", "pair_id").distinct().count()
+
+
+def _tail(gained, lost):
+    """Exact, in whole numbers."""
+    from fractions import Fraction
+    from math import comb
+
+    n, k = gained + lost, min(gained, lost)
+    return float(min(Fraction(1), Fraction(2 * sum(comb(n, i) for i in range(k + 1)), 2**n)))
+
+
+def test_sign_test_is_exact_and_bounded(spark):
+    counts = [(0, 0), (0, 1), (1, 0), (3, 3), (0, 40), (15, 16), (14, 40), (47, 78), (48, 44), (100, 160), (300, 301), (700, 1000), (5, 900), (2000, 2100)]
+    rows = spark.createDataFrame(counts, "g long, l long").select("g", "l", paired.sign_test_p(F.col("g"), F.col("l")).alias("p")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(_tail(r["g"], r["l"]), rel=1e-10)
+    # a normal tail is near enough for very large counts; equal ones are sure
+    large = [(10**9, 10**9), (10**9, 10**9 + 10**5), (4 * 10**8, 4 * 10**8 - 30_000), (10**9, 10**6)]
+    found = [r["p"] for r in spark.createDataFrame(large, "g long, l long").select(paired.sign_test_p(F.col("g"), F.col("l")).alias("p")).collect()]
+    for (g, x), p in zip(large, found, strict=True):
+        assert p == pytest.approx(min(1.0, math.erfc((abs(g - x) - 1) / math.sqrt(2 * (g + x)))), rel=1e-4, abs=1e-300)
+
+
+def _ballots(seed, keys, passes):
+    draw = random.Random(seed)
+    kinds = ["exact", "wrong", "wrong", "unparseable", "api-error", "correct-swapped"]
+    return [(f"p{i}", "m", k, draw.choice(kinds), draw.choice(["a", "b", "c", None]), i * 100 + k) for i in range(keys) for k in range(1, passes + 1) if draw.random() < 0.8]
+
+
+def test_running_votes_are_those_of_each_prefix(spark):
+    rows = spark.createDataFrame(_ballots(5, 120, 9), "pair_id string, model string, pass int, bucket string, answer_class string, seq long").withColumn("map", F.create_map(F.lit("x"), F.col("seq")))
+    ks = [1, 2, 3, 5, 9]
+    found = voting.vote_at_k(rows, ks).drop("map")
+    for k in ks:
+        want = voting.majority_vote(rows.drop("map").where(F.col("pass") <= k))
+        assert sorted(map(str, found.where(F.col("k") == k).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_passes_that_cover_nothing_are_named(spark):
+    rows = spark.createDataFrame([("p1", "m", 1, "exact"), ("p1", "m", 2, "wrong"), ("p2", "m", 3, "exact")], "pair_id string, model string, pass int, bucket string")
+    keys = lambda *ks: spark.createDataFrame(list(ks), "pair_id string, model string")
+    found = voting.multi_pass_join(rows, 2, keys(("p1", "m"))).collect()
+    assert [(r["buckets"], r["present"], r["missing"]) for r in found] == [("exact,wrong", 2, 0)]
+    with pytest.raises(ValueError, match="no pass has a row for p2 m, p3 n"):
+        voting.multi_pass_join(rows, 2, keys(("p1", "m"), ("p2", "m"), ("p3", "n")))
+    assert voting.multi_pass_join(rows, 2).count() == 1
+
+
+def test_baselines_cover_the_same_prompts_and_models(spark):
+    rows = spark.createDataFrame([(f"p{i}", m, f"{i}{m}") for i in (2, 1) for m in ("a", "b", "c")], "pair_id string, model string, row string")
+    samples = spark.createDataFrame([(1, "p2", "h2"), (2, "p1", "h1")], "place int, pair_id string, prompt_hash string")
+    models = lambda *ms: spark.createDataFrame(list(enumerate(ms)), "place int, model string")
+    found = voting.baseline_subset(rows, samples, samples, models("c", "a")).orderBy("at").collect()
+    assert [(r["row"], r["at"]) for r in found] == [("2c", 1), ("2a", 2), ("1c", 3), ("1a", 4)]
+    with pytest.raises(ValueError, match="lacks models: x, y"):
+        voting.baseline_subset(rows, samples, samples, models("a", "y", "x"))
+    for change in (F.lit("other"), F.col("prompt_hash")):
+        moved = samples.withColumns({"prompt_hash": change, "place": 3 - F.col("place")})
+        with pytest.raises(ValueError, match="other pairs or prompts"):
+            voting.baseline_subset(rows, samples, moved, models("a"))
+
+
+def test_transitions_by_band_without_vacuous_pairs(spark):
+    """The documented shape: bands 1-3 and 4-8, and pairs with a law without operations left out."""
+    cells = [("E1", 1, "exact", "wrong"), ("E2", 2, "wrong", "exact"), ("E3", 3, "exact", "exact"), ("E4", 4, "wrong", "exact"), ("E8", 8, "exact", "wrong"), ("E9", 9, "wrong", "wrong"), ("E0", None, "exact", "exact")]
+    arm = lambda i: spark.createDataFrame([(c[0], "m", c[1], c[i], 1) for c in cells], "pair_id string, model string, ops_total int, bucket string, seq long")
+    vacuous = spark.createDataFrame([("E1",)], "pair_id string")
+    told = lambda v: {(r["level"], r["value"]): (r["n"], r["rescued"], r["lost"], r["net"]) for r in paired.transitions(arm(2), arm(3), ["pair_id", "model"], ["model", "ops_total"], "ops_total", v).collect()}
+    every, some = told(None), told(vacuous)
+    assert every["overall", "all"] == (7, 2, 2, 0) and every["band", "low"] == (3, 1, 1, 0) and every["band", "high"] == (2, 1, 1, 0)
+    assert some["overall", "all"] == (6, 2, 1, 1) and some["band", "low"] == (2, 1, 0, 1) and ("ops_total", "1") not in some
+    assert {v for level, v in every if level == "band"} == {"low", "high"}
+
+
+def test_sketches_of_runs_add_up(spark):
+    rows = spark.range(60_000).selectExpr("concat('r', id % 3) as run", "concat('m', id % 7) as model", "concat('E', id % 20000) as pair_id", "if(id % 4 = 0, 'exact', if(id % 4 = 1, 'api-error', 'wrong')) as bucket")
+    want = summary.report_tiles(rows, ["run"]).first()
+    parts = [summary.run_sketches(rows.where(F.col("run") == r), ["run"]) for r in ("r0", "r1", "r2")]
+    kept = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for sketches in (kept, summary.run_sketches(rows, ["run"])):
+        found = summary.tiles_of_sketches(sketches, ["run"]).first()
+        assert (found["runs"], found["graded"], found["correct_pct"], found["models"]) == (want["runs"], want["graded"], want["correct_pct"], 7)
+        assert abs(found["pairs"] - want["pairs"]) <= 3 * 1.04 / 2**6 * want["pairs"]  # three standard errors
+
+
+def test_experiments_are_named_by_the_run_seen_first(spark):
+    rows = spark.createDataFrame([("b", "E1", 1), ("a", "E1", 2), ("c", "E2", 0)], "run string, pair_id string, seq long")
+    told = lambda **o: {r["run"]: r["experiment"] for r in summary.group_runs_by_pairset(rows, ["run"], **o).collect()}
+    assert told() == {"a": "a", "b": "a", "c": "c"} and told(seen="seq") == {"a": "b", "b": "b", "c": "c"}
