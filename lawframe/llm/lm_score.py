@@ -6,7 +6,7 @@ arc takes the failure arc, which costs the state's failure weight and leads to
 the history without its first word.
 
 Every word of the training texts has an arc from the empty state, and every pair
-and triple of words that occurs at least `LEAST_COUNT` times has one from its
+and triple of words that occurs at least `least_count` times has one from its
 history, whatever the size of the corpus. With absolute discounting and
 interpolation, for a history h of count c(h) whose arcs have counts c(hw),
 
@@ -28,7 +28,9 @@ bucket of keys:
 2. Those n-grams are counted exactly, each with its history, and a chunk learns
    the counts of its own histories and arcs: its part of the automaton.
 
-A text is then walked from left to right. A history that a large share of all
+The chunk's texts are then traversed from left to right (`Automaton.walk`): a state is carried from
+token to token, along an arc or down failure arcs, and the logarithms of what is passed add up.
+A history that a large share of all
 tokens has is divided over several buckets by the words after it, and its sums
 come together again in the chunk. Nothing is broadcast or sent to the driver but
 three totals and the code book of blocks, of bounded size.
@@ -74,6 +76,8 @@ HELD_OUT = (7, 2)
 #: Tokens in a chunk, and about those in a bucket of keys; there are half as many buckets as shuffle partitions at least.
 CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 4_000_000
+#: Tokens of a text that one lane of the traversal goes over.
+LANE = 512
 #: Bytes of a long text that are cut into words at a time.
 PART_BYTES = 8 << 20
 #: Common words that blocks name by number, and the chunks that they are taken from.
@@ -236,7 +240,7 @@ class Grams:
         self.pairs, where, self.pair = self._distinct(pair_key[at2], at2)
         self.pair_first, self.pair_last = self.word[where - 1], self.word[where]
         self.triples, where, self.triple = self._distinct(mixed(pair_key[at3 - 1], key[at3]), at3)
-        self.triple_pair, self.triple_last = self.pair[where - 1], self.word[where]
+        self.triple_pair, self.triple_last, self.triple_then = self.pair[where - 1], self.word[where], self.pair[where]
 
     def _distinct(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kinds, first, number = distinct(keys)
@@ -467,35 +471,76 @@ def gram_replies(book, key_bits: int, least: int):
 
 
 class Automaton:
-    """A chunk's part: histories' failure weights and the arcs' own shares of probability."""
+    """A chunk's part: states 0 (empty), a word, a pair; arcs by n-gram, to the longest history that is a state; a failure arc from each state but the empty one."""
 
     def __init__(self, grams: Grams, asks: Asks, replies: list[dict], total: int, types: int):
         words, pairs, triple = asks.read(replies)
         fail = lambda c, taken: np.where(c > 0, (c - taken / 4) / np.maximum(c, 1), 1.0)
-        self.count, self.word_fail = words[0], fail(*words)
-        self.pair_fail = np.ones(len(grams.pairs))
-        self.pair_fail[asks.pairs] = fail(*pairs)
+        self.count, word_fail = words[0], fail(*words)
+        pair_fail = np.ones(len(grams.pairs))
+        pair_fail[asks.pairs] = fail(*pairs)
         unknown = DISCOUNT * types / total if total else 1.0
-        self.start = np.where(self.count > 0, (self.count - DISCOUNT) / max(total, 1), unknown)
+        start = np.where(self.count > 0, (self.count - DISCOUNT) / max(total, 1), unknown)
         pair = np.zeros(len(grams.pairs), dtype=np.int64)
         pair[asks.pairs] = pairs[0]
-        self.pair_arc, self.triple_arc = np.zeros(len(pair)), np.zeros(len(grams.triples))
+        n1, n2 = len(grams.words), len(grams.pairs)
+        self.words = n1
+        # what a word has after a word, by the pair's own share and by failing
+        after = word_fail[grams.pair_first] * start[grams.pair_last]
         has = np.flatnonzero(pair)
-        self.pair_arc[has] = (pair[has] - DISCOUNT) / self.count[grams.pair_first[has]]
+        after[has] += (pair[has] - DISCOUNT) / self.count[grams.pair_first[has]]
         has = asks.triples[triple > 0]
-        self.triple_arc[has] = (triple[triple > 0] - DISCOUNT) / pair[grams.triple_pair[has]]
-
-    def walk(self, grams: Grams) -> np.ndarray:
-        """Each token's log10 probability, for all texts of the chunk at once.
-
-        The state before a token is the pair before it, carried along the text; where the pair has no arcs, or at the start of a text, the word or the empty one.
+        third = (triple[triple > 0] - DISCOUNT) / pair[grams.triple_pair[has]] + pair_fail[grams.triple_pair[has]] * after[grams.triple_then[has]]
+        self.fail_to = np.concatenate([[0], np.zeros(n1, dtype=np.int32), 1 + grams.pair_last]).astype(np.int32)
+        self.fail_log = np.concatenate([[0.0], np.log10(word_fail), np.log10(pair_fail)])
+        # arcs of words from the empty state, of pairs from words, of triples from pairs; -1: from nowhere, as there is none
+        self.arc_from = np.full(n1 + n2 + len(grams.triples), -1, dtype=np.int32)
+        self.arc_to, self.arc_log = np.zeros(len(self.arc_from), dtype=np.int32), np.zeros(len(self.arc_from))
+        self.arc_from[:n1], self.arc_to[:n1], self.arc_log[:n1] = 0, 1 + np.arange(n1), np.log10(start)
+        kept = np.flatnonzero(pair)
+        self.arc_from[n1 + kept], self.arc_to[n1 + kept], self.arc_log[n1 + kept] = 1 + grams.pair_first[kept], 1 + n1 + kept, np.log10(after[kept])
+        at = n1 + n2 + has
+        self.arc_from[at], self.arc_to[at], self.arc_log[at] = 1 + n1 + grams.triple_pair[has], 1 + n1 + grams.triple_then[has], np.log10(third)
+
+    def walk(self, grams: Grams, lane: int = LANE) -> np.ndarray:
+        """Each token's log10 probability: one traversal from left to right, which carries a state for each lane.
+
+        A lane is a run of up to `lane` tokens of a text; all lanes of the chunk go a token at a time, in step.
+        A lane within a text reads the two tokens before it first, after which its state is the text's. At a token a
+        lane takes the arc of its state, or failure arcs until there is one, and adds up their logarithms.
         """
-        p = self.start[grams.word]
-        two = np.flatnonzero(grams.pair >= 0)
-        p[two] = self.pair_arc[grams.pair[two]] + self.word_fail[grams.word[two - 1]] * p[two]
-        three = np.flatnonzero(grams.triple >= 0)
-        p[three] = self.triple_arc[grams.triple[three]] + self.pair_fail[grams.pair[three - 1]] * p[three]
-        return np.log10(p)
+        n1, n2 = len(grams.words), len(grams.pairs)
+        arcs = [np.where(of >= 0, of + first, -1) for of, first in ((grams.triple, n1 + n2), (grams.pair, n1), (grams.word, 0))]
+        size = np.bincount(grams.piece)
+        first = np.cumsum(size) - size
+        runs = -(-size // lane)
+        begin = np.repeat(first, runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)) * lane
+        low, high = np.repeat(first, runs), np.repeat(first + size, runs)
+        at, end = np.maximum(begin - 2, low), np.minimum(begin + lane, high)
+        by = np.argsort(at - end, kind="stable")  # the longest first, so that lanes that have ended are at the end
+        at, end, begin = at[by], end[by], begin[by]
+        length, out = end - at, np.zeros(len(grams.word))
+        state = np.zeros(len(at), dtype=np.int32)
+        for step in range(int(length.max(initial=0))):
+            m = int(np.searchsorted(-length, -step, side="left"))
+            place, s, log = at[:m] + step, state[:m], np.zeros(m)
+            todo = np.arange(m)
+            for order in arcs:
+                arc = order[place[todo]]
+                go = (arc >= 0) & (self.arc_from[arc] == s[todo])
+                lanes, taken = todo[go], arc[go]
+                log[lanes] += self.arc_log[taken]
+                reached = self.arc_to[taken]
+                todo = todo[~go]
+                if order is not arcs[2]:
+                    # the state has no arc for the word: down to the history of one word less, if it is as long as these arcs' histories
+                    longest = todo[s[todo] > (self.words if order is arcs[0] else 0)]
+                    log[longest] += self.fail_log[s[longest]]
+                    s[longest] = self.fail_to[s[longest]]
+                s[lanes] = reached
+            scored = place >= begin[:m]
+            out[place[scored]] = log[scored]
+        return out
 
 
 _HEAD = [("ref", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())]
@@ -525,8 +570,11 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LEAST_HOT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of (doc_id, text)."""
+def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LEAST_HOT, least_count: int = LEAST_COUNT) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of (doc_id, text).
+
+    Pairs and triples seen `least_count` times have arcs; 1 gives the model of all n-grams.
+    """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     modulus, held = HELD_OUT
@@ -547,9 +595,9 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LE
         # a key's chance to be taken for another is 2 ** -24 at most
         key_bits = min(64, max(40, size_bits + 24))
         book = spark.sparkContext.broadcast(code_book(chunks))
-        first = _stored(slot_asks(chunks, bits, 4 * buckets).groupBy("bucket").applyInArrow(slot_replies(LEAST_COUNT, hot), _REPLY))
+        first = _stored(slot_asks(chunks, bits, 4 * buckets).groupBy("bucket").applyInArrow(slot_replies(least_count, hot), _REPLY))
         asks = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(gram_asks(book, bits, key_bits, buckets, hot), _ASK)
-        second = _stored(asks.groupBy("bucket").applyInArrow(gram_replies(book, key_bits, LEAST_COUNT), _REPLY))
+        second = _stored(asks.groupBy("bucket").applyInArrow(gram_replies(book, key_bits, least_count), _REPLY))
         types = second.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"]
         schema = "ref long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
         pieces = chunks.groupBy("chunk").cogroup(first.unionByName(second.where("chunk is not null")).groupBy("chunk")).applyInArrow(piece_scores(bits, buckets, hot, total, types), schema)

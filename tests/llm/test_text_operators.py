@@ -128,14 +128,14 @@ def test_links_between_close_fingerprints(spark, limit):
             assert (comps[i] == comps[j]) == (found.get(a, a) == found.get(b, b))
 
 
-def _automaton(texts):
+def _automaton(texts, least=2):
     """The same model with dictionaries, walked state by state."""
     toks = [(t or "").encode().translate(LOWER).split() + [b" "] for t in texts]
     uni = collections.Counter(w for t in toks for w in t)
     total, types = sum(uni.values()), len(uni)
-    core = {w for w, c in uni.items() if c >= 2}
+    core = {w for w, c in uni.items() if c >= least}
     grams = {n: collections.Counter(tuple(t[i : i + n]) for t in toks for i in range(len(t) - n + 1) if all(w in core for w in t[i : i + n])) for n in (2, 3)}
-    grams = {n: {g: c for g, c in v.items() if c >= 2} for n, v in grams.items()}
+    grams = {n: {g: c for g, c in v.items() if c >= least} for n, v in grams.items()}
     grams[3] = {g: c for g, c in grams[3].items() if g[:2] in grams[2]}
     d, arcs, fail = lm_score.DISCOUNT, {}, {}
     for w, c in uni.items():
@@ -165,10 +165,10 @@ def _walk(arcs, fail, state, word, unknown=0.0):
         state = state[1:]
 
 
-def _same_as_automaton(rows, scored):
+def _same_as_automaton(rows, scored, least=2):
     """Held-out tokens' gain over the base, after comparing every row with the walk through dictionaries."""
     train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
-    arcs, fail, unknown, core, uni, total, types = _automaton(train)
+    arcs, fail, unknown, core, uni, total, types = _automaton(train, least)
     got = {r["doc_id"]: r for r in scored.collect()}
     assert len(got) == len(rows)
     gain = 0.0
@@ -334,6 +334,36 @@ def test_priors_decide_where_texts_do_not(spark):
     assert found["lang"] == "fr" and found["posterior"] > 0.75
 
 
+def test_lm_score_of_all_ngrams(spark):
+    """With arcs for what is seen once, and lanes so short that most begin within a text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    _same_as_automaton(rows, lm_score.score(docs, chunk_tokens=20_000, least_count=1), least=1)
+
+
+@pytest.mark.parametrize("lane", [1, 2, 3, 7, 1000])
+def test_lanes_of_the_traversal(lane):
+    """States by hand: two texts of a chunk, one of them going on from a former chunk with two words of context."""
+    words = np.array([3, 5, 9], dtype=np.uint64) << np.uint64(40)
+    word = np.array([0, 1, 2, 0, 1, 0, 1, 2], dtype=np.uint64)
+    row = {"block": lm_score.pack(*lm_score.steps(words), word), "before": [0, 2], "held": [False, False], "sizes": [4, 2]}
+    grams = lm_score.Grams(row)
+    machine = object.__new__(lm_score.Automaton)
+    n1, n2, n3 = len(grams.words), len(grams.pairs), len(grams.triples)
+    machine.words = n1
+    machine.fail_to = np.concatenate([[0], np.zeros(n1), 1 + grams.pair_last]).astype(np.int32)
+    machine.fail_log = np.concatenate([[0], -10.0 * np.arange(1, n1 + 1), -100.0 * np.arange(1, n2 + 1)])
+    machine.arc_from, machine.arc_to, machine.arc_log = np.full(n1 + n2 + n3, -1, dtype=np.int32), np.zeros(n1 + n2 + n3, dtype=np.int32), np.zeros(n1 + n2 + n3)
+    machine.arc_from[:n1], machine.arc_to[:n1], machine.arc_log[:n1] = 0, 1 + np.arange(n1), [-1, -2, -3]
+    kept = [p for p in range(n2) if (grams.pair_first[p], grams.pair_last[p]) == (0, 1)]
+    machine.arc_from[n1 + kept[0]], machine.arc_to[n1 + kept[0]], machine.arc_log[n1 + kept[0]] = 1, 1 + n1 + kept[0], -0.5
+    down = machine.fail_log[1 + n1 + kept[0]]
+    # a; a b by its arc; then down to b and to nothing for c; down from c for a. The other: a b of the context, then a and b
+    want = [-1, -0.5, down - 20 - 3, -30 - 1, down - 20 - 1, -0.5]
+    found = machine.walk(grams, lane)[grams.scored]
+    assert found.tolist() == pytest.approx([*want[:4], -0.5 if word[6] == 1 else want[4], down - 20 - 3])
+
+
 def test_lm_keeps_rare_pairs_of_a_large_corpus(spark):
     """A pair and a triple seen three times have arcs, though they are a tiny share of all tokens."""
     rows = [(i, " ".join(f"w{(i * 31 + j * 17) % 500}" for j in range(4000))) for i in range(500)]
