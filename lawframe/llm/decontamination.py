@@ -130,7 +130,8 @@ def bit_table(hashes: DataFrame) -> BitTable:
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(found, bitorder="little").tobytes()])], names=["block", "bits"])
 
     table = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    dealt = hashes.select("h").repartition(F.shiftrightunsigned("h", 64 - bits + 16)) if bits > 16 else hashes.select("h").coalesce(1)
+    once = hashes.select("h").distinct()  # so that no shingle's copies meet in one task
+    dealt = once.repartition(F.shiftrightunsigned("h", 64 - bits + 16)) if bits > 16 else once.coalesce(1)
     for row in dealt.mapInArrow(run, "block long, bits binary").toLocalIterator():  # 2 ** (MOST_BITS - 16) rows at most
         table[row["block"] << 13 : row["block"] + 1 << 13] |= np.frombuffer(row["bits"], dtype=np.uint8)
     return BitTable(bits, table, sorted(sizes))

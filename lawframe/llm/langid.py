@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import checkpointed, chunks, in_batches, marked, small, text_key
+from lawframe.llm.common import BROADCAST_ROWS, checkpointed, chunks, in_batches, joined_on, marked, small, text_key
 
 TRAIN_ROWS = 1_000
 SLOTS = 1 << 16
@@ -46,6 +46,8 @@ TEMPER = 0.2
 #: Prior counts with which a host leans on its suffix, a suffix on all rows, and declarations on uniform ones.
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 5.0
 LEAST_POSTERIOR = 0.5
+#: Languages up to which their model is sent to all executors: 256 MB.
+MOST_LANGUAGES = 512
 LEAST_LETTERS = 1
 #: Log-likelihood per trigram in no language, where all slots are as likely; a text that fits no language better is in none.
 OTHER = -float(np.log(SLOTS)) - 1e-6
@@ -95,9 +97,14 @@ def training_texts(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[l
     return names, found.join(small(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
 
-def train_text(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
-    """A model of (text, lang) rows, every label of which is a language; trigrams are counted on the executors."""
+def train_text(labelled: DataFrame, train_rows: int = TRAIN_ROWS, most_languages: int = MOST_LANGUAGES) -> TextModel:
+    """A model of (text, lang) rows, every label of which is a language; trigrams are counted on the executors.
+
+    The model goes to all executors, half a megabyte for each language: ValueError for more labels than `most_languages`.
+    """
     names, texts = training_texts(labelled, train_rows)
+    if len(names) > most_languages:
+        raise ValueError(f"{len(names)} labels are more than {most_languages} languages, for which the model has {SLOTS * most_languages * 8 >> 20} MB")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +179,21 @@ def _smoothed(counts: Column, prior: Column, weight: float) -> Column:
     return F.zip_with(counts, prior, lambda c, p: (c + F.lit(weight) * p) / (total + F.lit(weight)))
 
 
+def _with_hosts(rows: DataFrame, hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows with `by host`: a table of few hosts is broadcast; of many, hosts with very many rows are, and rows without a known host stay where they are."""
+    kept = small(hosts)
+    key = F.when(F.col("host").isNotNull() & F.col("suffix").isNotNull(), F.struct("host", "suffix"))
+    keyed = rows.withColumn("place key", key)
+    if kept.count() <= BROADCAST_ROWS:
+        return keyed.join(kept, "place key", "left").drop("place key")
+    # every host of a row with a said language is in the table; others have no host's evidence
+    sizes = counts.where("host is not null and suffix is not null").groupBy(F.struct("host", "suffix").alias("place key")).agg(F.sum("n").alias("rows of host"))
+    every = checkpointed(sizes.join(kept, "place key", "left"))
+    none = keyed.where(F.col("place key").isNull()).withColumn("by host", F.lit(None).cast("array<double>"))
+    met = joined_on(keyed.where(F.col("place key").isNotNull()), every, "place key", "rows of host")
+    return met.drop("place key").unionByName(none.drop("place key"))
+
+
 def fuse(rows: DataFrame, model: TextModel, temper: float = TEMPER, least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
     """`rows` with (likelihood, letters, said, declared, suffix, host) get lang, posterior and accepted."""
     names = model.languages
@@ -187,18 +209,15 @@ def fuse(rows: DataFrame, model: TextModel, temper: float = TEMPER, least_poster
     suffixes = _shares(counts, ["suffix"], names).select(F.col("suffix").alias("of suffix"), _smoothed(F.col("counts"), prior, SUFFIX_WEIGHT).alias("by suffix"))
     suffixes = small(suffixes)
     hosts = _shares(counts, ["host", "suffix"], names).join(suffixes, F.col("suffix") == F.col("of suffix"))
-    hosts = small(hosts.select(F.col("host").alias("of host"), F.col("suffix").alias("host suffix"), _smoothed(F.col("counts"), F.col("by suffix"), HOST_WEIGHT).alias("by host")))
+    hosts = hosts.select(F.struct("host", "suffix").alias("place key"), _smoothed(F.col("counts"), F.col("by suffix"), HOST_WEIGHT).alias("by host"))
     # per declared value, the chance of declaring it given each language
     said = F.array(*[F.lit(float(found.get(n, 0))) for n in names])
     declared = _shares(counts, ["declared"], names).select(
         F.col("declared").alias("of declared"),
         F.zip_with("counts", said, lambda c, s: (c + F.lit(DECLARED_WEIGHT / len(names))) / (s + F.lit(DECLARED_WEIGHT))).alias("by declared"),
     )
-    joined = (
-        rows.join(suffixes, F.col("suffix") == F.col("of suffix"), "left")
-        .join(hosts, (F.col("host") == F.col("of host")) & (F.col("suffix") == F.col("host suffix")), "left")
-        .join(small(declared), F.col("declared") == F.col("of declared"), "left")
-    )
+    known = rows.join(suffixes, F.col("suffix") == F.col("of suffix"), "left").join(small(declared), F.col("declared") == F.col("of declared"), "left")
+    joined = _with_hosts(known, hosts, counts)
     place = F.coalesce("by host", "by suffix", prior)
     told = F.coalesce("by declared", uniform)
     # the whole text's tempered evidence: a mean per trigram, and as many trigrams as letters

@@ -9,8 +9,8 @@ the differences of a document's windows come to is calibrated to a probability
 by logistic regression on the same labelled rows.
 
 Training uses at most `train_toxic` + `train_ordinary` labelled rows, those of
-least hash, which is what the driver gathers; it gets their texts and figures
-and no other row's. All telling pieces of those rows are in the dictionary. Scoring covers every row, every window of the whole text,
+least hash, of which the driver gathers the texts of at most `train_bytes` bytes, and their
+figures; it gets no other row's. All telling pieces of those rows are in the dictionary. Scoring covers every row, every window of the whole text,
 in the task that reads it; nothing is shuffled.
 
 Defined results: a null or empty text has one empty window; repeated rows get
@@ -44,6 +44,8 @@ LEAST_LOG_ODDS = 2.5
 LEAST_DOCUMENTS = 4
 #: Bytes of common words in both dictionaries, a parameter of the model: more do not rank better (figures in the README).
 COMMON_BYTES = 4096
+#: Longest text in training, so that what the driver gathers is bounded: 2 GB at most, some 20 MB of usual texts.
+TRAIN_BYTES = 256 << 10
 HELD_OUT = (5, 0)
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -80,8 +82,11 @@ def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def telling_pieces(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Pieces of words that toxic documents have more often, the most common first."""
+def telling_pieces(toxic: list[bytes], ordinary: list[bytes], least_z: float = LEAST_Z, least_log_odds: float = LEAST_LOG_ODDS, least_documents: int = LEAST_DOCUMENTS) -> list[bytes]:
+    """Pieces of words that toxic documents have more often, the most common first.
+
+    A gram is telling from a difference of shares of `least_z` standard errors and log odds of `least_log_odds` on, in `least_documents` toxic ones.
+    """
     grams, in_toxic = _document_counts(toxic)
     other, counts = _document_counts(ordinary)
     place = np.minimum(np.searchsorted(other, grams), max(len(other) - 1, 0))
@@ -91,7 +96,7 @@ def telling_pieces(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / nt + 1 / no))
     z = (in_toxic / nt - in_ordinary / no) / error
     odds = np.log((in_toxic + 0.5) / (nt + 1) / ((in_ordinary + 0.5) / (no + 1)))
-    telling = set(grams[(z >= LEAST_Z) & (odds >= LEAST_LOG_ODDS) & (in_toxic >= LEAST_DOCUMENTS) & (grams > 0)].tolist())
+    telling = set(grams[(z >= least_z) & (odds >= least_log_odds) & (in_toxic >= least_documents) & (grams > 0)].tolist())
     pieces: Counter[bytes] = Counter()
     for raw in toxic:
         text, found = _grams(raw)
@@ -104,7 +109,7 @@ def telling_pieces(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
             spans.add(text[places[i] : places[j] + GRAM])
             i = j + 1
         pieces.update(spans)
-    return [p for p, n in sorted(pieces.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_DOCUMENTS]
+    return [p for p, n in sorted(pieces.items(), key=lambda x: (-x[1], x[0])) if n >= least_documents]
 
 
 @dataclass
@@ -131,10 +136,10 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], common_bytes: int = COMMON_BYTES) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], common_bytes: int = COMMON_BYTES, **telling: float) -> tuple[bytes, bytes]:
     """(common, toxic): raw dictionary content, the most useful last, where references are shortest.
 
-    All telling pieces are in the toxic part; the common part has as many whole words as `common_bytes` hold.
+    All telling pieces, by the thresholds of telling_pieces in `telling`, are in the toxic part; the common part has as many whole words as `common_bytes` hold.
     """
     counts: Counter[bytes] = Counter()
     for raw in ordinary:
@@ -145,7 +150,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], common_bytes:
         if size > common_bytes:
             break
         words.append(word)
-    return b" ".join(words[::-1]), b"".join(telling_pieces(toxic, ordinary)[::-1])
+    return b" ".join(words[::-1]), b"".join(telling_pieces(toxic, ordinary, **telling)[::-1])
 
 
 def figures(raw: bytes, ordinary, toxic) -> list[float]:
@@ -170,26 +175,27 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]
     return mean.tolist(), scale.tolist(), w.tolist()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, train_ordinary: int = TRAIN_ORDINARY) -> DataFrame:
-    """(doc_id, text, toxic): the labelled rows of least hash of each kind, outside the held-out part."""
+def training_rows(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, train_ordinary: int = TRAIN_ORDINARY, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, text, toxic): the labelled rows of least hash of each kind, outside the held-out part and of texts of at most `train_bytes` bytes."""
     modulus, held = HELD_OUT
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_of(F.col("doc_id")) % modulus != held)).select("doc_id", "toxic")
     draw = F.xxhash64("doc_id", F.lit("toxicity"))
     parts = [usable.where(F.col("toxic") == k).orderBy(draw, "doc_id").limit(n) for k, n in ((1, train_toxic), (0, train_ordinary))]
     chosen = parts[0].union(parts[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # at most train_toxic + train_ordinary rows of two numbers
-    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= train_bytes)
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, common_bytes: int = COMMON_BYTES, **bounds: int) -> Model | float:
-    """A model, or the score for all rows if labels of one kind are lacking; `bounds` are those of training_rows."""
+def train(docs: DataFrame, labels: DataFrame, common_bytes: int = COMMON_BYTES, telling: dict[str, float] | None = None, **bounds: int) -> Model | float:
+    """A model, or the score for all rows if labels of one kind are lacking; `telling` has thresholds of telling_pieces, `bounds` are those of training_rows."""
     sample = checkpointed(training_rows(docs, labels, **bounds))
     rows = sample.select("text", "toxic").collect()
     texts = {(r["text"].encode(), r["toxic"]) for r in rows}
     toxic, ordinary = [sorted(t for t, k in texts if k == kind) for kind in (1, 0)]
     if not toxic or not ordinary:
         return float(bool(toxic))
-    common, extra = train_dictionaries(toxic, ordinary, common_bytes)
+    common, extra = train_dictionaries(toxic, ordinary, common_bytes, **(telling or {}))
     model = Model(common, extra, [], [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
