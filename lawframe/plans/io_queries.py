@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,15 +14,14 @@ from lawframe.operators.attempts import latest_graded
 from lawframe.plans.attempt_queries import _LATEST, _SUMMARY, CELL, _models
 from lawframe.plans.registry import query
 from lawframe.plans.views import attempts, attempts_sql, forms_sql, law_pairs, laws
-from lawframe.session import shared_folder
+from lawframe.session import scratch_folder
 from lawframe.sources import io
 from lawframe.streaming.latest import run_incremental_latest, run_incremental_summary
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = shared_folder(spark)
-    return f"{base}/io-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "io")
 
 
 @query("scan_equations", forms_sql("SELECT row_number() OVER (ORDER BY law_no) AS law_no, equation FROM laws"))

@@ -47,6 +47,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+#: Folders of written tables, by application: what clear_scratch() removes.
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one for written tables; results may be read from it lazily, so it stays until clear_scratch() or whoever clears the shared folder."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the scratch folders of this application, once the results made from them are used; how many there were."""
+    folders = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in folders:
+        system, make = file_system(spark, path)
+        system.delete(make(path), True)
+    return len(folders)
+
+
 def file_system(spark: SparkSession, path: str) -> tuple:
     """The Hadoop file system of a path, and a function that makes its paths."""
     make = spark._jvm.org.apache.hadoop.fs.Path

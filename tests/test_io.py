@@ -283,3 +283,14 @@ def test_summaries_follow_corrections(spark, folder):
     totals = Totals(spark, f"{folder}/state/totals")
     assert totals.rows().count() <= 2 * (5 + 2 + 2) and len(totals.batches()) == 2
     assert totals.rows().where("n <= 0").isEmpty()
+
+
+def test_scratch_folders_can_be_cleared(spark):
+    from lawframe.session import clear_scratch, names_in, scratch_folder
+
+    clear_scratch(spark)
+    folders = [scratch_folder(spark, "test") for _ in range(2)]
+    for path in folders:
+        spark.range(3).write.parquet(path)
+    assert clear_scratch(spark) == 2 and clear_scratch(spark) == 0
+    assert all(names_in(spark, path) == [] for path in folders)
