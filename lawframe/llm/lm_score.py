@@ -63,7 +63,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawframe.llm.common import crc_of, in_batches
-from lawframe.session import shared_folder
+from lawframe.session import scratch_folder
 
 #: Not a word, as it holds a space.
 END = b" "
@@ -565,7 +565,7 @@ def piece_scores(bits: int, buckets: int, hot: int, total: int, types: int):
 
 def _stored(df: DataFrame) -> DataFrame:
     """Like a checkpoint, as Parquet: blocks are compressed already."""
-    path = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "lm")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -581,7 +581,7 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, least_hot: int = LE
     rows = docs.select(
         F.monotonically_increasing_id().alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), (crc_of(F.col("doc_id")) % modulus == held).alias("held_out"), F.col("text").cast("binary").alias("text")
     )
-    name, path = f"lm_chunks_{uuid.uuid4().hex}", f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    name, path = f"lm_chunks_{uuid.uuid4().hex}", scratch_folder(spark, "lm")
     chunked(rows, chunk_tokens).write.format("parquet").option("path", path).bucketBy(partitions, "chunk").saveAsTable(name)
     try:
         chunks = spark.table(name)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawframe.llm import decontamination, langid, lm_score, media, mixing, prefix_trie, quality, sharding, simhash, spelling, token_counts, toxicity, urls
 from lawframe.llm.common import checkpointed, table
-from lawframe.session import shared_folder
+from lawframe.session import scratch_folder
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +132,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     ]
     estimate = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long")
     counts = checkpointed(token_counts.counted(docs, versions))
-    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+    rollup = token_counts.Rollup(spark, scratch_folder(spark, "token-counts"))
     for tokenizer in versions:
         first = docs.select("source", "lang", F.lit(tokenizer.version).alias("version"), estimate.alias("n_tokens"))
         rollup.commit(f"ingest-{tokenizer.version}", token_counts.inserts(first))

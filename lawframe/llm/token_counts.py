@@ -7,7 +7,8 @@ are summed per key before they are written, into the batch's own partition of
 the delta table; committing a batch again replaces that partition, so a retried
 or replayed batch changes nothing. Totals are the sum over all batches, one
 small shuffle of rows that were summed already: a source with a third of all
-rows is a few rows per task.
+rows is a few rows per task. Batches can be sealed into a base (`Rollup.compact`), so that
+reading totals doesn't take longer with every commit.
 
 Tokenizers run in the tasks that read the texts; their vocabulary files are
 read by the driver and sent along (a few MB, whatever the input).
@@ -21,9 +22,12 @@ totals; without any commit there are no totals. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 import tiktoken
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawframe.llm.common import CHUNK_BYTES, in_batches
+from lawframe.session import file_system, names_in, put_text, read_text
 
 KEYS = ("source", "lang", "version")
 #: Split pattern that the public byte-level vocabularies were made with (fixed value).
@@ -103,7 +108,12 @@ def revisions(counts: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A delta table in a folder that all executors share."""
+    """A delta table in a folder that all executors share: `deltas/batch=<id>`, and sums of sealed batches in `base/<version>`.
+
+    compact() adds the deltas up into a new base and seals their batches. A manifest per version, put in
+    place whole and by one writer alone, says which base counts and which batches are in it; their deltas
+    count no more, also before they are removed.
+    """
 
     SCHEMA = T.StructType(
         [T.StructField(k, T.StringType()) for k in KEYS] + [T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("batch", T.StringType())]
@@ -112,15 +122,60 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def commit(self, batch: str, changes: DataFrame) -> None:
-        """Write a batch's summed changes; the same batch id replaces what it wrote before."""
+    def sealed(self) -> tuple[int, str | None, list[str]]:
+        """(version, folder of the base, ids of the batches in it)."""
+        known = sorted(int(n) for n in names_in(self.spark, f"{self.path}/manifests") if n.isdigit())
+        if not known:
+            return -1, None, []
+        told = json.loads(read_text(self.spark, f"{self.path}/manifests/{known[-1]}"))
+        return known[-1], told["base"], told["batches"]
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Write a batch's summed changes; the same batch id replaces what it wrote before, but for a sealed one, of which nothing is written (False)."""
+        if batch in self.sealed()[2]:
+            return False
         summed = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         # written by partition even if no row is left, so that an emptied batch replaces its former rows
         marker = self.spark.createDataFrame([(None, None, None, 0, 0)], self.SCHEMA[:5])
         rows = summed.union(marker).withColumn("batch", F.lit(batch))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/deltas")
+        return True
+
+    def _live(self, batches: list[str]) -> dict[str, str]:
+        """Folders of the batches that are not sealed, by id."""
+        names = [n for n in names_in(self.spark, f"{self.path}/deltas") if n.startswith("batch=")]
+        return {i: n for n in sorted(names) if (i := unquote(n.removeprefix("batch="))) not in set(batches)}
+
+    def _sums(self) -> tuple[DataFrame, list[str]]:
+        """Rows of the base and of the batches that are not in it, and these batches' ids."""
+        _, base, batches = self.sealed()
+        plain, live = T.StructType(self.SCHEMA[:5]), self._live(batches)
+        rows = self.spark.createDataFrame([], plain)
+        if live:
+            folders = [f"{self.path}/deltas/{name}" for name in live.values()]
+            rows = rows.unionByName(self.spark.read.schema(self.SCHEMA).option("basePath", f"{self.path}/deltas").parquet(*folders).drop("batch"))
+        if base is not None:
+            rows = rows.unionByName(self.spark.read.schema(plain).parquet(f"{self.path}/base/{base}"))
+        return rows.where(F.col("version").isNotNull()), list(live)
+
+    def compact(self) -> bool:
+        """Seal all batches that are committed; False if there are none, or another writer has sealed some meanwhile."""
+        version, _, batches = self.sealed()
+        live = self._live(batches)
+        rows, ids = self._sums()
+        if not ids or set(ids) != set(live):  # a batch came in just now
+            return False
+        base = f"{version + 1}-{uuid.uuid4().hex}"
+        summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        summed.write.parquet(f"{self.path}/base/{base}")
+        system, make = file_system(self.spark, self.path)
+        if not put_text(self.spark, f"{self.path}/manifests/{version + 1}", json.dumps({"base": base, "batches": [*batches, *ids]})):
+            system.delete(make(f"{self.path}/base/{base}"), True)
+            return False
+        for name in live.values():
+            system.delete(make(f"{self.path}/deltas/{name}"), True)
+        return True
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all committed batches."""
-        deltas = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("version").isNotNull())
-        return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+        return self._sums()[0].groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))

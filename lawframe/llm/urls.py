@@ -15,9 +15,10 @@ have, one of `FOLDS` by hash, so that no row tells its own label.
 Defined results: a null url, or one without `://`, has an empty host and path
 and fits no rule; it is judged by its features: those of the host and the path
 are those of empty text, those of the whole url (length, digits, parameters) are
-counted as in any other, and a null url's are zero. With
+counted as in any other, for a null url as for an empty one. With
 fewer than two classes among the labels the trees can't be trained, and the
-verdict is the only class, or allow. Repeated rows each come out. Other
+verdict is the only class, or allow. An empty host has a depth of one, as empty text has one
+part, and the overall share as its suffix's. A url of any length is judged whole. Repeated rows each come out. Other
 columns are ignored.
 """
 

@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pytest
 import regex
+import xxhash
 from helpers import SF
 from pyspark.sql import functions as F
 
@@ -211,6 +212,30 @@ def _check_shards(rows, n):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(0 <= s < n for s in slots)
 
 
+def test_sealed_batches_count_once(spark, docs, tmp_path, monkeypatch):
+    counts = token_counts.counted(docs, [token_counts.Tokenizer("words-1")]).cache()
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    read = lambda: sorted(map(tuple, rollup.totals().collect()), key=str)
+    assert not rollup.compact() and read() == []
+    rollup.commit("a", token_counts.inserts(counts))
+    rollup.commit("b=/ ü", token_counts.deletes(counts.where("n_tokens = 0")))
+    want = read()
+    # a writer that dies after it has written the base leaves all as it was
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "put_text", lambda *_: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            rollup.compact()
+    assert read() == want and rollup.sealed()[2] == []
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "put_text", lambda *_: False)  # another one was first
+        assert not rollup.compact()
+    assert rollup.compact() and read() == want and rollup.sealed()[2] == ["a", "b=/ ü"]
+    assert not rollup.commit("a", token_counts.inserts(counts)) and read() == want  # a replay of a sealed batch
+    assert rollup.commit("c", token_counts.inserts(counts)) and read() != want
+    rollup.commit("d", token_counts.deletes(counts))
+    assert read() == want and rollup.compact() and read() == want and not rollup.compact()
+
+
 def test_shards_of_given_documents(spark):
     rows = registry.op6_sharding(spark, SF.replace("0.001", "0.01")).collect()
     _check_shards(rows, 40)
@@ -254,6 +279,53 @@ def test_slots_of_large_cells(spark, monkeypatch):
     _check_shards(sharding.shard_rows(df, shards=3, cells_per_shard=4).collect(), 3)
 
 
+def _xx(raw, seed=42):
+    h = xxhash.xxh64_intdigest(raw, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_the_whole_plan_of_shards_against_brute_force(spark):
+    """Groups, cells, pieces, placement and slots, by dictionaries and the checked `pack`."""
+    shards, cells, piece_share = 4, 8, 1 / 4
+    draw = random.Random(9)
+    texts = ["hot " * 30] * 90 + [" ".join(draw.choice(["ab", "cde", "f"]) for _ in range(draw.randint(0, 40))) for _ in range(150)] + [None, None, "", "x" * 3000]
+    draw.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = sharding.shard_rows(docs, shards, cells_per_shard=cells, piece_share=piece_share).collect()
+    found = {r["doc_id"]: (r["shard"], r["slot"]) for r in rows}
+    raw = [(t or "").encode() for t in texts]
+    size = [(len(b) + 16, len(re.findall(rb"[^\x20\x09-\x0D]+", b)), 1) for b in raw]
+    total = [max(sum(s[d] for s in size), 1) for d in range(3)]
+    name = [f"{hashlib.md5(b).hexdigest() if t is not None else 'null'}|{len(b)}" for b, t in zip(raw, texts, strict=True)]
+    sums = collections.defaultdict(lambda: [0, 0, 0])
+    for n, s in zip(name, size, strict=True):
+        sums[n] = [a + b for a, b in zip(sums[n], s, strict=True)]
+    share = {n: max(v[d] / (total[d] / shards) for d in range(3)) for n, v in sums.items()}
+    first, plan = shards * cells, {}
+    for n in sorted((n for n in share if share[n] >= 1 / cells), key=lambda n: (-share[n], n)):
+        plan[n] = (first, math.ceil(share[n] / piece_share) if share[n] > 1 else 1)
+        first += plan[n][1]
+    assert any(p > 1 for _, p in plan.values()) and len(plan) < len(share)
+    cell = []
+    for row, n in enumerate(name):
+        piece = _xx(struct.pack("<q", row), xxhash.xxh64_intdigest(b"piece", 42))
+        cell.append(plan[n][0] + piece % plan[n][1] if n in plan else _xx(n.encode()) % (shards * cells))
+    vectors = collections.defaultdict(lambda: np.zeros(3))
+    for c, s in zip(cell, size, strict=True):
+        vectors[c] += s
+    order = sorted(vectors)
+    place = dict(zip(order, sharding.pack(np.array([vectors[c] for c in order]), shards).tolist(), strict=True))
+    start, at = [0] * shards, {}
+    for c in order:
+        at[c] = start[place[c]]
+        start[place[c]] += int(vectors[c][2])
+    want = {}
+    for row, c in enumerate(cell):
+        want[row] = (place[c], at[c])
+        at[c] += 1
+    assert found == want
+
+
 def test_shards_of_odd_rows(docs, no_docs):
     rows = sharding.sharded_documents(docs, 3)
     assert rows.columns == [*docs.columns, "shard", "slot"]
@@ -345,6 +417,86 @@ def test_toxicity_of_given_documents(spark):
     assert area >= 0.8 and accuracy >= 0.92 and sum(s >= 0.5 for s in ordinary) <= 0.03 * len(ordinary)
 
 
+def _pieces_by_hand(toxic, ordinary, least=4):
+    """Telling pieces with sets of words' grams, where those of toxic texts alone are telling."""
+    grams = lambda t: {w[i : i + 5] for w in re.findall(r"[a-z]+", t) for w in [f" {w} "] for i in range(len(w) - 4)}
+    count = collections.Counter(g for t in toxic for g in grams(t))
+    other = collections.Counter(g for t in ordinary for g in grams(t))
+    telling = set()
+    for g, n in count.items():
+        a, b = n / len(toxic), other[g] / len(ordinary)
+        p = (n + other[g]) / (len(toxic) + len(ordinary))
+        z = (a - b) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / len(toxic) + 1 / len(ordinary)))
+        odds = math.log((n + 0.5) / (len(toxic) + 1) / ((other[g] + 0.5) / (len(ordinary) + 1)))
+        if z >= 6 and odds >= 2.5 and n >= least:
+            telling.add(g)
+    found = collections.Counter()
+    for t in toxic:
+        text, spans = " " + " ".join(re.findall(r"[a-z]+", t)) + " ", set()
+        i = 0
+        while i <= len(text) - 5:
+            j = i
+            while text[j : j + 5] in telling and " " not in text[j + 1 : j + 4]:
+                j += 1
+            if j > i:
+                spans.add(text[i : j + 4])
+            i = max(j, i + 1)
+        found.update(spans)
+    return [p.encode() for p, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if n >= least]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Dictionaries, figures of windows, the fit and the scores, each computed another way."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices(["ta", "ro", "mi", "sel", "un", "ke"], k=rng.randint(1, 4)))
+    rows = []
+    for i in range(400):
+        words = [word() for _ in range(rng.randint(5, 80))]
+        for _ in range((i % 4 == 0) * 3):
+            words[rng.randrange(len(words))] = rng.choice(["grobblefink", "snarfwit"])
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), common_bytes=300)
+    learned = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5 != 0]
+    toxic, ordinary = ([t for t, k in sorted(set(learned)) if k == kind] for kind in (1, 0))
+    assert model.toxic == b"".join(_pieces_by_hand(toxic, ordinary)[::-1]) and model.toxic
+    counts = collections.Counter(w for t in ordinary for w in set(t.split()))
+    common, left = [], 300
+    for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        left -= len(w) + 1
+        if left < 0:
+            break
+        common.append(w)
+    assert model.common == " ".join(common[::-1]).encode()
+    pair = model.compressors()
+
+    def figures(text):
+        parts, rest = [], text.encode()
+        while rest:
+            end = next((i for i in range(40, min(len(rest), 160)) if rest[i : i + 1] == b" "), min(len(rest), 160))
+            parts.append(rest[:end])
+            rest = rest[end:]
+        gains = [len(pair[0](p)) - len(pair[1](p)) for p in parts or [b""]]
+        top, n = sorted(gains)[-3:], len(gains)
+        over = lambda t: sum(g >= t for g in gains)
+        return [sum(gains) / n, max(gains), sum(top) / len(top), *(math.log1p(over(t)) for t in (2, 3, 4, 6)), over(2) / n, over(4) / n, over(5) / n, math.log(n)]
+
+    x, y = np.array([figures(t) for t, _ in learned]), np.array([float(k) for _, k in learned])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    a = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    p = 1 / (1 + np.exp(-a @ model.weights))
+    assert np.abs(a.T @ (p - y) + model.weights).max() < 1e-5  # the slope of the penalised loss vanishes
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for i, t, _ in rows:
+        z = model.weights[0] + sum(w * (f - m) / s for w, f, m, s in zip(model.weights[1:], figures(t), mean, scale, strict=True))
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+    # stricter thresholds take fewer pieces, looser ones no fewer
+    raw = [[t.encode() for t in ts] for ts in (toxic, ordinary)]
+    sizes = [len(b"".join(toxicity.telling_pieces(*raw, least_z=z))) for z in (1e9, 6.0, 2.0)]
+    assert sizes[0] == 0 < sizes[1] <= sizes[2]
+
+
 def test_toxicity_of_odd_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (6, 0), (7, 0), (9, 0), (8, 2), (None, 1), (2, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
