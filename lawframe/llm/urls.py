@@ -68,11 +68,19 @@ def best_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c))
+    """Shannon entropy of the characters, in bits: equal ones are counted as runs of the sorted characters."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    n = F.length(text).cast("double")
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+    weight = lambda x: F.when(x > 1, x * F.log2(x)).otherwise(0.0)
+
+    def step(s: Column, c: Column) -> Column:
+        same = s["last"] == c
+        return F.struct(
+            c.alias("last"), F.when(same, s["run"] + 1).otherwise(1.0).alias("run"), F.when(same, s["total"]).otherwise(s["total"] + weight(s["run"])).alias("total")
+        )
+
+    total = F.aggregate(chars, start, step, lambda s: s["total"] + weight(s["run"]))
     return F.when(n > 0, F.log2(n) - total / n).otherwise(0.0)
 
 

@@ -536,7 +536,7 @@ def _features(url):
 
 def test_url_features(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
-    odd = [None, "", "plain?a=1&b=22", "http://", "http://a--b.c-d.org//x/?", "x://h/" + "p/7" * 40_000 + "?q=1&&r", "HTTP://É.example.com/ü9/"]
+    odd = [None, "", "plain?a=1&b=22", "http://", "http://a--b.c-d.org//x/?", "x://h/" + "p/7" * 40_000 + "?q=1&&r", "HTTP://É.example.com/ü9/", "x://" + "".join(map(chr, range(0x4E00, 0x4E00 + 5000))) * 8 + ".com/", "y://" + "a.b" * 100_000]
     df = pages.unionByName(spark.createDataFrame([(-i, u) for i, u in enumerate(odd, 1)], "page_id long, url string"))
     given = {r["page_id"]: r["url"] for r in df.collect()}
     for r in urls.lexical(df).collect():
