@@ -125,6 +125,30 @@ def _full(sample: DataFrame, group: str, quota: dict) -> DataFrame:
     return sample
 
 
+def _turns(laws: DataFrame, per_split: int, bins: Iterable[int], most: int) -> DataFrame:
+    """(bin, ops_e, ops_f, candidates, j, e_at, f_at): the places of the laws of each split's first pairs, all different."""
+    counts = laws.groupBy(A.operations(F.col("tokens")).alias("ops")).agg(F.count(F.lit(1)).alias("n"))
+    e, f = (counts.select(F.col("ops").alias(f"ops_{x}"), F.col("n").alias(f"n_{x}")) for x in "ef")
+    turns = split_sizes(laws, bins, most).join(e, "ops_e").join(f, "ops_f")
+    turns = turns.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_split), F.col("candidates")).cast("int") - 1)))
+    block, same = F.floor(F.col("j") / F.col("n_e")), (F.col("ops_e") == F.col("ops_f")).cast("int")
+    e_at = F.col("j") % F.col("n_e")
+    return turns.select("bin", "ops_e", "ops_f", "candidates", "j", e_at.alias("e_at"), ((e_at + block + same) % F.col("n_f")).alias("f_at"))
+
+
+def _at_places(turns: DataFrame, laws: DataFrame, seed: str, per_split: int) -> DataFrame:
+    """Turns with e_no and f_no; only places that they can reach are kept: e_at + block + 1 is at most 2 * per_split."""
+    placed = _placed(laws, seed, 2 * per_split + 1)
+    e, f = (placed.select(F.col("law_no").alias(f"{x}_no"), F.col("ops").alias(f"ops_{x}"), F.col("at").alias(f"{x}_at")) for x in "ef")
+    return turns.join(e, ["ops_e", "e_at"]).join(f, ["ops_f", "f_at"])
+
+
+def split_pairs(laws: DataFrame, per_split: int, seed: str, bins: Iterable[int] = range(1, 9), most: int = 4) -> DataFrame:
+    """(bin, ops_e, ops_f, candidates, place, e_no, f_no): of each split of a bin how many pairs there are, and the first `per_split` of them."""
+    found = _at_places(_turns(laws, per_split, bins, most), laws, seed, per_split)
+    return found.select("bin", "ops_e", "ops_f", "candidates", (F.col("j") + 1).alias("place"), "e_no", "f_no")
+
+
 def sample_stratified(laws: DataFrame, per_bin: int, seed: str, bins: Iterable[int] = range(1, 9), most: int = 4) -> DataFrame:
     """(bin, e_no, f_no): per bin of total operations, pairs dealt in turn to its splits, then by place within a split.
 
@@ -133,19 +157,9 @@ def sample_stratified(laws: DataFrame, per_bin: int, seed: str, bins: Iterable[i
     """
     bins = list(bins)
     usable = corpus.renderable(laws)
-    sizes = split_sizes(usable, bins, most)
-    counts = usable.groupBy(A.operations(F.col("tokens")).alias("ops")).agg(F.count(F.lit(1)).alias("n"))
-    e, f = (counts.select(F.col("ops").alias(f"ops_{x}"), F.col("n").alias(f"n_{x}")) for x in "ef")
-    turns = sizes.join(e, "ops_e").join(f, "ops_f").withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_bin), F.col("candidates")).cast("int") - 1)))
-    block = F.floor(F.col("j") / F.col("n_e"))
-    same = (F.col("ops_e") == F.col("ops_f")).cast("int")
-    turns = turns.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("j", _hash(seed, F.col("bin"), F.col("ops_e"))))).where(F.col("rank") <= per_bin)
-    turns = turns.select("bin", "ops_e", "ops_f", (F.col("j") % F.col("n_e")).alias("e_at"), ((F.col("j") % F.col("n_e") + block + same) % F.col("n_f")).alias("f_at"))
-    # as far as places can reach: e_at + block + 1 is at most 2 * per_bin
-    placed = _placed(usable, seed, 2 * per_bin + 1)
-    e, f = (placed.select(F.col("law_no").alias(f"{x}_no"), F.col("ops").alias(f"ops_{x}"), F.col("at").alias(f"{x}_at")) for x in "ef")
-    found = turns.join(e, ["ops_e", "e_at"]).join(f, ["ops_f", "f_at"]).select("bin", "e_no", "f_no")
-    return _full(found, "bin", dict.fromkeys(bins, per_bin))
+    order = Window.partitionBy("bin").orderBy("j", _hash(seed, F.col("bin"), F.col("ops_e")))
+    turns = _turns(usable, per_bin, bins, most).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_bin)
+    return _full(_at_places(turns, usable, seed, per_bin).select("bin", "e_no", "f_no"), "bin", dict.fromkeys(bins, per_bin))
 
 
 def sample_balanced(laws: DataFrame, per_bin: int, seed: str, bins: Iterable[int] = range(1, 11)) -> DataFrame:

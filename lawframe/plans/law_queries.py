@@ -208,19 +208,24 @@ def corpus_contract(spark, sf_dir):
 _SIDES = f", known AS (SELECT law_no, equation, {_OPS.format('toks')} AS ops, len(vars) AS n_vars, regexp_matches(equation, '[∘◇*]') AS solid FROM base)"
 
 
+_DRAW = "sha256(concat_ws('|', '7', {0}))"
+
+
 @query(
     "complexity_pair_join",
     forms_sql(
         _SIDES
-        + """, g AS (SELECT ops, count(*) AS n FROM known WHERE ops <= 4 GROUP BY ops), bins AS (SELECT unnest(range(1, 9))::INT AS bin)
-SELECT bin, e.ops AS ops_e, f.ops AS ops_f, (e.n * f.n - CASE WHEN e.ops = f.ops THEN e.n ELSE 0 END)::BIGINT AS candidates FROM bins JOIN g e ON true JOIN g f ON f.ops = bin - e.ops WHERE e.n * f.n - CASE WHEN e.ops = f.ops THEN e.n ELSE 0 END > 0"""
+        + f""", g AS (SELECT ops, count(*) AS n FROM known WHERE ops <= 4 GROUP BY ops), bins AS (SELECT unnest(range(1, 9))::INT AS bin),
+splits AS (SELECT bin, e.ops AS ops_e, f.ops AS ops_f, e.n AS n_e, f.n AS n_f, (e.n * f.n - CASE WHEN e.ops = f.ops THEN e.n ELSE 0 END)::BIGINT AS candidates FROM bins JOIN g e ON true JOIN g f ON f.ops = bin - e.ops),
+turns AS (SELECT *, unnest(range(least(3, candidates))) AS j FROM splits WHERE candidates > 0),
+spots AS (SELECT law_no, ops, row_number() OVER (PARTITION BY ops ORDER BY {_DRAW.format("law_no")}, law_no) - 1 AS at FROM known)
+SELECT bin, ops_e, ops_f, candidates, (j + 1)::INT AS place, e.law_no AS e_no, f.law_no AS f_no FROM turns JOIN spots e ON e.ops = ops_e AND e.at = j % n_e
+  JOIN spots f ON f.ops = ops_f AND f.at = (j % n_e + j // n_e + CASE WHEN ops_e = ops_f THEN 1 ELSE 0 END) % n_f"""
     ),
 )
 def complexity_pair_join(spark, sf_dir):
-    return sampling.split_sizes(_known(spark, sf_dir))
-
-
-_DRAW = "sha256(concat_ws('|', '7', {0}))"
+    """How many pairs each split of a bin has, and its first three."""
+    return sampling.split_pairs(_known(spark, sf_dir), per_split=3, seed="7")
 
 
 def _permuted_sql(name: str, seed: str, size: str, n: int) -> str:
