@@ -49,6 +49,7 @@ def group_name(label: Column, regime: Column) -> Column:
     return F.concat(label, F.when(regime == "off", " / Reasoning off").otherwise(" / Reasoning on"))
 
 
+#: The phrases of titles are fixed values.
 def experiment_title(pairs: Column, stratify_ops: Column, stratify_eq_ops: Column, eq_bins: Column, bins: Column, seed: Column, arms: Column, labels: Column) -> Column:
     """The title of runs over the same pairs: how they were sampled, the seed, and the arms or the conditions compared.
 
@@ -88,6 +89,7 @@ def build_example_prompt(template: Column, examples: Column, k: Column, story: C
     return F.replace(F.replace(template, F.lit("{examples}"), F.array_join(blocks, "\n\n")), F.lit("{story}"), story)
 
 
+#: The model family and its switch are fixed values.
 def wrap_prompt(prompt: Column, prefix: Column, suffix: Column, regime: Column, model: Column) -> Column:
     """Prefix and suffix of (regime, form), null for none, around a prompt; a switch that one model family has, after it."""
     switch = F.when((regime == "off") & F.startswith(model, F.lit("qwen/qwen3")), "\n/no_think").otherwise("")

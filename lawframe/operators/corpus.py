@@ -17,8 +17,8 @@ OPENING = (
 )
 ASSUME = "Suppose the following always holds."
 QUESTION = "Now consider the following question."
-FOR_ONE = "or every choice of an object "
-FOR_MORE = "or every choice of objects "
+FOR_ONE = "for every choice of an object "
+FOR_MORE = "for every choice of objects "
 APPLY = "apply the operation to "
 FIRST_INPUT = " as its first input and "
 SECOND_INPUT = " as its second input, and call the result "
@@ -140,8 +140,8 @@ def _literal_law(tokens: Column) -> Column:
     letters = F.array(*[F.lit(x) for x in LETTERS])
 
     def words(used: Column, law: Column) -> Column:
-        quantifier = F.when(F.size(used) == 1, F.concat(F.lit(f"f{FOR_ONE}"), F.get(used, 0))).otherwise(
-            F.concat(F.lit(f"f{FOR_MORE}"), _listing(used))
+        quantifier = F.when(F.size(used) == 1, F.concat(F.lit(FOR_ONE), F.get(used, 0))).otherwise(
+            F.concat(F.lit(FOR_MORE), _listing(used))
         )
         texts = F.transform(
             law["steps"],
@@ -178,10 +178,14 @@ def render_literal(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: Keys over which records without a text are dealt.
+SALTS = 64
+
 _LETTER = "[xyzwuv]"
 _REF = rf"(?:{_LETTER}|{RESULT} \d+)"
 _STEP = rf"^{APPLY}({_REF}){FIRST_INPUT}({_REF}){SECOND_INPUT}{RESULT} (\d+)$"
-_QUANTIFIER = rf"^[Ff](?:{FOR_ONE}{_LETTER}|{FOR_MORE}{_LETTER}(?:, {_LETTER})*,? and {_LETTER}), "
+#: The words begin a sentence or stand within one.
+_QUANTIFIER = rf"^[Ff](?:{FOR_ONE[1:]}{_LETTER}|{FOR_MORE[1:]}{_LETTER}(?:, {_LETTER})*,? and {_LETTER}), "
 
 
 def _resolved(ref: Column, values: Column) -> Column:
@@ -218,10 +222,13 @@ def once_per_text(records: DataFrame, text: str, made: Column) -> DataFrame:
     """Records with `made`, a struct made from a text alone, once for each distinct text; records without a text have none.
 
     The second aggregate shuffles nothing; without it Spark would repeat the
-    expression in each filter that it pushes down.
+    expression in each filter that it pushes down. Records without a text match nothing, so they are
+    dealt over `SALTS` keys.
     """
     texts = records.select(text).where(F.col(text).isNotNull()).distinct()
-    return records.join(texts.groupBy(text).agg(F.first(made).alias("made")), text, "left")
+    once = texts.groupBy(text).agg(F.first(made).alias("made")).withColumn("salt of text", F.lit(0))
+    salt = F.when(F.col(text).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    return records.withColumn("salt of text", salt).join(once, [text, "salt of text"], "left").select(*[F.col(f"`{c}`") for c in records.columns], "made")
 
 
 def backparse_literal(records: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from lawframe.functions import grading as G
 from lawframe.functions import labels as L
 from lawframe.operators import answers
 
+#: Answers, equations and canonical forms in this file are fixed values.
 E, TRUE_F = "(v1 ∘ v2) = ((v2 ∘ v2) ∘ v1)", "(v1 ∘ v2) = ((v1 ∘ v1) ∘ v2)"
 
 
