@@ -215,13 +215,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle
     )
     by_row = checkpointed(by_row)
     items = shingles.where("off = 0 and item_id is not null").select("item_id", "window", "len").distinct().join(prefix.select("window", "len", "no"), ["window", "len"])
-    hits = by_row.where(F.size("windows") > 0).select(F.col("doc_id").alias("hit id"), F.col("key").alias("hit key"), F.explode("windows").alias("no"))
-    # a row per document that holds a window
-    named = hits.join(small(items.select("no", "item_id")), "no").groupBy("hit id", "hit key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    same = F.col("doc_id").eqNullSafe(F.col("hit id")) & (F.col("key") == F.col("hit key"))
-    return by_row.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).join(small(named), same, "left").select(
-        "doc_id", "key", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")
-    )
+    held = by_row.where(F.size("windows") > 0).withColumn("set", F.array_sort("windows"))
+    # copies of a passage bring the same set of windows, whose items are listed once
+    sets = held.select("set").distinct().select("set", F.explode("set").alias("no"))
+    named = sets.join(small(items.select("no", "item_id")), "no").groupBy("set").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    none = F.array().cast("array<string>")
+    found = held.join(small(named), "set", "left").select(*by_row.columns, F.coalesce("items", none).alias("items"))
+    found = found.unionByName(by_row.where(F.size("windows") == 0).withColumn("items", none))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "key", "n_words", "spans", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
