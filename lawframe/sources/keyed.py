@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,24 +87,29 @@ class KeyedTable:
         `fold` makes of the rows of these parts and the batch's the rows that stay, one for each key.
         """
         known = list(parts) or [""]
-        touched = sorted(r["part"] for r in self._placed(batch.select(*self.keys), known).select("part").distinct().collect())
+        if known == [""]:
+            touched = [] if batch.isEmpty() else known
+        else:
+            touched = sorted(r["part"] for r in self._placed(batch.select(*self.keys), known).select("part").distinct().collect())
         if not touched:
             return parts, {}, {}
         former = {p: parts[p] for p in touched if p in parts}
         shared_folder(self.spark)
         folded = fold(self.rows(former), batch.select(*self.schema.names)).checkpoint()
-        # a number for each two or so parts to be, of those that are touched
-        total = max(1, folded.count())
-        deeper = max(len(p) for p in touched) + (total // max(1, self.most_rows)).bit_length() + 2
+        # rows by longer prefixes, so long that none has too many: a few numbers for each part that is touched or made
+        deeper = max(len(p) for p in touched) + 2
         while True:
             deeper = min(deeper, BITS)
             counts = {r["p"]: r["n"] for r in folded.groupBy(F.substring(self.bits(), 1, deeper).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-            if deeper == BITS or all(n <= self.most_rows for n in counts.values()):
+            most = max(counts.values(), default=0)
+            if deeper == BITS or most <= self.most_rows:
                 break
-            deeper += 4
+            deeper += (most // self.most_rows).bit_length() + 1
         made: dict[str, int] = {}
+        ordered = sorted(counts)
         for p in touched:
-            made |= _splits(p, {q: n for q, n in counts.items() if q.startswith(p)}, self.most_rows)
+            inside = ordered[bisect_left(ordered, p) : bisect_left(ordered, p + "2")]  # all that begin with p
+            made |= _splits(p, {q: counts[q] for q in inside}, self.most_rows)
         placed = self._placed(folded, list(made)).withColumns({"part": F.concat(F.lit("p"), "part"), "by": F.lit(name)})
         placed.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "by").parquet(f"{self.path}/rows")
         after = {p: (name, n) for p, n in made.items()}
