@@ -134,7 +134,7 @@ def rolled_up(rows: DataFrame, aggregates: dict[str, str], width: int = WIDTH) -
     """(depth, x1, x2, p1, p2, bytes, before, ..): aggregates of each node's members, with its key, its parent's, the bytes of its last text and those before it in its block."""
     names = [_turn(j) for j in range(width)]
     told = ", ".join(f"{sql} AS {name}" for name, sql in aggregates.items())
-    # the columns before the ROLLUP have no bits in grouping_id()
+    # the bits of the columns before the ROLLUP are 0 in grouping_id(), as these are always grouped
     wide = rows.sparkSession.sql(
         f"SELECT block, x1, x2, {', '.join(names)}, grouping_id() AS gid, {told} FROM {{rows}} GROUP BY block, x1, x2, ROLLUP ({', '.join(names)})", rows=rows
     )
