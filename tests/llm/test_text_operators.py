@@ -401,3 +401,25 @@ def test_texts_in_no_language_go(spark):
     measured = langid.text_evidence(spark.createDataFrame(docs, "doc_id long, text string, declared string, suffix string, host string"), model)
     gone = {r["doc_id"] for r in langid.fuse(measured, model).where("not accepted").collect()}
     assert gone == {1000, 1001}
+
+
+def test_many_hosts_give_the_same_languages(spark, monkeypatch):
+    """Beyond the bound of a broadcast, hosts of very many rows are split and rows without one stay where they are."""
+    from lawframe.llm import common
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "no host", "<p>the and of</p>"), (-3, "http://new.example.zz/", None)], "page_id long, url string, html string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+    read = lambda: sorted(map(str, langid.identify_pages(pages.unionByName(odd), docs).collect()))
+    want = read()
+    for module in (langid, common):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 50)
+    assert read() == want
+
+
+def test_more_labels_than_a_model_holds_are_an_error(spark):
+    labelled = spark.createDataFrame([(f"some text {i}", f"l{i}") for i in range(5)], "text string, lang string")
+    with pytest.raises(ValueError, match="5 labels are more than 4"):
+        langid.train_text(labelled, most_languages=4)
