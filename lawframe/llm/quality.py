@@ -40,8 +40,8 @@ from lawframe.llm.common import checkpointed, chunks, crc_of, in_batches
 PASSAGE_WORDS = 64
 TRAIN_GOOD = 2_000
 TRAIN_BAD = 2_000
-#: Longest text in training, so that what the driver gathers is bounded: some 200 passages.
-TRAIN_BYTES = 64 << 10
+#: Longest text in training, so that what the driver gathers is bounded: some 80 passages, 200 MB if all texts had as many.
+TRAIN_BYTES = 32 << 10
 HELD_OUT = (3, 1)
 HIDDEN = 16
 STEPS = 200
@@ -50,7 +50,7 @@ PHRASE = 4
 #: Slots for pairs of neighbouring kinds of bytes: lower, upper, high, digit, blank, stop, and each other byte by hash.
 KINDS = 12
 #: Bytes of a text that are encoded at a time: passages begin anew there, and what was said before is known within a part.
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
