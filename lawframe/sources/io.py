@@ -98,26 +98,19 @@ def tree_digest(spark: SparkSession, path: str, fan: int = 4096, levels: int = 3
     task holds more than `fan` lines or digests but for the root, of fewer than lines / fan^levels.
     A line end is \\n alone, and the last line has one whether or not the file has it.
     """
-    # raw bytes: text that is read isn't decoded; a line's place is known from its split's, as in scan_equations
+    # text that is read isn't decoded, so lines keep their bytes; a line's place is known from its split's, as in scan_equations
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("line")
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.concat("value", F.lit("\n")).alias("node")
     )
     splits = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     before = splits.select("path", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = lines.join(before, ["path", "start"]).withColumn("at", F.col("before") + F.col("id") - F.col("first"))
-    in_order = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
-
-    def folded(c: str) -> Column:
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("part"))), in_order), lambda r: r["part"])
-        return F.sha2(F.aggregate(parts, F.lit(b""), lambda whole, part: F.concat(whole, part)), 256) if c == "line" else F.sha2(F.array_join(parts, "").cast("binary"), 256)
-
-    ended = placed.withColumn("line", F.concat("line", F.lit(b"\n")))
-    nodes = ended.groupBy("path", F.floor(F.col("at") / fan).alias("at block")).agg(folded("line").alias("node"), F.count(F.lit(1)).alias("n_lines"))
-    nodes = nodes.withColumnRenamed("at block", "at")
-    for level in range(levels):
-        block = F.lit(0) if level == levels - 1 else F.floor(F.col("at") / fan)
-        nodes = nodes.groupBy("path", block.alias("at block")).agg(folded("node").alias("node"), F.sum("n_lines").alias("n_lines")).withColumnRenamed("at block", "at")
+    nodes = lines.join(before, ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first")).alias("at"), "node", F.lit(1).cast("long").alias("n_lines"))
+    for level in range(levels + 1):
+        block = F.lit(0).cast("long") if level == levels else F.floor(F.col("at") / fan)
+        in_order = F.array_sort(F.collect_list(F.struct("at", "node")))  # places differ, so what they hold isn't compared
+        joined = F.array_join(F.transform(in_order, lambda r: r["node"]), "").cast("binary")
+        nodes = nodes.groupBy("path", block.alias("block")).agg(F.sha2(joined, 256).alias("node"), F.sum("n_lines").alias("n_lines")).withColumnRenamed("block", "at")
     return nodes.select("path", "n_lines", F.col("node").alias("tree"))
 
 
