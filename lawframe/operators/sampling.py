@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lawframe.functions import algebra as A
 from lawframe.operators import corpus
 from lawframe.operators.order import numbered
+from lawframe.session import shared_folder
 
 #: Rounds of the keyed permutation.
 ROUNDS = 4
@@ -255,15 +256,8 @@ def _term(polish: Column) -> Column:
     return F.get(F.aggregate(F.reverse(polish), F.array().cast("array<string>"), step), 0)
 
 
-def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, per_bin: int, min_pairs: int = 20) -> DataFrame:
-    """(bin, law_key, line, draw): per bin the first `per_bin` laws with as many operations, one per law key, the first drawn.
-
-    Each row of `draws` (draw) makes one attempt per bin: the operations are split
-    uniformly, the smaller side first, each side's shape is uniform, and each leaf
-    takes a used variable or a fresh one, six at most. A bin may stay short of its
-    quota if its laws still make `min_pairs` ordered pairs; ValueError if not.
-    """
-    bins = list(bins)
+def _attempts(draws: DataFrame, bins: list[int], seed: str) -> DataFrame:
+    """(bin, law_key, line, draw): the laws that the draws make with as many operations, one per law key, the first drawn."""
     each = draws.withColumn("bin", F.explode(F.array(*[F.lit(b) for b in bins])))
     cut = (_number(_hash(seed, "cut", F.col("bin"), F.col("draw"))) % (F.col("bin") + 1)).cast("int")
     split = each.withColumn("cut", cut).withColumn("few", F.least("cut", F.col("bin") - F.col("cut")))
@@ -274,23 +268,60 @@ def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, per_bin: i
 
     def leaf(s: Column, t: Column) -> Column:
         choice = (_number(_hash(seed, "leaf", F.col("bin"), F.col("draw"), F.size(s["out"]))) % F.least(s["used"] + 1, F.lit(corpus.MOST_VARIABLES))).cast("int")
-        return F.struct(
-            F.array_append(s["out"], F.when(t == "L", F.get(names, choice)).otherwise(t)).alias("out"),
-            F.when(t == "L", F.greatest(s["used"], choice + 1)).otherwise(s["used"]).alias("used"),
-        )
+        named = lambda at: F.struct(F.array_append(s["out"], F.get(names, at)).alias("out"), F.greatest(s["used"], at + 1).alias("used"))
+        return F.when(t == "L", A.let(choice, named)).otherwise(F.struct(F.array_append(s["out"], t).alias("out"), s["used"].alias("used")))
 
-    def sides(s: Column) -> Column:
-        n = F.size(s["lhs"])
-        filled = F.aggregate(F.concat(s["lhs"], s["rhs"]), start, leaf, lambda x: x["out"])
-        return A.let(filled, lambda t: F.struct(_term(F.slice(t, F.lit(1), n)).alias("left"), _term(F.slice(t, n + 1, F.size(t) - n)).alias("right")))
+    def filled(s: Column) -> Column:
+        leaves = F.aggregate(F.concat(s["lhs"], s["rhs"]), start, leaf, lambda x: x["out"])
+        return F.struct(leaves.alias("polish"), F.size(s["lhs"]).alias("n"))
 
+    # small bins have few laws, so that draws meet in Polish form before terms are made of them;
     # exploding an array of one keeps Spark from repeating the expression wherever its result is used
-    made = split.select("bin", "draw", F.explode(F.array(A.let(shapes, sides))).alias("s")).where("s.left <> s.right")
+    drawn = split.select("bin", "draw", F.explode(F.array(A.let(shapes, filled))).alias("s"))
+    drawn = drawn.groupBy("bin", F.col("s.n").alias("n"), F.array_join("s.polish", "").alias("polish")).agg(F.min("draw").alias("draw"))
+    polish = F.split("polish", "")
+    left, right = F.slice(polish, F.lit(1), F.col("n")), F.slice(polish, F.col("n") + 1, F.length("polish") - F.col("n"))
+    made = drawn.select("bin", "draw", F.explode(F.array(F.struct(_term(left).alias("left"), _term(right).alias("right")))).alias("s")).where("s.left <> s.right")
     tokens = A.parse_canonical(F.concat("s.left", F.lit(" = "), "s.right"))
     keyed = made.select("bin", "draw", F.explode(F.array(tokens)).alias("t")).select("bin", "draw", A.law_key(F.col("t")).alias("law_key"), A.serialized(F.col("t")).alias("line"))
-    found = keyed.groupBy("bin", "law_key").agg(F.min_by("line", "draw").alias("line"), F.min("draw").alias("draw"))
+    return keyed.groupBy("bin", "law_key").agg(F.min_by("line", "draw").alias("line"), F.min("draw").alias("draw"))
+
+
+#: Draws for each law of a quota that are tried first, and attempts of one task then and later.
+FIRST_DRAWS = 50
+FIRST_ATTEMPTS, LATER_ATTEMPTS = 2_000, 20_000
+
+
+def synthesize_laws(draws: DataFrame, bins: Iterable[int], seed: str, per_bin: int, min_pairs: int = 20) -> DataFrame:
+    """(bin, law_key, line, draw): per bin the first `per_bin` laws with as many operations, one per law key, the first drawn.
+
+    Each row of `draws` (draw) makes one attempt per bin: the operations are split
+    uniformly, the smaller side first, each side's shape is uniform, and each leaf
+    takes a used variable or a fresh one, six at most. A bin may stay short of its
+    quota if its laws still make `min_pairs` ordered pairs; ValueError if not.
+
+    A bin whose quota the lowest draws fill can't change by any later one; all other bins
+    take every draw. Attempts are dealt to tasks by their number, as a row is small and its work isn't.
+    """
+    bins, draws = list(bins), draws.select("draw")
+    shared_folder(draws.sparkSession)
     order = Window.partitionBy("bin").orderBy("draw", "law_key")
-    # the plan drops all but the first of each bin before it shuffles
-    kept = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_bin).drop("rank")
+
+    def kept(found: DataFrame) -> DataFrame:
+        # the plan drops all but the first of each bin before it shuffles
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_bin).drop("rank").checkpoint()
+
+    def dealt(some: DataFrame, n: int, n_bins: int, attempts: int) -> DataFrame:
+        return some.repartition(max(1, -(-n * n_bins // attempts)))
+
+    lowest = draws.orderBy("draw").limit(FIRST_DRAWS * per_bin).checkpoint()
+    n, last = lowest.agg(F.count(F.lit(1)), F.max("draw")).first()
+    laws = kept(_attempts(dealt(lowest, n, len(bins), FIRST_ATTEMPTS), bins, seed))
+    have = {r["bin"]: r["n"] for r in laws.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per bin
+    lacking = [b for b in bins if have.get(b, 0) < per_bin]
+    later = draws.where("draw is not null" if last is None else F.col("draw") > last)
+    if lacking and (n := later.count()):
+        more = laws.unionByName(_attempts(dealt(later, n, len(lacking), LATER_ATTEMPTS), lacking, seed))
+        laws = kept(more.groupBy("bin", "law_key").agg(F.min_by("line", "draw").alias("line"), F.min("draw").alias("draw")))
     enough = next(n for n in range(per_bin + 1) if n == per_bin or n * (n - 1) >= min_pairs)
-    return _full(kept, "bin", dict.fromkeys(bins, enough))
+    return _full(laws, "bin", dict.fromkeys(bins, enough))

@@ -2,6 +2,7 @@
 
 import pytest
 from helpers import SF
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lawframe.operators import corpus, sampling
@@ -122,3 +123,17 @@ def test_quotas_are_errors(spark, laws):
 def test_synthetic_bins_have_their_quota(spark):
     found = sampling.synthesize_laws(spark.range(400).withColumnRenamed("id", "draw"), range(2, 11), "9", per_bin=15)
     assert {r["bin"]: r["count"] for r in found.groupBy("bin").count().collect()} == dict.fromkeys(range(2, 11), 15)
+
+
+def test_synthetic_laws_of_many_draws_are_those_of_all(spark, monkeypatch):
+    """A bin that the lowest draws fill takes no part in later attempts, others take all draws, and each task has a bounded share of attempts."""
+    draws = spark.range(900).select((F.col("id") * 7 % 900).alias("draw")).coalesce(1)
+    made, calls = sampling._attempts, []
+    first = Window.partitionBy("bin").orderBy("draw", "law_key")
+    want = made(draws.repartition(4), [1, 2, 3], "9").withColumn("rank", F.row_number().over(first)).where("rank <= 6").drop("rank")
+    monkeypatch.setattr(sampling, "_attempts", lambda some, bins, seed: calls.append((bins, some.rdd.getNumPartitions())) or made(some, bins, seed))
+    monkeypatch.setattr(sampling, "FIRST_ATTEMPTS", 300)
+    monkeypatch.setattr(sampling, "LATER_ATTEMPTS", 200)
+    found = sampling.synthesize_laws(draws, [1, 2, 3], "9", per_bin=6)
+    assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert calls == [([1, 2, 3], 3), ([1], 3)]  # 300 draws for three bins, then 600 for the one of five laws
