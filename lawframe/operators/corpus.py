@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawframe.functions import algebra as A
+from lawframe.session import shared_folder
 
 MOST_VARIABLES = 6
 #: Fixed values of the literal form.
@@ -156,6 +159,39 @@ def _literal_law(tokens: Column) -> Column:
     return A.let(linearized(_named(tokens, letters), RESULT), lambda law: A.let(used, lambda u: words(u, law)))
 
 
+#: Keys over which records without a text are dealt.
+SALTS = 64
+#: Distinct values that a task works on, and letters of all that is made of them up to which it goes to every task.
+VALUES_A_TASK, FEW_LETTERS = 500, 4 << 20
+
+
+def once_per(records: DataFrame, by: list[str], make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Records with the columns that are made from `by` alone, once for each distinct value; they replace columns of their names.
+
+    `make` gets the distinct values, nulls included, and the number of tasks that their work is to be
+    dealt to: a value is a few bytes, so that Spark would leave all of them to one task. Records of a value
+    that it leaves out are left out. The work is in proportion to the values, and to the records only for the join.
+    """
+    shared_folder(records.sparkSession)
+    values = records.select(*by).distinct().checkpoint()
+    made = make(values, max(1, -(-values.count() // VALUES_A_TASK))).checkpoint()
+    added = [c for c in made.columns if c not in by]
+    letters = made.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    keys = made.select(*[F.col(c).alias(f"of {c}") for c in by], *added)
+    kept = records.drop(*added)
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`of {c}`")) for c in by]
+    if letters <= FEW_LETTERS:
+        keys = F.broadcast(keys)
+    else:  # rows of null would all meet in one task
+        empty = lambda names: F.greatest(*[F.col(f"`{c}`").isNull() for c in names], F.lit(False))
+        kept = kept.withColumn("salt", F.when(empty(by), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
+        every = F.when(empty([f"of {c}" for c in by]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        keys = keys.withColumn("of salt", F.explode(every))
+        same.append(F.col("salt") == F.col("of salt"))
+    columns = [c for c in records.columns if c not in added]
+    return kept.join(keys, same).select(*[F.col(f"`{c}`") for c in [*columns, *added]])
+
+
 def render_literal(pairs: DataFrame) -> DataFrame:
     """Pairs (e, f) of tokens with `description`, canonical_e and canonical_f; null where a law has too many variables."""
     def assume(law: Column) -> Column:
@@ -178,9 +214,6 @@ def render_literal(pairs: DataFrame) -> DataFrame:
     )
 
 
-#: Keys over which records without a text are dealt.
-SALTS = 64
-
 _LETTER = "[xyzwuv]"
 _REF = rf"(?:{_LETTER}|{RESULT} \d+)"
 _STEP = rf"^{APPLY}({_REF}){FIRST_INPUT}({_REF}){SECOND_INPUT}{RESULT} (\d+)$"
@@ -327,7 +360,6 @@ def render_story(pairs: DataFrame, themes: DataFrame) -> DataFrame:
     authored file, it is left to Spark whether to broadcast it.
     """
     dim = themes.select(F.col("key").alias("theme key"), F.struct(*THEME_FIELDS, "palette").alias("theme"))
-    joined = pairs.withColumnRenamed("theme", "wanted").join(dim, F.col("wanted") == F.col("theme key"))
     h = _story_law(F.col("e"), question=False)
     two = (h["n_left"] > 0) & (h["n_right"] > 0)
     some = (h["n_left"] > 0) | (h["n_right"] > 0)
@@ -344,13 +376,17 @@ def render_story(pairs: DataFrame, themes: DataFrame) -> DataFrame:
     start = F.when(q["n_left"] > 0, F.concat(_capital(q["left"]), F.lit(".")))
     asked = F.concat_ws(" ", q["question_intro"], q["take"], start, then)
     closing = F.concat(q["question_lead"], F.lit(f", {MUST}"), q["x"], F.lit(" and "), q["y"], F.lit(ALWAYS), q["same_question"], F.lit("?"))
-    return joined.withColumns(
-        {
-            "story": F.concat_ws("\n\n", opening, first, second, habit, asked, closing),
-            "canonical_e": A.canonical(F.col("e")),
-            "canonical_f": A.canonical(F.col("f")),
-        }
-    ).drop("theme key", "theme").withColumnRenamed("wanted", "theme")
+    made = {
+        "story": F.concat_ws("\n\n", opening, first, second, habit, asked, closing),
+        "canonical_e": A.canonical(F.col("e")),
+        "canonical_f": A.canonical(F.col("f")),
+    }
+
+    def told(values: DataFrame, tasks: int) -> DataFrame:
+        joined = values.withColumnRenamed("theme", "wanted").join(dim, F.col("wanted") == F.col("theme key"))
+        return joined.repartition(tasks).withColumns(made).select("e", "f", F.col("wanted").alias("theme"), *made)
+
+    return once_per(pairs, ["e", "f", "theme"], told)
 
 
 def _with_theme(stories: DataFrame, dim: DataFrame) -> DataFrame:

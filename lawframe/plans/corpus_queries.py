@@ -29,7 +29,8 @@ def example_themes(spark: SparkSession) -> DataFrame:
 def themed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair with the theme that its laws select, of the two in order of their keys."""
     number = A.theme_number(A.canonical(F.col("e")), A.canonical(F.col("f")), 2)
-    return law_pairs(spark, sf_dir).withColumn("theme", F.get(F.array(F.lit("bakery"), F.lit("loom")), number))
+    theme = F.get(F.array(F.lit("bakery"), F.lit("loom")), number)
+    return corpus.once_per(law_pairs(spark, sf_dir), ["e", "f"], lambda values, tasks: values.repartition(tasks).withColumn("theme", theme))
 
 
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:

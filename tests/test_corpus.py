@@ -1,5 +1,6 @@
 """Texts: damaged descriptions, leakage and theme rules."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lawframe.functions import algebra as A
@@ -76,3 +77,29 @@ def test_theme_rules(spark):
     found = {r["key"]: set(r["violations"]) for r in corpus.validate_records(odd).collect()}
     assert found["bakery"] == {"op_agent places", "result_noun in palette", "unknown field extra"}
     assert found["loom"] == {"op_agent places", "unknown field extra"}
+
+
+def _copies(spark, n=40):
+    """Copies of two pairs, and of one without a second law."""
+    some = _pairs(spark, ("x = (x ∘ y) ∘ z", "x ∘ y = y ∘ x"), ("x = x", "x ∘ y = y"), ("x = y", "x ="))
+    return some.withColumn("theme", F.when(F.col("i") == 1, "loom").otherwise("bakery")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
+
+
+def _made_once(monkeypatch, run, few):
+    """What `run` gives, and how many distinct values texts were made of or read from."""
+    seen, once = [], corpus.once_per
+
+    def counted(records, by, make):
+        return once(records, by, lambda values, tasks: seen.append(values.count()) or make(values, tasks))
+
+    monkeypatch.setattr(corpus, "once_per", counted)
+    monkeypatch.setattr(corpus, "FEW_LETTERS", few)
+    return run().collect(), seen
+
+
+@pytest.mark.parametrize("few", [4 << 20, 0])
+def test_stories_are_made_once_per_pair(spark, monkeypatch, few):
+    """By either join; a pair without a law keeps its row."""
+    rows, seen = _made_once(monkeypatch, lambda: corpus.render_story(_copies(spark), example_themes(spark)), few)
+    assert seen == [3] and len(rows) == 120
+    assert len({(r["i"], r["story"]) for r in rows}) == 3 and sorted({r["i"] for r in rows if r["canonical_f"] is None}) == [2]
