@@ -390,19 +390,18 @@ def render_story(pairs: DataFrame, themes: DataFrame) -> DataFrame:
 
 
 def _with_theme(stories: DataFrame, dim: DataFrame) -> DataFrame:
-    """Stories beside the first theme (theme key, intro, ..) whose intro opens them, or nulls.
+    """Distinct stories (story) beside the first theme (theme key, intro, ..) whose intro opens them, or nulls.
 
-    Each distinct story makes a row for each distinct length of an intro, and these meet intros by
+    Each story makes a row for each distinct length of an intro, and these meet intros by
     equality; a story's rows are then brought back to one, before it meets the theme itself.
     """
     first = dim.where("`theme key` is not null").groupBy("intro").agg(F.min("theme key").alias("theme key"))
     lengths = sorted(r["n"] for r in first.select(F.length("intro").alias("n")).distinct().collect() if r["n"] is not None)  # fewer than an intro has letters
-    told = stories.where("story is not null")
-    tried = told.select(F.col("story").alias("told story")).distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
+    tried = stories.select(F.col("story").alias("told story"), F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n"))
     tried = tried.where(F.col("n") <= F.length("told story")).withColumn("intro", F.substring(F.col("told story"), F.lit(1), F.col("n")))
     best = tried.join(first, "intro").groupBy("told story").agg(F.min("theme key").alias("found key"))
-    met = told.join(best, F.col("story") == F.col("told story"), "left").join(dim, F.col("found key") == F.col("theme key"), "left").drop("told story", "found key")
-    return met.unionByName(stories.where("story is null"), allowMissingColumns=True)
+    met = stories.join(best, F.col("story") == F.col("told story"), "left")
+    return met.join(dim, F.col("found key") == F.col("theme key"), "left").drop("told story", "found key")
 
 
 def backparse_story(stories: DataFrame, themes: DataFrame) -> DataFrame:
@@ -430,7 +429,6 @@ def backparse_story(stories: DataFrame, themes: DataFrame) -> DataFrame:
         F.concat(F.lit(f"{HOWEVER}(?:she|he){CHOOSES}[^,]*, "), compare, F.lit(" and "), compare, F.lit(ALWAYS), quoted(F.col("same_habit")), F.lit(r"\.")).alias("habit"),
         F.concat(F.lit(MUST), compare, F.lit(" and "), compare, F.lit(ALWAYS), quoted(F.col("same_question")), F.lit(r"\?")).alias("asked"),
     )
-    told = _with_theme(stories, dim)
     at = F.expr("locate(question_intro, story)")
     habit_text = F.expr("substring(story, 1, locate(question_intro, story) - 1)")
     question_text = F.when(at > 0, F.expr("substring(story, locate(question_intro, story))"))
@@ -456,9 +454,11 @@ def backparse_story(stories: DataFrame, themes: DataFrame) -> DataFrame:
         good = F.regexp_like(F.col(text), F.col(closing))
         return F.when(good, A.canonical(A.parse_infix(F.concat(sides[0], F.lit(" = "), sides[1]))))
 
-    read = told.withColumns({"habit text": habit_text, "question text": question_text})
-    kept = [F.col(f"`{c}`") for c in stories.columns]
-    return read.select(*kept, F.col("theme key").alias("read_theme"), law("habit text", "agent", "habit").alias("read_e"), law("question text", "imperative", "asked").alias("read_f"))
+    def read(values: DataFrame, tasks: int) -> DataFrame:
+        texts = _with_theme(values, dim).repartition(tasks).withColumns({"habit text": habit_text, "question text": question_text})
+        return texts.select("story", F.col("theme key").alias("read_theme"), law("habit text", "agent", "habit").alias("read_e"), law("question text", "imperative", "asked").alias("read_f"))
+
+    return once_per(stories, ["story"], read)
 
 
 #: Words and characters that must not leak into texts.

@@ -103,3 +103,12 @@ def test_stories_are_made_once_per_pair(spark, monkeypatch, few):
     rows, seen = _made_once(monkeypatch, lambda: corpus.render_story(_copies(spark), example_themes(spark)), few)
     assert seen == [3] and len(rows) == 120
     assert len({(r["i"], r["story"]) for r in rows}) == 3 and sorted({r["i"] for r in rows if r["canonical_f"] is None}) == [2]
+
+
+@pytest.mark.parametrize("few", [4 << 20, 0])
+def test_stories_are_read_once_per_text(spark, monkeypatch, few):
+    """By either join; rows without a story keep their place."""
+    told = corpus.render_story(_copies(spark), example_themes(spark)).withColumn("story", F.when(F.col("i") < 2, F.col("story"))).localCheckpoint()
+    rows, seen = _made_once(monkeypatch, lambda: corpus.backparse_story(told, example_themes(spark)), few)
+    assert seen == [3] and len(rows) == 120
+    assert all((r["read_e"], r["read_f"]) == ((r["canonical_e"], r["canonical_f"]) if r["i"] < 2 else (None, None)) for r in rows)
