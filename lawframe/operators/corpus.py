@@ -205,13 +205,12 @@ def render_literal(pairs: DataFrame) -> DataFrame:
         )
 
     fits = (F.size(A.variables(F.col("e"))) <= MOST_VARIABLES) & (F.size(A.variables(F.col("f"))) <= MOST_VARIABLES)
-    return pairs.withColumns(
-        {
-            "description": F.when(fits, F.concat_ws("\n\n", F.lit(OPENING), A.let(_literal_law(F.col("e")), assume), A.let(_literal_law(F.col("f")), ask))),
-            "canonical_e": A.canonical(F.col("e")),
-            "canonical_f": A.canonical(F.col("f")),
-        }
-    )
+    made = {
+        "description": F.when(fits, F.concat_ws("\n\n", F.lit(OPENING), A.let(_literal_law(F.col("e")), assume), A.let(_literal_law(F.col("f")), ask))),
+        "canonical_e": A.canonical(F.col("e")),
+        "canonical_f": A.canonical(F.col("f")),
+    }
+    return once_per(pairs, ["e", "f"], lambda values, tasks: values.repartition(tasks).withColumns(made))
 
 
 _LETTER = "[xyzwuv]"
@@ -287,9 +286,8 @@ def backparse_literal(records: DataFrame) -> DataFrame:
     whole = lambda parts: F.when((F.size(parts) == 3) & (F.get(parts, 0) == OPENING), parts)
     parts = A.let(F.split("description", "\n\n"), whole)
     e, f = A.let(F.get(parts, 1), first), A.let(F.get(parts, 2), second)
-    made = F.struct(A.canonical(e).alias("canonical_e"), A.canonical(f).alias("canonical_f"))
-    kept = records.drop("canonical_e", "canonical_f")
-    return once_per_text(kept, "description", made).select(*[F.col(f"`{c}`") for c in kept.columns], "made.canonical_e", "made.canonical_f")
+    made = {"canonical_e": A.canonical(e), "canonical_f": A.canonical(f)}
+    return once_per(records, ["description"], lambda values, tasks: values.repartition(tasks).withColumns(made))
 
 
 def _gate(read: DataFrame, e: str, f: str) -> DataFrame:

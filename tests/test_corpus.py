@@ -112,3 +112,13 @@ def test_stories_are_read_once_per_text(spark, monkeypatch, few):
     rows, seen = _made_once(monkeypatch, lambda: corpus.backparse_story(told, example_themes(spark)), few)
     assert seen == [3] and len(rows) == 120
     assert all((r["read_e"], r["read_f"]) == ((r["canonical_e"], r["canonical_f"]) if r["i"] < 2 else (None, None)) for r in rows)
+
+
+@pytest.mark.parametrize("few", [4 << 20, 0])
+def test_literal_texts_are_made_and_read_once(spark, monkeypatch, few):
+    told, made = _made_once(monkeypatch, lambda: corpus.render_literal(_copies(spark)), few)
+    assert made == [3] and len(told) == 120
+    cut = corpus.render_literal(_copies(spark)).withColumn("theme", F.col("i").cast("string")).withColumn("description", F.when(F.col("i") < 2, F.col("description"))).localCheckpoint()
+    gate, read = _made_once(monkeypatch, lambda: corpus.roundtrip_gate(cut), few)
+    assert max(read) == 3  # two texts and none
+    assert sorted(map(tuple, gate)) == [("0", 40, 0), ("1", 40, 0), ("2", 40, 40)]
