@@ -18,7 +18,7 @@ from lawframe.functions import algebra
 from lawframe.operators.corpus import THEME_FIELDS
 from lawframe.operators.order import after
 from lawframe.session import file_system, names_in, put_text, read_text, shared_folder
-from lawframe.sources.keyed import MOST_ROWS, KeyedTable
+from lawframe.sources.keyed import MOST_ROWS, KeyedTable, tasks_for
 
 TRANSFORM = "struct<swap_e:boolean,swap_f:boolean,dual:boolean>"
 USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,cost:double>"
@@ -171,16 +171,18 @@ def write_corpus(records: DataFrame, key: Column, path: str, most_rows: int = MO
 
     Parts are copied on write and split as they grow. The call makes a new version, which it
     returns; readers see the former one whole until then. Of two writers of one version, one starts again from the other's.
+    Tasks are as many as records ask for: records alike take little room where shuffles are measured, and much where they are sorted.
     """
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
-    fresh = records.select(key.alias("record_key"), row.alias("row")).groupBy("record_key").agg(F.min("row").alias("row"))
+    keyed = records.select(key.alias("record_key"), row.alias("row")).repartition(tasks_for(records.count()), "record_key")
+    shared_folder(records.sparkSession)
+    fresh = keyed.groupBy("record_key").agg(F.min("row").alias("row")).checkpoint()
 
     def fold(old: DataFrame, new: DataFrame) -> DataFrame:
         both = old.withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1)))
-        return both.groupBy("record_key").agg(F.max_by("row", "new").alias("row"))
+        return both.repartition(tasks_for(both.count()), "record_key").groupBy("record_key").agg(F.max_by("row", "new").alias("row"))
 
-    shared_folder(records.sparkSession)
-    return corpus_table(records.sparkSession, path, most_rows).upsert(fresh.checkpoint(), fold)
+    return corpus_table(records.sparkSession, path, most_rows).upsert(fresh, fold)
 
 
 def corpus_table(spark: SparkSession, path: str, most_rows: int = MOST_ROWS) -> KeyedTable:

@@ -28,6 +28,13 @@ from lawframe.session import file_system, names_in, put_text, read_text, shared_
 MOST_ROWS = 1_000_000
 #: Parts are told by so many bits of the hash at most.
 BITS = 64
+#: Rows that one task sorts, whatever the parts they belong to.
+ROWS_A_TASK = 100_000
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_TASK))
+
 
 #: Of each part, by prefix: the name of its files, and its rows.
 Parts = dict[str, tuple[str, int]]
@@ -111,7 +118,9 @@ class KeyedTable:
             inside = ordered[bisect_left(ordered, p) : bisect_left(ordered, p + "2")]  # all that begin with p
             made |= _splits(p, {q: counts[q] for q in inside}, self.most_rows)
         placed = self._placed(folded, list(made)).withColumns({"part": F.concat(F.lit("p"), "part"), "by": F.lit(name)})
-        placed.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "by").parquet(f"{self.path}/rows")
+        # ranges of the hash are parts or pieces of them, so a task's rows are bounded and a part is in few files
+        ranges = placed.repartitionByRange(tasks_for(sum(made.values())), self.bits())
+        ranges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "by").parquet(f"{self.path}/rows")
         after = {p: (name, n) for p, n in made.items()}
         return {p: v for p, v in parts.items() if p not in touched} | after, former, after
 

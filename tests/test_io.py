@@ -294,3 +294,13 @@ def test_scratch_folders_can_be_cleared(spark):
         spark.range(3).write.parquet(path)
     assert clear_scratch(spark) == 2 and clear_scratch(spark) == 0
     assert all(names_in(spark, path) == [] for path in folders)
+
+
+def test_tasks_of_a_written_corpus_are_bounded(spark, folder, monkeypatch):
+    """A task writes a bounded number of rows, however many its part has; the parts stay whole."""
+    monkeypatch.setattr("lawframe.sources.keyed.ROWS_A_TASK", 500)
+    for part in (spark.range(5000), spark.range(4000, 6000)):
+        io.write_corpus(part.select(F.col("id").cast("string").alias("story")), F.col("story"), folder, most_rows=4000)
+    rows = io.corpus_table(spark, folder, 4000).rows()
+    assert sorted(int(r["record_key"]) for r in rows.collect()) == list(range(6000))
+    assert max(r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()) <= 1500
