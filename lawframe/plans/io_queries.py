@@ -32,6 +32,10 @@ def scan_equations(spark, sf_dir):
     return io.scan_equations(spark, path)
 
 
+#: Law numbers whose lists, a file per hundred, one task writes.
+LISTED_A_TASK = 5_000
+
+
 @query(
     "content_digest",
     forms_sql(
@@ -47,10 +51,14 @@ def content_digest(spark, sf_dir):
     """A list of equations per hundred law numbers, each a file, with the digest of its bytes and the one of its tree of lines."""
     path = _folder(spark)
     lists = laws(spark, sf_dir).withColumn("list", F.floor(F.col("law_no") / 100))
-    lists.repartition("list").sortWithinPartitions("list", "law_no").select("list", "equation").write.partitionBy("list").text(path)
+    # a file takes longer than its rows, so that lists are dealt to tasks by number, and each task puts its own files in place
+    tasks = max(1, -(-lists.count() // LISTED_A_TASK))
+    ordered = lists.repartition(tasks, "list").sortWithinPartitions("list", "law_no").select("list", "equation")
+    ordered.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("list").text(path)
     number = F.regexp_extract("path", r"list=(\d+)/", 1).cast("long").alias("list")
-    plain = io.content_digest(spark, f"{path}/*/*.txt").select(number, "sha256")
-    return plain.join(io.tree_digest(spark, f"{path}/*/*.txt", fan=8, levels=2).select(number, "n_lines", "tree"), "list")
+    # the folder rather than a glob, which the driver would follow by itself
+    plain = io.content_digest(spark, path).select(number, "sha256")
+    return plain.join(io.tree_digest(spark, path, fan=8, levels=2).select(number, "n_lines", "tree"), "list")
 
 
 def _result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,3 +304,13 @@ def test_tasks_of_a_written_corpus_are_bounded(spark, folder, monkeypatch):
     rows = io.corpus_table(spark, folder, 4000).rows()
     assert sorted(int(r["record_key"]) for r in rows.collect()) == list(range(6000))
     assert max(r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()) <= 1500
+
+
+def test_lists_are_written_by_many_tasks(spark, monkeypatch, duck):
+    """Digests are those of SQL, whatever the number of tasks that write the lists."""
+    from helpers import SF, same_rows
+
+    from lawframe.plans import registry
+
+    monkeypatch.setattr("lawframe.plans.io_queries.LISTED_A_TASK", 40)
+    same_rows(registry.QUERIES["content_digest"](spark, SF), duck, registry.ORACLES["content_digest"])
